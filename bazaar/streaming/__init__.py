@@ -1,0 +1 @@
+"""Empty on purpose: every source of this data model is a batch source."""

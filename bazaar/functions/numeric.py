@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def all_present(columns: Iterable[str]) -> Column:
+    """Whether none of the columns is null: a test scans can push down."""
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(c).isNotNull()
+    return test
+
+
 def no_nan(c: str | Column) -> Column:
     """Null instead of NaN, so a missing value has one form only."""
     return F.when(~F.isnan(col(c)), col(c))

@@ -1,6 +1,7 @@
 """Positions, ranks and running sums over one order of all rows.
 
-A window without partition keys moves every row into one task.  Here rows are
+A window without partition keys moves every row into one task.  That is fine
+for a table counted to be small, and only then.  Otherwise rows are
 range-partitioned by their order into slices, each slice is numbered on its
 own, and the totals of the slices before it (one row per slice) are added.
 """
@@ -9,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from bazaar.session import settle
 
+# Rows one task may order by itself; a sort of this many spills at worst.
+ONE_TASK_ROWS = 200_000
+
 _SLICE = "_slice"
 
 
@@ -23,6 +27,7 @@ def ordered_prefix(
     running: Mapping[str, str] | None = None,
     within: Sequence[str] = (),
     rank_by: str | None = None,
+    one_task_rows: int | None = None,
 ) -> DataFrame:
     """Number the rows of ``df`` along ``order``.
 
@@ -37,18 +42,38 @@ def ordered_prefix(
     """
     sums = dict(running or {})
     groups = list(within)
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(slices, *[F.col(g) for g in groups], *order)
-    sliced = settle(ranged.withColumn(_SLICE, F.spark_partition_id()), *groups)
-
-    in_slice = Window.partitionBy(*groups, _SLICE)
-    so_far = in_slice.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    added = {"position": F.row_number().over(in_slice.orderBy(*order)).cast("long")}
-    added |= {name: F.sum(c).over(so_far) for name, c in sums.items()}
+    limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
+    stored, rows = settle(df, *groups)
+    if rows <= limit:
+        everything = Window.partitionBy(*groups)
+        totals = {f"{name}_total": F.sum(c).over(everything) for name, c in sums.items()}
+        totals["rows_total"] = F.count(F.lit(1)).over(everything)
+        return stored.withColumns(_numbers(everything, order, sums, rank_by) | totals)
+    return _by_slices(stored, order, sums, groups, rank_by)
+
+
+def _numbers(
+    over: WindowSpec, order: Sequence[Column], sums: Mapping[str, str], rank_by: str | None
+) -> dict[str, Column]:
+    ordered = over.orderBy(*order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbers = {"position": F.row_number().over(ordered).cast("long")}
+    numbers |= {name: F.sum(c).over(so_far) for name, c in sums.items()}
     if rank_by:
-        added["rank"] = F.rank().over(in_slice.orderBy(order[0])).cast("long")
-    numbered = sliced.withColumns(added)
+        numbers["rank"] = F.rank().over(over.orderBy(order[0])).cast("long")
+    return numbers
+
 
+def _by_slices(
+    df: DataFrame, order: Sequence[Column], sums: Mapping[str, str], groups: list[str],
+    rank_by: str | None,
+) -> DataFrame:
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(slices, *[F.col(g) for g in groups], *order)
+    sliced, _ = settle(ranged.withColumn(_SLICE, F.spark_partition_id()), *groups)
+    numbered = sliced.withColumns(
+        _numbers(Window.partitionBy(*groups, _SLICE), order, sums, rank_by)
+    )
     offsets = _slice_offsets(sliced, sums, groups)
     shift = {"position": "_rows_before", **{n: f"_{n}_before" for n in sums}}
     if rank_by:

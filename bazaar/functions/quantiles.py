@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import no_nan
 
-DISTINCT_LIMIT = 1_000_000
+DISTINCT_LIMIT = 100_000
 _ACCURACY = 10_000
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import no_nan, to_number
+from bazaar.functions.numeric import all_present, no_nan, to_number
 from bazaar.functions.ordering import ordered_prefix
 from bazaar.functions.quantiles import DISTINCT_LIMIT, distinct_sizes, exact_quantiles
 from bazaar.schema import (
@@ -188,7 +188,7 @@ def clean(
         typed = derive_stats_month(typed)
     # Medians and quartiles each read the rows again; the shuffle behind the
     # deduplication should run once, and each reading take its column only.
-    unique = settle(drop_duplicate_rows(typed))
+    unique, _ = settle(drop_duplicate_rows(typed))
     filled = fill_unknown(fill_median(unique, distinct_limit=distinct_limit))
     if remove_outliers:
         filled = remove_outliers_iqr(filled, distinct_limit=distinct_limit)
@@ -197,7 +197,12 @@ def clean(
 
 def drop_null_features(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """Drop rows in which any available feature is missing."""
-    return df.dropna(subset=_present(df, features))
+    present = _present(df, features)
+    out = df.where(all_present(present))
+    for c, kind in df.select(*present).dtypes:
+        if kind in ("double", "float"):
+            out = out.where(~F.isnan(c))
+    return out
 
 
 def validate_storage(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaar.functions.numeric import all_present
 from bazaar.functions.ordering import ordered_prefix
 from bazaar.schema import DEFAULT_ROLES, UNKNOWN, Roles
 
@@ -30,21 +31,24 @@ def price_baseline(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     )
 
 
-def compliance_metrics(df: DataFrame, *by: str, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+def compliance_metrics(
+    df: DataFrame, *by: str, roles: Roles = DEFAULT_ROLES, baseline: DataFrame | None = None
+) -> DataFrame:
     """Rates of the four kinds of finding, with averages and totals, per group.
 
     The price baseline enters as a scalar subquery: it is worked out first and
-    its two numbers then stand in the plan as constants.
+    its numbers then stand in the plan as constants.  It reads the price column
+    of ``df`` unless a one-row ``baseline`` from a cheaper source is given.
     """
     udi, approval, rating, price, sales = (F.col(c) for c in roles.of(*_INPUTS))
-    baseline = price_baseline(df, roles)
+    baseline = price_baseline(df, roles) if baseline is None else baseline
     mu, sd = baseline.select("mu").scalar(), baseline.select("sd").scalar()
 
     def rate(finding: Column) -> Column:
         return F.avg(F.when(finding, 1.0).otherwise(0.0))
 
     keys = roles.of(*by)
-    known = df.dropna(subset=keys) if keys else df
+    known = df.where(all_present(keys))
     marked = known.withColumn("_z", F.abs((price - mu) / F.nullif(sd, F.lit(0.0))))
     invalid = (
         approval.isNull()
@@ -63,27 +67,34 @@ def compliance_metrics(df: DataFrame, *by: str, roles: Roles = DEFAULT_ROLES) ->
     )
 
 
-def _scored(df: DataFrame, min_rows: int, roles: Roles) -> DataFrame:
+def _scored(
+    df: DataFrame, min_rows: int, roles: Roles, baseline: DataFrame | None
+) -> DataFrame:
     score = sum((F.col(rate) * weight for rate, weight in WEIGHTS.items()), F.lit(0.0)) * 100
     level = (
         F.when(F.col("risk_score") >= 30, HIGH).when(F.col("risk_score") >= 15, MIDDLE).otherwise(LOW)
     )
     return (
-        compliance_metrics(df, "institution", roles=roles)
+        compliance_metrics(df, "institution", roles=roles, baseline=baseline)
         .where(F.col("project_count") >= min_rows)
         .withColumn("risk_score", F.round(score, 9))
         .withColumn("risk_level", level)
     )
 
 
-def institution_risk(df: DataFrame, min_rows: int = 5, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+def institution_risk(
+    df: DataFrame,
+    min_rows: int = 5,
+    roles: Roles = DEFAULT_ROLES,
+    baseline: DataFrame | None = None,
+) -> DataFrame:
     """Institutions with enough listings, scored, graded and ranked.
 
     The score is rounded far below its meaning, so that equal rates give equal
     scores, and so equal ranks, whatever order they were added up in.
     """
     ranked = ordered_prefix(
-        _scored(df, min_rows, roles),
+        _scored(df, min_rows, roles, baseline),
         [F.desc_nulls_last("risk_score"), F.asc("institution")],
         rank_by="risk_score",
     )
@@ -94,17 +105,25 @@ def institution_risk(df: DataFrame, min_rows: int = 5, roles: Roles = DEFAULT_RO
 
 
 def institution_risk_top(
-    df: DataFrame, n: int = 50, min_rows: int = 5, roles: Roles = DEFAULT_ROLES
+    df: DataFrame,
+    n: int = 50,
+    min_rows: int = 5,
+    roles: Roles = DEFAULT_ROLES,
+    baseline: DataFrame | None = None,
 ) -> DataFrame:
-    return institution_risk(df, min_rows, roles).limit(n)
+    return institution_risk(df, min_rows, roles, baseline).limit(n)
 
 
 def institution_risk_bottom(
-    df: DataFrame, n: int = 10, min_rows: int = 5, roles: Roles = DEFAULT_ROLES
+    df: DataFrame,
+    n: int = 10,
+    min_rows: int = 5,
+    roles: Roles = DEFAULT_ROLES,
+    baseline: DataFrame | None = None,
 ) -> DataFrame:
     """The last ``n`` institutions; none at all if there are fewer than ``n``."""
     last = (
-        institution_risk(df, min_rows, roles)
+        institution_risk(df, min_rows, roles, baseline)
         .orderBy(F.desc("risk_rank"), F.desc("institution"))
         .limit(n)
     )
@@ -117,21 +136,28 @@ def institution_risk_bottom(
 
 
 def institution_risk_distribution(
-    df: DataFrame, min_rows: int = 5, roles: Roles = DEFAULT_ROLES
+    df: DataFrame,
+    min_rows: int = 5,
+    roles: Roles = DEFAULT_ROLES,
+    baseline: DataFrame | None = None,
 ) -> DataFrame:
     """Institutions per risk level, with the number of all of them."""
-    levels = _scored(df, min_rows, roles).groupBy("risk_level").agg(
+    levels = _scored(df, min_rows, roles, baseline).groupBy("risk_level").agg(
         F.count(F.lit(1)).alias("count")
     )
     total = F.sum("count").over(Window.partitionBy()).alias("institution_count_total")
     return levels.select("risk_level", "count", total).orderBy("risk_level")
 
 
-def category_risk(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    return compliance_metrics(df, "category", roles=roles).orderBy(
+def category_risk(
+    df: DataFrame, roles: Roles = DEFAULT_ROLES, baseline: DataFrame | None = None
+) -> DataFrame:
+    return compliance_metrics(df, "category", roles=roles, baseline=baseline).orderBy(
         F.desc("udi_mismatch_rate"), "category"
     )
 
 
-def city_risk(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    return compliance_metrics(df, "city", roles=roles).orderBy(F.desc("udi_mismatch_rate"), "city")
+def city_risk(
+    df: DataFrame, roles: Roles = DEFAULT_ROLES, baseline: DataFrame | None = None
+) -> DataFrame:
+    return compliance_metrics(df, "city", roles=roles, baseline=baseline).orderBy(F.desc("udi_mismatch_rate"), "city")

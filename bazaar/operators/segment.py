@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.operators.clean import cast_numeric, drop_null_features
 from bazaar.schema import FEATURE_COLUMNS
+from bazaar.session import settle
 
 DEFAULT_K = 3
 SEED = 42
@@ -32,6 +32,11 @@ def assemble_features(
     return VectorAssembler(inputCols=present, outputCol=output, handleInvalid="skip").transform(rows)
 
 
+def _number(x: float) -> str:
+    """A double as a SQL constant."""
+    return f"({x!r}D)"
+
+
 @dataclass(frozen=True)
 class Scaling:
     """Mean and sample standard deviation of each feature."""
@@ -40,15 +45,16 @@ class Scaling:
     mean: tuple[float, ...]
     std: tuple[float, ...]
 
-    def columns(self) -> list[Column]:
-        """The z-score of each feature; a constant feature scores zero."""
+    def expressions(self) -> list[str]:
+        """The z-score of each feature in SQL; a constant feature scores zero."""
         return [
-            ((F.col(f) - m) / s if s else F.lit(0.0)).alias(f)
+            f"(`{f}` - {_number(m)}) / {_number(s)}" if s else "0D"
             for f, m, s in zip(self.features, self.mean, self.std)
         ]
 
-    def restore(self, i: int, z: float) -> float:
-        return self.mean[i] + z * self.std[i]
+    def restore(self, center: Sequence[float]) -> list[float]:
+        """A standardised point in original units."""
+        return [m + z * s for m, s, z in zip(self.mean, self.std, center)]
 
 
 def fit_scaling(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> Scaling:
@@ -67,22 +73,24 @@ def standardize_features(
     """Replace the features by their z-scores."""
     rows, _ = _usable(df, features)
     scaling = scaling or fit_scaling(df, features)
-    return rows.withColumns(dict(zip(scaling.features, scaling.columns())))
+    return rows.withColumns({f: F.expr(e) for f, e in zip(scaling.features, scaling.expressions())})
 
 
 def _training_points(df: DataFrame, scaling: Scaling) -> DataFrame:
-    """Distinct standardised points with their number of rows as weight.
+    """Distinct standardised points with their number of rows as weight, stored.
 
     Equal points are collapsed before the shuffle, so one point held by a
     large part of all rows is one row here.  Sorting within the partitions
-    makes a fit repeatable, as starting centres depend on row order.
+    makes a fit repeatable, as starting centres depend on row order.  A fit
+    reads its input several times before it caches what it iterates over.
     """
-    z = [c.alias(f"z{i}") for i, c in enumerate(scaling.columns())]
-    names = [f"z{i}" for i in range(len(z))]
+    names = [f"z{i}" for i in range(len(scaling.features))]
     rows, _ = _usable(df, scaling.features)
-    points = rows.select(*z).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    spread = points.repartition(_partitions(df), *names).sortWithinPartitions(*names)
-    return VectorAssembler(inputCols=names, outputCol=_VECTOR).transform(spread).select(
+    points = rows.selectExpr([f"{e} AS {n}" for e, n in zip(scaling.expressions(), names)])
+    weighted = points.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    spread = weighted.repartition(_partitions(df), *names).sortWithinPartitions(*names)
+    stored, _ = settle(spread)
+    return VectorAssembler(inputCols=names, outputCol=_VECTOR).transform(stored).select(
         _VECTOR, "weight"
     )
 
@@ -122,27 +130,38 @@ def fit_segments(
 
 
 def assign_nearest_center(
-    df: DataFrame, centers: Sequence[Sequence[float]], columns: Sequence[Column]
+    df: DataFrame,
+    centers: Sequence[Sequence[float]],
+    scaling: Scaling,
 ) -> DataFrame:
-    """Add ``cluster``, the number of the centre nearest to ``columns``.
+    """Add ``cluster``, the number of the nearest centre in standardised units.
 
     The few centres are constants of the expression: no join, no shuffle.  The
     lowest number wins a tie.
     """
-    def distance(center: Sequence[float]) -> Column:
-        return sum(((c - x) * (c - x) for c, x in zip(columns, center)), F.lit(0.0))
 
-    choices = [
-        F.struct(distance(center).alias("d"), F.lit(i).alias("i"))
-        for i, center in enumerate(centers)
-    ]
-    return df.withColumn("cluster", F.array_min(F.array(*choices))["i"].cast("int"))
+    def distance(center: Sequence[float]) -> str:
+        gaps = [
+            f"pow(`{f}` - {_number(x)}, 2) * {_number(1 / (s * s))}"
+            for f, x, s in zip(scaling.features, scaling.restore(center), scaling.std)
+            if s
+        ]
+        return " + ".join(gaps) or "0D"
+
+    names = [f"_distance_{i}" for i in range(len(centers))]
+    measured = df.withColumns({n: F.expr(distance(c)) for n, c in zip(names, centers)})
+    # Ending in ELSE, the number cannot be null, and filters on that vanish.
+    least = f"least({', '.join(names)})" if len(names) > 1 else names[0]
+    cases = " ".join(f"WHEN {n} = {least} THEN {i}" for i, n in enumerate(names[:-1]))
+    last = len(names) - 1
+    nearest = F.expr(f"CASE {cases} ELSE {last} END" if cases else f"{last}")
+    return measured.withColumn("cluster", nearest).drop(*names)
 
 
 def assign_segments(df: DataFrame, model: Segmentation) -> DataFrame:
     """Add ``cluster`` from a fitted model; rows missing a feature are dropped."""
     rows, _ = _usable(df, model.scaling.features)
-    return assign_nearest_center(rows, model.centers, model.scaling.columns())
+    return assign_nearest_center(rows, model.centers, model.scaling)
 
 
 def kmeans_cluster(
@@ -155,9 +174,9 @@ def kmeans_cluster(
 def cluster_centers(spark: SparkSession, model: Segmentation) -> DataFrame:
     """Centres as long rows, in standardised and in original units."""
     rows = [
-        (i, f, z, model.scaling.restore(j, z))
+        (i, f, z, x)
         for i, center in enumerate(model.centers)
-        for j, (f, z) in enumerate(zip(model.scaling.features, center))
+        for f, z, x in zip(model.scaling.features, center, model.scaling.restore(center))
     ]
     return spark.createDataFrame(
         rows, "cluster int, feature string, center double, center_original double"
@@ -182,9 +201,6 @@ def elbow_sweep(
 
     The points are standardised and collapsed once for all fits.
     """
-    points = _training_points(df, fit_scaling(df, features)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        costs = [(k, float(_fit(points, k, seed).summary.trainingCost)) for k in ks]
-    finally:
-        points.unpersist()
+    points = _training_points(df, fit_scaling(df, features))
+    costs = [(k, float(_fit(points, k, seed).summary.trainingCost)) for k in ks]
     return df.sparkSession.createDataFrame(costs, "k int, wcss double")

@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import pearson
+from bazaar.functions.numeric import all_present, pearson
 from bazaar.functions.ordering import ordered_prefix
 from bazaar.schema import DEFAULT_ROLES, FEATURE_COLUMNS, Roles
 
 
-def _matrix(df: DataFrame, features: Sequence[str], column: Callable[[str], str]) -> DataFrame:
-    """Every pair of features in one aggregate, unfolded to long rows."""
-    pairs = list(combinations(features, 2))
-    one_row = df.agg(
-        *[pearson(column(a), column(b)).alias(f"_pair_{i}") for i, (a, b) in enumerate(pairs)]
-    )
+def _quoted(name: str) -> str:
+    return f"`{name}`"
 
-    def cell(a: str, b: str, value: Column) -> Column:
-        return F.struct(
-            F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), value.alias("corr")
-        )
 
-    cells = [cell(f, f, F.lit(1.0)) for f in features]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"_pair_{i}")), cell(b, a, F.col(f"_pair_{i}"))]
-    return one_row.select(F.inline(F.array(*cells)))
+def _long_matrix(one_row: DataFrame, features: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Unfold pair values, in the order ``combinations`` lists pairs, to long rows."""
+    cells = [f"'{f}', '{f}', 1D" for f in features]
+    for (a, b), value in zip(combinations(features, 2), values):
+        cells += [f"'{a}', '{b}', {value}", f"'{b}', '{a}', {value}"]
+    return one_row.selectExpr(
+        f"stack({len(cells)}, {', '.join(cells)}) AS (feature_a, feature_b, corr)"
+    )
 
 
 def pearson_matrix(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
-    """Pearson correlation of every pair, each over the rows that have both."""
-    return _matrix(df, [f for f in features if f in df.columns], lambda f: f)
+    """Pearson correlation of every pair, each over the rows that have both.
+
+    Null where a column is constant over those rows.  The size comes from the
+    r-squared aggregate and the sign from the covariance: both skip missing
+    values by themselves and never divide by zero, and apart they are narrow
+    enough to compile, which all moments of all pairs in one pass are not.
+    """
+    present = [f for f in features if f in df.columns]
+    pairs = [(_quoted(a), _quoted(b)) for a, b in combinations(present, 2)]
+    sizes = df.agg(F.expr(f"array({', '.join(f'regr_r2({b}, {a})' for a, b in pairs)})").alias("r2"))
+    signs = df.agg(F.expr(f"array({', '.join(f'covar_pop({a}, {b})' for a, b in pairs)})").alias("cov"))
+    both = sizes.selectExpr("r2", "null AS cov").unionByName(signs.selectExpr("null AS r2", "cov"))
+    one_row = both.agg(F.max("r2").alias("r2"), F.max("cov").alias("cov"))
+    # r-squared is one, not null, where only the second column is constant.
+    values = [
+        f"IF(r2[{i}] = 1 AND cov[{i}] = 0, NULL, signum(cov[{i}]) * sqrt(r2[{i}]))"
+        for i in range(len(pairs))
+    ]
+    return _long_matrix(one_row, present, values)
 
 
 def feature_ranks(df: DataFrame, features: Sequence[str], ties: str = "min") -> DataFrame:
@@ -46,12 +59,8 @@ def feature_ranks(df: DataFrame, features: Sequence[str], ties: str = "min") ->
     """
     if ties not in ("min", "average"):
         raise ValueError("ties must be 'min' or 'average'")
-    values = F.inline(
-        F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
-    )
-    counts = df.select(values).groupBy("feature", "value").agg(
-        F.count(F.lit(1)).cast("double").alias("n")
-    )
+    values = df.unpivot([], list(features), "feature", "value")
+    counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
     upto = ordered_prefix(counts, [F.asc("value")], {"upto": "n"}, within=["feature"])
     first = F.col("upto") - F.col("n") + 1
     rank = first if ties == "min" else first + (F.col("n") - 1) / 2
@@ -74,8 +83,16 @@ def spearman_matrix(
     mean of their ranks.
     """
     present = [f for f in features if f in df.columns]
-    ranked = feature_ranks(df.select(*present).dropna(), present, ties)
-    return _matrix(ranked, present, lambda f: f"rank_{f}")
+    ranked = feature_ranks(df.select(*present).where(all_present(present)), present, ties)
+    rank = {f: _quoted(f"rank_{f}") for f in present}
+    pairs = list(combinations(present, 2))
+    # No rank is missing, so one spread per feature serves all its pairs.
+    one_row = ranked.agg(
+        *[F.expr(f"stddev_pop({r})").alias(f"sd_{f}") for f, r in rank.items()],
+        *[F.expr(f"covar_pop({rank[a]}, {rank[b]})").alias(f"cov_{i}") for i, (a, b) in enumerate(pairs)],
+    )
+    spread = [f"{_quoted(f'sd_{a}')} * {_quoted(f'sd_{b}')}" for a, b in pairs]
+    return _long_matrix(one_row, present, [f"cov_{i} / nullif({s}, 0)" for i, s in enumerate(spread)])
 
 
 def price_elasticity(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:

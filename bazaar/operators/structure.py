@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import ratio
+from bazaar.functions.numeric import all_present, ratio
 from bazaar.functions.ordering import ordered_prefix
 from bazaar.schema import DEFAULT_ROLES, Roles
 from bazaar.session import settle
@@ -20,7 +20,7 @@ CITIES_PER_BLOCK = 256
 
 def _sales_by(df: DataFrame, *by: str, roles: Roles, total: str) -> DataFrame:
     columns, (sales,) = roles.of(*by), roles.of("monthly_sales")
-    known = df.dropna(subset=columns)
+    known = df.where(all_present(columns))
     return known.groupBy(*[F.col(c).alias(b) for c, b in zip(columns, by)]).agg(
         F.sum(sales).alias(total)
     )
@@ -165,7 +165,7 @@ def pareto_sample(
 
 def pareto_points(df: DataFrame, points: int = 500, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Chart coordinates in percent; break points carry their threshold."""
-    curve = settle(_pareto(df, roles).select("rn", "project_share", "cum_share", "rows_total"))
+    curve, _ = settle(_pareto(df, roles).select("rn", "project_share", "cum_share", "rows_total"))
 
     def percent(c: str) -> Column:
         return F.round(F.col(c) * 100, 2)
@@ -200,7 +200,7 @@ def _block_pairs(cells: DataFrame) -> DataFrame:
     sent once to each pair it takes part in, and the pair is one small matrix
     product.  The blocks are sized from the counted number of cities.
     """
-    cells = settle(cells.select("city", "category", F.col("total_sales").alias("v")))
+    cells, _ = settle(cells.select("city", "category", F.col("total_sales").alias("v")))
     cities = cells.agg(F.count_distinct("city")).first()[0]
     blocks = max(1, -(-cities // CITIES_PER_BLOCK))
     norms = cells.groupBy("city").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaar.functions.numeric import ratio
+from bazaar.functions.numeric import all_present, ratio
 from bazaar.operators.trend import measure
 from bazaar.schema import DEFAULT_ROLES, UNKNOWN, Roles
 
@@ -22,7 +22,7 @@ def _grouped(
     """``measures`` per segment, and per ``key`` where given; null keys left out."""
     keys = ["cluster"] + ([key] if key else [])
     columns = roles.of(*keys)
-    known = df.dropna(subset=columns)
+    known = df.where(all_present(columns))
     return known.groupBy(*[F.col(c).alias(k) for c, k in zip(columns, keys)]).agg(
         *[measure(m, roles) for m in measures], *more
     )
@@ -100,7 +100,7 @@ def cluster_category_preference(df: DataFrame, roles: Roles = DEFAULT_ROLES) ->
             "_in_cluster": total.over(Window.partitionBy("cluster")),
             "_grand": total.over(Window.partitionBy()),
         }
-    ).dropna(subset=["cluster", "category"])
+    ).where(all_present(["cluster", "category"]))
 
     def share(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))

@@ -5,11 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # AQE is what turns a skewed shuffle join into split reads and a small
-# shuffled side into a broadcast, with sizes it has measured.
+# shuffled side into a broadcast, with sizes it has measured.  Sizes guessed
+# from files before a run decide only about truly small tables.
 RECOMMENDED = {
+    "spark.sql.autoBroadcastJoinThreshold": "1m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -35,13 +40,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the stored table.
+def settle(df: DataFrame, *partition_by: str) -> tuple[DataFrame, int]:
+    """Write ``df`` to the shared folder; the stored table and its row count.
 
     Used where later steps read an intermediate more than once and must see
     the very same rows each time, also after an executor is lost.  Read back
     as Parquet, its columns can be pruned and its size is known to Spark.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]

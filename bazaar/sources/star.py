@@ -34,60 +34,61 @@ _TABLES = {
 }
 _ALL_TABLES = set().union(*_TABLES.values())
 
-LISTING_COLUMNS = [*RAW_COLUMNS, "stats_month"]
+# Column -> SQL expression over the joined tables.
+_SPIKE = "CASE WHEN l_orderkey % 250 = 7 THEN 8D ELSE 1D END"
+_PAID = "1D - 5D * l_discount"
+_APPROVAL = """CASE l_suppkey % 3 WHEN 2 THEN (l_partkey + l_orderkey) % 8
+    WHEN 1 THEN (l_partkey + l_orderkey) % 24 ELSE 9 END"""
+_EXPRESSIONS = {
+    "platform": "o_orderpriority",
+    "city": "n_name",
+    "district": "d_name",
+    "store_type": "c_mktsegment",
+    "institution": """CASE WHEN n_nationkey % 5 = 0 AND l_orderkey % 5 < 3 THEN 'Supplier#HUB'
+        WHEN n_nationkey % 5 = 1 AND l_orderkey % 20 < 9 THEN 'Supplier#MID' ELSE s_name END""",
+    "category": "p_type",
+    "subcategory": "p_brand",
+    "spec": "CAST(p_size AS STRING)",
+    "project_name": "CONCAT(p_name, ' ', p_brand)",
+    "list_price": f"l_extendedprice * {_SPIKE}",
+    "actual_price": f"l_extendedprice * {_SPIKE} * ({_PAID})",
+    "discount_rate": _PAID,
+    "monthly_sales": "l_quantity",
+    "review_count": "l_quantity * (1 + (l_orderkey + l_linenumber) % 4)",
+    "rating": "3.6D + (l_orderkey * 7 + l_linenumber * 3) % 15 / 10D",
+    "doctor_name": "c_name",
+    "doctor_title": "CONCAT('T', c_custkey % 4)",
+    "payment_method": "l_returnflag",
+    "installment": "IF(l_linestatus = 'F', 1D, 0D)",
+    "channel": "r_name",
+    "activity_tag": "o_orderstatus",
+    "approval_no": f"""CASE {_APPROVAL} WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '{UNKNOWN}'
+        WHEN 3 THEN 'FDA-1' ELSE CONCAT('国械注准', l_partkey) END""",
+    "device_brand": "p_brand",
+    "device_model": "CONCAT(p_brand, '-', p_size)",
+    "udi_match": """CASE WHEN l_suppkey % 3 = 0 THEN 1D WHEN l_orderkey % 5 = 0 THEN NULL
+        WHEN l_orderkey % 5 = 1 THEN 0D ELSE 1D END""",
+    "listing_date": "o_orderdate",
+    "collection_date": "l_shipdate",
+    "new_customer": "IF(c_acctbal < 1000, 1D, 0D)",
+    "stats_month": "DATE_FORMAT(l_shipdate, 'yyyy-MM')",
+}
 
+# The tables' schemas, stated so that no job has to look them up.
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+}
 
-def _expressions() -> dict[str, Column]:
-    c = F.col
-    order, nation = c("l_orderkey"), c("n_nationkey")
-    spike = F.when(order % 250 == 7, 8.0).otherwise(1.0)
-    paid = F.lit(1.0) - F.lit(5.0) * c("l_discount")
-    part_mix = c("l_partkey") + order
-    approval = (
-        F.when(c("l_suppkey") % 3 == 2, part_mix % 8)
-        .when(c("l_suppkey") % 3 == 1, part_mix % 24)
-        .otherwise(9)
-    )
-    return {
-        "platform": c("o_orderpriority"),
-        "city": c("n_name"),
-        "district": c("d_name"),
-        "store_type": c("c_mktsegment"),
-        "institution": F.when((nation % 5 == 0) & (order % 5 < 3), "Supplier#HUB")
-        .when((nation % 5 == 1) & (order % 20 < 9), "Supplier#MID")
-        .otherwise(c("s_name")),
-        "category": c("p_type"),
-        "subcategory": c("p_brand"),
-        "spec": c("p_size").cast("string"),
-        "project_name": F.concat("p_name", F.lit(" "), "p_brand"),
-        "list_price": c("l_extendedprice") * spike,
-        "actual_price": c("l_extendedprice") * spike * paid,
-        "discount_rate": paid,
-        "monthly_sales": c("l_quantity"),
-        "review_count": c("l_quantity") * (1 + (order + c("l_linenumber")) % 4),
-        "rating": 3.6 + (order * 7 + c("l_linenumber") * 3) % 15 / 10.0,
-        "doctor_name": c("c_name"),
-        "doctor_title": F.concat(F.lit("T"), (c("c_custkey") % 4).cast("string")),
-        "payment_method": c("l_returnflag"),
-        "installment": F.when(c("l_linestatus") == "F", 1.0).otherwise(0.0),
-        "channel": c("r_name"),
-        "activity_tag": c("o_orderstatus"),
-        "approval_no": F.when(approval == 0, None)
-        .when(approval == 1, "")
-        .when(approval == 2, UNKNOWN)
-        .when(approval == 3, "FDA-1")
-        .otherwise(F.concat(F.lit("国械注准"), c("l_partkey").cast("string"))),
-        "device_brand": c("p_brand"),
-        "device_model": F.concat("p_brand", F.lit("-"), c("p_size").cast("string")),
-        "udi_match": F.when(c("l_suppkey") % 3 == 0, 1.0)
-        .when(order % 5 == 0, None)
-        .when(order % 5 == 1, 0.0)
-        .otherwise(1.0),
-        "listing_date": c("o_orderdate"),
-        "collection_date": c("l_shipdate"),
-        "new_customer": F.when(c("c_acctbal") < 1000, 1.0).otherwise(0.0),
-        "stats_month": F.date_format("l_shipdate", "yyyy-MM"),
-    }
+LISTING_COLUMNS = [*RAW_COLUMNS, "stats_month"]
 
 
 def load_sales(
@@ -103,7 +104,7 @@ def load_sales(
     needed = set().union(*(_TABLES.get(c, set()) for c in wanted)) if trusted_keys else _ALL_TABLES
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     out = table("lineitem")
     if "orders" in needed:
@@ -124,19 +125,16 @@ def load_sales(
     if "supplier" in needed:
         supplier = table("supplier")
         if "district" in needed:
-            district = table("nation").select(
-                F.col("n_nationkey").alias("d_nationkey"), F.col("n_name").alias("d_name")
-            )
+            district = table("nation").selectExpr("n_nationkey AS d_nationkey", "n_name AS d_name")
             supplier = supplier.join(district, supplier.s_nationkey == district.d_nationkey)
         out = out.join(supplier, out.l_suppkey == supplier.s_suppkey)
-    made = _expressions()
-    return out.select([made[c].alias(c) for c in wanted])
+    return out.selectExpr([f"{_EXPRESSIONS[c]} AS {c}" for c in wanted])
 
 
 def rule_segment(df: DataFrame) -> DataFrame:
     """Add ``cluster`` from two thresholds, a stand-in for a fitted model."""
-    rule = F.when(F.col("list_price") >= 60000, 1).when(F.col("monthly_sales") >= 25, 2).otherwise(0)
-    return df.withColumn("cluster", rule)
+    rule = "CASE WHEN list_price >= 60000 THEN 1 WHEN monthly_sales >= 25 THEN 2 ELSE 0 END"
+    return df.withColumn("cluster", F.expr(rule))
 
 
 def load_segmented(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

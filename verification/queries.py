@@ -50,6 +50,16 @@ def _on_segments(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Q
     return lambda spark, sf: rounded(operator(load_segmented(spark, sf, *columns)))
 
 
+def _on_risk(operator: Callable[..., DataFrame], *columns: str) -> Query:
+    """The price baseline needs line items only, not the joins of the listing."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        baseline = compliance.price_baseline(load_sales(spark, sf, "actual_price"))
+        return rounded(operator(load_sales(spark, sf, *columns), baseline=baseline))
+
+    return run
+
+
 def _on_dirty(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     return lambda spark, sf: rounded(operator(load_dirty(spark, sf, *columns)))
 
@@ -166,7 +176,7 @@ def _assign_nearest(df: DataFrame) -> DataFrame:
         [(row[f] - m) / s for f, m, s in zip(FEATURE_COLUMNS, scaling.mean, scaling.std)]
         for row in means
     ]
-    return segment.assign_nearest_center(df, centers, scaling.columns())
+    return segment.assign_nearest_center(df, centers, scaling)
 
 
 def _kmeans_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,7 +313,7 @@ def build() -> dict[str, Query]:
         "pareto_points": _on_sales(structure.pareto_points, "project_name", sales),
     }
     compliance_columns = ("udi_match", "approval_no", rating, price, sales)
-    known["compliance_metrics"] = _on_sales(compliance.compliance_metrics, *compliance_columns)
+    known["compliance_metrics"] = _on_risk(compliance.compliance_metrics, *compliance_columns)
     for operator, key in [
         (compliance.institution_risk, "institution"),
         (compliance.institution_risk_top, "institution"),
@@ -312,7 +322,7 @@ def build() -> dict[str, Query]:
         (compliance.category_risk, "category"),
         (compliance.city_risk, "city"),
     ]:
-        known[operator.__name__] = _on_sales(operator, key, *compliance_columns)
+        known[operator.__name__] = _on_risk(operator, key, *compliance_columns)
     for name, section in trend.SECTIONS.items():
         columns = trend.inputs(section) or [sales]
         load = _on_segments if "cluster" in section.keys else _on_sales

@@ -12,7 +12,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import no_nan
@@ -74,17 +74,21 @@ class _Bracket:
 def _quantiles_by_narrowing(
     df: DataFrame, c: str, probabilities: Sequence[float], limit: int
 ) -> list[float | None]:
-    rows = df.agg(F.count(c)).first()[0]
+    near = [bound for p in probabilities for bound in _around(p)]
+    rows, sketched = df.agg(F.count(c), F.percentile_approx(c, near, F.lit(_ACCURACY))).first()
     if not rows:
         return [None] * len(probabilities)
+    brackets: dict[int, _Bracket] = {}
+    proposals = {}
     places = [p * (rows - 1) for p in probabilities]
-    ranks = sorted({r for place in places for r in (math.floor(place), math.ceil(place))})
-    brackets = {r: _Bracket(rank=r, below=0, inside=rows) for r in ranks}
+    for i, place in enumerate(places):
+        for rank in (math.floor(place), math.ceil(place)):
+            brackets[rank] = _Bracket(rank=rank, below=0, inside=rows)
+            proposals[rank] = (sketched[2 * i], sketched[2 * i + 1])
+    _confirm(df, c, list(brackets.values()), [proposals[rank] for rank in brackets])
     while wide := [b for b in brackets.values() if b.value is None and b.inside > limit]:
-        _narrow(df, c, wide)
-    for b in brackets.values():
-        if b.value is None:
-            b.value = _row_at(df.where(b.holds(c)), c, b.rank - b.below)
+        _confirm(df, c, wide, _propose(df, c, wide))
+    _read_out(df, c, [b for b in brackets.values() if b.value is None])
 
     def interpolate(place: float) -> float:
         low, high = math.floor(place), math.ceil(place)
@@ -95,16 +99,24 @@ def _quantiles_by_narrowing(
     return [interpolate(place) for place in places]
 
 
-def _narrow(df: DataFrame, c: str, brackets: list[_Bracket]) -> None:
-    """One round: a sketch proposes inner bounds, exact counts place the row."""
-    proposals = []
+def _around(share: float) -> list[float]:
+    return [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
+
+
+def _propose(df: DataFrame, c: str, brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    """Bounds close around the wanted row of each bracket, from a sketch of its rows."""
+    sketches = []
     for b in brackets:
-        share = (b.rank - b.below) / max(b.inside - 1, 1)
-        near = [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
-        proposals.append(
-            F.percentile_approx(F.when(b.holds(c), F.col(c)), near, F.lit(_ACCURACY))
-        )
-    bounds = [tuple(p) for p in df.agg(*proposals).first()]
+        near = _around((b.rank - b.below) / max(b.inside - 1, 1))
+        rows = F.when(b.holds(c), F.col(c))
+        sketches.append(F.percentile_approx(rows, near, F.lit(_ACCURACY)))
+    return [tuple(bounds) for bounds in df.agg(*sketches).first()]
+
+
+def _confirm(
+    df: DataFrame, c: str, brackets: list[_Bracket], bounds: list[tuple[float, float]]
+) -> None:
+    """Count exactly where the proposed bounds lie, and shrink each bracket to match."""
     counts = df.agg(
         *[
             F.count_if(test)
@@ -127,8 +139,13 @@ def _narrow(df: DataFrame, c: str, brackets: list[_Bracket]) -> None:
             b.low, b.high, b.below, b.inside = low, high, le_low, lt_high - le_low
 
 
-def _row_at(few: DataFrame, c: str, offset: int) -> float:
-    """The value at ``offset`` in order; ``few`` is known to be small."""
-    upto = F.sum("count").over(Window.orderBy(c))
-    counted = few.groupBy(c).count().withColumn("_upto", upto)
-    return counted.where(F.col("_upto") > offset).agg(F.min(c)).first()[0]
+def _read_out(df: DataFrame, c: str, brackets: list[_Bracket]) -> None:
+    """Look the wanted rows up; what a bracket still holds is known to be few."""
+    if not brackets:
+        return
+    values = [
+        F.element_at(F.sort_array(F.collect_list(F.when(b.holds(c), F.col(c)))), b.rank - b.below + 1)
+        for b in brackets
+    ]
+    for b, value in zip(brackets, df.agg(*values).first(), strict=True):
+        b.value = value

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,15 +71,19 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def fill_median(
-    df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS, distinct_limit: int = DISTINCT_LIMIT
+    df: DataFrame,
+    columns: Sequence[str] = NUMERIC_COLUMNS,
+    distinct_limit: int = DISTINCT_LIMIT,
+    sizes: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Replace missing numbers by the exact median of their column.
 
-    A column without any value is left alone.
+    A column without any value is left alone.  ``sizes`` are the distinct
+    counts of the columns, where they are known already.
     """
     present = _present(df, columns)
     tidy = df.withColumns({c: no_nan(c) for c in present})
-    found = exact_quantiles(tidy, {c: [0.5] for c in present}, distinct_limit)
+    found = exact_quantiles(tidy, {c: [0.5] for c in present}, distinct_limit, sizes)
     medians = {c: q[0] for c, q in found.items() if q[0] is not None}
     return tidy.fillna(medians) if medians else tidy
 
@@ -98,6 +102,7 @@ def remove_outliers_iqr(
     factor: float = 1.5,
     sequential: bool = True,
     distinct_limit: int = DISTINCT_LIMIT,
+    sizes: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Keep rows within ``factor`` interquartile ranges of the quartiles.
 
@@ -107,7 +112,7 @@ def remove_outliers_iqr(
     removes nothing.
     """
     present = _present(df, columns)
-    sizes = distinct_sizes(df, present)
+    sizes = distinct_sizes(df, present) if sizes is None else sizes
     kept = df
 
     def fence(frame: DataFrame, names: list[str]) -> Column | None:
@@ -189,9 +194,11 @@ def clean(
     # Medians and quartiles each read the rows again; the shuffle behind the
     # deduplication should run once, and each reading take its column only.
     unique, _ = settle(drop_duplicate_rows(typed))
-    filled = fill_unknown(fill_median(unique, distinct_limit=distinct_limit))
+    # Filling and filtering add no distinct value but the median itself.
+    sizes = distinct_sizes(unique, _present(unique, NUMERIC_COLUMNS))
+    filled = fill_unknown(fill_median(unique, distinct_limit=distinct_limit, sizes=sizes))
     if remove_outliers:
-        filled = remove_outliers_iqr(filled, distinct_limit=distinct_limit)
+        filled = remove_outliers_iqr(filled, distinct_limit=distinct_limit, sizes=sizes)
     return split_single_month(filled) if split_month else filled
 
 

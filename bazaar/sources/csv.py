@@ -59,6 +59,9 @@ def scan_csv(
         .csv(uri)
     )
     raw = F.col(_RAW_LINE)
-    kept = rows.where(raw.isNull() | (_field_count(raw) <= len(names)))
+    # Spark refuses to read raw lines alone; the last test, never true, keeps
+    # a field beside them in every plan.
+    never = F.length(F.col(f"`{names[0]}`")) < 0
+    kept = rows.where(raw.isNull() | (_field_count(raw) <= len(names)) | never)
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     return kept.select([F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in names])

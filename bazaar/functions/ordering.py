@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bazaar.session import settle
 
 # Rows one task may order by itself; a sort of this many spills at worst.
-ONE_TASK_ROWS = 200_000
+ONE_TASK_ROWS = 1_000_000
 
 _SLICE = "_slice"
 
@@ -28,6 +28,7 @@ def ordered_prefix(
     within: Sequence[str] = (),
     rank_by: str | None = None,
     one_task_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Number the rows of ``df`` along ``order``.
 
@@ -39,11 +40,15 @@ def ordered_prefix(
     whose value comes strictly earlier.
 
     ``order`` must be a total order; rows it cannot tell apart share a slice.
+    ``rows`` is the size of ``df`` where that is known; else it is stored once
+    to be counted.
     """
     sums = dict(running or {})
     groups = list(within)
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    stored, rows = settle(df, *groups)
+    stored = df
+    if rows is None:
+        stored, rows = settle(df, *groups)
     if rows <= limit:
         everything = Window.partitionBy(*groups)
         totals = {f"{name}_total": F.sum(c).over(everything) for name, c in sums.items()}

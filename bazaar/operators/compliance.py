@@ -87,6 +87,7 @@ def institution_risk(
     min_rows: int = 5,
     roles: Roles = DEFAULT_ROLES,
     baseline: DataFrame | None = None,
+    one_task_rows: int | None = None,
 ) -> DataFrame:
     """Institutions with enough listings, scored, graded and ranked.
 
@@ -97,6 +98,7 @@ def institution_risk(
         _scored(df, min_rows, roles, baseline),
         [F.desc_nulls_last("risk_score"), F.asc("institution")],
         rank_by="risk_score",
+        one_task_rows=one_task_rows,
     )
     return ranked.select(
         "institution", "project_count", "total_sales", *WEIGHTS, "avg_rating", "avg_actual_price",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaar.functions import ordering
 from bazaar.functions.numeric import all_present, pearson
-from bazaar.functions.ordering import ordered_prefix
 from bazaar.schema import DEFAULT_ROLES, FEATURE_COLUMNS, Roles
 
 
@@ -49,19 +49,28 @@ def pearson_matrix(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) ->
     return _long_matrix(one_row, present, values)
 
 
-def feature_ranks(df: DataFrame, features: Sequence[str], ties: str = "min") -> DataFrame:
+def feature_ranks(
+    df: DataFrame, features: Sequence[str], ties: str = "min", one_task_rows: int | None = None
+) -> DataFrame:
     """The rank of every row's value in each feature, as ``rank_<feature>``.
 
-    Equal values are collapsed to counts before anything is ordered, so a
+    Few enough rows, by count, are ranked by plain windows in one task.  Beyond
+    that, equal values are collapsed to counts before anything is ordered, so a
     value held by a large part of all rows costs no more than a rare one.  The
     ranks are joined back by value; Spark broadcasts those of a feature with
     few values, and splits the reads of a frequent value otherwise.
     """
     if ties not in ("min", "average"):
         raise ValueError("ties must be 'min' or 'average'")
+    rows = df.count()
+    if rows <= (ordering.ONE_TASK_ROWS if one_task_rows is None else one_task_rows):
+        return _ranks_in_one_task(df, features, ties)
     values = df.unpivot([], list(features), "feature", "value")
     counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    upto = ordered_prefix(counts, [F.asc("value")], {"upto": "n"}, within=["feature"])
+    upto = ordering.ordered_prefix(
+        counts, [F.asc("value")], {"upto": "n"}, within=["feature"],
+        one_task_rows=0, rows=rows,
+    )
     first = F.col("upto") - F.col("n") + 1
     rank = first if ties == "min" else first + (F.col("n") - 1) / 2
     ranks = upto.select("feature", "value", rank.alias("rank"))
@@ -74,8 +83,20 @@ def feature_ranks(df: DataFrame, features: Sequence[str], ties: str = "min") ->
     return out
 
 
+def _ranks_in_one_task(df: DataFrame, features: Sequence[str], ties: str) -> DataFrame:
+    def rank(f: str) -> Column:
+        first = F.rank().over(Window.orderBy(f)).cast("double")
+        equal = F.count(F.lit(1)).over(Window.partitionBy(f))
+        return first if ties == "min" else first + (equal - 1) / 2
+
+    return df.withColumns({f"rank_{f}": rank(f) for f in features})
+
+
 def spearman_matrix(
-    df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS, ties: str = "min"
+    df: DataFrame,
+    features: Sequence[str] = FEATURE_COLUMNS,
+    ties: str = "min",
+    one_task_rows: int | None = None,
 ) -> DataFrame:
     """Pearson correlation of ranks over rows that have all features.
 
@@ -83,7 +104,8 @@ def spearman_matrix(
     mean of their ranks.
     """
     present = [f for f in features if f in df.columns]
-    ranked = feature_ranks(df.select(*present).where(all_present(present)), present, ties)
+    complete = df.select(*present).where(all_present(present))
+    ranked = feature_ranks(complete, present, ties, one_task_rows)
     rank = {f: _quoted(f"rank_{f}") for f in present}
     pairs = list(combinations(present, 2))
     # No rank is missing, so one spread per feature serves all its pairs.

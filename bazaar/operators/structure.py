@@ -110,12 +110,13 @@ def hhi_by_category(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     )
 
 
-def _pareto(df: DataFrame, roles: Roles) -> DataFrame:
+def _pareto(df: DataFrame, roles: Roles, one_task_rows: int | None = None) -> DataFrame:
     projects = _sales_by(df, "project_name", roles=roles, total="total_sales")
     placed = ordered_prefix(
         projects,
         [F.desc_nulls_last("total_sales"), F.asc("project_name")],
         running={"cum_sales": "total_sales"},
+        one_task_rows=one_task_rows,
     )
     return placed.select(
         "project_name",
@@ -128,9 +129,11 @@ def _pareto(df: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def pareto_projects(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+def pareto_projects(
+    df: DataFrame, roles: Roles = DEFAULT_ROLES, one_task_rows: int | None = None
+) -> DataFrame:
     """Projects by falling sales with running sales and shares."""
-    return _pareto(df, roles).drop("rows_total").orderBy("rn")
+    return _pareto(df, roles, one_task_rows).drop("rows_total").orderBy("rn")
 
 
 def _breakpoints(pareto: DataFrame, thresholds: Sequence[float]) -> DataFrame:

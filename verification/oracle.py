@@ -550,4 +550,8 @@ def _preparation() -> dict[str, str]:
 
 
 def build() -> dict[str, str]:
-    return {**{n: _trend(n) for n in _TREND}, **_themes(), **_analysis(), **_preparation()}
+    known = {**{n: _trend(n) for n in _TREND}, **_themes(), **_analysis(), **_preparation()}
+    for name in ("spearman_matrix", "pareto_projects", "institution_risk"):
+        known[f"{name}_sliced"] = known[name]
+    known["remove_outliers_iqr_narrowed"] = known["remove_outliers_iqr"]
+    return known

@@ -278,6 +278,16 @@ def build() -> dict[str, Query]:
         "spearman_matrix_average": _on_sales(
             lambda df: stats.spearman_matrix(df, ties="average"), *FEATURE_COLUMNS
         ),
+        # The ways taken beyond one task's size, on tables of any size.
+        "spearman_matrix_sliced": _on_sales(
+            lambda df: stats.spearman_matrix(df, one_task_rows=0), *FEATURE_COLUMNS
+        ),
+        "pareto_projects_sliced": _on_sales(
+            lambda df: structure.pareto_projects(df, one_task_rows=0), "project_name", sales
+        ),
+        "remove_outliers_iqr_narrowed": _on_dirty(
+            lambda df: clean.remove_outliers_iqr(_numeric(df), distinct_limit=20), *_NUMBERS
+        ),
         "price_elasticity": _on_sales(stats.price_elasticity, "category", price, sales),
         "rating_sales_corr_by_city": _on_sales(stats.rating_sales_corr_by_city, "city", rating, sales),
         "rating_sales_corr_by_category": _on_sales(
@@ -323,6 +333,10 @@ def build() -> dict[str, Query]:
         (compliance.city_risk, "city"),
     ]:
         known[operator.__name__] = _on_risk(operator, key, *compliance_columns)
+    known["institution_risk_sliced"] = _on_risk(
+        lambda df, baseline: compliance.institution_risk(df, baseline=baseline, one_task_rows=0),
+        "institution", *compliance_columns,
+    )
     for name, section in trend.SECTIONS.items():
         columns = trend.inputs(section) or [sales]
         load = _on_segments if "cluster" in section.keys else _on_sales

@@ -124,11 +124,12 @@ def institution_risk_bottom(
     baseline: DataFrame | None = None,
 ) -> DataFrame:
     """The last ``n`` institutions; none at all if there are fewer than ``n``."""
-    last = (
-        institution_risk(df, min_rows, roles, baseline)
-        .orderBy(F.desc("risk_rank"), F.desc("institution"))
-        .limit(n)
-    )
+    return bottom_of(institution_risk(df, min_rows, roles, baseline), n)
+
+
+def bottom_of(risk: DataFrame, n: int = 10) -> DataFrame:
+    """The last institutions, from a ranking that is there already."""
+    last = risk.orderBy(F.desc("risk_rank"), F.desc("institution")).limit(n)
     return (
         last.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy()))
         .where(F.col("_rows") >= n)
@@ -144,9 +145,12 @@ def institution_risk_distribution(
     baseline: DataFrame | None = None,
 ) -> DataFrame:
     """Institutions per risk level, with the number of all of them."""
-    levels = _scored(df, min_rows, roles, baseline).groupBy("risk_level").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    return distribution_of(_scored(df, min_rows, roles, baseline))
+
+
+def distribution_of(risk: DataFrame) -> DataFrame:
+    """Institutions per level, from scores that are there already."""
+    levels = risk.groupBy("risk_level").agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy()).alias("institution_count_total")
     return levels.select("risk_level", "count", total).orderBy("risk_level")
 

@@ -136,7 +136,8 @@ def pareto_projects(
     return _pareto(df, roles, one_task_rows).drop("rows_total").orderBy("rn")
 
 
-def _breakpoints(pareto: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+def breakpoints_of(pareto: DataFrame, thresholds: Sequence[float] = BREAKPOINTS) -> DataFrame:
+    """Break points read off a curve that is there already."""
     reached = F.filter(
         F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("cum_share") >= t
     )
@@ -151,11 +152,12 @@ def pareto_breakpoints(
     df: DataFrame, thresholds: Sequence[float] = BREAKPOINTS, roles: Roles = DEFAULT_ROLES
 ) -> DataFrame:
     """The first project at which the running share reaches each threshold."""
-    return _breakpoints(_pareto(df, roles), thresholds).orderBy("cum_share_threshold")
+    return breakpoints_of(_pareto(df, roles), thresholds).orderBy("cum_share_threshold")
 
 
-def _sample(pareto: DataFrame, points: int) -> DataFrame:
-    step = F.greatest(F.lit(1), F.floor(F.col("rows_total") / points))
+def sample_of(pareto: DataFrame, rows: Column, points: int = 500) -> DataFrame:
+    """Every so-many-th of the ``rows`` of a curve that is there already."""
+    step = F.greatest(F.lit(1), F.floor(rows / points))
     return pareto.where((F.col("rn") - 1) % step == 0)
 
 
@@ -163,7 +165,7 @@ def pareto_sample(
     df: DataFrame, points: int = 500, roles: Roles = DEFAULT_ROLES
 ) -> DataFrame:
     """Every so-many-th row of the curve, enough for a chart."""
-    return _sample(_pareto(df, roles), points).drop("rows_total").orderBy("rn")
+    return sample_of(_pareto(df, roles), F.col("rows_total"), points).drop("rows_total").orderBy("rn")
 
 
 def pareto_points(df: DataFrame, points: int = 500, roles: Roles = DEFAULT_ROLES) -> DataFrame:
@@ -173,11 +175,11 @@ def pareto_points(df: DataFrame, points: int = 500, roles: Roles = DEFAULT_ROLES
     def percent(c: str) -> Column:
         return F.round(F.col(c) * 100, 2)
 
-    line = _sample(curve, points).select(
+    line = sample_of(curve, F.col("rows_total"), points).select(
         F.lit("point").alias("kind"), "rn",
         percent("project_share").alias("project_pct"), percent("cum_share").alias("cum_pct"),
     )
-    marks = _breakpoints(curve, BREAKPOINTS).select(
+    marks = breakpoints_of(curve).select(
         F.lit("mark").alias("kind"), "rn", percent("project_share").alias("project_pct"),
         percent("cum_share_threshold").alias("cum_pct"),
     )
@@ -275,8 +277,14 @@ def city_similarity_top(df: DataFrame, n: int = 5, roles: Roles = DEFAULT_ROLES)
         .groupBy("a", "b")
         .applyInPandas(_compare_blocks(n), "city_a string, city_b string, similarity double")
     )
+    return closest_of(candidates, n)
+
+
+def closest_of(pairs: DataFrame, n: int = 5) -> DataFrame:
+    """The closest others of each city, from pairs that are there already."""
     closest = Window.partitionBy("city_a").orderBy(F.desc("similarity"), "city_b")
-    best = candidates.withColumn("rn", F.row_number().over(closest)).where(F.col("rn") <= n)
+    others = pairs.where(F.col("city_a") != F.col("city_b"))
+    best = others.withColumn("rn", F.row_number().over(closest)).where(F.col("rn") <= n)
     entry = F.struct("rn", F.col("city_b").alias("city"), "similarity")
     return (
         best.groupBy(F.col("city_a").alias("city"))

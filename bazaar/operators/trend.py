@@ -182,8 +182,10 @@ def trend_report(
 ) -> DataFrame:
     """All sections from one scan, one row per section and group, uncut.
 
-    The key sets go into one grouping-sets aggregate.  ``key_1`` and ``key_2``
-    hold a section's keys in order; measures a section does not list are null.
+    Each row is copied once per set of keys, as (set, key_1, key_2), and all
+    sets are grouped together; copies meet again before the shuffle, so what is
+    shuffled is the size of the report.  ``key_1`` and ``key_2`` hold a
+    section's keys in order; measures a section does not list are null.
     """
     names = list(names or available_sections(df, roles))
     key_sets = list(dict.fromkeys(SECTIONS[n].keys for n in names))
@@ -192,39 +194,30 @@ def trend_report(
 
     read = roles.of(*dict.fromkeys(_MEASURES[m][1] for m in measures))
     rows = df.select(
-        *[_key(k, roles).alias(f"_key_{k}") for k in keys], *[F.col(c) for c in read]
+        *[_key(k, roles).cast("string").alias(f"_key_{k}") for k in keys], *[F.col(c) for c in read]
     )
-    grouped = rows.groupingSets(
-        [[f"_key_{k}" for k in s] for s in key_sets], *[f"_key_{k}" for k in keys]
-    ).agg(
-        F.count(F.lit(1)).alias("row_cnt"),
-        *[measure(m, roles) for m in measures],
-        F.grouping_id(*[f"_key_{k}" for k in keys]).alias("_set"),
+    copies = [
+        ", ".join([str(i), *[f"_key_{k}" for k in s], *["CAST(NULL AS STRING)"] * (2 - len(s))])
+        for i, s in enumerate(key_sets)
+    ]
+    grouped = (
+        rows.selectExpr(
+            *[f"`{c}`" for c in read],
+            f"stack({len(copies)}, {', '.join(copies)}) AS (_set, key_1, key_2)",
+        )
+        .groupBy("_set", "key_1", "key_2")
+        .agg(F.count(F.lit(1)).alias("row_cnt"), *[measure(m, roles) for m in measures])
     )
-    labelled = F.array(
-        *[
-            F.struct(
-                F.lit(_set_id(SECTIONS[n].keys, keys)).cast("long").alias("set"),
-                F.lit(n).alias("section"),
-                _key_text(SECTIONS[n].keys, 0).alias("key_1"),
-                _key_text(SECTIONS[n].keys, 1).alias("key_2"),
-                *[
-                    (F.col(m) if m in SECTIONS[n].measures else F.lit(None).cast("double")).alias(m)
-                    for m in measures
-                ],
-            )
-            for n in names
-        ]
-    )
-    return grouped.select(
-        "row_cnt", F.inline(F.filter(labelled, lambda s: s["set"] == F.col("_set")))
-    ).select("section", "key_1", "key_2", "row_cnt", *measures)
-
 
-def _set_id(present: Sequence[str], keys: Sequence[str]) -> int:
-    """``grouping_id``: a set bit per key that is not in the set, first key highest."""
-    return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in present)
+    def labelled(name: str) -> str:
+        listed = SECTIONS[name].measures
+        shown = [f"{m if m in listed else 'CAST(NULL AS DOUBLE)'} AS {m}" for m in measures]
+        return f"struct('{name}' AS section, {', '.join(shown)})"
 
-
-def _key_text(keys: Sequence[str], i: int) -> Column:
-    return F.col(f"_key_{keys[i]}").cast("string") if i < len(keys) else F.lit(None).cast("string")
+    sections = " ".join(
+        f"WHEN {i} THEN array({', '.join(labelled(n) for n in names if SECTIONS[n].keys == s)})"
+        for i, s in enumerate(key_sets)
+    )
+    return grouped.selectExpr(
+        "key_1", "key_2", "row_cnt", f"inline(CASE _set {sections} END)"
+    ).select("section", "key_1", "key_2", "row_cnt", *measures)

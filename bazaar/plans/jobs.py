@@ -7,7 +7,7 @@ columns of all rows in the executors costs more than reading those again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.operators import compliance, stats, structure
@@ -19,26 +19,30 @@ from bazaar.operators.segment import (
     cluster_centers,
     fit_segments,
 )
-from bazaar.operators.trend import trend_report, trend_section, available_sections, SECTIONS
+from bazaar.operators.trend import SECTIONS, available_sections, trend_report
 from bazaar.operators.warehouse import THEME_TABLES
-from bazaar.schema import DEFAULT_ROLES, Roles
+from bazaar.schema import DEFAULT_ROLES, FEATURE_COLUMNS, Roles
+from bazaar.session import settle
 from bazaar.sinks import emit_table, insights_manifest, sink_json_snapshot, sink_parquet
 from bazaar.sources.csv import detect_charset, scan_csv
 
+# Table -> operator over (listings, roles, price baseline).
 ADVANCED_TABLES = {
-    "stat_pearson": lambda df, roles: stats.pearson_matrix(df),
-    "stat_spearman": lambda df, roles: stats.spearman_matrix(df),
-    "stat_price_elasticity": lambda df, roles: stats.price_elasticity(df, roles),
-    "stat_rating_sales_by_city": lambda df, roles: stats.rating_sales_corr_by_city(df, roles),
-    "stat_rating_sales_by_category": lambda df, roles: stats.rating_sales_corr_by_category(df, roles),
-    "struct_hhi_overall": lambda df, roles: structure.hhi_overall(df, roles),
-    "struct_hhi_by_city": lambda df, roles: structure.hhi_by_city(df, roles),
-    "struct_hhi_by_category": lambda df, roles: structure.hhi_by_category(df, roles),
-    "struct_pareto_projects": lambda df, roles: structure.pareto_projects(df, roles),
-    "struct_city_similarity": lambda df, roles: structure.city_similarity(df, roles),
-    "comp_institution_risk": lambda df, roles: compliance.institution_risk(df, roles=roles),
-    "comp_category_risk": lambda df, roles: compliance.category_risk(df, roles),
-    "comp_city_risk": lambda df, roles: compliance.city_risk(df, roles),
+    "stat_pearson": lambda df, roles, _: stats.pearson_matrix(df, roles.of(*FEATURE_COLUMNS)),
+    "stat_spearman": lambda df, roles, _: stats.spearman_matrix(df, roles.of(*FEATURE_COLUMNS)),
+    "stat_price_elasticity": lambda df, roles, _: stats.price_elasticity(df, roles),
+    "stat_rating_sales_by_city": lambda df, roles, _: stats.rating_sales_corr_by_city(df, roles),
+    "stat_rating_sales_by_category": lambda df, roles, _: stats.rating_sales_corr_by_category(df, roles),
+    "struct_hhi_overall": lambda df, roles, _: structure.hhi_overall(df, roles),
+    "struct_hhi_by_city": lambda df, roles, _: structure.hhi_by_city(df, roles),
+    "struct_hhi_by_category": lambda df, roles, _: structure.hhi_by_category(df, roles),
+    "struct_pareto_projects": lambda df, roles, _: structure.pareto_projects(df, roles),
+    "struct_city_similarity": lambda df, roles, _: structure.city_similarity(df, roles),
+    "comp_institution_risk": lambda df, roles, base: compliance.institution_risk(
+        df, roles=roles, baseline=base
+    ),
+    "comp_category_risk": lambda df, roles, base: compliance.category_risk(df, roles, base),
+    "comp_city_risk": lambda df, roles, base: compliance.city_risk(df, roles, base),
 }
 
 
@@ -48,11 +52,12 @@ def clean_job(
 ) -> dict:
     """Raw CSV to a clean Parquet table; says how many rows went in and out."""
     charset = detect_charset(spark, csv_uri, encoding)
-    raw = scan_csv(spark, csv_uri, charset, multi_line)
-    before = raw.count()
+    seen = Observation()
+    # Cleaning reads the raw rows exactly once, and counts them on the way.
+    raw = scan_csv(spark, csv_uri, charset, multi_line).observe(seen, F.count(F.lit(1)).alias("rows"))
     after = sink_parquet(clean(raw, remove_outliers, split_month), out_uri)
     return {
-        "total_before": before, "total_after": after,
+        "total_before": seen.get["rows"], "total_after": after,
         "output_path": out_uri, "encoding_used": charset,
     }
 
@@ -112,14 +117,33 @@ def build_warehouse(
 def advanced_report(
     df: DataFrame, out_dir: str, roles: Roles = DEFAULT_ROLES
 ) -> DataFrame:
-    """Store the statistics, structure and compliance tables and a manifest."""
+    """Store the statistics, structure and compliance tables, snapshots and a manifest.
+
+    Snapshots are cut from the stored tables, not worked out again.
+    """
     spark = df.sparkSession
     typed = cast_numeric(cast_numeric(df), roles.of("udi_match"))
-    written = {}
+    baseline, _ = settle(compliance.price_baseline(typed, roles))
+    written, tables = {}, {}
     for name, operator in ADVANCED_TABLES.items():
         path = f"{out_dir}/advanced_tables/{name}.parquet"
-        table, rows = emit_table(operator(typed, roles), name, path)
+        tables[name], rows = emit_table(operator(typed, roles, baseline), name, path)
         written[name] = (path, rows)
+
+    pareto, risk = tables["struct_pareto_projects"], tables["comp_institution_risk"]
+    projects = F.lit(written["struct_pareto_projects"][1])
+    snapshots = {name: table for name, table in tables.items() if name not in ("struct_pareto_projects", "comp_institution_risk")}
+    snapshots |= {
+        "pareto_projects": structure.sample_of(pareto, projects).orderBy("rn"),
+        "pareto_breakpoints": structure.breakpoints_of(pareto).orderBy("cum_share_threshold"),
+        "city_similarity_top": structure.closest_of(tables["struct_city_similarity"]),
+        "price_baseline": baseline,
+        "institution_risk_top": risk.orderBy("risk_rank", "institution").limit(50),
+        "institution_risk_bottom": compliance.bottom_of(risk),
+        "institution_risk_distribution": compliance.distribution_of(risk),
+    }
+    for name, table in snapshots.items():
+        sink_json_snapshot(table, f"{out_dir}/advanced_insights/{name}")
     manifest = insights_manifest(spark, written)
     sink_json_snapshot(manifest, f"{out_dir}/advanced_insights/_manifest")
     return manifest

@@ -13,6 +13,9 @@ from bazaar.sources.star import load_dirty
 def test_run_all(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     sink_csv_export(load_dirty(spark, "/root/testdata/sf0.001"), raw)
+    facts = jobs.clean_job(spark, raw, str(tmp_path / "clean"))
+    doubled = spark.read.csv(raw, header=True).count()
+    assert facts["total_before"] == doubled > facts["total_after"] and facts["encoding_used"] == "UTF-8"
     manifest = jobs.run_all(spark, raw, out)
     tables = {r["table"]: r for r in manifest.collect()}
     assert set(tables) == {*THEME_TABLES, *jobs.ADVANCED_TABLES}
@@ -21,6 +24,12 @@ def test_run_all(spark, tmp_path):
     profile = tmp_path / "out" / "cluster_insights" / "cluster_profile"
     lines = [json.loads(x) for p in sorted(profile.glob("part-*")) for x in p.read_text().splitlines()]
     assert [r["cluster"] for r in lines] == [0, 1, 2]
+    insights = f"{out}/advanced_insights"
+    assert spark.read.json(f"{insights}/pareto_breakpoints").count() == 3
+    levels = spark.read.json(f"{insights}/institution_risk_distribution")
+    assert levels.agg({"count": "sum"}).first()[0] == tables["comp_institution_risk"]["rows"]
+    similar = spark.read.json(f"{insights}/city_similarity_top").selectExpr("size(top_similar) AS n")
+    assert {r["n"] for r in similar.collect()} == {5}
     months = spark.read.json(f"{out}/trend_stats/available_months")
     assert months.agg({"row_cnt": "sum"}).first()[0] == spark.read.parquet(f"{out}/clean_data.parquet").count()
 

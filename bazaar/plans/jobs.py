@@ -132,7 +132,8 @@ def advanced_report(
 
     pareto, risk = tables["struct_pareto_projects"], tables["comp_institution_risk"]
     projects = F.lit(written["struct_pareto_projects"][1])
-    snapshots = {name: table for name, table in tables.items() if name not in ("struct_pareto_projects", "comp_institution_risk")}
+    cut = ("struct_pareto_projects", "comp_institution_risk")
+    snapshots = {name: table for name, table in tables.items() if name not in cut}
     snapshots |= {
         "pareto_projects": structure.sample_of(pareto, projects).orderBy("rn"),
         "pareto_breakpoints": structure.breakpoints_of(pareto).orderBy("cum_share_threshold"),

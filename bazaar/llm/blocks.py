@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.shared import PIECE_BYTES, pack, pieces, squeeze, unpack, unsqueeze
+from bazaar.session import checkpoint_folder
 
 BLOCKS = "block string, n_bytes long, doc_ids array<long>, sizes binary, texts binary"
 ENTRIES = "kind int, bucket int, block string, keys binary, a binary, b binary"
@@ -50,8 +51,9 @@ def text_blocks(docs: DataFrame, block_bytes: int = PIECE_BYTES) -> DataFrame:
 def keep_bucketed(blocks: DataFrame, parts: int) -> DataFrame:
     """Store blocks as a table bucketed by block: joins to it shuffle the other side only."""
     name = f"text_blocks_{uuid.uuid4().hex}"
-    dealt = blocks.repartition(parts, "block")
-    dealt.write.bucketBy(parts, "block").option("compression", "uncompressed").saveAsTable(name)
+    path = f"{checkpoint_folder(blocks.sparkSession)}/{name}"
+    dealt = blocks.repartition(parts, "block").write.bucketBy(parts, "block")
+    dealt.option("compression", "uncompressed").option("path", path).saveAsTable(name)
     return blocks.sparkSession.table(name)
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.shared import PIECE_BYTES, pack, pieces, squeeze, unpack, unsqueeze
+from bazaar.llm.shared import PIECE_BYTES, pack, pieces, slices_for, squeeze, unpack, unsqueeze
 from bazaar.session import checkpoint_folder
 
 BLOCKS = "block string, n_bytes long, doc_ids array<long>, sizes binary, texts binary"
@@ -178,3 +178,24 @@ def bits_by_kind(answers: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
     for kind, bucket, bits in zip(*columns, strict=True):
         out.setdefault(kind, []).append((bucket, bits))
     return out
+
+
+def add_up(parts: DataFrame, fan_in: int = 64) -> dict[int, np.ndarray]:
+    """Sums of count tables (``part, name, counts``): one for each name, in levels of ``fan_in``.
+
+    Tables have a fixed size, so no task of any level holds more than ``fan_in`` of a name.
+    """
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(unpack(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table(
+            [table.column("part").slice(0, 1), table.column("name").slice(0, 1), pa.array([pack(total)], pa.binary())],
+            names=["part", "name", "counts"],
+        )
+
+    left = parts.rdd.getNumPartitions()
+    while left > 1:
+        fewer = parts.withColumn("part", F.floor(F.col("part") / fan_in))
+        parts = fewer.groupBy("part", "name").applyInArrow(add, parts.schema)
+        left = slices_for(left, fan_in)
+    return {r["name"]: unpack(bytes(r["counts"]), np.int64) for r in parts.collect()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import bpe, language, licenses, mixing, substring_dedup, suffix_dedup
+from bazaar.llm import bpe, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -48,7 +52,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build() -> dict[str, Query]:
-    known = [op2_byte_bpe, op3_suffix_dedup, op5_license_scans, op6_language_id, op7_mix_sources, op8_substring_dedup]
+    known = [op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op5_license_scans, op6_language_id, op7_mix_sources, op8_substring_dedup]
     return {q.__name__: q for q in known}
 
 

@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from bazaar.llm.blocks import (
-    ENTRIES, answer, bits_by_kind, entries, gather_bits, held_twice, text_blocks, total_bytes, unpack_block,
+    ENTRIES, add_up, answer, bits_by_kind, entries, gather_bits, held_twice, text_blocks, total_bytes,
+    unpack_block,
 )
-from bazaar.llm.shared import Words, mix, pack, prefix_sums, slices_for, store, unpack, window_hash
+from bazaar.llm.shared import Words, mix, pack, prefix_sums, slices_for, store, window_hash
 
 WINDOW = 35
 # Suffixes a group should have at most, unless its prefix is already a whole window.
@@ -90,21 +91,13 @@ def _count_prefixes(blocks: DataFrame, window: int, slots: int) -> dict[int, np.
                 suffixes = _Suffixes(unpack_block(sizes, texts), window)
                 for d in depths:
                     counts[d] += np.bincount(_slot(suffixes.prefix(d), slots), minlength=slots)
+        part = [TaskContext.get().partitionId()] * len(depths)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(depths, pa.int32()), pa.array([pack(counts[d]) for d in depths], pa.binary())],
-            names=["depth", "counts"],
+            [pa.array(part), pa.array(depths), pa.array([pack(counts[d]) for d in depths], pa.binary())],
+            names=["part", "name", "counts"],
         )
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack(c, np.int64) for c in table.column("counts").to_pylist())
-        return pa.table([table.column("depth")[:1], pa.array([pack(total)], pa.binary())], names=["depth", "counts"])
-
-    schema = "depth int, counts binary"
-    parts = blocks.select("sizes", "texts").mapInArrow(run, schema)
-    # Tables of a fixed size are added up in two steps, so that no task gets one from every other.
-    half = parts.groupBy("depth", (F.rand(1) * 16).cast("int")).applyInArrow(add, schema)
-    rows = half.groupBy("depth").applyInArrow(add, schema).collect()
-    return {r["depth"]: unpack(bytes(r["counts"]), np.int64) for r in rows}
+    return add_up(blocks.select("sizes", "texts").mapInArrow(run, "part long, name long, counts binary"))
 
 
 def remove_repeats(

@@ -77,8 +77,7 @@ class _Radix:
         if n < self.window:
             self.grams, self.at, self.least = np.zeros(0, dtype=np.uint64), empty, np.zeros(0, dtype=np.uint64)
         else:
-            # One sum more than window_hash looks at, for the gram at the very end.
-            self.grams = window_hash(np.append(self.sums, np.uint64(0)), gram)[: n - gram + 1]
+            self.grams = window_hash(self.sums, gram)
             least = _slide(self.grams, self.reach + 1, np.minimum)
             outside = np.zeros(n + 2, dtype=np.int32)
             np.add.at(outside, np.maximum(self.begins, self.ends - self.window + 1), 1)

@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from bazaar.llm.shared import encoded, pack, squeeze, store, unpack, unsqueeze
 
-# Where a block ends: distinct words, and pre-tokens, it holds.
+# Where a block ends: distinct words, and pre-tokens, it holds.  Its documents are
+# kept in runs of about so many pre-tokens.
 BLOCK_WORDS = 400_000
 BLOCK_TOKENS = 6_000_000
+RUN_TOKENS = 500_000
 
 
 @cache
@@ -120,26 +122,33 @@ class _Block:
         return len(self.numbers) >= BLOCK_WORDS or self.tokens >= BLOCK_TOKENS
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        codes = np.concatenate(self.codes)
-        often = np.argsort(-np.bincount(codes, minlength=len(self.numbers)), kind="stable")
+        """First the words by bucket, then the documents in runs.
+
+        The word at place p of bucket b has the number p * buckets + b: nothing
+        but the order of the words tells it, and frequent words have small ones.
+        """
+        often = np.argsort(-np.bincount(np.concatenate(self.codes), minlength=len(self.numbers)), kind="stable")
         number = np.empty(len(often), dtype=np.uint32)
-        number[often] = np.arange(len(often), dtype=np.uint32)
-        sizes = np.array([len(c) for c in self.codes], dtype=np.uint32)
-        yield self._row(-1, self.doc_ids, pack(sizes), pack(number[codes]), None)
         dealt: list[list[bytes]] = [[] for _ in range(self.buckets)]
-        numbers: list[list[int]] = [[] for _ in range(self.buckets)]
-        for word, n in zip(self.numbers, number.tolist(), strict=True):
-            data = word.encode()
-            bucket = zlib.crc32(data) % self.buckets
-            dealt[bucket].append(data)
-            numbers[bucket].append(n)
-        for bucket, words in enumerate(dealt):
-            if words:
-                sizes = pack(np.array([len(w) for w in words], dtype=np.uint32))
-                held = pack(np.array(numbers[bucket], dtype=np.uint32))
-                yield self._row(bucket, None, sizes, held, squeeze(b"".join(words)))
-
-    def _row(self, bucket: int, doc_ids, sizes: bytes, numbers: bytes, words: bytes | None):
+        words = [w.encode() for w in self.numbers]
+        for i in often.tolist():
+            bucket = zlib.crc32(words[i]) % self.buckets
+            number[i] = len(dealt[bucket]) * self.buckets + bucket
+            dealt[bucket].append(words[i])
+        for bucket, held in enumerate(dealt):
+            if held:
+                sizes = pack(np.array([len(w) for w in held], dtype=np.uint32))
+                yield self._row(bucket, None, sizes, None, squeeze(b"".join(held)))
+        begin = tokens = 0
+        for i, codes in enumerate(self.codes):
+            tokens += len(codes)
+            if tokens >= RUN_TOKENS or i == len(self.codes) - 1:
+                run = self.codes[begin : i + 1]
+                sizes = pack(np.array([len(c) for c in run], dtype=np.uint32))
+                yield self._row(-1, self.doc_ids[begin : i + 1], sizes, pack(number[np.concatenate(run)]), None)
+                begin, tokens = i + 1, 0
+
+    def _row(self, bucket: int, doc_ids, sizes: bytes, numbers: bytes | None, words: bytes | None):
         columns = [
             pa.array([self.name]), pa.array([bucket], pa.int32()),
             pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.binary()),
@@ -174,8 +183,8 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
     def encode(table: pa.Table) -> pa.Table:
         ranks, known = load_ranks(path), {}
         out: list[tuple] = []
-        for block, sizes, numbers, held in zip(
-            *[table.column(c).to_pylist() for c in ("block", "sizes", "numbers", "words")], strict=True
+        for block, bucket, sizes, held in zip(
+            *[table.column(c).to_pylist() for c in ("block", "bucket", "sizes", "words")], strict=True
         ):
             data, at, ids, lengths = unsqueeze(held), 0, [], []
             for size in unpack(sizes, np.uint32).tolist():
@@ -183,30 +192,30 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
                 at += size
                 found = known.get(word)
                 if found is None:
-                    known[word] = found = (encode_word if size < 64 else _encode_long)(word, ranks)
+                    known[word] = found = tuple((encode_word if size < 64 else _encode_long)(word, ranks))
                 ids += found
                 lengths.append(len(found))
-            out.append((block, numbers, pack(np.array(lengths, dtype=np.uint32)), pack(np.array(ids, dtype=np.uint32))))
+            out.append((block, bucket, pack(np.array(lengths, dtype=np.uint32)), pack(np.array(ids, dtype=np.uint32))))
         columns = list(zip(*out, strict=True))
-        names = ["block", "numbers", "lengths", "ids"]
-        types = [pa.string(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["block", "bucket", "lengths", "ids"]
+        types = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    picked = words.select("bucket", "block", "sizes", "numbers", "words")
+    picked = words.select("bucket", "block", "sizes", "words")
     return picked.groupBy("bucket").applyInArrow(
-        encode, "block string, numbers binary, lengths binary, ids binary"
+        encode, "block string, bucket int, lengths binary, ids binary"
     )
 
 
-def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
+def _reassemble(blocks: pa.Table, words: pa.Table, buckets: int) -> pa.Table:
     """Every position's word becomes its ids; a document's positions stay in order."""
-    numbers = [unpack(n, np.uint32) for n in words.column("numbers").to_pylist()]
-    lengths = [unpack(n, np.uint32) for n in words.column("lengths").to_pylist()]
-    ids = [unpack(n, np.uint32) for n in words.column("ids").to_pylist()]
-    empty = np.zeros(0, dtype=np.uint32)
-    number, length = np.concatenate([empty, *numbers]), np.concatenate([empty, *lengths]).astype(np.int64)
-    flat = np.concatenate([empty, *ids]).astype(np.int32)
-    size, begin = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
+    number, length, flat = ([np.zeros(0, dtype=t)] for t in (np.int64, np.int64, np.int32))
+    for bucket, lengths, ids in zip(*[words.column(c).to_pylist() for c in ("bucket", "lengths", "ids")], strict=True):
+        length.append(unpack(lengths, np.uint32).astype(np.int64))
+        number.append(np.arange(len(length[-1])) * buckets + bucket)
+        flat.append(unpack(ids, np.uint32).astype(np.int32))
+    number, length, flat = (np.concatenate(x) for x in (number, length, flat))
+    size, begin = (np.zeros(number.max(initial=-1) + 1, dtype=np.int64) for _ in range(2))
     size[number] = length
     begin[number] = np.cumsum(length) - length
     doc_ids, offsets, found, held = [], [np.zeros(1, dtype=np.int64)], [], 0
@@ -241,7 +250,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, buckets: int | None =
     ids = _encode_words(blocks.where(F.col("bucket") >= 0), vocabulary)
     held = blocks.where(F.col("bucket") < 0).select("block", "doc_ids", "sizes", "numbers")
     together = held.groupBy("block").cogroup(ids.groupBy("block"))
-    return together.applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    return together.applyInArrow(
+        lambda runs, words: _reassemble(runs, words, buckets), "doc_id long, ids array<int>"
+    )
 
 
 def decode_ids(ids: list[int], table: list[bytes]) -> bytes:

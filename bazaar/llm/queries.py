@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm import bpe, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup
+from bazaar.llm import (
+    bpe, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +36,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,8 +57,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def build() -> dict[str, Query]:
-    known = [op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op5_license_scans, op6_language_id, op7_mix_sources, op8_substring_dedup]
+    known = [op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op4_toxicity, op5_license_scans, op6_language_id, op7_mix_sources, op8_substring_dedup, op9_fingerprints]
     return {q.__name__: q for q in known}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm import (
-    bpe, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, toxicity,
+    ann, bpe, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,15 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def build() -> dict[str, Query]:
-    known = [op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op4_toxicity, op5_license_scans, op6_language_id, op7_mix_sources, op8_substring_dedup, op9_fingerprints]
+    known = [
+        op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op4_toxicity, op5_license_scans, op6_language_id,
+        op7_mix_sources, op8_substring_dedup, op9_fingerprints, op10_nearest_neighbours,
+    ]
     return {q.__name__: q for q in known}
 
 

@@ -10,7 +10,7 @@ a block one entry however often it holds it.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from bazaar.llm.shared import PIECE_BYTES, pack, pieces, slices_for, squeeze, unpack, unsqueeze
 from bazaar.session import checkpoint_folder
 
-BLOCKS = "block string, n_bytes long, doc_ids array<long>, sizes binary, texts binary"
+BLOCKS = "block string, n_bytes long, doc_ids array<long>, sizes binary, texts binary, carried binary"
 ENTRIES = "kind int, bucket int, block string, keys binary, a binary, b binary"
 ANSWERS = "kind int, bucket int, block string, bits binary"
 NO_ID = np.iinfo(np.int64).max
@@ -29,8 +29,13 @@ NO_ID = np.iinfo(np.int64).max
 _NAMES = {schema: [c.split()[0] for c in schema.split(", ")] for schema in (BLOCKS, ENTRIES, ANSWERS)}
 
 
-def text_blocks(docs: DataFrame, block_bytes: int = PIECE_BYTES) -> DataFrame:
-    """``docs`` as blocks of about ``block_bytes``; a longer document is a block of its own."""
+def text_blocks(
+    docs: DataFrame, block_bytes: int = PIECE_BYTES, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``docs`` as blocks of about ``block_bytes``; a longer document is a block of its own.
+
+    The columns to ``carry`` are packed with the block, to come out with its documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -41,11 +46,30 @@ def text_blocks(docs: DataFrame, block_bytes: int = PIECE_BYTES) -> DataFrame:
                     pa.array([f"{task}-{made}"]), pa.array([int(sizes.sum())], pa.int64()),
                     pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([pack(sizes)], pa.binary()), pa.array([squeeze(b"".join(texts))], pa.binary()),
+                    pa.array([_packed_rows(rows.select(list(carry))) if carry else None], pa.binary()),
                 ],
                 names=_NAMES[BLOCKS],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    return picked.mapInArrow(run, BLOCKS)
+
+
+def _packed_rows(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_batch(rows)
+    return squeeze(sink.getvalue().to_pybytes())
+
+
+def carried_columns(packed: bytes | None) -> list[pa.ChunkedArray]:
+    if packed is None:
+        return []
+    return pa.ipc.open_stream(unsqueeze(packed)).read_all().columns
+
+
+def carried_schema(docs: DataFrame, carry: Sequence[str]) -> str:
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
 
 def keep_bucketed(blocks: DataFrame, parts: int) -> DataFrame:

@@ -8,7 +8,7 @@ language whose sum has the largest cosine with its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaar.llm.blocks import carried_schema
 from bazaar.llm.shared import held_out, pieces
 
 DIMENSIONS = 512
@@ -163,9 +164,13 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def predict_languages(
-    docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = 11
+    docs: DataFrame,
+    profiles: dict[str, np.ndarray],
+    dimensions: int = DIMENSIONS,
+    seed: int = 11,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row of ``docs``.
+    """``doc_id, held_out, lang_pred, score`` and columns to ``carry`` for each row of ``docs``.
 
     ``score`` is the cosine of the text and its language, 0 at least.  A text
     without a letter, null or empty, is ``und`` with score 0, as is every text
@@ -189,17 +194,21 @@ def predict_languages(
                 [
                     rows.column("doc_id"), rows.column("held_out"),
                     pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                    *[rows.column(c) for c in carry],
                 ],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                names=["doc_id", "held_out", "lang_pred", "score", *carry],
             )
 
+    others = [c for c in carry if c != "text"]
     picked = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *others
     )
-    return picked.mapInArrow(predict, SCHEMA)
+    return picked.mapInArrow(predict, SCHEMA + carried_schema(docs, carry))
 
 
-def identify_languages(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 11) -> DataFrame:
+def identify_languages(
+    docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 11, carry: Sequence[str] = ()
+) -> DataFrame:
     """Learn from the documents that are not held out, then predict all of them."""
     profiles = learn_profiles(docs.where(~held_out()), dimensions, seed)
-    return predict_languages(docs, profiles, dimensions, seed)
+    return predict_languages(docs, profiles, dimensions, seed, carry)

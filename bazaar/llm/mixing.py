@@ -58,6 +58,7 @@ def mix_sources(
     max_repeats: int = MAX_REPEATS,
     seed: int = 7,
     rows_per_slice: int = ROWS_PER_SLICE,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """What a mix of the given weights takes of each document.
 
@@ -69,11 +70,12 @@ def mix_sources(
     Null sources are one source of their own; null and empty texts have size 0
     and are never taken, as are documents of a source without any word.  Rows
     that are alike in id and size may change places without changing the
-    result.  An empty table gives an empty result.
+    result.  An empty table gives an empty result.  Columns to ``carry``, small
+    ones under names the result does not have, come out with their rows.
     """
     spark = docs.sparkSession
     count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = store(docs.select("doc_id", "source", count.alias("size")), "mix-sizes")
+    sized = store(docs.select("doc_id", "source", count.alias("size"), *carry), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     sizes = totals.limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
@@ -88,7 +90,7 @@ def mix_sources(
         F.broadcast(table), sized["source"].eqNullSafe(table["source"])
     ).drop("source")
     queued = store(_queue(known, seed, slices_for(rows, rows_per_slice)), "mix-queue")
-    return _cut(queued, budget, max_repeats, slices_for(rows, rows_per_slice))
+    return _cut(queued, budget, max_repeats, slices_for(rows, rows_per_slice), carry)
 
 
 def _queue(known: DataFrame, seed: int, slices: int) -> DataFrame:
@@ -125,7 +127,9 @@ def _step(finish: Column, steps: int) -> Column:
     return F.when(finish < 1, F.floor(finish * steps)).otherwise(beyond).cast("long")
 
 
-def _cut(queued: DataFrame, budget: int, max_repeats: int, steps: int) -> DataFrame:
+def _cut(
+    queued: DataFrame, budget: int, max_repeats: int, steps: int, carry: Sequence[str]
+) -> DataFrame:
     """Take documents in order of finish time while they fit in the budget.
 
     Whole ranges of finish times are taken by their sums; only the range that
@@ -144,7 +148,7 @@ def _cut(queued: DataFrame, budget: int, max_repeats: int, steps: int) -> DataFr
     crossing = running.where(F.col("until") > budget).orderBy("step").first()
     last = crossing["step"] if crossing else None
     if last is None:
-        return _shown(queued, F.lit(max_repeats), F.lit(0))
+        return _shown(queued, F.lit(max_repeats), F.lit(0), carry)
     left = budget - (crossing["until"] - crossing["words"])
     in_range = Window.orderBy("finish", "source_no", "slice", "place").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -161,12 +165,13 @@ def _cut(queued: DataFrame, budget: int, max_repeats: int, steps: int) -> DataFr
         start=F.lit(0),
     )
     joined = queued.join(edge, ["source_no", "slice", "place"], "left")
-    return _shown(joined, before, F.coalesce(F.col("at_edge"), F.lit(0)))
+    return _shown(joined, before, F.coalesce(F.col("at_edge"), F.lit(0)), carry)
 
 
-def _shown(queued: DataFrame, whole: Column, at_edge: Column) -> DataFrame:
+def _shown(queued: DataFrame, whole: Column, at_edge: Column, carry: Sequence[str]) -> DataFrame:
     usable = (F.col("target") > 0) & (F.col("size") > 0)
     times = F.when(usable, whole + at_edge).otherwise(0)
     return queued.select(
-        "doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"),
+        *carry,
     )

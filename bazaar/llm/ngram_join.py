@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.llm.blocks import (
-    ENTRIES, add_up, answer, bits_by_kind, bucket_edges, entries, gather_bits, held_twice,
+    ENTRIES, NO_ID, add_up, answer, bits_by_kind, bucket_edges, entries, gather_bits, held_twice,
 )
 from bazaar.llm.components import components
 from bazaar.llm.shared import Words, mix, pack, pieces, prefix_sums, slices_for, span_hash, store, window_hash
@@ -332,15 +332,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(least.alias("a"), most.alias("b")).distinct()
 
 
-def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
-
-    ``n_shingles`` is the size of the document's set; a text of fewer words than
-    a shingle is one shingle.  ``component_id`` is the smallest ``doc_id`` that
-    links lead to, the document's own included.  A null or empty text, or one
-    of blanks, has no shingle and no link.  Copies, rows of the same id among
-    them, are linked; if no document of a component has an id, neither has it.
-    """
+def _linked(docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document with its node, and every node with its component's label."""
     join = _Join(docs, shingle, similarity)
     pairs = store(join.first_members(join.least_groups()), "join-pairs")
     links = store(join.verified(pairs), "join-links")
@@ -360,9 +353,48 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     found = store(join.verified(rest), "join-links")
     if not found.isEmpty():
         labelled = join.labelled(links.unionByName(found))
+    return join.rows, labelled
+
+
+def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+
+    ``n_shingles`` is the size of the document's set; a text of fewer words than
+    a shingle is one shingle.  ``component_id`` is the smallest ``doc_id`` that
+    links lead to, the document's own included.  A null or empty text, or one
+    of blanks, has no shingle and no link.  Copies, rows of the same id among
+    them, are linked; if no document of a component has an id, neither has it.
+    """
+    rows, labelled = _linked(docs, shingle, similarity)
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = labelled.join(least, "label").select("node", "component_id")
-    return join.rows.join(of_node, "node", "left").select(
+    return rows.join(of_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` without near duplicates: of linked documents the one with the smallest id stays.
+
+    Rows without an id stay if no linked document has one.  Of rows that share
+    id and shingles one stays.  Documents without a shingle all stay.
+    """
+    _, labelled = _linked(docs, shingle, similarity)
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    least = labelled.groupBy("label").agg(F.min(F.struct(order.alias("_order"), F.col("node").alias("_node"))).alias("m"))
+    firsts = least.select("m._order", "m._node", F.lit(True).alias("_first"))
+    added = ("_n", "_node", "_order")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in pieces(batches):
+            sets = shingle_sets(texts, shingle)
+            n, nodes = pa.array([len(v) for v in sets], pa.int64()), pa.array([_signature(v) for v in sets], pa.int64())
+            yield rows.append_column("_n", n).append_column("_node", nodes)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n long, _node long"
+    tagged = docs.mapInArrow(run, schema).withColumn("_order", order)
+    again = F.row_number().over(Window.partitionBy("_order", "_node").orderBy("_n"))
+    joined = tagged.join(firsts, ["_order", "_node"], "left").withColumn("_again", again)
+    stays = (F.col("_n") == 0) | (F.col("_first") & (F.col("_again") == 1))
+    return joined.where(stays).drop(*added, "_first", "_again")

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from bazaar.llm import (
     ann, bpe, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, toxicity,
 )
@@ -70,8 +71,8 @@ def build() -> dict[str, Query]:
         op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op4_toxicity, op5_license_scans, op6_language_id,
         op7_mix_sources, op8_substring_dedup, op9_fingerprints, op10_nearest_neighbours,
     ]
-    return {q.__name__: q for q in known}
+    return {q.__name__: q for q in known} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

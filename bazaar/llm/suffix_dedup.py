@@ -16,14 +16,14 @@ several documents hold.  What keeps it small:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from bazaar.llm.blocks import (
-    ENTRIES, answer, bits_by_kind, bucket_edges, differs, doc_order, entries, gather_bits, held_earlier,
+    ENTRIES, answer, bits_by_kind, bucket_edges, carried_columns, carried_schema, differs, doc_order, entries, gather_bits, held_earlier,
     held_twice, keep_bucketed, least_by_key, text_blocks, total_bytes, unpack_block,
 )
 from bazaar.llm.shared import mix, prefix_sums, slices_for, span_hash, store, window_hash
@@ -154,7 +154,7 @@ class _Radix:
         known |= self.open_doc > least[place]
         self.removed[self.open[known]] = True
 
-    def result(self) -> pa.Table:
+    def result(self, carried: bytes | None = None, carry: Sequence[str] = (), as_text: bool = False) -> pa.Table:
         n = len(self.bytes)
         starts = np.flatnonzero(self.removed[:n])
         cover = np.zeros(n + 1, dtype=np.int32)
@@ -167,18 +167,24 @@ class _Radix:
             edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])).astype(np.int8)))
             spans = [{"first": a, "last": b - 1} for a, b in edges.reshape(-1, 2).tolist()]
             kept = data[~mask].tobytes() if spans else data.tobytes()
-            docs.append((doc_id, e - s, e - s - len(kept), spans, kept))
+            shown = kept.decode("utf-8", "ignore") if as_text else kept
+            docs.append((doc_id, e - s, e - s - len(kept), spans, shown))
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        types = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), span, pa.string() if as_text else pa.binary()]
         columns = zip(*docs, strict=True)
         return pa.table(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-            names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)] + carried_columns(carried),
+            names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *carry],
         )
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    bucket_bytes: int = BUCKET_BYTES,
+    carry: Sequence[str] = (),
+    as_text: bool = False,
 ) -> DataFrame:
     """Remove every byte covered by a string of ``window`` bytes that a smaller document has too.
 
@@ -188,10 +194,11 @@ def remove_repeats(
     without an id comes last, rows of the same id remove nothing from each
     other.  Strings are judged on the input and never cross documents.  Null,
     empty and short texts keep all they have.  Strings are compared by 64-bit
-    hashes.
+    hashes.  With ``as_text`` what is kept is text, without the parts of characters
+    that were cut through; columns to ``carry`` come out with their rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = keep_bucketed(text_blocks(docs), parts)
+    kept = keep_bucketed(text_blocks(docs, carry=carry), parts)
     buckets = slices_for(total_bytes(kept), bucket_bytes)
 
     def radix(row: tuple) -> _Radix:
@@ -229,12 +236,12 @@ def remove_repeats(
 
     def last(block: pa.Table, bits: pa.Table) -> pa.Table:
         out, known = [], bits_by_kind(bits)
-        for row in rows(block):
+        for row, carried in zip(rows(block), block.column("carried").to_pylist(), strict=True):
             state = radix(row)
             state.keep_repeated(known.get(GRAMS, []))
             state.settle_contexts(known.get(CONTEXTS, []), known.get(MIXED, []))
             state.settle_windows(known.get(WINDOWS, []))
-            out.append(state.result())
+            out.append(state.result(carried, carry, as_text))
         return pa.concat_tables(out)
 
     def with_answers(answers: DataFrame, step, schema: str) -> DataFrame:
@@ -246,7 +253,8 @@ def remove_repeats(
     answers = answers.unionByName(store(answer(contexts, RULES), "radix-contexts"))
     windows = with_answers(answers, third, ENTRIES)
     answers = answers.unionByName(store(answer(windows, RULES), "radix-windows"))
-    return with_answers(answers, last, OUT)
+    shown = OUT.replace("kept binary", "kept string") if as_text else OUT
+    return with_answers(answers, last, shown + carried_schema(docs, carry))
 
 
 def _no_entries() -> pa.Table:

@@ -51,7 +51,8 @@ def text_blocks(
                 names=_NAMES[BLOCKS],
             )
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    others = [c for c in carry if c != "text"]
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
     return picked.mapInArrow(run, BLOCKS)
 
 

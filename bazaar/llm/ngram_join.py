@@ -120,7 +120,7 @@ def _profiles(docs: DataFrame, shingle: int, similarity: int, counts: np.ndarray
                 names=[c.split()[0] for c in PROFILES.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILES)
+    return docs.select(_order().alias("doc_id"), "text").mapInArrow(run, PROFILES)
 
 
 def _prefixes(sizes: list[int], data: bytes, similarity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +300,7 @@ class _Join:
 
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         needed = self.members.join(nodes, "node").select("doc_id", "node")
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        texts = self.docs.select(_order().alias("doc_id"), "text")
         of = texts.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
         found = of.mapInArrow(run, "doc_id long, node long, shingles binary")
         return found.join(needed, ["doc_id", "node"], "left_semi").select("node", "shingles")
@@ -327,6 +327,11 @@ class _Join:
         return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
 
 
+def _order() -> Column:
+    """Ids to tell and compare documents by; those without an id come last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     least, most = F.least("a", "b"), F.greatest("a", "b")
     return pairs.where("a <> b").select(least.alias("a"), most.alias("b")).distinct()
@@ -368,9 +373,14 @@ def link_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SI
     rows, labelled = _linked(docs, shingle, similarity)
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = labelled.join(least, "label").select("node", "component_id")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+
+    def shown(c: Column) -> Column:
+        return F.nullif(c, F.lit(NO_ID))
+
     return rows.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
+        shown(component).alias("component_id"),
     )
 
 
@@ -381,8 +391,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     id and shingles one stays.  Documents without a shingle all stay.
     """
     _, labelled = _linked(docs, shingle, similarity)
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    least = labelled.groupBy("label").agg(F.min(F.struct(order.alias("_order"), F.col("node").alias("_node"))).alias("m"))
+    first = F.min(F.struct(F.col("doc_id").alias("_order"), F.col("node").alias("_node")))
+    least = labelled.groupBy("label").agg(first.alias("m"))
     firsts = least.select("m._order", "m._node", F.lit(True).alias("_first"))
     added = ("_n", "_node", "_order")
 
@@ -393,7 +403,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
             yield rows.append_column("_n", n).append_column("_node", nodes)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n long, _node long"
-    tagged = docs.mapInArrow(run, schema).withColumn("_order", order)
+    tagged = docs.mapInArrow(run, schema).withColumn("_order", _order())
     again = F.row_number().over(Window.partitionBy("_order", "_node").orderBy("_n"))
     joined = tagged.join(firsts, ["_order", "_node"], "left").withColumn("_again", again)
     stays = (F.col("_n") == 0) | (F.col("_first") & (F.col("_again") == 1))

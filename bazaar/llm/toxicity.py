@@ -19,18 +19,24 @@ from pyspark.sql import functions as F
 from bazaar.llm.shared import NOT_ALNUM, Words, held_out, pieces, prefix_sums, span_hash
 
 SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
+# What is said of a slot: a text has it, twice, four times, once in 500 words, in 100.
+LEVEL_BITS = 3
+FEATURES = SLOTS << LEVEL_BITS
 # The learner's sample: toxic examples and unlabelled texts, drawn by a hash of the id.
-MAX_TOXIC = 6_000
-MAX_UNLABELLED = 18_000
+MAX_TOXIC = 4_000
+MAX_UNLABELLED = 12_000
+LEAST_TOXIC = 3
 THRESHOLD = 0.3
-_STEMS = (3, 4, 5)
+_STEMS = (4, 5, 6)
 
 
-def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, slot) of every word and of the beginnings of words."""
+def _slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, slot) of every word and of the beginnings of words; words of each text."""
     words = Words(texts, NOT_ALNUM, lower=True)
     sums = prefix_sums(words.bytes)
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
+    n_words = np.diff(words.first)
+    doc = np.repeat(np.arange(len(texts)), n_words)
     size = words.end - words.start
     docs, slots = [doc], [span_hash(sums, words.start, words.end)]
     for stem in _STEMS:
@@ -39,64 +45,78 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         docs.append(doc[longer])
         slots.append(span_hash(sums, start, start + stem) ^ np.uint64(stem << 40))
     shift = np.uint64(64 - SLOT_BITS)
-    return np.concatenate(docs), (np.concatenate(slots) >> shift).astype(np.int64)
-
-
-def _drawn(docs: DataFrame, ids: DataFrame, most: int) -> pa.Table:
-    """The distinct features of at most ``most`` texts, drawn by a hash of their ids."""
+    return np.concatenate(docs), (np.concatenate(slots) >> shift).astype(np.int64), n_words
+
+
+def _features(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature) of each text, in order; of the ``wanted`` slots, or all."""
+    doc, slot, n_words = _slots(texts)
+    if wanted is not None:
+        keep = wanted[slot]
+        doc, slot = doc[keep], slot[keep]
+    held, times = np.unique(doc * SLOTS + slot, return_counts=True)
+    of = n_words[held // SLOTS]
+    said = [times >= 1, times >= 2, times >= 4, times * 500 >= of, times * 100 >= of]
+    cells = np.sort(np.concatenate([
+        (held[true] // SLOTS) * FEATURES + level * SLOTS + held[true] % SLOTS for level, true in enumerate(said)
+    ]))
+    return cells // FEATURES, cells % FEATURES
+
+
+def _drawn(docs: DataFrame, ids: DataFrame, most: int, wanted: np.ndarray | None = None) -> _Sample:
+    """The features of at most ``most`` texts, drawn by a hash of their ids."""
     draw = F.xxhash64(F.lit(3), "doc_id")
     picked = ids.select("doc_id").distinct().orderBy(draw, "doc_id").limit(most)
+    carried = docs.sparkSession.sparkContext.broadcast(None if wanted is None else np.packbits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if carried.value is None else np.unpackbits(carried.value).astype(bool)
         for _, texts in pieces(batches):
-            doc, slot = _features(texts)
-            cells = np.unique((doc << SLOT_BITS) | slot)
-            edges = np.searchsorted(cells >> SLOT_BITS, np.arange(len(texts) + 1))
-            values = pa.array((cells & ((1 << SLOT_BITS) - 1)).astype(np.int32))
+            doc, feature = _features(texts, asked)
+            edges = np.searchsorted(doc, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values)], names=["slots"]
+                [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(feature.astype(np.int32)))],
+                names=["features"],
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(picked), "doc_id").select("text").mapInArrow(run, "slots array<int>").toArrow()
+    found = texts.join(F.broadcast(picked), "doc_id").select("text").mapInArrow(run, "features array<int>")
+    return _Sample(found.toArrow())
 
 
 class _Sample:
-    """Rows of distinct slots, as one long array."""
+    """Rows of distinct features, as one long array."""
 
     def __init__(self, table: pa.Table):
-        rows = [np.asarray(s, dtype=np.int32) for c in table.column("slots").chunks for s in _lists(c)]
-        self.rows = len(rows)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.slot = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
+        column = table.column("features")
+        sizes = [np.diff(c.offsets.to_numpy()) for c in column.chunks]
+        self.rows = len(column)
+        self.row = np.repeat(np.arange(self.rows), np.concatenate([np.zeros(0, dtype=int), *sizes]))
+        self.feature = np.concatenate([np.zeros(0, dtype=np.int32), *[c.flatten().to_numpy() for c in column.chunks]])
 
     def narrowed(self, column: np.ndarray) -> None:
-        """Slots become column numbers; slots without a column go."""
-        kept = column[self.slot] >= 0
-        self.row, self.slot = self.row[kept], column[self.slot[kept]]
-
-
-def _lists(chunk: pa.ListArray) -> Iterator[np.ndarray]:
-    values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
-    for s, e in zip(offsets[:-1], offsets[1:], strict=True):
-        yield values[s:e]
+        """Features become column numbers; those without a column go."""
+        kept = column[self.feature] >= 0
+        self.row, self.feature = self.row[kept], column[self.feature[kept]]
 
 
 def fit(
-    toxic: _Sample, unlabelled: _Sample, prior: float, rounds: int = 200, rate: float = 0.05,
-    sparsity: float = 1e-3, least_toxic: int = 3,
-) -> tuple[np.ndarray, float]:
-    """Weights of all slots and a bias that minimise the non-negative risk.
+    toxic: _Sample, unlabelled: _Sample, prior: float, rounds: int = 400, rate: float = 0.05,
+    sparsity: float = 0.02, least_toxic: int = LEAST_TOXIC, discount: float = 1.0, least_lift: float = 2.0,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features with a weight, their weights, and a bias that minimise the non-negative risk.
 
     Logistic loss, Adam steps over the whole sample, and weights shrunk towards
-    zero in each, so that only slots that tell toxic texts get any.
+    zero in each.  Features count that at least ``least_toxic`` toxic texts have, and
+    ``least_lift`` times as often as all texts do: those that tell nothing would only
+    move all outputs together.
     """
-    weights = np.zeros(1 << SLOT_BITS)
     if not toxic.rows or not unlabelled.rows or prior <= 0:
-        return weights, -20.0
-    often = np.bincount(toxic.slot, minlength=1 << SLOT_BITS)
-    used = np.flatnonzero(often >= min(least_toxic, toxic.rows))
-    column = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        return np.zeros(0, dtype=np.int64), np.zeros(0), -20.0
+    often = np.bincount(toxic.feature, minlength=FEATURES)
+    usual = np.bincount(unlabelled.feature, minlength=FEATURES) / unlabelled.rows
+    used = np.flatnonzero((often >= min(least_toxic, toxic.rows)) & (often / toxic.rows >= least_lift * usual))
+    column = np.full(FEATURES, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
     toxic.narrowed(column)
     unlabelled.narrowed(column)
@@ -105,28 +125,34 @@ def fit(
     first, second = np.zeros_like(theta), np.zeros_like(theta)
 
     def outputs(sample: _Sample) -> np.ndarray:
-        return np.bincount(sample.row, theta[sample.slot], minlength=sample.rows) + theta[-1]
+        return np.bincount(sample.row, theta[sample.feature], minlength=sample.rows) + theta[-1]
 
     def gradient(sample: _Sample, by_row: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(sample.slot, by_row[sample.row], minlength=len(used)), by_row.sum())
+        return np.append(np.bincount(sample.feature, by_row[sample.row], minlength=len(used)), by_row.sum())
 
+    # The less toxic texts there are, the more chance there is in what they share.
+    sparsity = sparsity / toxic.rows**0.5
+    averaged, late = np.zeros_like(theta), rounds // 2
     for step in range(1, rounds + 1):
-        p, u = _sigmoid(outputs(toxic)), _sigmoid(outputs(unlabelled))
-        clean_risk = _softplus(outputs(unlabelled)).mean() - prior * _softplus(outputs(toxic)).mean()
+        on_toxic, on_all = outputs(toxic), outputs(unlabelled)
+        p, u = _sigmoid(on_toxic), _sigmoid(on_all)
+        clean_risk = _softplus(on_all).mean() - prior * _softplus(on_toxic).mean()
         # d/dz log(1+e^z) is sigmoid(z); d/dz log(1+e^-z) is sigmoid(z) - 1.
-        if clean_risk > 0:
-            on_toxic = prior * (p - 1) - prior * p
-            g = gradient(toxic, on_toxic / toxic.rows) + gradient(unlabelled, u / unlabelled.rows)
-        else:
-            # Undo the over-fitting first: climb back on the part that fell below zero.
-            g = gradient(toxic, prior * p / toxic.rows) - gradient(unlabelled, u / unlabelled.rows)
+        g = gradient(toxic, prior * (p - 1) / toxic.rows)
+        of_clean = gradient(unlabelled, u / unlabelled.rows) - gradient(toxic, prior * p / toxic.rows)
+        # A risk below zero is over-fitting: climb back from there.
+        g = g + of_clean if clean_risk > 0 else -discount * of_clean
         first = 0.9 * first + 0.1 * g
-        second = 0.999 * second + 0.001 * g * g
-        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        shrunk = rate * sparsity / (np.sqrt(second[:-1] / (1 - 0.999**step)) + 1e-8)
-        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - shrunk, 0)
-    weights[used] = theta[:-1]
-    return weights, float(theta[-1])
+        second = 0.99 * second + 0.01 * g * g
+        scale = np.sqrt(second / (1 - 0.99**step)) + 1e-4
+        now = rate * min(1.0, 10 / step**0.5)
+        theta -= now * (first / (1 - 0.9**step)) / scale
+        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - now * sparsity / scale[:-1], 0)
+        if step > late:
+            averaged += theta / (rounds - late)
+    theta = averaged
+    told = np.flatnonzero(theta[:-1])
+    return used[told], theta[told], float(theta[-1])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -139,7 +165,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def learn(
     docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED
-) -> tuple[np.ndarray, float]:
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on a bounded sample of ``docs``; ``labels`` say which are toxic (``doc_id, toxic``).
 
     The share of toxic texts is taken from all labels.  A document labelled in
@@ -149,26 +175,31 @@ def learn(
         F.col("doc_id").cast("long").alias("doc_id")
     ).agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    toxic = _Sample(_drawn(docs, known.where("toxic = 1"), max_toxic))
+    toxic = _drawn(docs, known.where("toxic = 1"), max_toxic)
+    # Slots that hardly any toxic text has cannot get a weight, so they need not be gathered.
+    texts_with = np.bincount(toxic.feature[toxic.feature < SLOTS], minlength=SLOTS)
     everything = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return fit(toxic, _Sample(_drawn(docs, everything, max_unlabelled)), prior)
+    unlabelled = _drawn(docs, everything, max_unlabelled, texts_with >= min(LEAST_TOXIC, max(1, toxic.rows)))
+    return fit(toxic, unlabelled, prior)
 
 
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
+def score(
+    docs: DataFrame, features: np.ndarray, weights: np.ndarray, bias: float, threshold: float = THRESHOLD
+) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``; null is empty."""
-    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = model.value
+        wanted = np.zeros(SLOTS, dtype=bool)
+        wanted[features % SLOTS] = True
+        weight = np.zeros(FEATURES, dtype=np.float32)
+        weight[features] = weights
         for rows, texts in pieces(batches):
-            doc, slot = _features(texts)
-            tells = weight[slot] != 0
-            cells = np.unique((doc[tells] << SLOT_BITS) | slot[tells])
-            told = weight[cells & ((1 << SLOT_BITS) - 1)].astype(np.float64)
-            scores = _sigmoid(np.bincount(cells >> SLOT_BITS, told, minlength=len(texts)) + bias)
+            doc, feature = _features(texts, wanted)
+            outputs = np.bincount(doc, weight[feature].astype(np.float64), minlength=len(texts)) + bias
+            scores = _sigmoid(outputs)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"), rows.column("held_out"), pa.array(scores),
@@ -186,5 +217,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Without a toxic example every score is next to 0.
     """
-    weights, bias = learn(docs.where(~held_out()), labels.where(~held_out()))
-    return score(docs, weights, bias)
+    model = learn(docs.where(~held_out()), labels.where(~held_out()))
+    return score(docs, *model)

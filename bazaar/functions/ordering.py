@@ -1,7 +1,6 @@
 """Positions, ranks and running sums over one order of all rows.
 
-A window without partition keys moves every row into one task.  That is fine
-for a table counted to be small, and only then.  Otherwise rows are
+A window without partition keys moves every row into one task.  Here rows are
 range-partitioned by their order into slices, each slice is numbered on its
 own, and the totals of the slices before it (one row per slice) are added.
 """
@@ -15,9 +14,6 @@ from pyspark.sql import functions as F
 
 from bazaar.session import settle
 
-# Rows one task may order by itself; a sort of this many spills at worst.
-ONE_TASK_ROWS = 1_000_000
-
 _SLICE = "_slice"
 
 
@@ -27,34 +23,24 @@ def ordered_prefix(
     running: Mapping[str, str] | None = None,
     within: Sequence[str] = (),
     rank_by: str | None = None,
-    one_task_rows: int | None = None,
-    rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Number the rows of ``df`` along ``order``.
 
     Adds ``position`` (from 1), for every ``name: column`` of ``running`` the
     running sum ``name`` and the whole sum ``name_total``, and ``rows_total``.
-    All are counted separately per ``within`` group, and a group larger than
-    one task is spread over several slices.  With ``rank_by``, the column
-    ``order`` begins with, also ``rank``: one more than the number of rows
-    whose value comes strictly earlier.
+    All are counted separately per ``within`` group, and a large group is
+    spread over several slices.  With ``rank_by``, the column ``order`` begins
+    with, also ``rank``: one more than the number of rows whose value comes
+    strictly earlier.
 
     ``order`` must be a total order; rows it cannot tell apart share a slice.
-    ``rows`` is the size of ``df`` where that is known; else it is stored once
-    to be counted.
+    There are ``slices``, by default as many as the session has shuffle
+    partitions.
     """
-    sums = dict(running or {})
-    groups = list(within)
-    limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    stored = df
-    if rows is None:
-        stored, rows = settle(df, *groups)
-    if rows <= limit:
-        everything = Window.partitionBy(*groups)
-        totals = {f"{name}_total": F.sum(c).over(everything) for name, c in sums.items()}
-        totals["rows_total"] = F.count(F.lit(1)).over(everything)
-        return stored.withColumns(_numbers(everything, order, sums, rank_by) | totals)
-    return _by_slices(stored, order, sums, groups, rank_by)
+    sums, groups = dict(running or {}), list(within)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _by_slices(df, order, sums, groups, rank_by, slices)
 
 
 def _numbers(
@@ -71,19 +57,19 @@ def _numbers(
 
 def _by_slices(
     df: DataFrame, order: Sequence[Column], sums: Mapping[str, str], groups: list[str],
-    rank_by: str | None,
+    rank_by: str | None, slices: int,
 ) -> DataFrame:
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(slices, *[F.col(g) for g in groups], *order)
     sliced, _ = settle(ranged.withColumn(_SLICE, F.spark_partition_id()), *groups)
     numbered = sliced.withColumns(
         _numbers(Window.partitionBy(*groups, _SLICE), order, sums, rank_by)
     )
-    offsets = _slice_offsets(sliced, sums, groups)
+    # Stored, so that Spark knows how small it is and picks the join by that.
+    offsets, _ = settle(_slice_offsets(sliced, sums, groups))
     shift = {"position": "_rows_before", **{n: f"_{n}_before" for n in sums}}
     if rank_by:
         shift["rank"] = "_rows_before"
-    placed = numbered.join(F.broadcast(offsets), [*groups, _SLICE]).withColumns(
+    placed = numbered.join(offsets, [*groups, _SLICE]).withColumns(
         {name: F.col(name) + F.col(before) for name, before in shift.items()}
     )
     if rank_by:
@@ -124,7 +110,7 @@ def _carry_ties(
             F.max_by(rank_by, "rank").alias("_last"),
             F.max("rank").alias("_last_rank"),
         )
-        .join(F.broadcast(offsets.select(*groups, _SLICE, "_rows_before")), [*groups, _SLICE])
+        .join(offsets.select(*groups, _SLICE, "_rows_before"), [*groups, _SLICE])
     )
     starts = (
         edges.select(
@@ -145,8 +131,9 @@ def _carry_ties(
     same = F.col(rank_by).eqNullSafe(F.col("_value"))
     for g in groups:
         same = same & (F.col(g) == F.col(f"_in_{g}"))
+    starts, _ = settle(starts)
     return (
-        placed.join(F.broadcast(starts), same, "left")
+        placed.join(starts, same, "left")
         .withColumn("rank", F.coalesce("_start", "rank"))
         .drop("_value", "_start", *[f"_in_{g}" for g in groups])
     )

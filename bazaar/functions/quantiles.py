@@ -1,9 +1,9 @@
 """Exact quantiles, linear between neighbours, without one task seeing all values.
 
-Spark's exact ``percentile`` keeps every distinct value in memory, so it is
-used only for columns that turn out to have few.  For the others a sketch
-brackets the wanted row, exact counts confirm the bracket, and the bracket
-shrinks until ``percentile``-sized.  Both ways give the same numbers.
+Spark's exact ``percentile`` keeps every distinct value in memory.  Here a
+sketch brackets the wanted rows, exact counts confirm the brackets, and the
+brackets shrink until few rows are left, which are read out as values and
+counts.  All columns and quantiles go through each step together.
 """
 
 from __future__ import annotations
@@ -17,47 +17,45 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import no_nan
 
-DISTINCT_LIMIT = 100_000
+# Rows of a bracket that may be read out: what reaches the driver.
+READ_ROWS = 10_000
 _ACCURACY = 10_000
 
 
-def distinct_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """About how many distinct values each column has."""
-    if not columns:
-        return {}
-    return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-
-
 def exact_quantiles(
-    df: DataFrame,
-    wanted: Mapping[str, Sequence[float]],
-    distinct_limit: int = DISTINCT_LIMIT,
-    sizes: Mapping[str, int] | None = None,
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], read_rows: int = READ_ROWS
 ) -> dict[str, list[float | None]]:
-    """Quantiles of each column over its non-null values; nulls if it has none.
-
-    ``sizes`` are upper bounds for the distinct counts, where known.
-    """
+    """Quantiles of each column over its non-null values; nulls if it has none."""
     df = df.select([no_nan(c).alias(c) if kind in ("double", "float") else F.col(c)
                     for c, kind in df.select(*wanted).dtypes])
-    sizes = distinct_sizes(df, list(wanted)) if sizes is None else sizes
-    small = [c for c in wanted if sizes[c] <= distinct_limit]
-    found: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(
-            *[F.percentile(c, F.array(*map(F.lit, wanted[c]))).alias(c) for c in small]
-        ).first()
-        found = {c: row[c] or [None] * len(wanted[c]) for c in small}
+    rows = df.agg(*[F.count(c).alias(c) for c in wanted]).first() if wanted else {}
+    brackets: dict[tuple[str, int], _Bracket] = {}
     for c in wanted:
-        if c not in found:
-            found[c] = _quantiles_by_narrowing(df.select(c), c, wanted[c], distinct_limit)
-    return found
+        for p in wanted[c] if rows[c] else ():
+            place = p * (rows[c] - 1)
+            for rank in (math.floor(place), math.ceil(place)):
+                brackets[c, rank] = _Bracket(column=c, rank=rank, below=0, inside=rows[c])
+    while wide := [b for b in brackets.values() if b.value is None and b.inside > read_rows]:
+        _confirm(df, wide, _propose(df, wide))
+    _read_out(df, [b for b in brackets.values() if b.value is None])
+
+    def interpolate(c: str, p: float) -> float | None:
+        if not rows[c]:
+            return None
+        place = p * (rows[c] - 1)
+        low, high = math.floor(place), math.ceil(place)
+        if low == high:
+            return brackets[c, low].value
+        return (high - place) * brackets[c, low].value + (place - low) * brackets[c, high].value
+
+    return {c: [interpolate(c, p) for p in wanted[c]] for c in wanted}
 
 
 @dataclass
 class _Bracket:
-    """The open interval (low, high) the row numbered ``rank`` lies in."""
+    """The open interval (low, high) of a column's values the row numbered ``rank`` lies in."""
 
+    column: str
     rank: int
     below: int
     inside: int
@@ -65,63 +63,32 @@ class _Bracket:
     high: float | None = None
     value: float | None = None
 
-    def holds(self, c: str) -> Column:
-        lower = F.lit(True) if self.low is None else F.col(c) > self.low
-        upper = F.lit(True) if self.high is None else F.col(c) < self.high
-        return F.col(c).isNotNull() & lower & upper
-
-
-def _quantiles_by_narrowing(
-    df: DataFrame, c: str, probabilities: Sequence[float], limit: int
-) -> list[float | None]:
-    near = [bound for p in probabilities for bound in _around(p)]
-    rows, sketched = df.agg(F.count(c), F.percentile_approx(c, near, F.lit(_ACCURACY))).first()
-    if not rows:
-        return [None] * len(probabilities)
-    brackets: dict[int, _Bracket] = {}
-    proposals = {}
-    places = [p * (rows - 1) for p in probabilities]
-    for i, place in enumerate(places):
-        for rank in (math.floor(place), math.ceil(place)):
-            brackets[rank] = _Bracket(rank=rank, below=0, inside=rows)
-            proposals[rank] = (sketched[2 * i], sketched[2 * i + 1])
-    _confirm(df, c, list(brackets.values()), [proposals[rank] for rank in brackets])
-    while wide := [b for b in brackets.values() if b.value is None and b.inside > limit]:
-        _confirm(df, c, wide, _propose(df, c, wide))
-    _read_out(df, c, [b for b in brackets.values() if b.value is None])
-
-    def interpolate(place: float) -> float:
-        low, high = math.floor(place), math.ceil(place)
-        if low == high:
-            return brackets[low].value
-        return (high - place) * brackets[low].value + (place - low) * brackets[high].value
-
-    return [interpolate(place) for place in places]
-
-
-def _around(share: float) -> list[float]:
-    return [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
+    def holds(self) -> Column:
+        c = F.col(self.column)
+        lower = F.lit(True) if self.low is None else c > self.low
+        upper = F.lit(True) if self.high is None else c < self.high
+        return c.isNotNull() & lower & upper
 
 
-def _propose(df: DataFrame, c: str, brackets: list[_Bracket]) -> list[tuple[float, float]]:
+def _propose(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[float, float]]:
     """Bounds close around the wanted row of each bracket, from a sketch of its rows."""
     sketches = []
     for b in brackets:
-        near = _around((b.rank - b.below) / max(b.inside - 1, 1))
-        rows = F.when(b.holds(c), F.col(c))
-        sketches.append(F.percentile_approx(rows, near, F.lit(_ACCURACY)))
+        share = (b.rank - b.below) / max(b.inside - 1, 1)
+        near = [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
+        held = F.when(b.holds(), F.col(b.column))
+        sketches.append(F.percentile_approx(held, near, F.lit(_ACCURACY)))
     return [tuple(bounds) for bounds in df.agg(*sketches).first()]
 
 
-def _confirm(
-    df: DataFrame, c: str, brackets: list[_Bracket], bounds: list[tuple[float, float]]
-) -> None:
+def _confirm(df: DataFrame, brackets: list[_Bracket], bounds: list[tuple[float, float]]) -> None:
     """Count exactly where the proposed bounds lie, and shrink each bracket to match."""
     counts = df.agg(
         *[
             F.count_if(test)
-            for low, high in bounds
-            for test in (F.col(c) < low, F.col(c) <= low, F.col(c) < high, F.col(c) <= high)
+            for b, (low, high) in zip(brackets, bounds, strict=True)
+            for c in (F.col(b.column),)
+            for test in (c < low, c <= low, c < high, c <= high)
         ]
     ).first()
     for i, (b, (low, high)) in enumerate(zip(brackets, bounds, strict=True)):
@@ -139,13 +106,22 @@ def _confirm(
             b.low, b.high, b.below, b.inside = low, high, le_low, lt_high - le_low
 
 
-def _read_out(df: DataFrame, c: str, brackets: list[_Bracket]) -> None:
+def _read_out(df: DataFrame, brackets: list[_Bracket]) -> None:
     """Look the wanted rows up; what a bracket still holds is known to be few."""
     if not brackets:
         return
-    values = [
-        F.element_at(F.sort_array(F.collect_list(F.when(b.holds(c), F.col(c)))), b.rank - b.below + 1)
-        for b in brackets
+    cells = [
+        F.when(b.holds(), F.struct(F.lit(i).alias("bracket"), F.col(b.column).alias("value")))
+        for i, b in enumerate(brackets)
     ]
-    for b, value in zip(brackets, df.agg(*values).first(), strict=True):
-        b.value = value
+    held = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
+    found: dict[int, list[tuple]] = {}
+    for row in held.groupBy("bracket", "value").count().collect():
+        found.setdefault(row["bracket"], []).append((row["value"], row["count"]))
+    for i, b in enumerate(brackets):
+        upto = b.below
+        for value, count in sorted(found[i]):
+            upto += count
+            if b.rank < upto:
+                b.value = value
+                break

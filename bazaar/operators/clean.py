@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import all_present, no_nan, to_number
 from bazaar.functions.ordering import ordered_prefix
-from bazaar.functions.quantiles import DISTINCT_LIMIT, distinct_sizes, exact_quantiles
+from bazaar.functions.quantiles import exact_quantiles
 from bazaar.schema import (
     DATE_COLUMNS,
     DEFAULT_ROLES,
@@ -22,6 +22,7 @@ from bazaar.schema import (
 )
 from bazaar.session import settle
 
+# Fixed value: what a date looks like.
 DATE_PATTERN = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
 
 
@@ -70,20 +71,14 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.withColumns({c: no_nan(c) for c in doubles}).dropDuplicates()
 
 
-def fill_median(
-    df: DataFrame,
-    columns: Sequence[str] = NUMERIC_COLUMNS,
-    distinct_limit: int = DISTINCT_LIMIT,
-    sizes: Mapping[str, int] | None = None,
-) -> DataFrame:
+def fill_median(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
     """Replace missing numbers by the exact median of their column.
 
-    A column without any value is left alone.  ``sizes`` are the distinct
-    counts of the columns, where they are known already.
+    A column without any value is left alone.
     """
     present = _present(df, columns)
     tidy = df.withColumns({c: no_nan(c) for c in present})
-    found = exact_quantiles(tidy, {c: [0.5] for c in present}, distinct_limit, sizes)
+    found = exact_quantiles(tidy, {c: [0.5] for c in present})
     medians = {c: q[0] for c, q in found.items() if q[0] is not None}
     return tidy.fillna(medians) if medians else tidy
 
@@ -101,8 +96,6 @@ def remove_outliers_iqr(
     columns: Sequence[str] = NUMERIC_COLUMNS,
     factor: float = 1.5,
     sequential: bool = True,
-    distinct_limit: int = DISTINCT_LIMIT,
-    sizes: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Keep rows within ``factor`` interquartile ranges of the quartiles.
 
@@ -112,11 +105,10 @@ def remove_outliers_iqr(
     removes nothing.
     """
     present = _present(df, columns)
-    sizes = distinct_sizes(df, present) if sizes is None else sizes
     kept = df
 
     def fence(frame: DataFrame, names: list[str]) -> Column | None:
-        quartiles = exact_quantiles(frame, {c: [0.25, 0.75] for c in names}, distinct_limit, sizes)
+        quartiles = exact_quantiles(frame, {c: [0.25, 0.75] for c in names})
         tests = [
             F.col(c).between(q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
             for c, (q1, q3) in quartiles.items()
@@ -184,7 +176,6 @@ def clean(
     df: DataFrame,
     remove_outliers: bool = True,
     split_month: bool = False,
-    distinct_limit: int = DISTINCT_LIMIT,
     names: Sequence[str] = RAW_COLUMNS,
 ) -> DataFrame:
     """The whole cleaning sequence over raw text rows."""
@@ -194,11 +185,9 @@ def clean(
     # Medians and quartiles each read the rows again; the shuffle behind the
     # deduplication should run once, and each reading take its column only.
     unique, _ = settle(drop_duplicate_rows(typed))
-    # Filling and filtering add no distinct value but the median itself.
-    sizes = distinct_sizes(unique, _present(unique, NUMERIC_COLUMNS))
-    filled = fill_unknown(fill_median(unique, distinct_limit=distinct_limit, sizes=sizes))
+    filled = fill_unknown(fill_median(unique))
     if remove_outliers:
-        filled = remove_outliers_iqr(filled, distinct_limit=distinct_limit, sizes=sizes)
+        filled = remove_outliers_iqr(filled)
     return split_single_month(filled) if split_month else filled
 
 

@@ -82,12 +82,18 @@ def _scored(
     )
 
 
+_RANKED = (
+    "institution", "project_count", "total_sales", *WEIGHTS, "avg_rating", "avg_actual_price",
+    "risk_score", "risk_level", "risk_rank",
+)
+
+
 def institution_risk(
     df: DataFrame,
     min_rows: int = 5,
     roles: Roles = DEFAULT_ROLES,
     baseline: DataFrame | None = None,
-    one_task_rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Institutions with enough listings, scored, graded and ranked.
 
@@ -98,12 +104,11 @@ def institution_risk(
         _scored(df, min_rows, roles, baseline),
         [F.desc_nulls_last("risk_score"), F.asc("institution")],
         rank_by="risk_score",
-        one_task_rows=one_task_rows,
+        slices=slices,
+    )
+    return ranked.withColumn("risk_rank", F.col("rank")).select(*_RANKED).orderBy(
+        "risk_rank", "institution"
     )
-    return ranked.select(
-        "institution", "project_count", "total_sales", *WEIGHTS, "avg_rating", "avg_actual_price",
-        "risk_score", "risk_level", F.col("rank").alias("risk_rank"),
-    ).orderBy("risk_rank", "institution")
 
 
 def institution_risk_top(
@@ -113,7 +118,11 @@ def institution_risk_top(
     roles: Roles = DEFAULT_ROLES,
     baseline: DataFrame | None = None,
 ) -> DataFrame:
-    return institution_risk(df, min_rows, roles, baseline).limit(n)
+    """The first ``n`` of the ranking; only they are ranked."""
+    scored = _scored(df, min_rows, roles, baseline)
+    first = scored.orderBy(F.desc_nulls_last("risk_score"), "institution").limit(n)
+    rank = F.rank().over(Window.orderBy(F.desc_nulls_last("risk_score"))).cast("long")
+    return first.withColumn("risk_rank", rank).select(*_RANKED).orderBy("risk_rank", "institution")
 
 
 def institution_risk_bottom(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.functions import ordering
 from bazaar.functions.numeric import all_present, pearson
+from bazaar.functions.ordering import ordered_prefix
 from bazaar.schema import DEFAULT_ROLES, FEATURE_COLUMNS, Roles
+from bazaar.session import settle
 
 
 def _quoted(name: str) -> str:
@@ -30,73 +31,65 @@ def _long_matrix(one_row: DataFrame, features: Sequence[str], values: Sequence[s
 def pearson_matrix(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """Pearson correlation of every pair, each over the rows that have both.
 
-    Null where a column is constant over those rows.  The size comes from the
-    r-squared aggregate and the sign from the covariance: both skip missing
-    values by themselves and never divide by zero, and apart they are narrow
-    enough to compile, which all moments of all pairs in one pass are not.
+    Null where a column is constant over those rows.  One scan: the pairs of a
+    row are unfolded and grouped by pair, so each has its own few moments.
     """
     present = [f for f in features if f in df.columns]
-    pairs = [(_quoted(a), _quoted(b)) for a, b in combinations(present, 2)]
-    sizes = df.agg(F.expr(f"array({', '.join(f'regr_r2({b}, {a})' for a, b in pairs)})").alias("r2"))
-    signs = df.agg(F.expr(f"array({', '.join(f'covar_pop({a}, {b})' for a, b in pairs)})").alias("cov"))
-    both = sizes.selectExpr("r2", "null AS cov").unionByName(signs.selectExpr("null AS r2", "cov"))
-    one_row = both.agg(F.max("r2").alias("r2"), F.max("cov").alias("cov"))
-    # r-squared is one, not null, where only the second column is constant.
-    values = [
-        f"IF(r2[{i}] = 1 AND cov[{i}] = 0, NULL, signum(cov[{i}]) * sqrt(r2[{i}]))"
-        for i in range(len(pairs))
-    ]
-    return _long_matrix(one_row, present, values)
+    pairs = list(combinations(present, 2))
+    cells = ", ".join(f"{i}, {_quoted(a)}, {_quoted(b)}" for i, (a, b) in enumerate(pairs))
+    unfolded = df.selectExpr(f"stack({len(pairs)}, {cells}) AS (pair, x, y)")
+    corr = unfolded.groupBy("pair").agg(pearson("x", "y").alias("corr"))
+    named = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]
+    both = F.array(
+        F.struct(F.col("p.a").alias("feature_a"), F.col("p.b").alias("feature_b"), "corr"),
+        F.struct(F.col("p.b").alias("feature_a"), F.col("p.a").alias("feature_b"), "corr"),
+    )
+    off_diagonal = corr.withColumn("p", F.array(*named)[F.col("pair")]).select(F.inline(both))
+    itself = F.array(*[F.struct(F.lit(f), F.lit(f), F.lit(1.0)) for f in present])
+    one_row = df.sparkSession.range(1).select(F.inline(itself)).toDF("feature_a", "feature_b", "corr")
+    return one_row.unionByName(off_diagonal)
 
 
-def feature_ranks(
-    df: DataFrame, features: Sequence[str], ties: str = "min", one_task_rows: int | None = None
-) -> DataFrame:
-    """The rank of every row's value in each feature, as ``rank_<feature>``.
+def _value_ranks(df: DataFrame, features: Sequence[str], ties: str, slices: int | None) -> DataFrame:
+    """(feature, value, rank) of every distinct value; a null has no rank.
 
-    Few enough rows, by count, are ranked by plain windows in one task.  Beyond
-    that, equal values are collapsed to counts before anything is ordered, so a
-    value held by a large part of all rows costs no more than a rare one.  The
-    ranks are joined back by value; Spark broadcasts those of a feature with
-    few values, and splits the reads of a frequent value otherwise.
+    Equal values are collapsed to counts before anything is ordered, so a
+    value held by a large part of all rows costs no more than a rare one.
     """
     if ties not in ("min", "average"):
         raise ValueError("ties must be 'min' or 'average'")
-    rows = df.count()
-    if rows <= (ordering.ONE_TASK_ROWS if one_task_rows is None else one_task_rows):
-        return _ranks_in_one_task(df, features, ties)
-    values = df.unpivot([], list(features), "feature", "value")
-    counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    upto = ordering.ordered_prefix(
-        counts, [F.asc("value")], {"upto": "n"}, within=["feature"],
-        one_task_rows=0, rows=rows,
-    )
+    values = df.unpivot([], list(features), "feature", "value").where(F.col("value").isNotNull())
+    counts = values.groupBy("feature", "value").agg(F.sum(F.lit(1.0)).alias("n"))
+    upto = ordered_prefix(counts, [F.asc("value")], {"upto": "n"}, within=["feature"], slices=slices)
     first = F.col("upto") - F.col("n") + 1
     rank = first if ties == "min" else first + (F.col("n") - 1) / 2
-    ranks = upto.select("feature", "value", rank.alias("rank"))
+    return upto.select("feature", "value", rank.alias("rank"))
+
+
+def feature_ranks(
+    df: DataFrame, features: Sequence[str], ties: str = "min", slices: int | None = None
+) -> DataFrame:
+    """The rank of every row's value in each feature, as ``rank_<feature>``.
+
+    A null feature has a null rank; no row is lost.  The ranks are joined by
+    value: Spark broadcasts those of a feature with few values, and splits the
+    reads of a frequent value otherwise.
+    """
+    ranks, _ = settle(_value_ranks(df, features, ties, slices))
     out = df
     for f in features:
         of_feature = ranks.where(F.col("feature") == f).select(
             F.col("value").alias(f), F.col("rank").alias(f"rank_{f}")
         )
-        out = out.join(of_feature, f)
-    return out
-
-
-def _ranks_in_one_task(df: DataFrame, features: Sequence[str], ties: str) -> DataFrame:
-    def rank(f: str) -> Column:
-        first = F.rank().over(Window.orderBy(f)).cast("double")
-        equal = F.count(F.lit(1)).over(Window.partitionBy(f))
-        return first if ties == "min" else first + (equal - 1) / 2
-
-    return df.withColumns({f"rank_{f}": rank(f) for f in features})
+        out = out.join(of_feature, f, "left")
+    return out.select(*df.columns, *[f"rank_{f}" for f in features])
 
 
 def spearman_matrix(
     df: DataFrame,
     features: Sequence[str] = FEATURE_COLUMNS,
     ties: str = "min",
-    one_task_rows: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Pearson correlation of ranks over rows that have all features.
 
@@ -105,7 +98,7 @@ def spearman_matrix(
     """
     present = [f for f in features if f in df.columns]
     complete = df.select(*present).where(all_present(present))
-    ranked = feature_ranks(complete, present, ties, one_task_rows)
+    ranked = feature_ranks(complete, present, ties, slices)
     rank = {f: _quoted(f"rank_{f}") for f in present}
     pairs = list(combinations(present, 2))
     # No rank is missing, so one spread per feature serves all its pairs.

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,10 @@ from bazaar.schema import DEFAULT_ROLES, Roles
 from bazaar.session import settle
 
 BREAKPOINTS = (0.5, 0.8, 0.95)
-CITIES_PER_BLOCK = 256
+# Columns a wide table may have.
+MAX_COLUMNS = 1_000
+# Parts that the institutions of one city or category are dealt into.
+_PARTS = 64
 
 
 def _sales_by(df: DataFrame, *by: str, roles: Roles, total: str) -> DataFrame:
@@ -68,32 +69,35 @@ def hhi_overall(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
 def _hhi_within(df: DataFrame, by: str, roles: Roles) -> DataFrame:
     """Concentration within each ``by`` group.
 
-    Sums are partial aggregates; the ten leaders of a group are cut before the
-    shuffle.  So a group holding most institutions is never one task's work.
+    A group's institutions are dealt by a hash; each part yields its sums and its
+    ten largest, and a group's parts add up.  So a group holding most
+    institutions is never one task's work, and nothing is joined.
     """
     shops = _sales_by(df, by, "institution", roles=roles, total="ss")
-    whole = shops.groupBy(by).agg(
-        F.sum("ss").alias("total_sales"),
-        F.sum(F.col("ss") * F.col("ss")).alias("_squares"),
-        F.count(F.lit(1)).alias("institution_count"),
+    salt = F.pmod(F.xxhash64("institution"), F.lit(_PARTS))
+    parts = shops.groupBy(by, salt.alias("_part")).agg(
+        F.sum("ss").alias("ss"),
+        F.sum(F.col("ss") * F.col("ss")).alias("squares"),
+        F.count(F.lit(1)).alias("shops"),
+        _largest(F.collect_list("ss")).alias("top"),
     )
-    leading = Window.partitionBy(by).orderBy(F.desc_nulls_last("ss"), "institution")
-    top = (
-        shops.withColumn("_rn", F.row_number().over(leading))
-        .where(F.col("_rn") <= 10)
-        .groupBy(by)
-        .agg(F.sum("ss").alias("_top10"))
+    total = F.sum("ss")
+    leaders = F.aggregate(
+        _largest(F.flatten(F.collect_list("top"))), F.lit(None).cast("double"),
+        lambda found, v: F.coalesce(found, F.lit(0.0)) + v,
     )
-    total = F.col("total_sales")
-    return whole.join(top, by).select(
-        by,
-        (ratio(F.col("_squares"), total * total) * 10000).alias("hhi"),
-        ratio(F.col("_top10"), total).alias("cr10"),
-        "institution_count",
-        "total_sales",
+    return parts.groupBy(by).agg(
+        (ratio(F.sum("squares"), total * total) * 10000).alias("hhi"),
+        ratio(leaders, total).alias("cr10"),
+        F.sum("shops").alias("institution_count"),
+        total.alias("total_sales"),
     )
 
 
+def _largest(values: Column, n: int = 10) -> Column:
+    return F.slice(F.sort_array(values, asc=False), 1, n)
+
+
 def hhi_by_city(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     return (
         _hhi_within(df, "city", roles)
@@ -110,13 +114,13 @@ def hhi_by_category(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     )
 
 
-def _pareto(df: DataFrame, roles: Roles, one_task_rows: int | None = None) -> DataFrame:
+def _pareto(df: DataFrame, roles: Roles, slices: int | None = None) -> DataFrame:
     projects = _sales_by(df, "project_name", roles=roles, total="total_sales")
     placed = ordered_prefix(
         projects,
         [F.desc_nulls_last("total_sales"), F.asc("project_name")],
         running={"cum_sales": "total_sales"},
-        one_task_rows=one_task_rows,
+        slices=slices,
     )
     return placed.select(
         "project_name",
@@ -130,10 +134,10 @@ def _pareto(df: DataFrame, roles: Roles, one_task_rows: int | None = None) -> Da
 
 
 def pareto_projects(
-    df: DataFrame, roles: Roles = DEFAULT_ROLES, one_task_rows: int | None = None
+    df: DataFrame, roles: Roles = DEFAULT_ROLES, slices: int | None = None
 ) -> DataFrame:
     """Projects by falling sales with running sales and shares."""
-    return _pareto(df, roles, one_task_rows).drop("rows_total").orderBy("rn")
+    return _pareto(df, roles, slices).drop("rows_total").orderBy("rn")
 
 
 def breakpoints_of(pareto: DataFrame, thresholds: Sequence[float] = BREAKPOINTS) -> DataFrame:
@@ -191,93 +195,75 @@ def city_category_sales(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFram
     return _sales_by(df, "city", "category", roles=roles, total="total_sales")
 
 
-def city_category_matrix(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """Cities by categories, one column per category, zero where nothing sold."""
-    cells = city_category_sales(df, roles)
-    return cells.groupBy("city").pivot("category").sum("total_sales").fillna(0.0).orderBy("city")
-
-
-def _block_pairs(cells: DataFrame) -> DataFrame:
-    """Unit vectors of cities, copied to each pair of city blocks they are in.
+def city_category_matrix(
+    df: DataFrame, roles: Roles = DEFAULT_ROLES, categories: Sequence[str] | None = None
+) -> DataFrame:
+    """Cities by categories, one column per category, zero where nothing sold.
 
-    The result of the similarity is one row per pair of cities, but its inputs
-    should not be paired row by row: cities are hashed into blocks, a block is
-    sent once to each pair it takes part in, and the pair is one small matrix
-    product.  The blocks are sized from the counted number of cities.
+    ``categories`` names the columns; without it they are looked up, and a table
+    of more than ``MAX_COLUMNS`` is refused.
     """
-    cells, _ = settle(cells.select("city", "category", F.col("total_sales").alias("v")))
-    cities = cells.agg(F.count_distinct("city")).first()[0]
-    blocks = max(1, -(-cities // CITIES_PER_BLOCK))
-    norms = cells.groupBy("city").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    unit = cells.join(norms, "city").select(
-        F.pmod(F.xxhash64("city"), F.lit(blocks)).cast("int").alias("block"),
-        "city",
-        "category",
-        F.when(F.col("norm") == 0, 0.0).otherwise(F.col("v") / F.col("norm")).alias("v"),
-    )
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = unit.select(
-        F.col("block").alias("a"), F.explode(others).alias("b"),
-        F.lit(0).alias("side"), "city", "category", "v",
-    )
-    right = unit.select(
-        F.explode(others).alias("a"), F.col("block").alias("b"),
-        F.lit(1).alias("side"), "city", "category", "v",
+    cells = city_category_sales(df, roles)
+    if categories is None:
+        known = cells.select("category").distinct().limit(MAX_COLUMNS + 1).collect()
+        if len(known) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} categories; name the ones to show")
+        categories = sorted(r["category"] for r in known)
+    wide = cells.groupBy("city").pivot("category", list(categories)).sum("total_sales")
+    return wide.fillna(0.0).orderBy("city")
+
+
+def _unit_cells(cells: DataFrame) -> DataFrame:
+    """Each city's category sales as a vector of length 1; zeros are left out."""
+    norms = cells.groupBy("city").agg(
+        F.sqrt(F.sum(F.col("total_sales") * F.col("total_sales"))).alias("_norm")
     )
-    return left.unionByName(right)
-
-
-def _compare_blocks(best: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The work on one pair of blocks: all city pairs, or the ``best`` others per city.
+    scaled = cells.where(F.col("total_sales") != 0).join(norms.where("_norm > 0"), "city")
+    return scaled.select("city", "category", (F.col("total_sales") / F.col("_norm")).alias("v"))
 
-    A closure, so that workers get it whole and need not have this package.
-    """
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        wide = block.pivot_table(
-            index=["side", "city"], columns="category", values="v", fill_value=0.0, aggfunc="sum"
-        )
-        side = wide.index.get_level_values("side")
-        left, right = wide[side == 0], wide[side == 1]
-        rows = left.index.get_level_values("city")
-        columns = right.index.get_level_values("city")
-        pairs = pd.DataFrame(
-            {
-                "city_a": np.repeat(rows, len(columns)),
-                "city_b": np.tile(columns, len(rows)),
-                "similarity": (left.to_numpy(float) @ right.to_numpy(float).T).ravel(),
-            }
-        )
-        if best is None:
-            return pairs
-        pairs = pairs[pairs["city_a"] != pairs["city_b"]]
-        pairs = pairs.sort_values(["city_a", "similarity", "city_b"], ascending=[True, False, True])
-        return pairs.groupby("city_a").head(best)
 
-    return compare
+def _shared(cells: DataFrame) -> DataFrame:
+    """Cosine of every ordered pair of cities that share a category: only cells meet that multiply."""
+    unit = _unit_cells(cells)
+    a = unit.select("category", F.col("city").alias("city_a"), F.col("v").alias("x"))
+    b = unit.select("category", F.col("city").alias("city_b"), F.col("v").alias("y"))
+    product = F.sum(F.col("x") * F.col("y")).alias("similarity")
+    return a.join(b, "category").groupBy("city_a", "city_b").agg(product)
 
 
 def city_similarity(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """Cosine of category sales for every ordered pair of cities, self included."""
-    return (
-        _block_pairs(city_category_sales(df, roles))
-        .groupBy("a", "b")
-        .applyInPandas(_compare_blocks(None), "city_a string, city_b string, similarity double")
-        .orderBy("city_a", "city_b")
+    """Cosine of category sales for every ordered pair of cities, self included.
+
+    The result has a row per pair, zeros too: ask for it only where cities are
+    few.  ``city_similarity_top`` needs no such table.
+    """
+    cells = city_category_sales(df, roles)
+    cities = cells.select("city").distinct()
+    # A cell of nothing that all cities have: it makes the pairs without a common category.
+    pairs = cities.select(F.lit(0).alias("none"), F.col("city").alias("city_a")).join(
+        cities.select(F.lit(0).alias("none"), F.col("city").alias("city_b")), "none"
+    )
+    zeros = pairs.select("city_a", "city_b", F.lit(0.0).alias("similarity"))
+    both = _shared(cells).unionByName(zeros)
+    return both.groupBy("city_a", "city_b").agg(F.sum("similarity").alias("similarity")).orderBy(
+        "city_a", "city_b"
     )
 
 
 def city_similarity_top(df: DataFrame, n: int = 5, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """The ``n`` other cities most like each city, as an array of structs.
 
-    Each pair of blocks hands on only its own best few per city.
+    Where fewer have a category in common, cities of similarity zero fill up, first
+    by name: a few names are enough for all.
     """
-    candidates = (
-        _block_pairs(city_category_sales(df, roles))
-        .groupBy("a", "b")
-        .applyInPandas(_compare_blocks(n), "city_a string, city_b string, similarity double")
+    cells = city_category_sales(df, roles)
+    cities = cells.select("city").distinct()
+    few = cities.orderBy("city").limit(2 * n + 1).agg(F.collect_list("city")).scalar()
+    zeros = cities.select(
+        F.col("city").alias("city_a"), F.explode(few).alias("city_b"), F.lit(0.0).alias("similarity")
     )
-    return closest_of(candidates, n)
+    both = _shared(cells).unionByName(zeros).groupBy("city_a", "city_b")
+    return closest_of(both.agg(F.sum("similarity").alias("similarity")), n)
 
 
 def closest_of(pairs: DataFrame, n: int = 5) -> DataFrame:

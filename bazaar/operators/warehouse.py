@@ -86,8 +86,8 @@ def cluster_category_preference(df: DataFrame, roles: Roles = DEFAULT_ROLES) ->
     """Lift: a category's share of a segment's sales over its share of all sales.
 
     Segment and grand totals include rows without a category or segment, so
-    they are taken as window sums over the grouped rows before those are left
-    out; the table itself is read and shuffled once.
+    they are taken over the grouped rows before those are left out; the table
+    itself is read and shuffled once.
     """
     cluster, category, sales = roles.of("cluster", "category", "monthly_sales")
     cells = df.groupBy(F.col(cluster).alias("cluster"), F.col(category).alias("category")).agg(
@@ -98,7 +98,7 @@ def cluster_category_preference(df: DataFrame, roles: Roles = DEFAULT_ROLES) ->
         {
             "_in_category": total.over(Window.partitionBy("category")),
             "_in_cluster": total.over(Window.partitionBy("cluster")),
-            "_grand": total.over(Window.partitionBy()),
+            "_grand": cells.agg(total).scalar(),
         }
     ).where(all_present(["cluster", "category"]))
 
@@ -244,3 +244,15 @@ THEME_TABLES = {
     "cluster_doctor_matching": (cluster_doctor_matching, 100),
     "cluster_month_delta": (cluster_month_delta, None),
 }
+
+# The columns a theme table is shown, and cut, in the order of; highest first with a minus.
+THEME_ORDER = {
+    "cluster_profile": ("cluster",),
+    "cluster_city_rank": ("cluster", "rank_in_cluster"),
+    "cluster_category_preference": ("cluster", "-preference_lift", "category"),
+    "cluster_channel_efficiency": ("cluster", "channel_rank_in_cluster", "channel"),
+    "cluster_price_band": ("cluster", "band_rank_in_cluster", "discount_band"),
+    "cluster_top_projects": ("cluster", "rn"),
+    "cluster_doctor_matching": ("cluster", "title_rank_in_cluster", "doctor_title"),
+    "cluster_month_delta": ("cluster", "stats_month"),
+}

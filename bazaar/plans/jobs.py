@@ -20,7 +20,7 @@ from bazaar.operators.segment import (
     fit_segments,
 )
 from bazaar.operators.trend import SECTIONS, available_sections, trend_report
-from bazaar.operators.warehouse import THEME_TABLES
+from bazaar.operators.warehouse import THEME_ORDER, THEME_TABLES
 from bazaar.schema import DEFAULT_ROLES, FEATURE_COLUMNS, Roles
 from bazaar.session import settle
 from bazaar.sinks import emit_table, insights_manifest, sink_json_snapshot, sink_parquet
@@ -37,7 +37,7 @@ ADVANCED_TABLES = {
     "struct_hhi_by_city": lambda df, roles, _: structure.hhi_by_city(df, roles),
     "struct_hhi_by_category": lambda df, roles, _: structure.hhi_by_category(df, roles),
     "struct_pareto_projects": lambda df, roles, _: structure.pareto_projects(df, roles),
-    "struct_city_similarity": lambda df, roles, _: structure.city_similarity(df, roles),
+    "struct_city_similarity_top": lambda df, roles, _: structure.city_similarity_top(df, roles=roles),
     "comp_institution_risk": lambda df, roles, base: compliance.institution_risk(
         df, roles=roles, baseline=base
     ),
@@ -45,6 +45,24 @@ ADVANCED_TABLES = {
     "comp_city_risk": lambda df, roles, base: compliance.city_risk(df, roles, base),
 }
 
+# The columns each is shown in the order of; highest first with a minus.
+ADVANCED_ORDER = {
+    "stat_pearson": ("feature_a", "feature_b"),
+    "stat_spearman": ("feature_a", "feature_b"),
+    "stat_price_elasticity": ("elasticity", "category"),
+    "stat_rating_sales_by_city": ("-corr_rating_sales", "city"),
+    "stat_rating_sales_by_category": ("-corr_rating_sales", "category"),
+    "struct_hhi_by_city": ("-hhi", "city"),
+    "struct_hhi_by_category": ("-hhi", "category"),
+    "struct_city_similarity_top": ("city",),
+    "comp_category_risk": ("-udi_mismatch_rate", "category"),
+    "comp_city_risk": ("-udi_mismatch_rate", "city"),
+    "pareto_projects": ("rn",),
+    "pareto_breakpoints": ("cum_share_threshold",),
+    "institution_risk_top": ("risk_rank", "institution"),
+    "institution_risk_bottom": ("risk_rank", "institution"),
+}
+
 
 def clean_job(
     spark: SparkSession, csv_uri: str, out_uri: str, encoding: str | None = None,
@@ -82,10 +100,12 @@ def trend_job(df: DataFrame, out_dir: str, roles: Roles = DEFAULT_ROLES) -> Data
     report, _ = emit_table(
         trend_report(df, roles=roles), "trend_report", f"{out_dir}/trend_report.parquet"
     )
+    # The report has all keys as text; they get their types back, and so their order.
+    kinds = {role: df.schema[c].dataType for role, c in zip(("cluster",), roles.of("cluster")) if c in df.columns}
     for name in available_sections(df, roles):
         section = SECTIONS[name]
         rows = report.where(F.col("section") == name).select(
-            *[F.col(f"key_{i + 1}").alias(k) for i, k in enumerate(section.keys)],
+            *[F.col(f"key_{i + 1}").cast(kinds.get(k, "string")).alias(k) for i, k in enumerate(section.keys)],
             *[F.col(m if m in report.columns else "row_cnt").alias(m) for m in section.measures],
         )
         if section.keys:
@@ -107,10 +127,10 @@ def build_warehouse(
     for name, (operator, limit) in THEME_TABLES.items():
         path = f"{out_dir}/cluster_tables/{name}.parquet"
         table, rows = emit_table(operator(typed, roles), name, path)
-        sink_json_snapshot(table, f"{out_dir}/cluster_insights/{name}", limit)
+        sink_json_snapshot(table, f"{out_dir}/cluster_insights/{name}", limit, THEME_ORDER[name])
         written[name] = (path, rows)
     manifest = insights_manifest(spark, written, k=str(written["cluster_profile"][1]))
-    sink_json_snapshot(manifest, f"{out_dir}/cluster_insights/_manifest")
+    sink_json_snapshot(manifest, f"{out_dir}/cluster_insights/_manifest", order=("table",))
     return manifest
 
 
@@ -135,18 +155,17 @@ def advanced_report(
     cut = ("struct_pareto_projects", "comp_institution_risk")
     snapshots = {name: table for name, table in tables.items() if name not in cut}
     snapshots |= {
-        "pareto_projects": structure.sample_of(pareto, projects).orderBy("rn"),
-        "pareto_breakpoints": structure.breakpoints_of(pareto).orderBy("cum_share_threshold"),
-        "city_similarity_top": structure.closest_of(tables["struct_city_similarity"]),
+        "pareto_projects": structure.sample_of(pareto, projects),
+        "pareto_breakpoints": structure.breakpoints_of(pareto),
         "price_baseline": baseline,
         "institution_risk_top": risk.orderBy("risk_rank", "institution").limit(50),
         "institution_risk_bottom": compliance.bottom_of(risk),
         "institution_risk_distribution": compliance.distribution_of(risk),
     }
     for name, table in snapshots.items():
-        sink_json_snapshot(table, f"{out_dir}/advanced_insights/{name}")
+        sink_json_snapshot(table, f"{out_dir}/advanced_insights/{name}", order=ADVANCED_ORDER.get(name, ()))
     manifest = insights_manifest(spark, written)
-    sink_json_snapshot(manifest, f"{out_dir}/advanced_insights/_manifest")
+    sink_json_snapshot(manifest, f"{out_dir}/advanced_insights/_manifest", order=("table",))
     return manifest
 
 

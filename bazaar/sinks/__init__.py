@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,21 +37,34 @@ def emit_table(df: DataFrame, name: str, path: str) -> tuple[DataFrame, int]:
     return stored, rows
 
 
-def snapshot_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows as JSON can hold them: doubles for decimals, null for NaN."""
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Sorted by columns; those named with a minus highest first, missing values last."""
+    by = [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in order]
+    return df.orderBy(*by) if by else df
+
+
+def snapshot_rows(df: DataFrame, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Rows as JSON can hold them: doubles for decimals, null for NaN; sorted, then cut."""
 
     def plain(f: T.StructField):
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             return no_nan(F.col(f.name).cast("double")).alias(f.name)
         return F.col(f.name)
 
-    out = df.select([plain(f) for f in df.schema.fields])
-    return out if limit is None else out.limit(limit)
+    ordered = in_order(df, order)
+    out = ordered if limit is None else ordered.limit(limit)
+    return out.select([plain(f) for f in df.schema.fields])
 
 
-def sink_json_snapshot(df: DataFrame, path: str, limit: int | None = None) -> None:
-    """Write rows as JSON lines in UTF-8, nulls spelled out."""
-    snapshot_rows(df, limit).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def sink_json_snapshot(
+    df: DataFrame, path: str, limit: int | None = None, order: Sequence[str] = ()
+) -> None:
+    """Write rows as JSON lines in UTF-8, nulls spelled out.
+
+    A table that was stored has no order of its own any more: name the ``order``
+    of the rows, or a cut is any ``limit`` of them.
+    """
+    snapshot_rows(df, limit, order).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def sink_csv_export(df: DataFrame, path: str) -> None:
@@ -58,9 +73,9 @@ def sink_csv_export(df: DataFrame, path: str) -> None:
 
 
 def insights_manifest(
-    spark: SparkSession, tables: dict[str, tuple[str, int]], **facts: str
+    spark: SparkSession, tables: dict[str, tuple[str, int]], **facts: str | int
 ) -> DataFrame:
-    """One row per stored table: name, path, rows, and facts about the run."""
+    """One row per stored table: name, path, rows, and facts about the run, as typed as given."""
     rows = [(name, path, count) for name, (path, count) in tables.items()]
     manifest = spark.createDataFrame(rows, "table string, path string, rows long")
     return manifest.select(

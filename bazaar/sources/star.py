@@ -1,8 +1,9 @@
 """The listing table derived from a star schema of orders and line items.
 
-Each listing column names the tables it comes from, and only those tables are
-joined.  That is right only while every foreign key finds its row; where that
-is not known, ``trusted_keys=False`` joins all eight tables as inner joins.
+A listing is a line item that finds its row in all other tables, so all are
+joined, whatever columns are asked for.  Each column names the tables it comes
+from; where every foreign key is known to find its row, ``trusted_keys=True``
+joins only those.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ LISTING_COLUMNS = [*RAW_COLUMNS, "stats_month"]
 
 
 def load_sales(
-    spark: SparkSession, sf_dir: str, *columns: str, trusted_keys: bool = True
+    spark: SparkSession, sf_dir: str, *columns: str, trusted_keys: bool = False
 ) -> DataFrame:
     """The listing table, or just ``columns`` of it.
 

@@ -31,18 +31,15 @@ def test_pearson_pairs_and_constants(spark):
 
 
 @pytest.mark.parametrize("ties", ["min", "average"])
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_spearman_ties(spark, ties, limit, monkeypatch):
-    from bazaar.functions import ordering
-
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", limit)
+@pytest.mark.parametrize("slices", [1, 9])
+def test_spearman_ties(spark, ties, slices):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({
         "list_price": rng.integers(0, 5, 200).astype(float),
         "rating": np.where(rng.random(200) < 0.4, 1.0, rng.normal(size=200)),
         "monthly_sales": rng.normal(size=200),
     })
-    found = _matrix(stats.spearman_matrix(spark.createDataFrame(frame), ties=ties))
+    found = _matrix(stats.spearman_matrix(spark.createDataFrame(frame), ties=ties, slices=slices))
     expected = frame.rank(method=ties).corr()
     for (a, b), value in found.items():
         assert value == pytest.approx(expected.loc[a, b], abs=1e-12)
@@ -100,9 +97,7 @@ def test_pareto(spark):
     assert list(structure.pareto_sample(df).toPandas()["rn"]) == list(range(1, 1101, 2))
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_similarity_by_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(structure, "CITIES_PER_BLOCK", block)
+def test_similarity(spark):
     rng = np.random.default_rng(4)
     sales = rng.integers(0, 4, (11, 5)).astype(float)
     sales[3] = 0
@@ -143,15 +138,12 @@ def test_anomalies_need_a_spread(spark):
     assert compliance.compliance_metrics(none).first()["price_anomaly_rate"] == 0.0
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_risk_ranking(spark, limit, monkeypatch):
-    from bazaar.functions import ordering
-
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", limit)
+@pytest.mark.parametrize("slices", [1, 9])
+def test_risk_ranking(spark, slices):
     # Institution i has i % 6 bad of five listings; many institutions tie.
     data = [(f"i{i:03}", float(j >= i % 6), "国械", 5.0, 1.0, 1.0) for i in range(60) for j in range(5)]
     data += [("few", 0.0, "", 1.0, 1.0, 1.0)] * 4
-    out = compliance.institution_risk(spark.createDataFrame(data, RISK)).toPandas()
+    out = compliance.institution_risk(spark.createDataFrame(data, RISK), slices=slices).toPandas()
     assert len(out) == 60
     expected = out["risk_score"].rank(method="min", ascending=False)
     assert (out["risk_rank"] == expected).all()
@@ -162,3 +154,19 @@ def test_risk_ranking(spark, limit, monkeypatch):
     assert compliance.institution_risk_bottom(df.where("institution < 'i009'")).count() == 0
     levels = compliance.institution_risk_distribution(df).collect()
     assert sum(r["count"] for r in levels) == 60 == levels[0]["institution_count_total"]
+
+
+def test_orphan_keys_count_nowhere(spark, tmp_path):
+    from bazaar.operators import trend
+    from bazaar.sources.star import load_sales
+
+    source = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "customer", "supplier", "part", "lineitem", "orders"):
+        table = spark.read.parquet(f"{source}/{name}.parquet")
+        kept = table.where("o_orderkey % 10 <> 3") if name == "orders" else table
+        kept.write.parquet(f"{tmp_path}/{name}.parquet")
+    whole = load_sales(spark, str(tmp_path))
+    summary = trend.trend_section(load_sales(spark, str(tmp_path), *whole.columns[:1], "monthly_sales", "rating",
+                                             "actual_price", "list_price", "discount_rate", "review_count"), "summary")
+    by_city = trend.trend_section(whole, "by_city")
+    assert summary.first()["row_cnt"] == by_city.agg(F.sum("project_count")).first()[0] == whole.count() < 6000

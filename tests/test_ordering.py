@@ -1,4 +1,3 @@
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,13 +11,13 @@ def _frame(spark):
     return spark.createDataFrame(data, "g string, v double, id int")
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("slices", [1, 5, 40])
 @pytest.mark.parametrize("within", [(), ("g",)])
-def test_positions_sums_and_ranks(spark, limit, within):
+def test_positions_sums_and_ranks(spark, slices, within):
     df = _frame(spark)
     out = ordered_prefix(
         df, [F.desc_nulls_last("v"), F.asc("id")], {"upto": "id"},
-        within=within, rank_by="v", one_task_rows=limit,
+        within=within, rank_by="v", slices=slices,
     ).toPandas()
     expected = df.toPandas().sort_values(["v", "id"], ascending=[False, True], na_position="last")
     groups = expected.groupby("g") if within else expected.groupby(lambda _: 0)
@@ -36,27 +35,34 @@ def test_positions_sums_and_ranks(spark, limit, within):
         assert set(part["rows_total"]) == {total["count"]}
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_one_value_only(spark, limit):
+@pytest.mark.parametrize("slices", [1, 7])
+def test_one_value_only(spark, slices):
     df = spark.range(30).withColumn("v", F.lit(1.0))
-    out = ordered_prefix(df, [F.asc("v"), F.asc("id")], rank_by="v", one_task_rows=limit)
+    out = ordered_prefix(df, [F.asc("v"), F.asc("id")], rank_by="v", slices=slices)
     found = out.toPandas().sort_values("id")
     assert list(found["position"]) == list(range(1, 31)) and set(found["rank"]) == {1}
 
 
 def test_empty_input(spark):
     df = spark.range(0).withColumn("v", F.lit(1.0))
-    assert ordered_prefix(df, [F.asc("v"), F.asc("id")], {"s": "v"}, one_task_rows=0).count() == 0
+    assert ordered_prefix(df, [F.asc("v"), F.asc("id")], {"s": "v"}).count() == 0
 
 
-def test_slices_cover_the_pareto_curve(spark, monkeypatch):
-    from bazaar.functions import ordering
-    from verification import oracle, queries
-    from verification.compare import database, difference
+def test_plans_have_no_task_for_all_rows(spark, capsys):
+    from bazaar.operators import stats, structure
+    from bazaar.sources.star import load_sales
 
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", 0)
-    sf = "/root/testdata/sf0.001"
-    known, sql, con = queries.build(), oracle.build(), database(sf)
-    for name in ("pareto_projects", "institution_risk", "spearman_matrix", "split_single_month"):
-        assert difference(known[name](spark, sf), con, sql[name]) is None, name
-    assert isinstance(known["pareto_sample"](spark, sf).toPandas(), pd.DataFrame)
+    sales = load_sales(spark, "/root/testdata/sf0.001", "project_name", "monthly_sales", "list_price", "rating")
+    for df in (structure.pareto_projects(sales), stats.feature_ranks(sales, ["list_price", "rating"])):
+        df.explain()
+    assert "SinglePartition" not in capsys.readouterr().out
+
+
+def test_ranks_keep_rows_with_missing_features(spark):
+    from bazaar.operators.stats import feature_ranks
+
+    df = spark.createDataFrame([(1.0, None), (None, 2.0), (3.0, 1.0), (None, None)], "a double, b double")
+    found = feature_ranks(df, ["a", "b"]).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(
+        [(1.0, None, 1.0, None), (None, 2.0, None, 2.0), (3.0, 1.0, 2.0, 1.0), (None,) * 4], key=str
+    )

@@ -491,7 +491,7 @@ def _preparation() -> dict[str, str]:
                 ("struct_hhi_by_city", "COUNT(DISTINCT city)", "sales"),
                 ("struct_hhi_by_category", "COUNT(DISTINCT category)", "sales"),
                 ("struct_pareto_projects", "COUNT(DISTINCT project_name)", "sales"),
-                ("struct_city_similarity", "COUNT(DISTINCT city) * COUNT(DISTINCT city)", "sales"),
+                ("struct_city_similarity_top", "COUNT(DISTINCT city)", "sales"),
                 ("comp_institution_risk", "COUNT(*)",
                  "(SELECT institution FROM sales GROUP BY 1 HAVING COUNT(*) >= 5)"),
                 ("comp_category_risk", "COUNT(DISTINCT category)", "sales"),

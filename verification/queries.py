@@ -278,15 +278,15 @@ def build() -> dict[str, Query]:
         "spearman_matrix_average": _on_sales(
             lambda df: stats.spearman_matrix(df, ties="average"), *FEATURE_COLUMNS
         ),
-        # The ways taken beyond one task's size, on tables of any size.
+        # The same in many small steps, as on large tables.
         "spearman_matrix_sliced": _on_sales(
-            lambda df: stats.spearman_matrix(df, one_task_rows=0), *FEATURE_COLUMNS
+            lambda df: stats.spearman_matrix(df, slices=23), *FEATURE_COLUMNS
         ),
         "pareto_projects_sliced": _on_sales(
-            lambda df: structure.pareto_projects(df, one_task_rows=0), "project_name", sales
+            lambda df: structure.pareto_projects(df, slices=23), "project_name", sales
         ),
         "remove_outliers_iqr_narrowed": _on_dirty(
-            lambda df: clean.remove_outliers_iqr(_numeric(df), distinct_limit=20), *_NUMBERS
+            lambda df: clean.remove_outliers_iqr(_numeric(df)), *_NUMBERS
         ),
         "price_elasticity": _on_sales(stats.price_elasticity, "category", price, sales),
         "rating_sales_corr_by_city": _on_sales(stats.rating_sales_corr_by_city, "city", rating, sales),
@@ -334,7 +334,7 @@ def build() -> dict[str, Query]:
     ]:
         known[operator.__name__] = _on_risk(operator, key, *compliance_columns)
     known["institution_risk_sliced"] = _on_risk(
-        lambda df, baseline: compliance.institution_risk(df, baseline=baseline, one_task_rows=0),
+        lambda df, baseline: compliance.institution_risk(df, baseline=baseline, slices=23),
         "institution", *compliance_columns,
     )
     for name, section in trend.SECTIONS.items():

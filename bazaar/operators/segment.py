@@ -76,6 +76,10 @@ def standardize_features(
     return rows.withColumns({f: F.expr(e) for f, e in zip(scaling.features, scaling.expressions())})
 
 
+# Fixed, so that a fit does not depend on the cluster it runs on.
+_PARTITIONS = 64
+
+
 def _training_points(df: DataFrame, scaling: Scaling) -> DataFrame:
     """Distinct standardised points with their number of rows as weight, stored.
 
@@ -88,17 +92,13 @@ def _training_points(df: DataFrame, scaling: Scaling) -> DataFrame:
     rows, _ = _usable(df, scaling.features)
     points = rows.selectExpr([f"{e} AS {n}" for e, n in zip(scaling.expressions(), names)])
     weighted = points.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    spread = weighted.repartition(_partitions(df), *names).sortWithinPartitions(*names)
+    spread = weighted.repartition(_PARTITIONS, *names).sortWithinPartitions(*names)
     stored, _ = settle(spread)
     return VectorAssembler(inputCols=names, outputCol=_VECTOR).transform(stored).select(
         _VECTOR, "weight"
     )
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _fit(points: DataFrame, k: int, seed: int) -> KMeansModel:
     return KMeans(k=k, seed=seed, featuresCol=_VECTOR, weightCol="weight").fit(points)
 
@@ -137,7 +137,7 @@ def assign_nearest_center(
     """Add ``cluster``, the number of the nearest centre in standardised units.
 
     The few centres are constants of the expression: no join, no shuffle.  The
-    lowest number wins a tie.
+    lowest number wins a tie; a row that lacks a feature has no cluster.
     """
 
     def distance(center: Sequence[float]) -> str:
@@ -150,11 +150,10 @@ def assign_nearest_center(
 
     names = [f"_distance_{i}" for i in range(len(centers))]
     measured = df.withColumns({n: F.expr(distance(c)) for n, c in zip(names, centers)})
-    # Ending in ELSE, the number cannot be null, and filters on that vanish.
     least = f"least({', '.join(names)})" if len(names) > 1 else names[0]
     cases = " ".join(f"WHEN {n} = {least} THEN {i}" for i, n in enumerate(names[:-1]))
     last = len(names) - 1
-    nearest = F.expr(f"CASE {cases} ELSE {last} END" if cases else f"{last}")
+    nearest = F.expr(f"CASE WHEN {least} IS NULL THEN NULL {cases} ELSE {last} END")
     return measured.withColumn("cluster", nearest).drop(*names)
 
 

@@ -154,15 +154,21 @@ def inputs(section: Section, roles: Roles = DEFAULT_ROLES) -> list[str]:
     return roles.of(*dict.fromkeys([*keys, *read]))
 
 
-def trend_section(df: DataFrame, name: str, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """One named section of the trend report."""
+def trend_section(
+    df: DataFrame, name: str, roles: Roles = DEFAULT_ROLES, limit: int | None = -1
+) -> DataFrame:
+    """One named section of the trend report.
+
+    It is cut to the rows the section shows, or to ``limit``; ``None`` shows all.
+    """
     section = SECTIONS[name]
     out = df.groupBy(*[_key(k, roles) for k in section.keys]).agg(
         *[measure(m, roles) for m in section.measures]
     )
     if section.keys:
         out = out.orderBy(*section.order())
-    return out if section.limit is None else out.limit(section.limit)
+    most = section.limit if limit == -1 else limit
+    return out if most is None else out.limit(most)
 
 
 def available_sections(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> list[str]:

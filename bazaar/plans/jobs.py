@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.operators import compliance, stats, structure
-from bazaar.operators.clean import cast_numeric, clean
+from bazaar.operators.clean import cast_numeric, clean, validate_storage
 from bazaar.operators.segment import (
     DEFAULT_K,
     assign_segments,
@@ -68,12 +68,12 @@ def clean_job(
     spark: SparkSession, csv_uri: str, out_uri: str, encoding: str | None = None,
     remove_outliers: bool = True, split_month: bool = False, multi_line: bool = False,
 ) -> dict:
-    """Raw CSV to a clean Parquet table; says how many rows went in and out."""
+    """Raw CSV to a clean Parquet table by month; says how many rows went in and out."""
     charset = detect_charset(spark, csv_uri, encoding)
     seen = Observation()
-    # Cleaning reads the raw rows exactly once, and counts them on the way.
-    raw = scan_csv(spark, csv_uri, charset, multi_line).observe(seen, F.count(F.lit(1)).alias("rows"))
-    after = sink_parquet(clean(raw, remove_outliers, split_month), out_uri)
+    # Cleaning reads the raw rows once more, and counts them on the way.
+    raw = scan_csv(spark, csv_uri, charset, multi_line, detect=False).observe(seen, F.count(F.lit(1)).alias("rows"))
+    after = sink_parquet(clean(raw, remove_outliers, split_month), out_uri, DEFAULT_ROLES.stats_month)
     return {
         "total_before": seen.get["rows"], "total_after": after,
         "output_path": out_uri, "encoding_used": charset,
@@ -115,9 +115,9 @@ def trend_job(df: DataFrame, out_dir: str, roles: Roles = DEFAULT_ROLES) -> Data
 
 
 def build_warehouse(
-    df: DataFrame, out_dir: str, roles: Roles = DEFAULT_ROLES
+    df: DataFrame, out_dir: str, roles: Roles = DEFAULT_ROLES, centers: DataFrame | None = None
 ) -> DataFrame:
-    """Store the eight theme tables, their snapshots and a manifest."""
+    """Store the eight theme tables, their snapshots, the centres if given, and a manifest."""
     (cluster,) = roles.of("cluster")
     if cluster not in df.columns:
         raise ValueError(f"the table has no {cluster} column; assign segments first")
@@ -129,7 +129,10 @@ def build_warehouse(
         table, rows = emit_table(operator(typed, roles), name, path)
         sink_json_snapshot(table, f"{out_dir}/cluster_insights/{name}", limit, THEME_ORDER[name])
         written[name] = (path, rows)
-    manifest = insights_manifest(spark, written, k=str(written["cluster_profile"][1]))
+    rows = spark.table("cluster_profile").agg(F.sum("project_count")).first()[0] or 0
+    manifest = insights_manifest(spark, written, k=written["cluster_profile"][1], total_rows=rows)
+    if centers is not None:
+        sink_json_snapshot(centers, f"{out_dir}/cluster_insights/_centers", order=("cluster", "feature"))
     sink_json_snapshot(manifest, f"{out_dir}/cluster_insights/_manifest", order=("table",))
     return manifest
 
@@ -176,8 +179,13 @@ def run_all(
     """Every layer in turn; returns the manifest of all stored tables."""
     clean_uri = f"{out_dir}/clean_data.parquet"
     clean_job(spark, csv_uri, clean_uri, encoding)
-    clustered, _ = cluster_job(spark, clean_uri, out_dir, k)
+    stored = spark.read.parquet(clean_uri)
+    state = validate_storage(stored, clean_uri)
+    sink_json_snapshot(state, f"{out_dir}/storage_state")
+    if missing := state.first()["missing_required_columns"]:
+        raise ValueError(f"the clean table lacks {missing}")
+    clustered, centers = cluster_job(spark, clean_uri, out_dir, k)
     trend_job(clustered, out_dir)
-    themes = build_warehouse(clustered, out_dir)
+    themes = build_warehouse(clustered, out_dir, centers=centers)
     advanced = advanced_report(spark.read.parquet(clean_uri), out_dir)
-    return themes.drop("k").unionByName(advanced)
+    return themes.drop("k", "total_rows").unionByName(advanced)

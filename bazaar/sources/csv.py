@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,53 +15,102 @@ from bazaar.schema import NA_TOKENS
 _RAW_LINE = "_raw_line"
 
 
+def _lines(spark: SparkSession, uri: str) -> DataFrame:
+    return spark.read.text(uri).select(F.col("value").cast("binary").alias("line"))
+
+
 def detect_charset(spark: SparkSession, uri: str, preferred: str | None = None) -> str:
-    """``preferred`` if it can decode the data, else UTF-8, else GB18030.
+    """``preferred`` if it can decode the data, else UTF-8, else GB18030; else an error.
 
-    GB18030 contains GBK, so one fallback covers both.  The check reads every
-    line where it lies; only a yes or no comes back.
+    GB18030 contains GBK, so one fallback covers both.  Every line is tried
+    with all of them in one reading; only the names of those that fail come back.
     """
-    if preferred and preferred.lower().replace("-", "") != "utf8":
-        return preferred
-    invalid = spark.read.text(uri).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if invalid.isEmpty() else "GB18030"
+    chain = list(dict.fromkeys([*([preferred] if preferred else []), "UTF-8", "GB18030"]))
+
+    def failing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = list(chain)
+        for batch in batches:
+            data = b"\n".join(batch.column("line").to_pylist())
+            for charset in list(left):
+                try:
+                    data.decode(charset)
+                except UnicodeDecodeError:
+                    left.remove(charset)
+        failed = [c for c in chain if c not in left]
+        yield pa.RecordBatch.from_arrays([pa.array(failed, pa.string())], names=["charset"])
+
+    found = _lines(spark, uri).mapInArrow(failing, "charset string").distinct().collect()
+    failed = {r["charset"] for r in found}
+    for charset in chain:
+        if charset not in failed:
+            return "UTF-8" if charset.lower().replace("-", "") == "utf8" else charset
+    raise ValueError(f"none of {chain} can decode {uri}")
 
 
 def _field_count(line: Column) -> Column:
-    """Fields of one raw line: commas outside quotes, plus one."""
-    bare = F.regexp_replace(line, '"([^"]|"")*"', "")
+    """Fields of one raw line: commas outside quotes, plus one.
+
+    A doubled quote reads as the end of one quoted part and the begin of the
+    next, so the pattern needs no alternative, and no stack for long fields.
+    """
+    bare = F.regexp_replace(line, '"[^"]*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
+def _decoded(spark: SparkSession, uri: str, charset: str) -> DataFrame:
+    """Lines that are not in UTF-8, as text; blank ones are left out."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [x.decode(charset).rstrip("\r") for x in batch.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    return _lines(spark, uri).mapInArrow(decode, "line string").where(F.trim("line") != "")
+
+
+def _parsed(spark: SparkSession, uri: str, charset: str) -> tuple[list[str], DataFrame]:
+    """Names and rows of a CSV in another charset than UTF-8; lines equal to the header are none."""
+    lines = _decoded(spark, uri, charset)
+    header = lines.first()["line"]
+    names = next(csv.reader([header]))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW_LINE]])
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW_LINE}
+    record = F.from_csv("line", schema.toDDL(), options)
+    data = lines.where(F.col("line") != header)
+    return names, data.select(record.alias("r")).select("r.*")
+
+
 def scan_csv(
     spark: SparkSession,
     uri: str,
     encoding: str | None = None,
     multi_line: bool = False,
     na_tokens: list[str] | None = None,
+    detect: bool = True,
 ) -> DataFrame:
     """Read a CSV with a header row; every column is text.
 
     Lines with more fields than the header are left out, shorter ones are
     padded with nulls, and the usual missing-value tokens become null.
     ``multi_line`` allows line breaks inside quotes, at the price of files
-    that can no longer be split between tasks.
+    that can no longer be split between tasks.  With ``detect=False`` the
+    encoding is taken as given, and the file is not read to find it out.
     """
-    charset = detect_charset(spark, uri, encoding)
+    charset = detect_charset(spark, uri, encoding) if detect else encoding or "UTF-8"
     if charset.upper() != "UTF-8":
-        # Spark 4 reads only a few charsets unless asked for the JVM's own.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.options(
-        header=True, encoding=charset, quote='"', escape='"', multiLine=multi_line,
-    )
-    names = reader.csv(uri).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW_LINE]])
-    # Column pruning would hide the number of fields a line really has.
-    rows = (
-        reader.schema(schema)
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW_LINE, columnPruning=False)
-        .csv(uri)
-    )
+        if multi_line:
+            raise ValueError(f"line breaks inside quotes need a file in UTF-8, not {charset}")
+        names, rows = _parsed(spark, uri, charset)
+    else:
+        reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+        names = reader.csv(uri).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW_LINE]])
+        # Column pruning would hide the number of fields a line really has.
+        rows = (
+            reader.schema(schema)
+            .options(mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW_LINE, columnPruning=False)
+            .csv(uri)
+        )
     raw = F.col(_RAW_LINE)
     # Spark refuses to read raw lines alone; the last test, never true, keeps
     # a field beside them in every plan.

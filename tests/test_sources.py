@@ -36,6 +36,29 @@ def test_given_charset_is_used(spark, tmp_path, rows):
     assert detect_charset(spark, str(path), "utf-8") == "GB18030"
 
 
+def test_preference_that_cannot_decode_is_passed_over(spark, tmp_path, rows):
+    path = tmp_path / "raw.csv"
+    path.write_text("a,b\n名字很长,1\n价格,2\n四个字的,3\n")
+    assert detect_charset(spark, str(path), "ascii") == "UTF-8"
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    assert rows(scan_csv(spark, str(path), "ascii").select("b")) == [("1",), ("2",), ("3",)]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
+
+
+def test_data_that_nothing_decodes_is_an_error(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    with pytest.raises(ValueError, match="GB18030"):
+        detect_charset(spark, str(path))
+
+
+def test_long_quoted_field_in_an_overlong_line(spark, tmp_path, rows):
+    path = tmp_path / "raw.csv"
+    path.write_text('a,b\n"' + "x, " * 40_000 + '",1,2,3\n4,"' + 'y""' * 30_000 + '"\n')
+    (row,) = rows(scan_csv(spark, str(path)))
+    assert row[0] == "4" and len(row[1]) == 60_000
+
+
 def test_line_breaks_inside_quotes(spark, tmp_path, rows):
     path = tmp_path / "raw.csv"
     path.write_text('a,b\n"one\ntwo",3\n4,5\n')

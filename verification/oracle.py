@@ -467,10 +467,10 @@ def _preparation() -> dict[str, str]:
         "sink_json_snapshot": _trend("by_city"),
         "sink_csv_export": _trend("top_projects"),
         "insights_manifest": _sql("segments", """
-            SELECT 'cluster_city_rank' AS "table", COUNT(DISTINCT (cluster, city)) AS row_cnt, '3' AS k FROM segments
-            UNION ALL SELECT 'cluster_channel_efficiency', COUNT(DISTINCT (cluster, channel)), '3' FROM segments"""),
+            SELECT 'cluster_city_rank' AS "table", COUNT(DISTINCT (cluster, city)) AS row_cnt, 3 AS k FROM segments
+            UNION ALL SELECT 'cluster_channel_efficiency', COUNT(DISTINCT (cluster, channel)), 3 FROM segments"""),
         "build_warehouse": _sql("segments", " UNION ALL ".join(
-            f"""SELECT '{name}' AS "table", COUNT(*) AS row_cnt, '3' AS k FROM ({body})"""
+            f"""SELECT '{name}' AS "table", COUNT(*) AS row_cnt, 3 AS k FROM ({body})"""
             for name, body in [
                 ("cluster_profile", _PROFILE), ("cluster_city_rank", _CITY_RANK),
                 ("cluster_category_preference", _PREFERENCE), ("cluster_channel_efficiency", _CHANNEL),
@@ -545,6 +545,7 @@ def _preparation() -> dict[str, str]:
             COUNT(DISTINCT city) AS city_count, COUNT(DISTINCT category) AS category_count,
             COUNT(DISTINCT channel) AS channel_count FROM sales""",
             "total_sales avg_rating avg_actual_price avg_list_price avg_discount avg_review_count"),
+        "all_cities": _trend("by_city").replace("LIMIT 30", ""),
         "top_n_cities": _trend("by_city").replace("LIMIT 30", "LIMIT 15"),
     }
 

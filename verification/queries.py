@@ -83,9 +83,11 @@ def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 def _charset_fallback(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "gb_csv")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     rows = load_sales(spark, sf, "city", "approval_no")
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for writing only
     rows.write.options(header=True, encoding="GB18030").csv(path)
+    spark.conf.set("spark.sql.legacy.javaCharsets", before)
     charset = detect_charset(spark, path)
     found = scan_csv(spark, path, charset).groupBy("city", "approval_no").count()
     return found.withColumn("encoding_used", F.lit(charset))
@@ -132,7 +134,7 @@ def _insights_manifest(spark: SparkSession, sf: str) -> DataFrame:
         path = _folder(spark, name)
         operator, _ = warehouse.THEME_TABLES[name]
         written[name] = (path, sinks.emit_table(operator(rows), name, path)[1])
-    manifest = sinks.insights_manifest(spark, written, k="3")
+    manifest = sinks.insights_manifest(spark, written, k=3)
     return manifest.select("table", F.col("rows").alias("row_cnt"), "k")
 
 
@@ -313,6 +315,10 @@ def build() -> dict[str, Query]:
             lambda df: views.top_n_cities(trend.trend_section(df, "by_city")),
             "city", sales, rating, price, "discount_rate",
         ),
+        "all_cities": _on_sales(
+            lambda df: views.top_n_cities(trend.trend_section(df, "by_city", limit=None), None),
+            "city", sales, rating, price, "discount_rate",
+        ),
         "elasticity_class": _on_sales(
             lambda df: views.elasticity_class(stats.price_elasticity(df)), "category", price, sales
         ),

@@ -62,7 +62,24 @@ SELECT * REPLACE (
 FROM dirty
 """
 
+# All raw columns of the dirty rows, as they are once typed.
+_WIDE_ONCE = """
+SELECT * EXCLUDE (id, stats_month) REPLACE (
+ CASE WHEN MOD(id, 13) = 0 THEN NULL ELSE district END AS district,
+ CASE WHEN MOD(id, 29) = 0 THEN NULL WHEN MOD(id, 97) = 0 THEN list_price * 50 ELSE list_price END AS list_price,
+ CASE WHEN MOD(id, 31) = 0 THEN NULL ELSE monthly_sales END AS monthly_sales,
+ CAST(listing_date AS DATE) AS listing_date,
+ CASE WHEN MOD(id, 37) = 0 OR MOD(id, 41) = 0 THEN NULL ELSE CAST(collection_date AS DATE) END AS collection_date)
+FROM (SELECT *, CAST(FLOOR(list_price * 100 + monthly_sales) AS BIGINT) AS id FROM sales)
+"""
+_WIDE = "SELECT * FROM wide_once UNION ALL SELECT * FROM wide_once WHERE city = 'NATION_1'"
+_NUMBERS = ("list_price actual_price discount_rate monthly_sales review_count rating installment "
+            "udi_match new_customer").split()
+_LABELLED = ("platform city district store_type institution category subcategory spec project_name doctor_name "
+             "doctor_title payment_method channel activity_tag approval_no device_brand device_model").split()
+
 _BASES = {
+    "wide": [("sales", _SALES), ("wide_once", _WIDE_ONCE), ("wide", _WIDE)],
     "sales": [("sales", _SALES)],
     "segments": [("sales", _SALES), ("segments", _SEGMENTS)],
     "typed": [("sales", _SALES), ("once", _DIRTY_ONCE), ("dirty", _DIRTY), ("typed", _TYPED)],
@@ -441,6 +458,32 @@ def _inside(column: str, source: str) -> str:
      WHERE q3 <= q1 OR {column} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"""
 
 
+def _all_columns() -> dict[str, str]:
+    """Cleaning over all columns; outliers go column by column, each from what the last one left."""
+    numbers = " ".join(_NUMBERS)
+
+    def filled(source: str, labels: bool) -> str:
+        values = [f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM {source})) AS {c}" for c in _NUMBERS]
+        values += [f"COALESCE({c}, '未知') AS {c}" for c in _LABELLED if labels]
+        return f"SELECT * REPLACE ({', '.join(values)}) FROM {source}"
+
+    def inside(source: str) -> str:
+        steps, last = [], source
+        for i, c in enumerate(_NUMBERS):
+            steps.append(f"q{i} AS ({_inside(c, last)})")
+            last = f"q{i}"
+        return f"{', '.join(steps)} SELECT * FROM {last}"
+
+    month = "COALESCE(STRFTIME(collection_date, '%Y-%m'), '未知') AS stats_month"
+    return {
+        "coerce_all_columns": _sql("wide", "SELECT * FROM wide", numbers),
+        "fill_median_all_columns": _sql("wide", filled("wide", labels=False), numbers),
+        "remove_outliers_all_columns": _sql("wide", f"WITH {inside('wide')}", numbers),
+        "clean_all_columns": _sql("wide", f"""WITH u AS (SELECT DISTINCT *, {month} FROM wide),
+            f AS ({filled('u', labels=True)}), {inside('f')}""", numbers),
+    }
+
+
 def _preparation() -> dict[str, str]:
     dirty = "SELECT city, list_price, monthly_sales FROM typed"
     filled = """SELECT * REPLACE (
@@ -516,7 +559,8 @@ def _preparation() -> dict[str, str]:
         "split_single_month": _sql("sales", """SELECT institution, project_name, city, list_price, doctor_name,
             CASE WHEN ROW_NUMBER() OVER (ORDER BY institution, project_name, city, list_price, doctor_name)
              <= COUNT(*) OVER () // 2 THEN '1998-05' ELSE '1998-06' END AS stats_month
-            FROM sales WHERE stats_month = '1998-06'""", "list_price"),
+            FROM sales""", "list_price"),
+        **_all_columns(),
         "clean": _sql("typed", f"""WITH u AS ({_DISTINCT}),
             f AS ({filled.format(", COALESCE(district, '未知') AS district")}),
             a AS ({_inside('list_price', 'f')}) {_inside('monthly_sales', 'a')}""", numbers),

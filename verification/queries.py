@@ -145,8 +145,8 @@ _DATES = ("city", "collection_date")
 
 
 def _single_month(df: DataFrame) -> DataFrame:
-    """One month of listings, the input on which the month split acts."""
-    return df.where(F.col("stats_month") == "1998-06")
+    """All listings under one month, the input on which the month split acts."""
+    return df.withColumn("stats_month", F.lit("1998-06"))
 
 
 def _numeric(df: DataFrame) -> DataFrame:
@@ -159,6 +159,11 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(clean.clean(load_dirty(spark, sf, *columns), names=columns))
 
 
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    """All raw columns, with their numbers and dates."""
+    return clean.parse_dates(clean.coerce_numeric(load_dirty(spark, sf)))
+
+
 def _standardize(df: DataFrame) -> DataFrame:
     names = ["town", "kind", "spare"]
     return clean.standardize_columns(df, names)
@@ -256,6 +261,11 @@ def build() -> dict[str, Query]:
             "institution", "project_name", "city", "list_price", "doctor_name", "stats_month",
         ),
         "clean": _clean,
+        # The same over all raw columns and all nine numbers.
+        "clean_all_columns": lambda spark, sf: rounded(clean.clean(load_dirty(spark, sf))),
+        "coerce_all_columns": lambda spark, sf: rounded(_typed(spark, sf)),
+        "fill_median_all_columns": lambda spark, sf: rounded(clean.fill_median(_typed(spark, sf))),
+        "remove_outliers_all_columns": lambda spark, sf: rounded(clean.remove_outliers_iqr(_typed(spark, sf))),
         "cast_numeric_cols": _on_dirty(
             lambda df: clean.cast_numeric(df, ["monthly_sales"]), "city", "monthly_sales"
         ),

@@ -188,9 +188,8 @@ def trend_report(
 ) -> DataFrame:
     """All sections from one scan, one row per section and group, uncut.
 
-    Each row is copied once per set of keys, as (set, key_1, key_2), and all
-    sets are grouped together; copies meet again before the shuffle, so what is
-    shuffled is the size of the report.  ``key_1`` and ``key_2`` hold a
+    One aggregate over the sets of keys; rows meet before the shuffle, so what
+    is shuffled is the size of the report.  ``key_1`` and ``key_2`` hold a
     section's keys in order; measures a section does not list are null.
     """
     names = list(names or available_sections(df, roles))
@@ -202,28 +201,29 @@ def trend_report(
     rows = df.select(
         *[_key(k, roles).cast("string").alias(f"_key_{k}") for k in keys], *[F.col(c) for c in read]
     )
-    copies = [
-        ", ".join([str(i), *[f"_key_{k}" for k in s], *["CAST(NULL AS STRING)"] * (2 - len(s))])
-        for i, s in enumerate(key_sets)
-    ]
-    grouped = (
-        rows.selectExpr(
-            *[f"`{c}`" for c in read],
-            f"stack({len(copies)}, {', '.join(copies)}) AS (_set, key_1, key_2)",
-        )
-        .groupBy("_set", "key_1", "key_2")
-        .agg(F.count(F.lit(1)).alias("row_cnt"), *[measure(m, roles) for m in measures])
+    sets = [[f"_key_{k}" for k in s] for s in key_sets]
+    grouped = rows.groupingSets(sets, *[f"_key_{k}" for k in keys]).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("row_cnt"),
+        *[measure(m, roles) for m in measures],
     )
 
+    def number(s: Sequence[str]) -> int:
+        """The grouping id of a set: a bit for each key that is not in it."""
+        return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+
+    def key(place: int) -> str:
+        cases = [f"WHEN {number(s)} THEN _key_{s[place]}" for s in key_sets if len(s) > place]
+        return f"CASE _set {' '.join(cases)} END AS key_{place + 1}" if cases else f"CAST(NULL AS STRING) AS key_{place + 1}"
+
     def labelled(name: str) -> str:
         listed = SECTIONS[name].measures
         shown = [f"{m if m in listed else 'CAST(NULL AS DOUBLE)'} AS {m}" for m in measures]
         return f"struct('{name}' AS section, {', '.join(shown)})"
 
     sections = " ".join(
-        f"WHEN {i} THEN array({', '.join(labelled(n) for n in names if SECTIONS[n].keys == s)})"
-        for i, s in enumerate(key_sets)
+        f"WHEN {number(s)} THEN array({', '.join(labelled(n) for n in names if SECTIONS[n].keys == s)})"
+        for s in key_sets
     )
     return grouped.selectExpr(
-        "key_1", "key_2", "row_cnt", f"inline(CASE _set {sections} END)"
+        key(0), key(1), "row_cnt", f"inline(CASE _set {sections} END)"
     ).select("section", "key_1", "key_2", "row_cnt", *measures)

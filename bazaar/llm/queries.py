@@ -74,5 +74,33 @@ def build() -> dict[str, Query]:
     return {q.__name__: q for q in known} | {"pipeline": corpus_pipeline.run}
 
 
+# Windows as text, the last repeated one that begins at or before each word, and what it covers.
+_OP8 = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), hits AS (
+  SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d
+), marked AS (
+  SELECT x.doc_id, x.word, x.j, hits.i IS NOT NULL AND x.j - hits.i < 35 AS removed
+  FROM words x ASOF LEFT JOIN hits ON x.doc_id = hits.doc_id AND x.j >= hits.i
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT removed), '') AS rest
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    known = {"op8_substring_dedup": _OP8}
+    if corpus_pipeline.ORACLE_SQL:
+        known["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return known

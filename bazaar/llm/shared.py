@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,15 +60,15 @@ def pieces(
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into runs of rows whose texts have about ``size`` bytes together."""
     for batch in batches:
-        texts = encoded(batch.column(text))
-        begin = held = 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > size:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, held = i, 0
-            held += len(t) + 1
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        begin = 0
+        while begin < len(batch):
+            until = size + (int(ends[begin - 1]) if begin else 0)
+            stop = max(begin + 1, int(np.searchsorted(ends, until, side="right")))
+            rows = batch.slice(begin, stop - begin)
+            yield rows, encoded(rows.column(text))
+            begin = stop
 
 
 def mix(h: np.ndarray) -> np.ndarray:

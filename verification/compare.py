@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 from datetime import date, datetime
@@ -20,13 +21,15 @@ from bazaar.session import RECOMMENDED
 from verification import oracle, queries
 
 
-def session(cpus: str = "8", memory: str = "16g") -> SparkSession:
+def session(cpus: str = "8", memory: str = "16g", shared: str | None = None) -> SparkSession:
+    """A local session; ``shared`` is its folder for intermediates, a new one if not named."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bazaar")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="bazaar-shared-"))
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)

@@ -8,9 +8,9 @@ allow the similarity.  Candidates are expanded to members and verified.
 
 What is asked for are components, so a pair that is already known to be in one
 component needs no check.  First every shingle's groups are checked against the
-least of them, then components against each other by representatives, while that
-finds links.  What is left, pairs of groups in different components that share a
-prefix shingle, is checked in full.  A large group of near copies thus costs a
+least of them, then components against each other by representatives.  What is
+left, pairs of groups in different components that share a prefix shingle, is
+checked in full.  A large group of near copies thus costs a
 check per member, not per pair, and no link between components is lost.
 """
 
@@ -176,7 +176,22 @@ def _shared_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
     rows = profiles.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         unfold, "shingle long, group long, n long, place long, doc_id long"
     )
-    return rows.groupBy("shingle", "group", "n", "place").agg(F.min("doc_id").alias("doc_id"))
+    held = store(
+        rows.groupBy("shingle", "group", "n", "place").agg(F.min("doc_id").alias("doc_id")), "join-held"
+    )
+    # Copies are one group: a shingle that only they have makes no candidates.  Neither
+    # does a place too late for a partner of any size that the shingle's groups have.
+    several = held.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("_groups"), F.min("n").alias("_least"), F.max("n").alias("_most"),
+        F.min("place").alias("_first"),
+    ).where("_groups > 1")
+    n, s = F.col("n"), similarity
+    smallest = F.greatest(F.col("_least"), F.ceil(n * s / 100))
+    largest = F.least(F.col("_most"), F.floor(n * 100 / s))
+    own = F.col("place") * (100 + s) <= n * 100 - smallest * s
+    others = F.col("_first") * (100 + s) <= largest * 100 - n * s
+    fitting = held.join(several, "shingle").where((smallest <= F.col("_most")) & own & others)
+    return fitting.select("shingle", "group", "n", "place", "doc_id")
 
 
 class _Join:
@@ -184,6 +199,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, shingle: int, similarity: int):
         self.docs, self.shingle, self.similarity = docs, shingle, similarity
+        self.known: DataFrame | None = None
         counts = _frequencies(docs, shingle)
         profiles = store(_profiles(docs, shingle, similarity, counts), "join-profiles")
         rows = profiles.select(F.explode(F.arrays_zip("doc_ids", "sizes", "nodes", "groups")).alias("r"))
@@ -198,19 +214,30 @@ class _Join:
         )
         self.shared = store(_shared_shingles(profiles, similarity), "join-shingles")
 
-    def allowed(self, n: Column, m: Column) -> Column:
-        """Can sets of these sizes be similar?"""
-        return F.least(n, m) * 100 >= F.greatest(n, m) * self.similarity
+    def allowed(self, a: str, b: str) -> Column:
+        """Can two groups with a shingle in common be similar, by sizes and the shingle's places?
+
+        Similar sets of ``n`` and ``m`` share a number of shingles that follows
+        from their sizes, ``least``.  So they share one among the first n - least + 1
+        and m - least + 1, and no more than the places of a shared one leave room for.
+        """
+        n, m, p, q = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}p", f"{b}p"))
+        s = self.similarity
+        sizes = F.least(n, m) * 100 >= F.greatest(n, m) * s
+        least = F.ceil((n + m) * s / (100 + s))
+        early = (p <= n - least) & (q <= m - least)
+        room = F.least(p, q) + F.least(n - p, m - q) >= least
+        return sizes & early & room
 
     def least_groups(self) -> DataFrame:
         """Candidate groups: each shingle's groups of about one size with the least of them."""
         step = F.floor(F.log(F.col("n")) / F.log(F.lit(_SIZE_STEP)))
         sized = self.shared.withColumn("step", step)
         least = sized.groupBy("shingle", "step").agg(
-            F.min(F.struct("doc_id", "group", "n")).alias("m"), F.count(F.lit(1)).alias("k")
-        ).where("k > 1").select("shingle", "step", F.col("m.group").alias("a"), F.col("m.n").alias("an"))
-        found = sized.join(least, ["shingle", "step"]).where(self.allowed(F.col("n"), F.col("an")))
-        across = found.select("a", F.col("group").alias("b"))
+            F.min(F.struct("doc_id", "group", "n", "place")).alias("m"), F.count(F.lit(1)).alias("k")
+        ).where("k > 1").select("shingle", "step", *_named("m.", "a"))
+        found = sized.select("shingle", "step", *_named("", "b")).join(least, ["shingle", "step"])
+        across = found.where(self.allowed("a", "b")).select("a", "b")
         within = self.members.select(F.col("group").alias("a"), F.col("group").alias("b"))
         return across.unionByName(within).distinct()
 
@@ -230,19 +257,27 @@ class _Join:
             "join-labelled",
         )
 
+    def sides(self, labelled: DataFrame) -> DataFrame:
+        """The component of each group, or the group itself if its members are in several: it is torn."""
+        torn = F.min("label") != F.max("label")
+        side = F.when(torn, F.col("group")).otherwise(F.min("label"))
+        return labelled.groupBy("group").agg(side.alias("side"), torn.alias("torn"))
+
     def open_groups(self, labelled: DataFrame) -> DataFrame:
-        """(shingle, group, n, place, side) of shingles that groups of several components share.
+        """(shingle, group, n, place, side) of shingles that groups of several sides share."""
+        placed = store(self.shared.join(self.sides(labelled).select("group", "side"), "group"), "join-placed")
+        open_ = placed.groupBy("shingle").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+        return placed.join(open_.where("low <> high").select("shingle"), "shingle", "left_semi")
+
+    def _may_meet(self, a: str, b: str) -> Column:
+        """Can any group of side ``a`` have a shingle early enough for one of side ``b``?
 
-        ``side`` is the group's component, or the group itself if its members
-        are in several.
+        Sizes are known by their least and most, places by the first: for sides of
+        one group, as most are, this is exact.
         """
-        side = F.when(F.min("label") == F.max("label"), F.min("label")).otherwise(F.col("group"))
-        sides = labelled.groupBy("group").agg(side.alias("side"), (F.min("label") != F.max("label")).alias("torn"))
-        placed = self.shared.join(sides, "group")
-        open_ = placed.groupBy("shingle").agg(
-            F.min("side").alias("low"), F.max("side").alias("high"), F.max("torn").alias("any_torn")
-        ).where("low <> high or any_torn").select("shingle")
-        return store(placed.join(open_, "shingle"), "join-open")
+        s = self.similarity
+        n, m = F.col(f"{a}_most"), F.col(f"{b}_least")
+        return F.col(f"{a}_first") * (100 + s) <= n * 100 - m * s
 
     def representatives(self, open_: DataFrame) -> DataFrame:
         """Candidate groups: one group of each component at a shingle with one of the least component.
@@ -250,30 +285,30 @@ class _Join:
         Which one differs from shingle to shingle, so links between components
         have many chances to be met.
         """
-        drawn = F.struct(F.xxhash64("shingle", "group").alias("draw"), "group", "n")
+        drawn = F.struct(F.xxhash64("shingle", "group").alias("draw"), "group", "n", "place")
         one = open_.groupBy("shingle", "side").agg(F.min(drawn).alias("g"))
-        least = one.groupBy("shingle").agg(F.min(F.struct("side", "g")).alias("m"))
-        pairs = one.join(least, "shingle").where(F.col("side") != F.col("m.side"))
-        pairs = pairs.where(self.allowed(F.col("g.n"), F.col("m.g.n")))
-        return pairs.select(F.col("m.g.group").alias("a"), F.col("g.group").alias("b")).distinct()
+        least = one.groupBy("shingle").agg(F.min(F.struct("side", "g")).alias("m")).select(
+            "shingle", F.col("m.side").alias("sa"), *_named("m.g.", "a")
+        )
+        met = one.select("shingle", "side", *_named("g.", "b")).join(least, "shingle").where("side <> sa")
+        return met.where(self.allowed("a", "b")).select("a", "b").distinct()
 
-    def all_groups(self, open_: DataFrame) -> DataFrame:
+    def all_groups(self, open_: DataFrame, labelled: DataFrame) -> DataFrame:
         """All candidate groups of different components that share a prefix shingle."""
-        sides = open_.select("shingle", "side").distinct()
-        both = sides.alias("x").join(sides.alias("y"), "shingle").where("x.side < y.side")
-        both = both.select("shingle", F.col("x.side").alias("sa"), F.col("y.side").alias("sb"))
-
-        def named(name: str) -> DataFrame:
-            columns = {"group": name, "n": f"{name}n", "place": f"{name}p", "side": f"s{name}"}
-            return open_.select("shingle", *[F.col(c).alias(to) for c, to in columns.items()])
-
-        met = both.join(named("a"), ["shingle", "sa"]).join(named("b"), ["shingle", "sb"])
-        n, m, p, q = (F.col(c) for c in ("an", "bn", "ap", "bp"))
-        # Shared at places p and q: that many before, the shingle itself, and the rest after.
-        most = F.least(p, q) + 1 + F.least(n - p, m - q) - 1
-        met = met.where(self.allowed(n, m)).where(most * (100 + self.similarity) >= (n + m) * self.similarity)
-        across = met.select("a", "b")
-        torn = open_.where("side = group").select(F.col("group").alias("a"), F.col("group").alias("b"))
+        sides = open_.groupBy("shingle", "side").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("first")
+        )
+        x = sides.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("side", "least", "most", "first")])
+        y = sides.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("side", "least", "most", "first")])
+        both = x.join(y, "shingle").where("x_side < y_side").where(
+            self._may_meet("x", "y") & self._may_meet("y", "x")
+        ).select("shingle", F.col("x_side").alias("sa"), F.col("y_side").alias("sb"))
+
+        a = open_.select("shingle", F.col("side").alias("sa"), *_named("", "a"))
+        b = open_.select("shingle", F.col("side").alias("sb"), *_named("", "b"))
+        met = both.join(a, ["shingle", "sa"]).join(b, ["shingle", "sb"])
+        across = met.where(self.allowed("a", "b")).select("a", "b")
+        torn = self.sides(labelled).where("torn").select(F.col("group").alias("a"), F.col("group").alias("b"))
         return across.unionByName(torn).distinct()
 
     def all_members(self, groups: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -283,8 +318,12 @@ class _Join:
         pairs = groups.join(a, "a").join(b, "b").where("lx <> ly")
         return _ordered(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """The shingles of all nodes in ``pairs``, from the texts they stand for."""
+    def fetch_sets(self, pairs: DataFrame) -> DataFrame:
+        """The shingles of all nodes in ``pairs``; those not known yet come from the texts.
+
+        The first time this is a good part of all documents, so the texts are dealt
+        by id, whatever the size; later a few are missing, and Spark knows how few.
+        """
         shingle = self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +337,20 @@ class _Join:
                     names=["doc_id", "node", "shingles"],
                 )
 
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        needed = self.members.join(nodes, "node").select("doc_id", "node")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.known is not None:
+            nodes = nodes.join(self.known.select("node"), "node", "left_anti")
+        missing = store(self.members.join(nodes, "node").select("doc_id", "node"), "join-needed")
+        ids = missing.select("doc_id").distinct()
         texts = self.docs.select(_order().alias("doc_id"), "text")
-        of = texts.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
-        found = of.mapInArrow(run, "doc_id long, node long, shingles binary")
-        return found.join(needed, ["doc_id", "node"], "left_semi").select("node", "shingles")
+        wanted = texts.join(ids if self.known is not None else ids.hint("merge"), "doc_id", "left_semi")
+        # Repeated rows meet in their task anyway; one of them is enough.
+        once = wanted.withColumn("copy", F.xxhash64("text")).dropDuplicates(["doc_id", "copy"])
+        found = once.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, shingles binary")
+        found = found.join(missing, ["doc_id", "node"], "left_semi")
+        fetched = store(found.select("node", "shingles"), "join-sets")
+        self.known = fetched if self.known is None else self.known.unionByName(fetched)
+        return self.known
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are similar: exact sizes of intersections decide."""
@@ -321,12 +368,18 @@ class _Join:
                     keep.append(100 * shared >= similarity * (len(a) + len(b) - shared))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        sets = store(self.sets(pairs), "join-sets")
+        sets = self.fetch_sets(pairs)
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
 
 
+def _named(prefix: str, name: str) -> list[Column]:
+    """Group, size and place of a shingle under the names of one side of a pair."""
+    columns = {"group": name, "n": f"{name}n", "place": f"{name}p"}
+    return [F.col(f"{prefix}{c}").alias(to) for c, to in columns.items()]
+
+
 def _order() -> Column:
     """Ids to tell and compare documents by; those without an id come last."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
@@ -342,18 +395,14 @@ def _linked(docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame,
     join = _Join(docs, shingle, similarity)
     pairs = store(join.first_members(join.least_groups()), "join-pairs")
     links = store(join.verified(pairs), "join-links")
-    checked = pairs
-    while True:
-        labelled = join.labelled(links)
-        open_ = join.open_groups(labelled)
-        more = join.first_members(join.representatives(open_)).join(checked, ["a", "b"], "left_anti")
-        more = store(more, "join-pairs")
-        found = store(join.verified(more), "join-links")
-        checked = checked.unionByName(more)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-    rest = join.all_members(join.all_groups(open_), labelled).join(checked, ["a", "b"], "left_anti")
+    labelled = join.labelled(links)
+    met = join.first_members(join.representatives(join.open_groups(labelled)))
+    more = store(met.join(pairs, ["a", "b"], "left_anti"), "join-pairs")
+    links = links.unionByName(store(join.verified(more), "join-links"))
+    labelled = join.labelled(links)
+    checked = pairs.unionByName(more)
+    open_ = join.open_groups(labelled)
+    rest = join.all_members(join.all_groups(open_, labelled), labelled).join(checked, ["a", "b"], "left_anti")
     rest = store(rest, "join-pairs")
     found = store(join.verified(rest), "join-links")
     if not found.isEmpty():

@@ -135,7 +135,7 @@ class Words:
 
 @cache
 def _compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=1)
+    return zstandard.ZstdCompressor(level=3)
 
 
 @cache

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bazaar.llm import (
-    ann, bpe, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, toxicity,
+    ann, bpe, fim, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,10 +67,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 def build() -> dict[str, Query]:
     known = [
         op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op4_toxicity, op5_license_scans, op6_language_id,
-        op7_mix_sources, op8_substring_dedup, op9_fingerprints, op10_nearest_neighbours,
+        op7_mix_sources, op8_substring_dedup, op9_fingerprints, op10_nearest_neighbours, op12_token_counts,
+        op13_fill_in_middle,
     ]
     return {q.__name__: q for q in known} | {"pipeline": corpus_pipeline.run}
 
@@ -99,8 +114,38 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+# Lines as a list, cut at the two places the digest draws.
+_OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), n AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1,
+    CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM d
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM n
+), parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+    array_to_string(u[b + 1:], '') AS s
+  FROM cut
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle() -> dict[str, str]:
-    known = {"op8_substring_dedup": _OP8}
+    known = {"op8_substring_dedup": _OP8, "op13_fill_in_middle": _OP13}
     if corpus_pipeline.ORACLE_SQL:
         known["pipeline"] = corpus_pipeline.ORACLE_SQL
     return known

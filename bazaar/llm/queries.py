@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bazaar.llm import (
-    ann, bpe, fim, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts,
-    toxicity,
+    ann, bpe, collocations, fim, fingerprint, language, licenses, mixing, ngram_join, substring_dedup, suffix_dedup,
+    token_counts, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
@@ -83,8 +87,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict[str, Query]:
     known = [
         op1_ngram_join, op2_byte_bpe, op3_suffix_dedup, op4_toxicity, op5_license_scans, op6_language_id,
-        op7_mix_sources, op8_substring_dedup, op9_fingerprints, op10_nearest_neighbours, op12_token_counts,
-        op13_fill_in_middle,
+        op7_mix_sources, op8_substring_dedup, op9_fingerprints, op10_nearest_neighbours, op11_collocations,
+        op12_token_counts, op13_fill_in_middle,
     ]
     return {q.__name__: q for q in known} | {"pipeline": corpus_pipeline.run}
 
@@ -114,6 +118,47 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+# All phrases of one to five words with their counts, then every cut of the frequent ones.
+_OP11 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\n\x0B\f\r]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, p, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS p
+    FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m
+  ) GROUP BY lang, p HAVING count(*) >= 100
+), phrases AS (
+  SELECT lang, p, f AS a FROM f WHERE len(p) > 1
+), cuts AS (
+  SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, n, k,
+    (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM phrases) c
+    JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+    JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, len(p) - m + 2)) AS i
+        FROM (SELECT *, unnest(range(2, len(p))) AS m FROM phrases))
+  GROUP BY ALL
+), ranked AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, l, r, n, score
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.p = b.p
+  WHERE longer IS NULL OR longer < b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked QUALIFY rank <= 2000
+"""
+
 # Lines as a list, cut at the two places the digest draws.
 _OP13 = """
 WITH d AS (
@@ -145,7 +190,7 @@ FROM parts
 
 
 def oracle() -> dict[str, str]:
-    known = {"op8_substring_dedup": _OP8, "op13_fill_in_middle": _OP13}
+    known = {"op8_substring_dedup": _OP8, "op11_collocations": _OP11, "op13_fill_in_middle": _OP13}
     if corpus_pipeline.ORACLE_SQL:
         known["pipeline"] = corpus_pipeline.ORACLE_SQL
     return known

@@ -1,17 +1,19 @@
 """Phrase collocations: which words stand together far more often than by chance, by language.
 
-Blocks number their words; words are counted as rows, and the frequent ones
-return to the blocks with an id, since no phrase is more frequent than its words.
-A block puts the sequence that begins at each place into a HAT-trie, cut at the
-first rare word or end of a piece, so that one entry counts for all prefixes of
-a sequence.  Subtrees leave it as sorted runs, dealt out by the first two words.
-Runs that share prefixes meet in one task and are merged; a prefix that holds
-too much for one is dealt out anew by more words, and the sums of phrases
-shorter than that are added up at the end.
+Blocks number their words and ask which are frequent: no phrase is more frequent
+than its words.  Equal words of all blocks meet by hash, are counted, and return
+as ids.  In the same way blocks ask which pairs of neighbours are frequent.  What
+begins at each place then goes into a HAT-trie, cut where a word or pair is rare
+or the piece ends, so that one entry counts for all prefixes of a sequence.
+Subtrees leave the trie as sorted runs, dealt out by the first two words.  Runs
+that share prefixes meet in one task and are merged; a prefix that holds too
+much for one is dealt out anew by more words, and the sums of phrases shorter
+than that are added up at the end.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaar.llm.blocks import ENTRIES, Rule, answer, bucket_edges, entries, gather_bits
 from bazaar.llm.hat_trie import HatTrie, Packing, merged
-from bazaar.llm.shared import encoded, mix, pack, slices_for, store, unpack
+from bazaar.llm.shared import encoded, mix, pack, slices_for, squeeze, store, unpack, unsqueeze
 
 MIN_COUNT = 100
 LONGEST = 5
@@ -30,21 +33,31 @@ TOP = 2_000
 UNKNOWN_LANG = "und"
 
 _BREAK = b"\xff"  # no byte of UTF-8
-_BLOCKS = "block string, codes binary, skip binary, number int, lang string, word string, n long"
+_BLOCKS = (
+    "block string, bucket int, places long, codes binary, skip binary, "
+    "langs array<string>, lang_of binary, sizes binary, words binary, counts binary"
+)
+_FOUND = "block string, bucket int, ids binary, lang string, word string, id long, f long"
 _RUNS = "part string, depth int, entries long, ids binary, words binary, counts binary"
-_NAMES = {s: [c.split()[0] for c in s.split(", ")] for s in (_BLOCKS, _RUNS)}
+_TYPES = {
+    "string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(),
+    "array<string>": pa.list_(pa.string()),
+}
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """What tasks hold at once: places of a block and of a step, entries of a container, trie and merge."""
+    """What tasks hold at once: places of a block and of a step, entries of a container, trie and merge,
+    text whose words meet in a task, places whose pairs do."""
 
     block: int = 2_000_000
-    step: int = 500_000
+    step: int = 250_000
     burst: int = 40_000
-    hold: int = 1_500_000
-    part: int = 1_000_000
+    hold: int = 600_000
+    part: int = 500_000
     most_parts: int = 1_024
+    bucket_bytes: int = 64 << 20
+    bucket_pairs: int = 3_000_000
 
     @property
     def limit(self) -> int:
@@ -106,32 +119,44 @@ class _Block:
             self.skip.append(self.places + np.arange(starts, len(tokens)))
         self.places += len(codes)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The places, and the words by bucket.
+
+        The word at place p of bucket b gets the number p * buckets + b + 1:
+        nothing but the order of the words tells it.
+        """
         codes, skip = np.concatenate(self.codes), np.concatenate([np.zeros(0, dtype=np.int64), *self.skip])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([self.name]), pa.array([pack(codes)], pa.binary()), pa.array([pack(skip)], pa.binary()),
-                pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()),
-            ],
-            names=_NAMES[_BLOCKS],
-        )
         counted = np.ones(len(codes), dtype=bool)
         counted[skip] = False
         n = np.bincount(codes[counted], minlength=len(self.words) + 1)
-        for begin in range(0, len(self.words), 20_000):
-            lang, word = zip(*self.words[begin : begin + 20_000], strict=True)
-            m = len(word)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([self.name] * m), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()),
-                    pa.array(np.arange(begin + 1, begin + m + 1, dtype=np.int32)), pa.array(lang),
-                    pa.array(word, pa.binary()).cast(pa.string()), pa.array(n[begin + 1 : begin + m + 1]),
-                ],
-                names=_NAMES[_BLOCKS],
-            )
-
-
-def _to_blocks(docs: DataFrame, longest: int, sizes: Sizes) -> DataFrame:
+        number = np.zeros(len(n), dtype=np.uint32)
+        dealt: list[list[int]] = [[] for _ in range(buckets)]
+        for i in (np.argsort(-n[1:], kind="stable") + 1).tolist():
+            bucket = zlib.crc32(self.words[i - 1][1]) % buckets
+            number[i] = len(dealt[bucket]) * buckets + bucket + 1
+            dealt[bucket].append(i)
+        yield _rows(_BLOCKS, [(self.name, -1, len(codes), pack(number[codes]), pack(skip), *[None] * 5)])
+        langs = {lang: i for i, lang in enumerate(self.numbers)}
+        for bucket, held in enumerate(dealt):
+            if held:
+                words = [self.words[i - 1] for i in held]
+                yield _rows(_BLOCKS, [(
+                    self.name, bucket, 0, None, None, list(langs),
+                    pack(np.array([langs[lang] for lang, _ in words], dtype=np.uint32)),
+                    pack(np.array([len(w) for _, w in words], dtype=np.uint32)),
+                    squeeze(b"".join([w for _, w in words])), pack(n[held]),
+                )])
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, _TYPES[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[f[0] for f in fields]
+    )
+
+
+def _to_blocks(docs: DataFrame, longest: int, buckets: int, sizes: Sizes) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         block = _Block(f"{task}-{made}")
@@ -145,14 +170,94 @@ def _to_blocks(docs: DataFrame, longest: int, sizes: Sizes) -> DataFrame:
                             here = tokens[at : at + sizes.block + longest - 1]
                             block.add(lang, here, min(sizes.block, len(tokens) - at))
                             if block.places >= sizes.block:
-                                yield from block.rows()
+                                yield from block.rows(buckets)
                                 made += 1
                                 block = _Block(f"{task}-{made}")
         if block.codes:
-            yield from block.rows()
+            yield from block.rows(buckets)
+
+    return docs.mapInArrow(cut, _BLOCKS)
+
+
+def _count_words(blocks: DataFrame, min_count: int, buckets: int) -> DataFrame:
+    """The ids of each block's words (0: rare), the frequent words, and the words of each language in all."""
+
+    def count(table: pa.Table) -> pa.Table:
+        bucket, held = table.column("bucket")[0].as_py(), []
+        total: dict[str, dict[bytes, int]] = {}
+        columns = [table.column(c).to_pylist() for c in ("block", "langs", "lang_of", "sizes", "words", "counts")]
+        for block, langs, lang_of, sizes, words, counts in zip(*columns, strict=True):
+            data, ends = unsqueeze(words), np.cumsum(unpack(sizes, np.uint32), dtype=np.int64).tolist()
+            known = [total.setdefault(lang, {}) for lang in langs]
+            rows = list(zip(
+                [known[i] for i in unpack(lang_of, np.uint32).tolist()],
+                [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True,
+            ))
+            for (of, word), n in zip(rows, unpack(counts, np.int64).tolist(), strict=True):
+                of[word] = of.get(word, 0) + n
+            held.append((block, rows))
+        frequent = sorted((-f, lang, word) for lang, of in total.items() for word, f in of.items() if f >= min_count)
+        out = [(None, bucket, None, lang, None, None, sum(of.values())) for lang, of in total.items()]
+        ids: dict[int, dict[bytes, int]] = {id(of): {} for of in total.values()}
+        for place, (f, lang, word) in enumerate(frequent):
+            number = place * buckets + bucket + 1
+            ids[id(total[lang])][word] = number
+            out.append((None, bucket, None, lang, word.decode(), number, -f))
+        for block, rows in held:
+            found = np.array([ids[id(of)].get(word, 0) for of, word in rows], dtype=np.int64)
+            out.append((block, bucket, pack(found), None, None, None, None))
+        return pa.Table.from_batches([_rows(_FOUND, out)])
+
+    words = blocks.where("bucket >= 0").select("bucket", "block", "langs", "lang_of", "sizes", "words", "counts")
+    return words.groupBy("bucket").applyInArrow(count, _FOUND)
+
+
+def _placed(codes: bytes, replies: pa.Table, buckets: int) -> np.ndarray:
+    """The id of the word at each place of a block; 0 where it is rare or there is none."""
+    codes = unpack(codes, np.uint32)
+    of = np.zeros(int(codes.max(initial=0)) + 1, dtype=np.int64)
+    for kind, bucket, data in zip(*[replies.column(c).to_pylist() for c in ("kind", "bucket", "data")], strict=True):
+        if kind == _WORDS:
+            ids = unpack(data, np.int64)
+            number = np.arange(len(ids)) * buckets + bucket + 1
+            of[number[number < len(of)]] = ids[number < len(of)]
+    return of[codes]
+
+
+def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two frequent words are neighbours, and a key for each such pair: one to one while ids have 32 bits."""
+    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    return at, mix((ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1].astype(np.uint64))
+
+
+_WORDS, _BITS = 0, 1
+
+
+def _ask_pairs(blocks: DataFrame, replies: DataFrame, buckets: int, ranges: int) -> DataFrame:
+    """The distinct pairs of each block and their counts, in ranges of keys."""
+
+    def ask(block: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for name, codes, skip in zip(*[block.column(c).to_pylist() for c in ("block", "codes", "skip")], strict=True):
+            at, keys = _pairs(_placed(codes, replies, buckets))
+            counted = ~np.isin(at, unpack(skip, np.int64))
+            keys, place = np.unique(keys, return_inverse=True)
+            n = np.bincount(place[counted], minlength=len(keys)).astype(np.uint32)
+            sent = entries(0, name, bucket_edges(keys, ranges), keys, n)
+            out += [sent] if sent else []
+        return pa.Table.from_batches(out, schema=_ENTRIES)
 
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG)).alias("lang")
-    return docs.select(lang, "text").mapInArrow(cut, _BLOCKS)
+    return blocks.groupBy("block").cogroup(replies.groupBy("of_block")).applyInArrow(ask, ENTRIES)
+
+
+_ENTRIES = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in ENTRIES.split(", ")])
+
+
+def _enough(min_count: int) -> Rule:
+    def rule(a: np.ndarray, b: np.ndarray | None, first: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return (np.add.reduceat(a.astype(np.int64), first) >= min_count)[group]
+
+    return rule
 
 
 def _dealt(ids: list[np.ndarray], depth: int, into: int, turn: int) -> np.ndarray:
@@ -187,40 +292,54 @@ def _run_rows(
             f"{prefix}{p}", depth, len(of), pack(known[used.astype(np.int64) - 1]),
             pack(local.reshape(-1).astype(np.uint32)), pack(counts[of]),
         ))
-    types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NAMES[_RUNS])
+    return pa.Table.from_batches([_rows(_RUNS, rows)])
 
 
-def _trie_runs(blocks: DataFrame, ids: DataFrame, longest: int, parts: int, sizes: Sizes) -> DataFrame:
-    """Each block's sequences of frequent words, counted and dealt out as sorted runs."""
-
-    def count(block: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        number = found.column("number").to_numpy()
-        known = np.sort(found.column("id").to_numpy())
-        for codes, skip in zip(block.column("codes").to_pylist(), block.column("skip").to_pylist(), strict=True):
-            codes = unpack(codes, np.uint32)
-            word = np.zeros(max(int(codes.max(initial=0)), int(number.max(initial=0))) + 1, dtype=np.uint32)
-            word[number] = np.searchsorted(known, found.column("id").to_numpy()) + 1
-            words = np.concatenate((word[codes], np.zeros(longest, dtype=np.uint32)))
-            start = (words[:-1] > 0) & (words[1:] > 0)
+def _trie_runs(
+    blocks: DataFrame, replies: DataFrame, longest: int, buckets: int, ranges: int, parts: int, sizes: Sizes
+) -> DataFrame:
+    """Each block's sequences of frequent words and pairs, counted and dealt out as sorted runs."""
+
+    def count(block: pa.Table, replies: pa.Table) -> pa.Table:
+        out = [_run_rows("", 2, parts, np.zeros(0, dtype=np.int64), [np.zeros(0, dtype=np.uint64)] * longest, np.zeros(0))]
+        for codes, skip in zip(*[block.column(c).to_pylist() for c in ("codes", "skip")], strict=True):
+            ids = _placed(codes, replies, buckets)
+            at, keys = _pairs(ids)
+            good = np.zeros(len(ids) + longest, dtype=bool)  # is what begins here a frequent pair?
+            good[at] = True
+            if ranges:
+                keys, place = np.unique(keys, return_inverse=True)
+                bits = [
+                    (bucket, data)
+                    for kind, bucket, data in zip(
+                        *[replies.column(c).to_pylist() for c in ("kind", "bucket", "data")], strict=True
+                    )
+                    if kind == _BITS
+                ]
+                good[at] = gather_bits(bits, bucket_edges(keys, ranges))[place]
+            start = good.copy()
             start[unpack(skip, np.int64)] = False
             start = np.flatnonzero(start)
+            used = good[: len(ids)].copy()
+            used[1:] |= good[: len(ids) - 1]
+            known, local = np.unique(ids[used], return_inverse=True)
+            words = np.zeros(len(good), dtype=np.uint32)
+            words[np.flatnonzero(used)] = local + 1
             packing = Packing(len(known).bit_length(), longest)
             trie = HatTrie(packing, sizes.burst, sizes.hold)
             for begin in range(0, len(start), sizes.step):
                 at = start[begin : begin + sizes.step]
-                sequence = [words[at]]
-                for k in range(1, longest):  # a rare word or a break ends the sequence
-                    sequence.append(np.where(sequence[-1] > 0, words[at + k], 0))
+                sequence, goes_on = [words[at]], np.ones(len(at), dtype=bool)
+                for k in range(1, longest):  # a rare word or pair or a break ends the sequence
+                    goes_on &= good[at + k - 1]
+                    sequence.append(np.where(goes_on, words[at + k], 0))
                 for run in trie.add(packing.pack(sequence), np.ones(len(at), dtype=np.int64)):
                     out.append(_run_rows("", 2, parts, known, packing.unpack(run[0]), run[1]))
             for run in trie.runs():
                 out.append(_run_rows("", 2, parts, known, packing.unpack(run[0]), run[1]))
-        return pa.concat_tables(out) if out else _run_rows("", 2, parts, known, [known[:0]] * longest, known[:0])
+        return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(count, _RUNS)
+    return blocks.groupBy("block").cogroup(replies.groupBy("of_block")).applyInArrow(count, _RUNS)
 
 
 def _joined(runs: pa.Table, longest: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -355,16 +474,30 @@ def collocations(
     counts are exact, and no task holds more than ``sizes`` says.
     """
     sizes = sizes or Sizes()
-    blocks = store(_to_blocks(docs, longest, sizes), "collocations-blocks")
-    held = blocks.where("word is not null").select("block", "number", "lang", "word", "n")
-    totals = held.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = held.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    words = store(frequent.withColumn("id", F.monotonically_increasing_id()), "collocations-words")
-    places = held.agg(F.sum("n")).first()[0] or 0
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG)).alias("lang")
+    texts = docs.select(lang, "text")
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = slices_for(volume, sizes.bucket_bytes)
+    blocks = store(_to_blocks(texts, longest, buckets, sizes), "collocations-blocks")
+    found = store(_count_words(blocks, min_count, buckets), "collocations-words")
+    words = found.where("word is not null").select("id", "lang", "word", "f")
+    totals = found.where("lang is not null and word is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    coded = blocks.where("bucket < 0").select("block", "places", "codes", "skip")
+    last, places = words.agg(F.max("id")).first()[0] or 0, coded.agg(F.sum("places")).first()[0] or 0
     parts = min(sizes.most_parts, slices_for(places, sizes.part))
-    ids = held.join(words, ["lang", "word"]).select(F.col("block").alias("of_block"), "number", "id")
-    coded = blocks.where("codes is not null").select("block", "codes", "skip")
-    runs = store(_trie_runs(coded, ids, longest, parts, sizes), "collocations-runs")
+    replies = found.where("ids is not null").select(
+        F.lit(_WORDS).alias("kind"), "bucket", F.col("block").alias("of_block"), F.col("ids").alias("data")
+    )
+    # Pairs only narrow down what enters a trie: where ids outgrow their keys, all pairs of frequent words do.
+    ranges = slices_for(places, sizes.bucket_pairs) if last < 1 << 32 else 0
+    everything = replies
+    if ranges:
+        asked = _ask_pairs(coded, replies, buckets, ranges)
+        bits = answer(asked, {0: (np.uint32, np.uint32, _enough(min_count))})
+        everything = replies.unionByName(bits.select(
+            F.lit(_BITS).alias("kind"), "bucket", F.col("block").alias("of_block"), F.col("bits").alias("data")
+        ))
+    runs = store(_trie_runs(coded, everything, longest, buckets, ranges, parts, sizes), "collocations-runs")
     runs = _divide(runs, longest, sizes)
     phrases = store(_phrases(runs, longest, min_count), "collocations-phrases")
     left = store(_outermost(_scored(phrases, words, totals), absorb), "collocations-scored")

@@ -71,7 +71,6 @@ class Container:
         self.keys = np.zeros((slots, width), dtype=np.uint64)
         self.counts = np.zeros(slots, dtype=np.int64)
         self.used = np.zeros(slots, dtype=bool)
-        self.claim = np.zeros(slots, dtype=np.int64)
 
     def entries(self) -> Run:
         return self.keys[self.used], self.counts[self.used]
@@ -79,7 +78,7 @@ class Container:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         if 2 * (self.size + len(keys)) > len(self.used):
             held = self.entries()
-            self._allot(keys.shape[1], 1 << int(4 * (self.size + len(keys))).bit_length())
+            self._allot(keys.shape[1], 1 << int(2 * (self.size + len(keys))).bit_length())
             self.size = 0
             self._put(*held)
         self._put(keys, counts)
@@ -91,12 +90,13 @@ class Container:
             h = mix(h ^ column)
         slot = (h & np.uint64(mask)).astype(np.int64)
         left = np.arange(len(keys))
+        claim = np.empty(len(self.used), dtype=np.int32)
         while len(left):
             at = slot[left]
             free = ~self.used[at]
             # Of several that want a free slot the last to claim it gets it.
-            self.claim[at[free]] = left[free]
-            won = left[free][self.claim[at[free]] == left[free]]
+            claim[at[free]] = left[free]
+            won = left[free][claim[at[free]] == left[free]]
             self.keys[slot[won]], self.used[slot[won]] = keys[won], True
             self.size += len(won)
             here = (self.keys[at] == keys[left]).all(axis=1)

@@ -14,7 +14,7 @@ from tests.llm import brute
 from verification.compare import database, difference
 
 SF = "/root/testdata/sf0.001"
-SMALL = co.Sizes(block=60, step=25, burst=8, hold=20, part=15, most_parts=3)
+SMALL = co.Sizes(block=60, step=25, burst=8, hold=20, part=15, most_parts=3, bucket_bytes=150, bucket_pairs=40)
 
 
 def plain(rows, min_count, longest=5, absorb=100, top=2000):

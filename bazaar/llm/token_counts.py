@@ -12,14 +12,15 @@ truncation and budgets are answered without encoding anything again.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
@@ -37,6 +38,7 @@ _MOST_STATES = 300_000
 _SHORT = 16
 # Longer texts are handled in parts cut at white space.
 _PART_CHARS = 1 << 20
+_GAP = re.compile(r"[ \n\t]")
 
 
 def byte_letters() -> list[str]:
@@ -181,13 +183,17 @@ class TextCounts:
             raise ValueError(f"{path} has no word ends")
         self.words = WordCounts(list(model["vocab"]), [tuple(m) for m in model["merges"]])
         pattern = described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
-        self.tiles = regex.compile(rf"\s+|{pattern}").findall
+        # Texts are cut by stand-ins, which are few: letters, digits and white space can be listed.
+        listed = pattern.replace(r"\p{L}", "a-zA-Zé").replace(r"\p{N}", "0-9²").replace(r"\s", r"\t-\r ")
+        if "\\p" in listed:
+            raise ValueError(f"{path} cuts words by classes other than letters and numbers")
+        self.split = re.compile(listed).findall
+        self.tiles = re.compile(rf"[\t-\r ]+|{listed}").findall
         self.lower = _Lower()
         self.kinds = _Kinds(pre_tokenizers.Split(Regex(pattern), "removed", invert=True))
         # Longest first, so that of two that begin at one place the longer is taken.
         special = sorted((t["content"] for t in described["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self._forget()
 
     def _forget(self) -> None:
@@ -213,13 +219,11 @@ class TextCounts:
         if lower.isascii():
             words = self.tiles(lower)
         else:
-            at, words = 0, []
-            for kind in self.tiles(lower.translate(self.kinds)):
-                words.append(lower[at : at + len(kind)])
-                at += len(kind)
+            ends = list(accumulate(map(len, self.tiles(lower.translate(self.kinds)))))
+            words = [lower[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         if not words:
             return np.zeros(0, dtype=np.int64)
-        codes = np.array([self.known[w] for w in words], dtype=np.int64)
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         begin, size, flat = self.known.arrays()
         begin, size = begin[codes], size[codes]
         ends = np.cumsum(size)
@@ -234,7 +238,7 @@ class TextCounts:
         """The same, in parts if the text is long."""
         found, begin, held = [], 0, 0
         while begin < len(text):
-            gap = regex.search(r"[ \n\t]", text, pos=begin + _PART_CHARS) if len(text) - begin > _PART_CHARS else None
+            gap = _GAP.search(text, begin + _PART_CHARS) if len(text) - begin > _PART_CHARS else None
             end = gap.end() if gap else len(text)
             counts = self._part(text[begin:end]) + held
             held = int(counts[-1])

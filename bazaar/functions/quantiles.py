@@ -1,9 +1,12 @@
-"""Exact quantiles, linear between neighbours, without one task seeing all values.
-
-Spark's exact ``percentile`` keeps every distinct value in memory.  Here a
-sketch brackets the wanted rows, exact counts confirm the brackets, and the
-brackets shrink until few rows are left, which are read out as values and
-counts.  All columns and quantiles go through each step together.
+"""Exact quantiles, linear between neighbours, by radix selection.
+
+Spark's exact ``percentile`` keeps every distinct value in memory.  Here a pass
+counts rows in slots that keep the order of the values: at first by sign and
+logarithm, then by even cuts of what is left.  A slot also tells its least and
+largest value, so a wanted row is found as soon as its slot holds one value only,
+and else the slot is cut again.  After the first pass a double has less than 48
+bits left, and every further pass settles 16 of them.  All columns and quantiles
+go through each pass together, and the driver sees one row for each wanted row.
 """
 
 from __future__ import annotations
@@ -12,116 +15,146 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import no_nan
 
-# Rows of a bracket that may be read out: what reaches the driver.
-READ_ROWS = 10_000
-_ACCURACY = 10_000
+SLOTS = 1 << 16
+# Slots of an octave in the first pass, and a number that makes those of all positive doubles positive.
+_OCTAVE = 24
+_BEYOND = 1_100 * _OCTAVE
+_LARGEST = 1.7976931348623157e308
 
 
-def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], read_rows: int = READ_ROWS
-) -> dict[str, list[float | None]]:
-    """Quantiles of each column over its non-null values; nulls if it has none."""
-    df = df.select([no_nan(c).alias(c) if kind in ("double", "float") else F.col(c)
-                    for c, kind in df.select(*wanted).dtypes])
-    rows = df.agg(*[F.count(c).alias(c) for c in wanted]).first() if wanted else {}
-    brackets: dict[tuple[str, int], _Bracket] = {}
-    for c in wanted:
-        for p in wanted[c] if rows[c] else ():
-            place = p * (rows[c] - 1)
-            for rank in (math.floor(place), math.ceil(place)):
-                brackets[c, rank] = _Bracket(column=c, rank=rank, below=0, inside=rows[c])
-    while wide := [b for b in brackets.values() if b.value is None and b.inside > read_rows]:
-        _confirm(df, wide, _propose(df, wide))
-    _read_out(df, [b for b in brackets.values() if b.value is None])
+@dataclass(frozen=True)
+class Summary:
+    """Quantiles of a column, and how many of its rows have a value and how many none."""
 
-    def interpolate(c: str, p: float) -> float | None:
-        if not rows[c]:
-            return None
-        place = p * (rows[c] - 1)
-        low, high = math.floor(place), math.ceil(place)
-        if low == high:
-            return brackets[c, low].value
-        return (high - place) * brackets[c, low].value + (place - low) * brackets[c, high].value
-
-    return {c: [interpolate(c, p) for p in wanted[c]] for c in wanted}
+    quantiles: list[float | None]
+    rows: int
+    missing: int
 
 
 @dataclass
-class _Bracket:
-    """The open interval (low, high) of a column's values the row numbered ``rank`` lies in."""
+class _Wanted:
+    """The row numbered ``rank`` of a column, among those from ``low`` to ``high``, of which ``below`` come before."""
 
     column: str
     rank: int
-    below: int
-    inside: int
+    below: int = 0
     low: float | None = None
     high: float | None = None
-    value: float | None = None
-
-    def holds(self) -> Column:
-        c = F.col(self.column)
-        lower = F.lit(True) if self.low is None else c > self.low
-        upper = F.lit(True) if self.high is None else c < self.high
-        return c.isNotNull() & lower & upper
-
-
-def _propose(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[float, float]]:
-    """Bounds close around the wanted row of each bracket, from a sketch of its rows."""
-    sketches = []
-    for b in brackets:
-        share = (b.rank - b.below) / max(b.inside - 1, 1)
-        near = [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
-        held = F.when(b.holds(), F.col(b.column))
-        sketches.append(F.percentile_approx(held, near, F.lit(_ACCURACY)))
-    return [tuple(bounds) for bounds in df.agg(*sketches).first()]
-
-
-def _confirm(df: DataFrame, brackets: list[_Bracket], bounds: list[tuple[float, float]]) -> None:
-    """Count exactly where the proposed bounds lie, and shrink each bracket to match."""
-    counts = df.agg(
-        *[
-            F.count_if(test)
-            for b, (low, high) in zip(brackets, bounds, strict=True)
-            for c in (F.col(b.column),)
-            for test in (c < low, c <= low, c < high, c <= high)
-        ]
-    ).first()
-    for i, (b, (low, high)) in enumerate(zip(brackets, bounds, strict=True)):
-        lt_low, le_low, lt_high, le_high = counts[4 * i : 4 * i + 4]
-        if lt_low <= b.rank < le_low:
-            b.value = low
-        elif lt_high <= b.rank < le_high:
-            b.value = high
-        elif b.rank < lt_low:
-            b.high, b.inside = low, lt_low - b.below
-        elif b.rank >= le_high:
-            b.inside = b.below + b.inside - le_high
-            b.low, b.below = high, le_high
-        else:
-            b.low, b.high, b.below, b.inside = low, high, le_low, lt_high - le_low
-
-
-def _read_out(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Look the wanted rows up; what a bracket still holds is known to be few."""
-    if not brackets:
-        return
-    cells = [
-        F.when(b.holds(), F.struct(F.lit(i).alias("bracket"), F.col(b.column).alias("value")))
-        for i, b in enumerate(brackets)
-    ]
-    held = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
-    found: dict[int, list[tuple]] = {}
-    for row in held.groupBy("bracket", "value").count().collect():
-        found.setdefault(row["bracket"], []).append((row["value"], row["count"]))
-    for i, b in enumerate(brackets):
-        upto = b.below
-        for value, count in sorted(found[i]):
-            upto += count
-            if b.rank < upto:
-                b.value = value
-                break
+
+    def narrow(self, low: float, high: float, before: int, rows: int) -> None:
+        self.below += before
+        if self.rank == self.below:
+            high = low
+        elif self.rank == self.below + rows - 1:
+            low = high
+        self.low, self.high = low, high
+
+    @property
+    def found(self) -> bool:
+        return self.low == self.high
+
+
+def exact_quantiles(
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], slots: int = SLOTS
+) -> dict[str, list[float | None]]:
+    """Quantiles of each column over its non-null values; nulls if it has none."""
+    return {c: s.quantiles for c, s in summaries(df, wanted, slots).items()}
+
+
+def summaries(df: DataFrame, wanted: Mapping[str, Sequence[float]], slots: int = SLOTS) -> dict[str, Summary]:
+    """Quantiles with counts, from the same passes."""
+    if not wanted:
+        return {}
+    kinds = dict(df.select(*wanted).dtypes)
+    df = df.select([no_nan(c).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in wanted])
+    columns = list(wanted)
+    sizes, rows = _first_pass(df, columns, wanted)
+    while left := [r for r in rows.values() if not r.found]:
+        _next_pass(df, left, slots)
+
+    def interpolate(c: str, p: float) -> float | None:
+        n = sizes.get(c, (0, 0))[0]
+        if not n:
+            return None
+        low, high = _neighbours(p, n)
+        if low == high:
+            return rows[c, low].low
+        place = p * (n - 1)
+        return (high - place) * rows[c, low].low + (place - low) * rows[c, high].low
+
+    return {c: Summary([interpolate(c, p) for p in wanted[c]], *sizes.get(c, (0, 0))) for c in columns}
+
+
+def _neighbours(p: float, rows: int) -> tuple[int, int]:
+    place = p * (rows - 1)
+    return math.floor(place), math.ceil(place)
+
+
+def _cell(bracket: int, value: Column, slot: Column) -> Column:
+    return F.struct(F.lit(bracket).alias("bracket"), value.cast("double").alias("value"), slot.cast("long").alias("slot"))
+
+
+def _counted(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """Rows of each bracket and slot, and how many the bracket has up to there and in all."""
+    held = df.select((F.explode(F.array_compact(F.array(*cells))) if len(cells) > 1 else cells[0]).alias("cell"))
+    table = held.where("cell is not null").groupBy("cell.bracket", "cell.slot").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cell.value").alias("low"), F.max("cell.value").alias("high")
+    )
+    whole = Window.partitionBy("bracket")
+    known = F.when(F.col("slot").isNotNull(), F.col("n")).otherwise(0)
+    return table.withColumns({
+        "upto": F.sum(known).over(whole.orderBy("slot")), "rows": F.sum(known).over(whole),
+        "missing": F.sum(F.col("n") - known).over(whole),
+    })
+
+
+def _holding(table: DataFrame, ranks: Column) -> list:
+    """For each bracket the slots that hold its ``ranks``."""
+    held = table.where("slot is not null").withColumn("rank", F.explode(ranks))
+    before = F.col("upto") - F.col("n")
+    return held.where((F.col("rank") >= before) & (F.col("rank") < F.col("upto"))).collect()
+
+
+def _by_logarithm(x: Column) -> Column:
+    size = F.abs(x.cast("double"))
+    slot = F.when(size > _LARGEST, F.lit(2 * _BEYOND)).otherwise(F.floor(F.log2(size) * _OCTAVE) + _BEYOND)
+    return F.when(x.isNull(), F.lit(None)).when(size == 0, F.lit(0)).when(x > 0, slot).otherwise(-slot)
+
+
+def _first_pass(
+    df: DataFrame, columns: list[str], wanted: Mapping[str, Sequence[float]]
+) -> tuple[dict[str, tuple[int, int]], dict[tuple[str, int], _Wanted]]:
+    table = _counted(df, [_cell(i, F.col(c), _by_logarithm(F.col(c))) for i, c in enumerate(columns)])
+    ranks = F.lit(None)
+    for i, c in enumerate(columns):
+        places = [F.lit(float(p)) * (F.col("rows") - 1) for p in dict.fromkeys(wanted[c])]
+        both = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+        ranks = F.when(F.col("bracket") == i, both).otherwise(ranks)
+    sizes, rows = {}, {}
+    for r in _holding(table, ranks):
+        c = columns[r["bracket"]]
+        sizes[c] = (r["rows"], r["missing"])
+        rows[c, r["rank"]] = row = _Wanted(c, r["rank"])
+        row.narrow(r["low"], r["high"], r["upto"] - r["n"], r["n"])
+    return sizes, rows
+
+
+def _next_pass(df: DataFrame, left: list[_Wanted], slots: int) -> None:
+    brackets = list(dict.fromkeys((r.column, r.low, r.high) for r in left))
+    cells, ranks = [], F.lit(None)
+    for i, (c, low, high) in enumerate(brackets):
+        x = F.col(c)
+        slot = F.floor((x - F.lit(low)).cast("double") / F.lit(float(high - low)) * slots)
+        cells.append(F.when(x.between(low, high), _cell(i, x, slot)))
+        inside = [r.rank - r.below for r in left if (r.column, r.low, r.high) == (c, low, high)]
+        ranks = F.when(F.col("bracket") == i, F.array(*[F.lit(k).cast("long") for k in inside])).otherwise(ranks)
+    found = {(r["bracket"], r["rank"]): r for r in _holding(_counted(df, cells), ranks)}
+    for row in left:
+        at = brackets.index((row.column, row.low, row.high))
+        r = found[at, row.rank - row.below]
+        row.narrow(r["low"], r["high"], r["upto"] - r["n"], r["n"])

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import all_present, no_nan, to_number
 from bazaar.functions.ordering import ordered_prefix
-from bazaar.functions.quantiles import exact_quantiles
+from bazaar.functions.quantiles import exact_quantiles, summaries
 from bazaar.schema import (
     DATE_COLUMNS,
     DEFAULT_ROLES,
@@ -100,28 +100,33 @@ def remove_outliers_iqr(
     """Keep rows within ``factor`` interquartile ranges of the quartiles.
 
     Columns are taken in order, each looking at the rows the earlier ones
-    left; with ``sequential=False`` all look at the whole input, which needs a
-    single pass.  A column whose quartiles coincide, or that has no values,
+    left; with ``sequential=False`` all look at the whole input.  Quartiles of
+    all columns to come are found together, and again only after a column has
+    removed rows.  A column whose quartiles coincide, or that has no values,
     removes nothing.
     """
     present = _present(df, columns)
-    kept = df
-
-    def fence(frame: DataFrame, names: list[str]) -> Column | None:
-        quartiles = exact_quantiles(frame, {c: [0.25, 0.75] for c in names})
-        tests = [
-            F.col(c).between(q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
-            for c, (q1, q3) in quartiles.items()
-            if q1 is not None and q3 > q1
-        ]
-        test = F.lit(True)
-        for t in tests:
-            test = test & t
-        return test if tests else None
-
-    for names in [[c] for c in present] if sequential else [present]:
-        test = fence(kept, names)
-        kept = kept if test is None else kept.where(test)
+
+    def fences(frame: DataFrame, names: list[str]) -> Iterator[tuple[str, Column, bool]]:
+        """For each column that has one its test, and whether a row fails it."""
+        found = summaries(frame, {c: [0.0, 0.25, 0.75, 1.0] for c in names})
+        for c in names:
+            least, q1, q3, most = found[c].quantiles
+            if q1 is not None and q3 > q1:
+                low, high = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
+                removes = least < low or most > high or found[c].missing > 0
+                yield c, F.col(c).between(low, high), removes
+
+    kept, left = df, present
+    while left:
+        todo, left = left, []
+        for c, test, removes in fences(kept, todo):
+            if removes:
+                kept = kept.where(test)
+                # What later columns look like has changed only now.
+                if sequential:
+                    left = todo[todo.index(c) + 1 :]
+                    break
     return kept
 
 

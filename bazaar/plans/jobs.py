@@ -24,7 +24,8 @@ from bazaar.operators.warehouse import THEME_ORDER, THEME_TABLES
 from bazaar.schema import DEFAULT_ROLES, FEATURE_COLUMNS, Roles
 from bazaar.session import settle
 from bazaar.sinks import emit_table, insights_manifest, sink_json_snapshot, sink_parquet
-from bazaar.sources.csv import detect_charset, scan_csv
+from bazaar.sources.csv import scan_csv
+from bazaar.sources.csv_records import survey
 
 # Table -> operator over (listings, roles, price baseline).
 ADVANCED_TABLES = {
@@ -66,17 +67,17 @@ ADVANCED_ORDER = {
 
 def clean_job(
     spark: SparkSession, csv_uri: str, out_uri: str, encoding: str | None = None,
-    remove_outliers: bool = True, split_month: bool = False, multi_line: bool = False,
+    remove_outliers: bool = True, split_month: bool = False, multi_line: bool | None = None,
 ) -> dict:
     """Raw CSV to a clean Parquet table by month; says how many rows went in and out."""
-    charset = detect_charset(spark, csv_uri, encoding)
+    known = survey(spark, csv_uri, encoding)
     seen = Observation()
     # Cleaning reads the raw rows once more, and counts them on the way.
-    raw = scan_csv(spark, csv_uri, charset, multi_line, detect=False).observe(seen, F.count(F.lit(1)).alias("rows"))
+    raw = scan_csv(spark, csv_uri, multi_line=multi_line, known=known).observe(seen, F.count(F.lit(1)).alias("rows"))
     after = sink_parquet(clean(raw, remove_outliers, split_month), out_uri, DEFAULT_ROLES.stats_month)
     return {
         "total_before": seen.get["rows"], "total_after": after,
-        "output_path": out_uri, "encoding_used": charset,
+        "output_path": out_uri, "encoding_used": known.charset,
     }
 
 

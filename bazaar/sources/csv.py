@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.schema import NA_TOKENS
+from bazaar.sources.csv_records import Survey, decodable, scan_records, survey
 
 _RAW_LINE = "_raw_line"
 
@@ -41,10 +42,7 @@ def detect_charset(spark: SparkSession, uri: str, preferred: str | None = None)
 
     found = _lines(spark, uri).mapInArrow(failing, "charset string").distinct().collect()
     failed = {r["charset"] for r in found}
-    for charset in chain:
-        if charset not in failed:
-            return "UTF-8" if charset.lower().replace("-", "") == "utf8" else charset
-    raise ValueError(f"none of {chain} can decode {uri}")
+    return decodable(chain, failed, uri)
 
 
 def _field_count(line: Column) -> Column:
@@ -84,25 +82,34 @@ def scan_csv(
     spark: SparkSession,
     uri: str,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     na_tokens: list[str] | None = None,
     detect: bool = True,
+    known: Survey | None = None,
 ) -> DataFrame:
     """Read a CSV with a header row; every column is text.
 
     Lines with more fields than the header are left out, shorter ones are
     padded with nulls, and the usual missing-value tokens become null.
-    ``multi_line`` allows line breaks inside quotes, at the price of files
-    that can no longer be split between tasks.  With ``detect=False`` the
-    encoding is taken as given, and the file is not read to find it out.
+
+    ``multi_line`` says whether fields in quotes may hold line breaks; by default
+    the reading that finds out the encoding looks for some.  Files are split
+    between tasks either way, in any of the charsets.  With ``detect=False`` the
+    encoding is taken as given, the file is not read to find it out, and records
+    are lines unless ``multi_line`` is set.  A survey made before is used as ``known``.
     """
-    charset = detect_charset(spark, uri, encoding) if detect else encoding or "UTF-8"
+    tokens = NA_TOKENS if na_tokens is None else na_tokens
+    if known or multi_line or (multi_line is None and detect):
+        known = known or survey(spark, uri, encoding)
+        if multi_line or (multi_line is None and known.broken):
+            return _without(scan_records(spark, uri, known), tokens)
+        charset = known.charset
+    else:
+        charset = detect_charset(spark, uri, encoding) if detect else encoding or "UTF-8"
     if charset.upper() != "UTF-8":
-        if multi_line:
-            raise ValueError(f"line breaks inside quotes need a file in UTF-8, not {charset}")
         names, rows = _parsed(spark, uri, charset)
     else:
-        reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+        reader = spark.read.options(header=True, quote='"', escape='"')
         names = reader.csv(uri).columns
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW_LINE]])
         # Column pruning would hide the number of fields a line really has.
@@ -116,5 +123,9 @@ def scan_csv(
     # a field beside them in every plan.
     never = F.length(F.col(f"`{names[0]}`")) < 0
     kept = rows.where(raw.isNull() | (_field_count(raw) <= len(names)) | never)
-    tokens = NA_TOKENS if na_tokens is None else na_tokens
-    return kept.select([F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in names])
+    return _without(kept.select([f"`{c}`" for c in names]), tokens)
+
+
+def _without(rows: DataFrame, tokens: list[str]) -> DataFrame:
+    """Null for the tokens that stand for a missing value."""
+    return rows.select([F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in rows.columns])

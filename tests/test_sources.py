@@ -65,6 +65,13 @@ def test_line_breaks_inside_quotes(spark, tmp_path, rows):
     assert rows(scan_csv(spark, str(path), multi_line=True)) == [("4", "5"), ("one\ntwo", "3")]
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "gbk"])
+def test_line_breaks_are_found_in_any_charset(spark, tmp_path, rows, encoding):
+    path = tmp_path / "raw.csv"
+    path.write_bytes('a,b\n"名\n字",3\n4,5\n'.encode(encoding))
+    assert rows(scan_csv(spark, str(path))) == [("4", "5"), ("名\n字", "3")]
+
+
 def test_csv_export(spark, tmp_path):
     df = spark.createDataFrame([('a"b', "x,y", None, 1.5)], "p string, q string, r string, s double")
     sink_csv_export(df.coalesce(1), str(tmp_path / "out"))

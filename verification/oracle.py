@@ -497,9 +497,9 @@ def _preparation() -> dict[str, str]:
     centers = ", ".join(f"AVG({f}) AS {f}" for f in _FEATURES)
     cut = [k for k in _TREND if not k.startswith("cluster")]
     return {
-        "scan_csv": _sql("typed", """SELECT city, category, institution, district,
-            TRY_CAST(list_price AS DOUBLE) AS list_price, TRY_CAST(monthly_sales AS DOUBLE) AS monthly_sales,
-            collection_date, NULLIF(approval_no, '') AS approval_no FROM dirty""", numbers),
+        "scan_csv": _sql("wide", "SELECT * REPLACE (NULLIF(approval_no, '') AS approval_no) FROM wide", " ".join(_NUMBERS)),
+        "scan_csv_records": """SELECT o_orderkey, o_orderstatus || chr(10) || 'say "城", ' || o_orderpriority || chr(10) AS note,
+            CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS cust FROM orders""",
         "charset_fallback": _sql("sales", """SELECT city, NULLIF(approval_no, '') AS approval_no,
             COUNT(*) AS "count", 'GB18030' AS encoding_used FROM sales GROUP BY 1, 2"""),
         "scan_parquet": "SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_quantity, "

@@ -70,24 +70,38 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 # -- sources and sinks -------------------------------------------------------
 
-_TEXT = ("city", "category", "institution", "district", "list_price", "monthly_sales",
-         "collection_date", "approval_no")
-
-
 def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "raw_csv")
-    sinks.sink_csv_export(load_dirty(spark, sf, *_TEXT), path)
+    sinks.sink_csv_export(load_dirty(spark, sf), path)
     # Numbers are compared as numbers: engines spell large ones differently.
-    return rounded(clean.coerce_numeric(scan_csv(spark, path)))
+    return rounded(clean.parse_dates(clean.coerce_numeric(scan_csv(spark, path))))
+
+
+def _scan_csv_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Real texts, with the line breaks they have, through a CSV in a charset of two bytes a character."""
+    path = _folder(spark, "records_csv")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    note = F.concat_ws("\n", "o_orderstatus", F.concat(F.lit('say "城", '), "o_orderpriority"), F.lit(""))
+    rows = orders.select("o_orderkey", note.alias("note"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("cust"))
+    options = {"header": True, "encoding": "GB18030", "escape": '"', "ignoreTrailingWhiteSpace": False}
+    with_charsets(spark, lambda: rows.write.options(**options).csv(path))
+    found = scan_csv(spark, path)
+    return found.select(F.col("o_orderkey").cast("long"), "note", F.col("cust").cast("long"))
+
+
+def with_charsets(spark: SparkSession, write: Callable[[], None]) -> None:
+    """Write in a charset that Spark has only on request."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    write()
+    spark.conf.set(name, before)
 
 
 def _charset_fallback(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "gb_csv")
     rows = load_sales(spark, sf, "city", "approval_no")
-    before = spark.conf.get("spark.sql.legacy.javaCharsets")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for writing only
-    rows.write.options(header=True, encoding="GB18030").csv(path)
-    spark.conf.set("spark.sql.legacy.javaCharsets", before)
+    with_charsets(spark, lambda: rows.write.options(header=True, encoding="GB18030").csv(path))
     charset = detect_charset(spark, path)
     found = scan_csv(spark, path, charset).groupBy("city", "approval_no").count()
     return found.withColumn("encoding_used", F.lit(charset))
@@ -228,6 +242,7 @@ def build() -> dict[str, Query]:
     sales, price, rating = "monthly_sales", "actual_price", "rating"
     known: dict[str, Query] = {
         "scan_csv": _scan_csv,
+        "scan_csv_records": _scan_csv_records,
         "charset_fallback": _charset_fallback,
         "scan_parquet": lambda spark, sf: rounded(
             scan_parquet(spark, f"{sf}/lineitem.parquet", ["l_linenumber"])

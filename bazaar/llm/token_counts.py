@@ -31,9 +31,9 @@ WORD_END = "</w>"
 LIMIT = 2048
 
 # A task forgets words, pairs and beginnings it has met beyond these numbers.
-_MOST_WORDS = 400_000
-_MOST_PAIRS = 400_000
-_MOST_STATES = 300_000
+_MOST_WORDS = 800_000
+_MOST_PAIRS = 500_000
+_MOST_STATES = 800_000
 # Beginnings of words up to this many bytes are remembered.
 _SHORT = 16
 # Longer texts are handled in parts cut at white space.
@@ -53,9 +53,13 @@ class WordCounts:
 
     def __init__(self, vocabulary: list[str], merges: list[tuple[str, str]]):
         self.ranks = {pair: i for i, pair in enumerate(merges)}
-        self.inner = {t for t in vocabulary if not t.endswith(WORD_END)}
-        self.final = {t.removesuffix(WORD_END) for t in vocabulary if t.endswith(WORD_END)}
-        self.longest = max(map(len, self.inner | self.final), default=1)
+        # Where a token may stand: 1 inside a word, 2 at its end.
+        self.places = dict.fromkeys((t for t in vocabulary if not t.endswith(WORD_END)), 1)
+        for token in vocabulary:
+            if token.endswith(WORD_END):
+                part = token.removesuffix(WORD_END)
+                self.places[part] = self.places.get(part, 0) | 2
+        self.longest = max(map(len, self.places), default=1)
         self.letters = dict(enumerate(byte_letters()))
         self.pairs: dict[tuple[str, str, bool], bool] = {}
         self.states: dict[str, tuple[int, str, int]] = {}
@@ -83,17 +87,23 @@ class WordCounts:
             self.pairs[key] = known = self.merged(symbols) == [first, last]
         return known
 
-    def _state(self, text: str, i: int, count: list[int], last: list[str], ended: list[int]) -> tuple[int, str, int]:
+    def _state(self, text: str, i: int, count: list[int], last: list[str]) -> tuple[int, str, int]:
         """Tokens of the first ``i`` letters inside a word, the last of them, and tokens if the word ends there."""
         inside, token, whole = 0, "", 0
-        for j in range(max(0, i - self.longest), i):
+        places, neighbours = self.places, self.neighbours
+        for j in range(i - self.longest if i > self.longest else 0, i):
             part = text[j:i]
-            if not inside and part in self.inner and (not j or self.neighbours(last[j], part, False)):
+            place = places.get(part)
+            if place is None:
+                continue
+            if place & 1 and not inside and (not j or neighbours(last[j], part, False)):
                 inside, token = count[j] + 1, part
-            if not whole and part in self.final and (not j or self.neighbours(last[j], part, True)):
+                if whole:
+                    break
+            if place & 2 and not whole and (not j or neighbours(last[j], part, True)):
                 whole = count[j] + 1
-            if inside and whole:
-                break
+                if inside:
+                    break
         return inside, token, whole
 
     def prefixes(self, word: str) -> list[int]:
@@ -102,19 +112,21 @@ class WordCounts:
         text = data.decode("latin-1").translate(self.letters)
         n = len(text)
         count, last, ended = [0], [""], [0]
+        states = self.states
+        if len(states) > _MOST_STATES:
+            states.clear()
         for i in range(1, n + 1):
             # Words share beginnings: the state after one is kept, if it is short.
             key = text[:i] if i <= _SHORT else ""
-            state = self.states.get(key)
+            state = states.get(key)
             if state is None:
-                state = self._state(text, i, count, last, ended)
+                state = self._state(text, i, count, last)
                 if key:
-                    if len(self.states) > _MOST_STATES:
-                        self.states.clear()
-                    self.states[key] = state
-            count.append(state[0])
-            last.append(state[1])
-            ended.append(state[2])
+                    states[key] = state
+            inside, token, whole = state
+            count.append(inside)
+            last.append(token)
+            ended.append(whole)
         if n == len(word):
             return ended[1:]
         return [ended[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]

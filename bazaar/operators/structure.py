@@ -239,9 +239,12 @@ def city_similarity(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """
     cells = city_category_sales(df, roles)
     cities = cells.select("city").distinct()
-    # A cell of nothing that all cities have: it makes the pairs without a common category.
-    pairs = cities.select(F.lit(0).alias("none"), F.col("city").alias("city_a")).join(
-        cities.select(F.lit(0).alias("none"), F.col("city").alias("city_b")), "none"
+    # Pairs without a common category: every city meets every block of cities.
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    pairs = cities.select(F.col("city").alias("city_a"), every).join(
+        cities.select(F.pmod(F.xxhash64("city"), F.lit(blocks)).cast("int").alias("block"), F.col("city").alias("city_b")),
+        "block",
     )
     zeros = pairs.select("city_a", "city_b", F.lit(0.0).alias("similarity"))
     both = _shared(cells).unionByName(zeros)
@@ -250,11 +253,72 @@ def city_similarity(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     )
 
 
+# Bands of partial norms, and what rounding may take from a bound.
+_BANDS = 64
+_MARGIN = 1e-9
+# Heaviest categories of a city whose leaders are looked at first.
+_HEAVIEST = 3
+
+
+def _cosines(unit: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with their exact ``similarity``."""
+    a = unit.select(F.col("city").alias("city_a"), "category", F.col("v").alias("x"))
+    b = unit.select(F.col("city").alias("city_b"), "category", F.col("v").alias("y"))
+    both = pairs.join(a, "city_a").join(b, ["city_b", "category"])
+    return both.groupBy("city_a", "city_b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+
+
+def close_pairs(unit: DataFrame, n: int) -> DataFrame:
+    """Pairs that hold the ``n`` others of greatest cosine of each city, from unit vectors in long form.
+
+    A few leaders of a city's heaviest categories give its ``n``-th best cosine so
+    far.  Categories are then taken in one order for all cities, rare ones first:
+    two cities whose first common category is ``c`` have at most the product of
+    the norms of what each holds from ``c`` on, so they meet over ``c`` only if that
+    reaches the best so far.  Norms are cut into bands, so that those too small
+    are not even looked at.  Fewer than ``n`` leaders bound nothing.
+    """
+    popular = unit.groupBy("category").agg(F.count(F.lit(1)).alias("cities"))
+    onwards = Window.partitionBy("city").orderBy("cities", "category").rowsBetween(0, Window.unboundedFollowing)
+    left = F.sqrt(F.sum(F.col("v") * F.col("v")).over(onwards)).alias("left")
+    placed, _ = settle(unit.join(popular, "category").select("city", "category", "v", left))
+
+    heavy = Window.partitionBy("city").orderBy(F.desc(F.abs("v")), "category")
+    lead = Window.partitionBy("category").orderBy(F.desc("v"), "city")
+    mine = placed.withColumn("rn", F.row_number().over(heavy)).where(F.col("rn") <= _HEAVIEST)
+    best = placed.withColumn("rn", F.row_number().over(lead)).where(F.col("rn") <= n + 1)
+    first = mine.select("category", F.col("city").alias("city_a")).join(
+        best.select("category", F.col("city").alias("city_b")), "category"
+    )
+    first, _ = settle(first.where(F.col("city_a") != F.col("city_b")).select("city_a", "city_b").distinct())
+    nearest = Window.partitionBy("city_a").orderBy(F.desc("similarity"))
+    reached = _cosines(placed, first).withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") == n)
+    reached = reached.select(F.col("city_a").alias("city"), (F.col("similarity") - _MARGIN).alias("least"))
+
+    def band(norm: Column) -> Column:
+        return F.least(F.floor(norm * _BANDS), F.lit(_BANDS)).cast("int")
+
+    asked = placed.join(reached, "city", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(0.0)), F.lit(0.0)))
+    asked = asked.where(F.col("left") >= F.col("least")).select(
+        "category", F.col("city").alias("city_a"), F.col("left").alias("norm_a"), "least",
+        F.explode(F.sequence(band(F.col("least") / F.col("left")), F.lit(_BANDS))).alias("band"),
+    )
+    offered = placed.select(
+        "category", F.col("city").alias("city_b"), F.col("left").alias("norm_b"), band(F.col("left")).alias("band")
+    )
+    met = asked.join(offered, ["category", "band"]).where(
+        (F.col("city_a") != F.col("city_b")) & (F.col("norm_a") * F.col("norm_b") >= F.col("least"))
+    )
+    pairs = met.select("city_a", "city_b").unionByName(first).distinct()
+    return _cosines(placed, pairs)
+
+
 def city_similarity_top(df: DataFrame, n: int = 5, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """The ``n`` other cities most like each city, as an array of structs.
 
-    Where fewer have a category in common, cities of similarity zero fill up, first
-    by name: a few names are enough for all.
+    Only pairs that can be among them are formed (``close_pairs``).  Where fewer
+    have a category in common, cities of similarity zero fill up, first by name:
+    a few names are enough for all.
     """
     cells = city_category_sales(df, roles)
     cities = cells.select("city").distinct()
@@ -262,7 +326,8 @@ def city_similarity_top(df: DataFrame, n: int = 5, roles: Roles = DEFAULT_ROLES)
     zeros = cities.select(
         F.col("city").alias("city_a"), F.explode(few).alias("city_b"), F.lit(0.0).alias("similarity")
     )
-    both = _shared(cells).unionByName(zeros).groupBy("city_a", "city_b")
+    unit, _ = settle(_unit_cells(cells))
+    both = close_pairs(unit, n).unionByName(zeros).groupBy("city_a", "city_b")
     return closest_of(both.agg(F.sum("similarity").alias("similarity")), n)
 
 

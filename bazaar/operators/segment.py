@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaar.operators import kmeans
 from bazaar.operators.clean import cast_numeric, drop_null_features
 from bazaar.schema import FEATURE_COLUMNS
 from bazaar.session import settle
@@ -76,31 +76,23 @@ def standardize_features(
     return rows.withColumns({f: F.expr(e) for f, e in zip(scaling.features, scaling.expressions())})
 
 
-# Fixed, so that a fit does not depend on the cluster it runs on.
-_PARTITIONS = 64
+def _features(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The features of usable rows, stored: fitting reads them several times."""
+    rows, present = _usable(df, features)
+    stored, _ = settle(rows.select(*present))
+    return stored
 
 
-def _training_points(df: DataFrame, scaling: Scaling) -> DataFrame:
+def _training_points(rows: DataFrame, scaling: Scaling) -> DataFrame:
     """Distinct standardised points with their number of rows as weight, stored.
 
-    Equal points are collapsed before the shuffle, so one point held by a
-    large part of all rows is one row here.  Sorting within the partitions
-    makes a fit repeatable, as starting centres depend on row order.  A fit
-    reads its input several times before it caches what it iterates over.
+    Equal points are collapsed before the shuffle, so one point held by a large
+    part of all rows is one row here.
     """
     names = [f"z{i}" for i in range(len(scaling.features))]
-    rows, _ = _usable(df, scaling.features)
     points = rows.selectExpr([f"{e} AS {n}" for e, n in zip(scaling.expressions(), names)])
-    weighted = points.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    spread = weighted.repartition(_PARTITIONS, *names).sortWithinPartitions(*names)
-    stored, _ = settle(spread)
-    return VectorAssembler(inputCols=names, outputCol=_VECTOR).transform(stored).select(
-        _VECTOR, "weight"
-    )
-
-
-def _fit(points: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol=_VECTOR, weightCol="weight").fit(points)
+    stored, _ = settle(points.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias(kmeans.WEIGHT)))
+    return stored
 
 
 @dataclass(frozen=True)
@@ -123,9 +115,10 @@ def fit_segments(
     Clusters are numbered by rising centre, first feature first, so that a
     number means the same from one fit to the next.
     """
-    scaling = fit_scaling(df, features)
-    model = _fit(_training_points(df, scaling), k, seed)
-    centers = sorted(tuple(float(x) for x in c) for c in model.clusterCenters())
+    rows = _features(df, features)
+    scaling = fit_scaling(rows, features)
+    fitted, _ = kmeans.fit(_training_points(rows, scaling), [k], seed)[k]
+    centers = sorted(tuple(float(x) for x in c) for c in fitted)
     return Segmentation(scaling, tuple(centers))
 
 
@@ -198,8 +191,10 @@ def elbow_sweep(
 ) -> DataFrame:
     """Within-cluster sum of squares for each number of clusters.
 
-    The points are standardised and collapsed once for all fits.
+    All fits share their scans, and each starts from the one with a cluster less,
+    so the sum falls with the number.
     """
-    points = _training_points(df, fit_scaling(df, features))
-    costs = [(k, float(_fit(points, k, seed).summary.trainingCost)) for k in ks]
+    rows = _features(df, features)
+    found = kmeans.fit(_training_points(rows, fit_scaling(rows, features)), list(ks), seed)
+    costs = [(int(k), float(found[k][1])) for k in ks]
     return df.sparkSession.createDataFrame(costs, "k int, wcss double")

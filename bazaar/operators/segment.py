@@ -141,13 +141,10 @@ def assign_nearest_center(
         ]
         return " + ".join(gaps) or "0D"
 
-    names = [f"_distance_{i}" for i in range(len(centers))]
-    measured = df.withColumns({n: F.expr(distance(c)) for n, c in zip(names, centers)})
-    least = f"least({', '.join(names)})" if len(names) > 1 else names[0]
-    cases = " ".join(f"WHEN {n} = {least} THEN {i}" for i, n in enumerate(names[:-1]))
-    last = len(names) - 1
-    nearest = F.expr(f"CASE WHEN {least} IS NULL THEN NULL {cases} ELSE {last} END")
-    return measured.withColumn("cluster", nearest).drop(*names)
+    # Each distance stands once in the plan, however it is folded into later steps.
+    pairs = ", ".join(f"struct({distance(c)} AS distance, {i} AS cluster)" for i, c in enumerate(centers))
+    missing = " OR ".join(f"`{f}` IS NULL" for f, s in zip(scaling.features, scaling.std) if s) or "false"
+    return df.withColumn("cluster", F.expr(f"CASE WHEN {missing} THEN NULL ELSE array_min(array({pairs})).cluster END"))
 
 
 def assign_segments(df: DataFrame, model: Segmentation) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import all_present
 from bazaar.functions.ordering import ordered_prefix
+from bazaar.session import settle
 from bazaar.schema import DEFAULT_ROLES, UNKNOWN, Roles
 
 # Weights, cuts and labels of the score.
@@ -132,8 +133,20 @@ def institution_risk_bottom(
     roles: Roles = DEFAULT_ROLES,
     baseline: DataFrame | None = None,
 ) -> DataFrame:
-    """The last ``n`` institutions; none at all if there are fewer than ``n``."""
-    return bottom_of(institution_risk(df, min_rows, roles, baseline), n)
+    """The last ``n`` institutions; none at all if there are fewer than ``n``.
+
+    Only they are picked and ranked: a rank is one more than the number of larger
+    scores, and one scan counts those for all.
+    """
+    scored, rows = settle(_scored(df, min_rows, roles, baseline))
+    last = scored.orderBy(F.asc_nulls_first("risk_score"), F.desc("institution")).limit(n if rows >= n else 0)
+    scores = sorted({r["risk_score"] for r in last.select("risk_score").collect()}, key=lambda x: (x is None, x))
+    larger = [F.col("risk_score").isNotNull() if x is None else F.col("risk_score") > x for x in scores]
+    counts = scored.agg(*[F.count_if(test) for test in larger]).first() if scores else ()
+    rank = F.lit(None).cast("long")
+    for x, before in zip(scores, counts, strict=True):
+        rank = F.when(F.col("risk_score").eqNullSafe(F.lit(x).cast("double")), F.lit(before + 1).cast("long")).otherwise(rank)
+    return last.withColumn("risk_rank", rank).select(*_RANKED).orderBy("risk_rank", "institution")
 
 
 def bottom_of(risk: DataFrame, n: int = 10) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +21,6 @@ def _quoted(name: str) -> str:
     return f"`{name}`"
 
 
-def _long_matrix(one_row: DataFrame, features: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Unfold pair values, in the order ``combinations`` lists pairs, to long rows."""
-    cells = [f"'{f}', '{f}', 1D" for f in features]
-    for (a, b), value in zip(combinations(features, 2), values):
-        cells += [f"'{a}', '{b}', {value}", f"'{b}', '{a}', {value}"]
-    return one_row.selectExpr(
-        f"stack({len(cells)}, {', '.join(cells)}) AS (feature_a, feature_b, corr)"
-    )
-
-
 def pearson_matrix(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """Pearson correlation of every pair, each over the rows that have both.
 
@@ -50,20 +43,32 @@ def pearson_matrix(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) ->
     return one_row.unionByName(off_diagonal)
 
 
-def _value_ranks(df: DataFrame, features: Sequence[str], ties: str, slices: int | None) -> DataFrame:
-    """(feature, value, rank) of every distinct value; a null has no rank.
+# Distinct values of a feature up to which its ranks are looked up in every task: 16 MB.
+LOOKUP_VALUES = 1_000_000
 
-    Equal values are collapsed to counts before anything is ordered, so a
-    value held by a large part of all rows costs no more than a rare one.
-    """
+
+def _check_ties(ties: str) -> None:
     if ties not in ("min", "average"):
         raise ValueError("ties must be 'min' or 'average'")
+
+
+def _value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value, n) of every distinct value."""
     values = df.unpivot([], list(features), "feature", "value").where(F.col("value").isNotNull())
-    counts = values.groupBy("feature", "value").agg(F.sum(F.lit(1.0)).alias("n"))
+    return values.groupBy("feature", "value").agg(F.sum(F.lit(1.0)).alias("n"))
+
+
+def _value_ranks(counts: DataFrame, ties: str, slices: int | None) -> DataFrame:
+    """(feature, value, n, rank) of every distinct value; a null has no rank.
+
+    Equal values are collapsed to counts before anything is ordered, so a
+    value held by a large part of all rows costs no more than a rare one.
+    """
+    _check_ties(ties)
     upto = ordered_prefix(counts, [F.asc("value")], {"upto": "n"}, within=["feature"], slices=slices)
     first = F.col("upto") - F.col("n") + 1
     rank = first if ties == "min" else first + (F.col("n") - 1) / 2
-    return upto.select("feature", "value", rank.alias("rank"))
+    return upto.select("feature", "value", "n", rank.alias("rank"))
 
 
 def feature_ranks(
@@ -75,7 +80,11 @@ def feature_ranks(
     value: Spark broadcasts those of a feature with few values, and splits the
     reads of a frequent value otherwise.
     """
-    ranks, _ = settle(_value_ranks(df, features, ties, slices))
+    ranks, _ = settle(_value_ranks(_value_counts(df, features), ties, slices))
+    return _with_ranks(df, features, ranks)
+
+
+def _with_ranks(df: DataFrame, features: Sequence[str], ranks: DataFrame) -> DataFrame:
     out = df
     for f in features:
         of_feature = ranks.where(F.col("feature") == f).select(
@@ -95,19 +104,86 @@ def spearman_matrix(
 
     ``ties='min'`` gives equal values their lowest rank, ``'average'`` the
     mean of their ranks.
+
+    Ranks come from counts of distinct values, and so do their means and spreads.
+    The products are summed in one scan that looks ranks up by binary search; a
+    feature with more than ``LOOKUP_VALUES`` values has its ranks worked out in
+    ``slices`` of its order and joined to the rows before.
     """
+    _check_ties(ties)
     present = [f for f in features if f in df.columns]
-    complete = df.select(*present).where(all_present(present))
-    ranked = feature_ranks(complete, present, ties, slices)
-    rank = {f: _quoted(f"rank_{f}") for f in present}
-    pairs = list(combinations(present, 2))
-    # No rank is missing, so one spread per feature serves all its pairs.
-    one_row = ranked.agg(
-        *[F.expr(f"stddev_pop({r})").alias(f"sd_{f}") for f, r in rank.items()],
-        *[F.expr(f"covar_pop({rank[a]}, {rank[b]})").alias(f"cov_{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    spread = [f"{_quoted(f'sd_{a}')} * {_quoted(f'sd_{b}')}" for a, b in pairs]
-    return _long_matrix(one_row, present, [f"cov_{i} / nullif({s}, 0)" for i, s in enumerate(spread)])
+    complete, rows = settle(df.select(*[F.col(f).cast("double").alias(f) for f in present]).where(all_present(present)))
+    counts, _ = settle(_value_counts(complete, present), "feature")
+    sizes = dict(counts.groupBy("feature").count().collect())
+    small = [f for f in present if slices is None and sizes.get(f, 0) <= LOOKUP_VALUES]
+    tables = {f: _Ranks.of(counts.where(F.col("feature") == f), ties) for f in small}
+    large = [f for f in present if f not in small]
+    moments = {f: (t.mean, t.spread) for f, t in tables.items()}
+    if large:
+        ranks, _ = settle(_value_ranks(counts.where(F.col("feature").isin(large)), ties, slices))
+        complete = _with_ranks(complete, large, ranks)
+        n, r = F.col("n"), F.col("rank")
+        mean = (F.sum(n * r) / F.sum(n)).alias("mean")
+        squares = ranks.join(ranks.groupBy("feature").agg(mean), "feature").groupBy("feature").agg(
+            F.first("mean").alias("mean"), F.sqrt(F.sum(n * (r - F.col("mean")) ** 2) / F.sum(n)).alias("spread")
+        )
+        moments |= {row["feature"]: (row["mean"], row["spread"]) for row in squares.collect()}
+    sums = _rank_products(complete, present, tables, {f: moments[f][0] for f in large if f in moments})
+    cells = [(f, f, 1.0) for f in present]
+    for a, b in combinations(present, 2):
+        spread = moments[a][1] * moments[b][1] if rows else 0.0
+        corr = sums[a, b] / rows / spread if spread else None
+        cells += [(a, b, corr), (b, a, corr)]
+    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, corr double")
+
+
+@dataclass(frozen=True)
+class _Ranks:
+    """Values of a feature in order, their ranks less the mean, and the moments of the ranks."""
+
+    values: np.ndarray
+    centered: np.ndarray
+    mean: float
+    spread: float
+
+    @classmethod
+    def of(cls, counts: DataFrame, ties: str) -> _Ranks:
+        table = counts.select("value", "n").toArrow()
+        values, n = table.column("value").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(values)
+        values, n = values[order], n[order]
+        rank = np.cumsum(n) - n + (1 if ties == "min" else (n + 1) / 2)
+        mean = float(np.average(rank, weights=n)) if len(n) else 0.0
+        centered = rank - mean
+        spread = float(np.sqrt(np.average(centered**2, weights=n))) if len(n) else 0.0
+        return cls(values, centered, mean, spread)
+
+
+def _rank_products(
+    rows: DataFrame, features: Sequence[str], tables: dict[str, _Ranks], means: dict[str, float]
+) -> dict[tuple[str, str], float]:
+    """Sums of products of centred ranks, for every pair of features."""
+    pairs = list(combinations(features, 2))
+    if not pairs:
+        return {}
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    columns = [f if f in tables else f"rank_{f}" for f in features]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(features), len(features)))
+        for batch in batches:
+            ranks = np.empty((len(batch), len(features)))
+            for i, (f, c) in enumerate(zip(features, columns, strict=True)):
+                x, table = batch.column(c).to_numpy(), shared.value.get(f)
+                ranks[:, i] = table.centered[np.searchsorted(table.values, x)] if table else x - means[f]
+            total += ranks.T @ ranks
+        cells = [total[features.index(a), features.index(b)] for a, b in pairs]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int32()), pa.array(cells)], names=["pair", "s"])
+
+    features = list(features)
+    found = rows.select(*[_quoted(c) for c in columns]).mapInArrow(add, "pair int, s double")
+    sums = dict(found.groupBy("pair").agg(F.sum("s")).collect())
+    return {pair: sums.get(i, 0.0) for i, pair in enumerate(pairs)}
 
 
 def price_elasticity(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:

@@ -15,8 +15,6 @@ from bazaar.session import settle
 BREAKPOINTS = (0.5, 0.8, 0.95)
 # Columns a wide table may have.
 MAX_COLUMNS = 1_000
-# Parts that the institutions of one city or category are dealt into.
-_PARTS = 64
 
 
 def _sales_by(df: DataFrame, *by: str, roles: Roles, total: str) -> DataFrame:
@@ -69,35 +67,30 @@ def hhi_overall(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
 def _hhi_within(df: DataFrame, by: str, roles: Roles) -> DataFrame:
     """Concentration within each ``by`` group.
 
-    A group's institutions are dealt by a hash; each part yields its sums and its
-    ten largest, and a group's parts add up.  So a group holding most
-    institutions is never one task's work, and nothing is joined.
+    The ten largest of a group are picked before anything is shuffled, and then
+    from at most ten of each task, so a group holding most institutions is never
+    one task's work.  Sums and leaders are joined by addition.
     """
     shops = _sales_by(df, by, "institution", roles=roles, total="ss")
-    salt = F.pmod(F.xxhash64("institution"), F.lit(_PARTS))
-    parts = shops.groupBy(by, salt.alias("_part")).agg(
+    largest = Window.partitionBy(by).orderBy(F.desc_nulls_last("ss"), "institution")
+    leaders = shops.withColumn("rn", F.row_number().over(largest)).where(F.col("rn") <= 10)
+    sums = shops.groupBy(by).agg(
         F.sum("ss").alias("ss"),
         F.sum(F.col("ss") * F.col("ss")).alias("squares"),
         F.count(F.lit(1)).alias("shops"),
-        _largest(F.collect_list("ss")).alias("top"),
+        F.lit(None).cast("double").alias("top10"),
     )
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ss", "double"), ("squares", "double"), ("shops", "long"))]
+    both = sums.unionByName(leaders.groupBy(by).agg(F.sum("ss").alias("top10")).select(by, *none, "top10"))
     total = F.sum("ss")
-    leaders = F.aggregate(
-        _largest(F.flatten(F.collect_list("top"))), F.lit(None).cast("double"),
-        lambda found, v: F.coalesce(found, F.lit(0.0)) + v,
-    )
-    return parts.groupBy(by).agg(
+    return both.groupBy(by).agg(
         (ratio(F.sum("squares"), total * total) * 10000).alias("hhi"),
-        ratio(leaders, total).alias("cr10"),
+        ratio(F.sum("top10"), total).alias("cr10"),
         F.sum("shops").alias("institution_count"),
         total.alias("total_sales"),
     )
 
 
-def _largest(values: Column, n: int = 10) -> Column:
-    return F.slice(F.sort_array(values, asc=False), 1, n)
-
-
 def hhi_by_city(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     return (
         _hhi_within(df, "city", roles)

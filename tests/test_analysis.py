@@ -170,3 +170,39 @@ def test_orphan_keys_count_nowhere(spark, tmp_path):
                                              "actual_price", "list_price", "discount_rate", "review_count"), "summary")
     by_city = trend.trend_section(whole, "by_city")
     assert summary.first()["row_cnt"] == by_city.agg(F.sum("project_count")).first()[0] == whole.count() < 6000
+
+
+def test_ranks_looked_up_and_joined_agree(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(rng.integers(0, 9, 400), rng.normal(size=400), rng.integers(-3, 3, 400))]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0), (0.0, -0.0, 0.0)], "a double, b double, c double")
+    for ties in ("min", "average"):
+        found = {}
+        for limit in (0, 20, 10_000):  # none, some and all features are looked up
+            monkeypatch.setattr(stats, "LOOKUP_VALUES", limit)
+            found[limit] = _matrix(stats.spearman_matrix(df, features=("a", "b", "c"), ties=ties))
+        for pair, corr in found[10_000].items():
+            assert found[0][pair] == pytest.approx(corr) and found[20][pair] == pytest.approx(corr)
+
+
+def test_leaders_are_picked_before_the_shuffle(spark):
+    df = spark.range(5_000).select(
+        F.when(F.col("id") >= 0, "one").alias("city"), F.concat(F.lit("i"), "id").alias("institution"), (F.col("id") + 1.0).alias("monthly_sales")
+    )
+    found = structure.hhi_by_city(df)
+    (row,) = found.collect()
+    assert row["cr10"] == pytest.approx(sum(range(4_991, 5_001)) / sum(range(1, 5_001))) and row["institution_count"] == 5_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "collect_list" not in plan
+
+
+def test_bottom_ranks_count_larger_scores(spark):
+    rows = [(f"i{i:02}", 1.0 if i % 3 else 0.0, 4.5, 10.0, 1.0, "国械1") for i in range(30) for _ in range(5)]
+    df = spark.createDataFrame(rows, "institution string, udi_match double, rating double, actual_price double, "
+                                     "monthly_sales double, approval_no string")
+    ranked = {r["institution"]: r["risk_rank"] for r in compliance.institution_risk(df).collect()}
+    last = compliance.institution_risk_bottom(df, n=22)
+    assert {r["institution"]: r["risk_rank"] for r in last.collect()} == {
+        i: r for i, r in sorted(ranked.items(), key=lambda x: (x[1], x[0]))[-22:]}
+    assert {r["risk_rank"] for r in last.collect()} == {1, 11}
+    assert compliance.institution_risk_bottom(df, n=31).isEmpty()

@@ -107,8 +107,8 @@ _BLOCKS = "block string, bucket int, doc_ids array<long>, sizes binary, numbers
 class _Block:
     """Documents as numbers of words, until the block is full."""
 
-    def __init__(self, name: str, buckets: int):
-        self.name, self.buckets = name, buckets
+    def __init__(self, name: str, buckets: int, most: int):
+        self.name, self.buckets, self.most = name, buckets, most
         self.numbers, self.codes, self.doc_ids = _Numbers(), [], []
         self.tokens = 0
 
@@ -119,7 +119,7 @@ class _Block:
         self.tokens += len(words)
 
     def full(self) -> bool:
-        return len(self.numbers) >= BLOCK_WORDS or self.tokens >= BLOCK_TOKENS
+        return len(self.numbers) >= BLOCK_WORDS or self.tokens >= self.most
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """First the words by bucket, then the documents in runs.
@@ -157,11 +157,11 @@ class _Block:
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
 
-def _to_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+def _to_blocks(docs: DataFrame, pattern: str, buckets: int, most: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         task, made = TaskContext.get().partitionId(), 0
-        block = _Block(f"{task}-{made}", buckets)
+        block = _Block(f"{task}-{made}", buckets, most)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for doc_id, text in zip(ids, encoded(batch.column("text")), strict=True):
@@ -169,7 +169,7 @@ def _to_blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 if block.full():
                     yield from block.rows()
                     made += 1
-                    block = _Block(f"{task}-{made}", buckets)
+                    block = _Block(f"{task}-{made}", buckets, most)
         if block.doc_ids:
             yield from block.rows()
 
@@ -236,17 +236,20 @@ def _reassemble(blocks: pa.Table, words: pa.Table, buckets: int) -> pa.Table:
     return pa.table([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, buckets: int | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, pattern: str, buckets: int | None = None, block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
     """``doc_id`` and token ``ids`` of every text, in a row for each row of ``docs``.
 
     ``vocabulary`` is the path of a file of ranks that every machine has,
     ``pattern`` cuts texts into pre-tokens.  Null and empty texts have no ids.
     Repeated rows stay repeated.  Words are dealt out to ``buckets``, by default
-    as many as the session has shuffle partitions.
+    as many as the session has shuffle partitions.  A block ends at ``block_tokens``
+    pre-tokens: smaller ones take less memory, and send more words.
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = store(_to_blocks(docs, pattern, buckets), "bpe-blocks")
+    blocks = store(_to_blocks(docs, pattern, buckets, block_tokens), "bpe-blocks")
     ids = _encode_words(blocks.where(F.col("bucket") >= 0), vocabulary)
     held = blocks.where(F.col("bucket") < 0).select("block", "doc_ids", "sizes", "numbers")
     together = held.groupBy("block").cogroup(ids.groupBy("block"))
@@ -273,7 +276,7 @@ def decode(encoded_docs: DataFrame, vocabulary: str) -> DataFrame:
     return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, n_tokens`` and the digests of the ids and of the bytes they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +295,6 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return encode(docs, vocabulary, pattern).mapInArrow(
+    return encode(docs, vocabulary, pattern, block_tokens=block_tokens).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

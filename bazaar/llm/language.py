@@ -22,8 +22,6 @@ from bazaar.llm.shared import held_out, pieces
 DIMENSIONS = 512
 LETTERS = 64  # 0 is whatever is no letter
 RUNS = LETTERS**3
-# Learned languages pass through the driver, as counts of runs.
-MAX_LANGUAGES = 1_000
 UNDETERMINED = "und"
 _PIECE = 1 << 19
 _KEPT_VECTORS = 32_768
@@ -97,8 +95,17 @@ class _Vectors:
         return out
 
 
+# Texts whose counts of runs are laid out at once.
+_TEXTS = 256
+
+
 def text_vectors(texts: list[bytes], vectors: _Vectors) -> np.ndarray:
     """The vector of each text; counts are damped by a root, as common runs say less."""
+    parts = [_text_vectors(texts[i : i + _TEXTS], vectors) for i in range(0, len(texts), _TEXTS)]
+    return np.concatenate(parts) if parts else np.zeros((0, vectors.kept.shape[1]), dtype=np.float32)
+
+
+def _text_vectors(texts: list[bytes], vectors: _Vectors) -> np.ndarray:
     text_of, run = runs_of(texts)
     present = np.flatnonzero(np.bincount(run, minlength=RUNS))
     place = np.zeros(RUNS, dtype=np.int32)
@@ -144,20 +151,21 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 11
     spoken = docs.where(F.col("lang").isNotNull()).select("text", "lang")
     found = spoken.mapInArrow(count, "lang string, run int, n long")
     by_run = found.groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    langs = [r["lang"] for r in spoken.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    profiles = {lang: np.zeros(dimensions, dtype=np.float64) for lang in sorted(langs)}
-    learned = by_run.toArrow()
-    lang_of = np.array(learned.column("lang").to_pylist(), dtype=object)
-    runs, n = learned.column("run").to_numpy(), learned.column("n").to_numpy()
-    for lang in profiles:
-        mine = np.flatnonzero(lang_of == lang)
-        for i in range(0, len(mine), 8192):
-            at = mine[i : i + 8192]
-            profiles[lang] += np.sqrt(n[at]) @ run_vectors(runs[at], dimensions, seed)
-        profiles[lang] /= max(np.linalg.norm(profiles[lang]), 1e-12)
-    return profiles
+
+    def bundle(table: pa.Table) -> pa.Table:
+        runs, n = table.column("run").to_numpy(), table.column("n").to_numpy()
+        runs, n = runs[order := np.argsort(runs)], n[order]
+        total = np.zeros(dimensions, dtype=np.float64)
+        for i in range(0, len(runs), 8192):
+            total += np.sqrt(n[i : i + 8192]) @ run_vectors(runs[i : i + 8192], dimensions, seed)
+        total /= max(np.linalg.norm(total), 1e-12)
+        return pa.table([table.column("lang").slice(0, 1), pa.array([total.tolist()])], names=["lang", "vector"])
+
+    # The driver gets a few kilobytes for each language, whatever its texts.
+    known = by_run.groupBy("lang").applyInArrow(bundle, "lang string, vector array<double>").collect()
+    found = {r["lang"]: np.array(r["vector"]) for r in known}
+    langs = sorted(r["lang"] for r in spoken.select("lang").distinct().collect())
+    return {lang: found.get(lang, np.zeros(dimensions)) for lang in langs}
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"

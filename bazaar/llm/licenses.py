@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bazaar.llm.shared import NOT_ALNUM, Words, mix, pieces, prefix_sums, span_hash
+from bazaar.llm.shared import NOT_ALNUM, Words, mix, pieces
 
 # The phrases that are looked for in any case, and their labels.
 PHRASES = {
@@ -180,7 +180,7 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[str]) -> np.ndarray:
     spans = Words([w.encode() for w in words], NOT_ALNUM)
-    return span_hash(prefix_sums(spans.bytes), spans.start, spans.end)
+    return spans.hashes()
 
 
 def scanner(templates: Mapping[str, list[str]], phrases: Mapping[str, str]) -> Scanner:

@@ -19,8 +19,6 @@ from bazaar.llm.shared import slices_for, store
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-# Targets and totals of the sources pass through the driver: they must be this few.
-MAX_SOURCES = 100_000
 ROWS_PER_SLICE = 50_000
 
 
@@ -77,9 +75,8 @@ def mix_sources(
     count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = store(docs.select("doc_id", "source", count.alias("size"), *carry), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    sizes = totals.limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    # Shares are levelled among all sources at once: the driver sees a row for each.
+    sizes = totals.collect()
     targets = source_targets([(r["source"], r["size"]) for r in sizes], weights, max_repeats)
     rows = sum(r["rows"] for r in sizes)
     budget = sum(r["size"] for r in sizes)
@@ -87,7 +84,7 @@ def mix_sources(
         targets, "source_no int, source string, source_size long, target double"
     )
     known = sized.join(
-        F.broadcast(table), sized["source"].eqNullSafe(table["source"])
+        table, sized["source"].eqNullSafe(table["source"])
     ).drop("source")
     queued = store(_queue(known, seed, slices_for(rows, rows_per_slice)), "mix-queue")
     return _cut(queued, budget, max_repeats, slices_for(rows, rows_per_slice), carry)

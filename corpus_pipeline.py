@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bazaar.llm import bpe, language, mixing, ngram_join, suffix_dedup
 from bazaar.llm.shared import store
 
+BLOCK_TOKENS = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -52,7 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts of every row, and digests of its ids and of the bytes they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    # Executors are well filled by the stages before: small blocks.
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, block_tokens=BLOCK_TOKENS)
 
 
 STAGES = [

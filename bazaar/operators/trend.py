@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bazaar.schema import DEFAULT_ROLES, UNKNOWN, Roles
 
 # Measure -> (aggregate, role it reads).
-_MEASURES = {
+MEASURES = {
     "total_sales": (F.sum, "monthly_sales"),
     "avg_rating": (F.avg, "rating"),
     "avg_actual_price": (F.avg, "actual_price"),
@@ -24,9 +24,9 @@ _MEASURES = {
 
 def measure(name: str, roles: Roles = DEFAULT_ROLES) -> Column:
     """A named aggregate; a name that is not a measure counts rows."""
-    if name not in _MEASURES:
+    if name not in MEASURES:
         return F.count(F.lit(1)).alias(name)
-    aggregate, role = _MEASURES[name]
+    aggregate, role = MEASURES[name]
     return aggregate(*roles.of(role)).alias(name)
 
 
@@ -150,7 +150,7 @@ def _key(role: str, roles: Roles) -> Column:
 def inputs(section: Section, roles: Roles = DEFAULT_ROLES) -> list[str]:
     """The columns a section reads."""
     keys = ["discount_rate" if k == "discount_band" else k for k in section.keys]
-    read = [_MEASURES[m][1] for m in section.measures if m in _MEASURES]
+    read = [MEASURES[m][1] for m in section.measures if m in MEASURES]
     return roles.of(*dict.fromkeys([*keys, *read]))
 
 
@@ -193,26 +193,38 @@ def trend_report(
     section's keys in order; measures a section does not list are null.
     """
     names = list(names or available_sections(df, roles))
-    key_sets = list(dict.fromkeys(SECTIONS[n].keys for n in names))
-    keys = list(dict.fromkeys(k for s in key_sets for k in s))
-    measures = list(dict.fromkeys(m for n in names for m in SECTIONS[n].measures if m in _MEASURES))
-
-    read = roles.of(*dict.fromkeys(_MEASURES[m][1] for m in measures))
-    rows = df.select(
-        *[_key(k, roles).cast("string").alias(f"_key_{k}") for k in keys], *[F.col(c) for c in read]
-    )
-    sets = [[f"_key_{k}" for k in s] for s in key_sets]
-    grouped = rows.groupingSets(sets, *[f"_key_{k}" for k in keys]).agg(
+    key_sets, keys, measures = parts_of(names)
+    read = roles.of(*dict.fromkeys(MEASURES[m][1] for m in measures))
+    rows = df.select(*key_columns(keys, roles), *[F.col(c) for c in read])
+    grouped = rows.groupingSets([[f"_key_{k}" for k in s] for s in key_sets], *[f"_key_{k}" for k in keys]).agg(
         F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("row_cnt"),
         *[measure(m, roles) for m in measures],
     )
+    return sections_of(grouped, names)
+
+
+def parts_of(names: Sequence[str]) -> tuple[list[tuple[str, ...]], list[str], list[str]]:
+    """The sets of keys, the keys, and the measures that sections have between them."""
+    key_sets = list(dict.fromkeys(SECTIONS[n].keys for n in names))
+    keys = list(dict.fromkeys(k for s in key_sets for k in s))
+    return key_sets, keys, list(dict.fromkeys(m for n in names for m in SECTIONS[n].measures if m in MEASURES))
+
+
+def key_columns(keys: Sequence[str], roles: Roles) -> list[Column]:
+    return [_key(k, roles).cast("string").alias(f"_key_{k}") for k in keys]
+
+
+def set_number(keys: Sequence[str], key_set: Sequence[str]) -> int:
+    """The grouping id of a set: a bit for each key that is not in it."""
+    return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in key_set)
+
 
-    def number(s: Sequence[str]) -> int:
-        """The grouping id of a set: a bit for each key that is not in it."""
-        return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+def sections_of(grouped: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Grouped sets of keys (``_set``, ``_key_...``, ``row_cnt``, measures) as rows of sections."""
+    key_sets, keys, measures = parts_of(names)
 
     def key(place: int) -> str:
-        cases = [f"WHEN {number(s)} THEN _key_{s[place]}" for s in key_sets if len(s) > place]
+        cases = [f"WHEN {set_number(keys, s)} THEN _key_{s[place]}" for s in key_sets if len(s) > place]
         return f"CASE _set {' '.join(cases)} END AS key_{place + 1}" if cases else f"CAST(NULL AS STRING) AS key_{place + 1}"
 
     def labelled(name: str) -> str:
@@ -221,7 +233,7 @@ def trend_report(
         return f"struct('{name}' AS section, {', '.join(shown)})"
 
     sections = " ".join(
-        f"WHEN {number(s)} THEN array({', '.join(labelled(n) for n in names if SECTIONS[n].keys == s)})"
+        f"WHEN {set_number(keys, s)} THEN array({', '.join(labelled(n) for n in names if SECTIONS[n].keys == s)})"
         for s in key_sets
     )
     return grouped.selectExpr(

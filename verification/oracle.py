@@ -496,6 +496,9 @@ def _preparation() -> dict[str, str]:
     gap = " + ".join(f"POWER((s.{f} - c.{f}) / a.d_{f}, 2)" for f in _FEATURES)
     centers = ", ".join(f"AVG({f}) AS {f}" for f in _FEATURES)
     cut = [k for k in _TREND if not k.startswith("cluster")]
+    centers_given = f"""WITH c AS (SELECT {centers} FROM segments GROUP BY cluster), a AS (SELECT {moments} FROM segments),
+        g AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY list_price) - 1 AS INTEGER) AS cluster, c.*,
+         {', '.join(f'(c.{f} - a.m_{f}) / a.d_{f} AS z_{f}' for f in _FEATURES)} FROM c CROSS JOIN a)"""
     return {
         "scan_csv": _sql("wide", "SELECT * REPLACE (NULLIF(approval_no, '') AS approval_no) FROM wide", " ".join(_NUMBERS)),
         "scan_csv_records": """SELECT o_orderkey, o_orderstatus || chr(10) || 'say "城", ' || o_orderpriority || chr(10) AS note,
@@ -579,6 +582,12 @@ def _preparation() -> dict[str, str]:
              FROM sales s CROSS JOIN (SELECT {moments} FROM sales) a
              {' '.join(f'CROSS JOIN (SELECT {centers} FROM segments WHERE cluster = {i}) c{i}' for i in range(3))}
             ) s""", " ".join(_FEATURES)),
+        "cluster_centers_given": _sql("segments", f"""{centers_given}
+            {' UNION ALL '.join(f"SELECT cluster, '{f}' AS feature, z_{f} AS center, {f} AS center_original FROM g" for f in _FEATURES)}""",
+            "center center_original"),
+        "centers_table_given": _sql("segments", f"""{centers_given}
+            SELECT cluster, {', '.join(f'z_{f} AS {f}' for f in _FEATURES)} FROM g""", " ".join(_FEATURES)),
+        "assemble_features_given": _sql("sales", f"SELECT {', '.join(_FEATURES)} FROM sales", " ".join(_FEATURES)),
         "trend_report": _trend_report(list(_TREND)),
         "analytics_for_month": _trend_report(cut, "WHERE stats_month = '1998-06'"),
         "month_options": _sql("sales", "SELECT stats_month, COUNT(*) AS row_cnt FROM sales "
@@ -598,5 +607,7 @@ def build() -> dict[str, str]:
     known = {**{n: _trend(n) for n in _TREND}, **_themes(), **_analysis(), **_preparation()}
     for name in ("spearman_matrix", "pareto_projects", "institution_risk"):
         known[f"{name}_sliced"] = known[name]
+    for name in ("trend_report", "cluster_doctor_matching"):
+        known[f"{name}_by_months"] = known[name]
     known["remove_outliers_iqr_narrowed"] = known["remove_outliers_iqr"]
     return known

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar import sinks
-from bazaar.operators import clean, compliance, segment, stats, structure, trend, views, warehouse
+from bazaar.operators import clean, compliance, increments, segment, stats, structure, trend, views, warehouse
 from bazaar.plans import jobs
 from bazaar.schema import FEATURE_COLUMNS
 from bazaar.session import checkpoint_folder
@@ -200,6 +200,15 @@ def _assign_nearest(df: DataFrame) -> DataFrame:
     return segment.assign_nearest_center(df, centers, scaling)
 
 
+def _given_model(spark: SparkSession, sf: str) -> segment.Segmentation:
+    """The means of the three rule segments as a model, numbered by rising first feature."""
+    rows = load_segmented(spark, sf, *FEATURE_COLUMNS)
+    scaling = segment.fit_scaling(rows)
+    means = rows.groupBy("cluster").agg(*[F.avg(f).alias(f) for f in FEATURE_COLUMNS]).collect()
+    centers = [tuple((r[f] - m) / s for f, m, s in zip(FEATURE_COLUMNS, scaling.mean, scaling.std)) for r in means]
+    return segment.Segmentation(scaling, tuple(sorted(centers)))
+
+
 def _kmeans_profile(spark: SparkSession, sf: str) -> DataFrame:
     listings = load_sales(spark, sf, *FEATURE_COLUMNS)
     return rounded(warehouse.cluster_profile(segment.kmeans_cluster(listings)))
@@ -223,6 +232,33 @@ def _advanced_report(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.select("table", F.col("rows").alias("row_cnt"))
 
 
+def _by_months(df: DataFrame, path: str, partials: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Partial results stored in two runs, the second adding months to the first."""
+    early = F.col("stats_month") < "1995-01"
+    made = [partials(df.where(early)), partials(df.where(~early))]
+    for part in made:
+        increments.put_months(part, path)
+    return increments.stored_months(df.sparkSession, path, made[0])
+
+
+def _trend_by_months(spark: SparkSession, sf: str) -> DataFrame:
+    df = load_segmented(spark, sf, *LISTING_COLUMNS)
+    stored = _by_months(df, _folder(spark, "trend_months"), increments.trend_partials)
+    return rounded(increments.trend_report_of(stored, trend.available_sections(df)))
+
+
+def _doctors_by_months(spark: SparkSession, sf: str) -> DataFrame:
+    df = load_segmented(
+        spark, sf, "doctor_title", "doctor_name", "monthly_sales", "actual_price", "rating", "stats_month"
+    )
+    names = _folder(spark, "doctors")
+
+    def partials(rows: DataFrame) -> DataFrame:
+        return increments.doctor_partials(rows, increments.known_doctors(rows, names))
+
+    return rounded(increments.doctor_matching_of(_by_months(df, _folder(spark, "doctor_months"), partials)))
+
+
 def _similarity_pairs(df: DataFrame) -> DataFrame:
     """The nested result as flat rows, for comparison."""
     return structure.city_similarity_top(df).select(
@@ -298,7 +334,17 @@ def build() -> dict[str, Query]:
         "elbow_sweep": lambda spark, sf: segment.elbow_sweep(load_sales(spark, sf, *FEATURE_COLUMNS)),
         "assign_nearest_center": _on_sales(_assign_nearest, *FEATURE_COLUMNS),
         "centers_table": lambda spark, sf: segment.centers_table(_centers(spark, sf)),
+        # The same from given centres, which SQL can follow.
+        "cluster_centers_given": lambda spark, sf: rounded(segment.cluster_centers(spark, _given_model(spark, sf))),
+        "centers_table_given": lambda spark, sf: rounded(
+            segment.centers_table(segment.cluster_centers(spark, _given_model(spark, sf)))
+        ),
+        "assemble_features_given": lambda spark, sf: rounded(segment.assemble_features(
+            load_sales(spark, sf, *FEATURE_COLUMNS)
+        ).select(*[vector_to_array("features")[i].alias(f) for i, f in enumerate(FEATURE_COLUMNS)])),
         "trend_report": _on_segments(trend.trend_report, *LISTING_COLUMNS),
+        "trend_report_by_months": _trend_by_months,
+        "cluster_doctor_matching_by_months": _doctors_by_months,
         "build_warehouse": _build_warehouse,
         "pearson_matrix": _on_sales(stats.pearson_matrix, *FEATURE_COLUMNS),
         "spearman_matrix": _on_sales(stats.spearman_matrix, *FEATURE_COLUMNS),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import all_present, ratio
 from bazaar.functions.ordering import ordered_prefix
+from bazaar.functions.pairs import every_pair
 from bazaar.schema import DEFAULT_ROLES, Roles
 from bazaar.session import settle
 
@@ -232,13 +233,8 @@ def city_similarity(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """
     cells = city_category_sales(df, roles)
     cities = cells.select("city").distinct()
-    # Pairs without a common category: every city meets every block of cities.
-    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    pairs = cities.select(F.col("city").alias("city_a"), every).join(
-        cities.select(F.pmod(F.xxhash64("city"), F.lit(blocks)).cast("int").alias("block"), F.col("city").alias("city_b")),
-        "block",
-    )
+    # Pairs without a common category too.
+    pairs = every_pair(cities.withColumnRenamed("city", "city_a"), cities.withColumnRenamed("city", "city_b"))
     zeros = pairs.select("city_a", "city_b", F.lit(0.0).alias("similarity"))
     both = _shared(cells).unionByName(zeros)
     return both.groupBy("city_a", "city_b").agg(F.sum("similarity").alias("similarity")).orderBy(

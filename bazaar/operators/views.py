@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaar.functions.pairs import every_pair
 from bazaar.operators.trend import trend_report
 from bazaar.operators.structure import concentration_level
 from bazaar.operators.warehouse import BANDS
@@ -80,16 +81,17 @@ def overview_kpis(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     )
 
 
-def _values(table: DataFrame, column: str) -> Column:
-    """All values of a small table's column, as one sorted array."""
-    return table.agg(F.array_sort(F.collect_set(column))).scalar()
+def _segments(table: DataFrame) -> Column:
+    """All segments of a table as one sorted array; there are as many as clusters were asked for."""
+    return table.agg(F.array_sort(F.collect_set("cluster"))).scalar()
 
 
 def fill_grid(
     cells: DataFrame, rows: DataFrame, row_key: str, column_key: str, *values: str
 ) -> DataFrame:
     """A cell for each row key with each value of the column key, zero if absent."""
-    grid = rows.select(row_key, F.explode(_values(cells, column_key)).alias(column_key))
+    known = cells.where(F.col(column_key).isNotNull()).select(column_key).distinct()
+    grid = every_pair(rows.select(row_key), known)
     return grid.join(cells, [row_key, column_key], "left").fillna(0.0, subset=list(values))
 
 
@@ -103,7 +105,7 @@ def city_spread_top10(city_rank: DataFrame, n: int = 10) -> DataFrame:
 
     Takes the segment city table.  A segment absent from a city counts as zero.
     """
-    clusters = _values(city_rank, "cluster")
+    clusters = _segments(city_rank)
     sales = F.coalesce(F.col("total_sales"), F.lit(0.0))
     cities = (
         city_rank.where(F.col("city") != "")
@@ -147,7 +149,7 @@ def lift_heatmap(preference: DataFrame, n: int = 4) -> DataFrame:
         .select("category")
         .distinct()
     )
-    grid = chosen.select("category", F.explode(_values(preference, "cluster")).alias("cluster"))
+    grid = chosen.select("category", F.explode(_segments(preference)).alias("cluster"))
     cells = preference.select(
         "cluster", "category", F.round("preference_lift", 2).alias("lift")
     )
@@ -201,7 +203,7 @@ def doctor_title_pivot(doctor_matching: DataFrame, n: int = 8) -> DataFrame:
     )
     grid = top.select(
         "doctor_title", "title_sales",
-        F.explode(_values(doctor_matching, "cluster")).alias("cluster"),
+        F.explode(_segments(doctor_matching)).alias("cluster"),
     )
     cells = doctor_matching.select("cluster", "doctor_title", "total_sales")
     return (

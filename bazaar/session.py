@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +26,35 @@ RECOMMENDED = {
 }
 
 
+# Folders of the runs that are under way, the innermost last.
+_runs: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for what a run stores on the way, removed when the run ends.
+
+    Results have to be written elsewhere before that: a frame that is only
+    planned may still need to read its intermediates.
+    """
+    folder = f"{checkpoint_folder(spark)}/run-{uuid.uuid4().hex}"
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the session names it.
 
     A local session without one gets a temporary folder; on a cluster a
     machine-local folder would be lost with its machine, so that is an error.
     """
+    if _runs:
+        return _runs[-1]
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:

@@ -67,9 +67,14 @@ def sink_json_snapshot(
     snapshot_rows(df, limit, order).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def sink_csv_export(df: DataFrame, path: str) -> None:
-    """Write CSV with a header, doubled quotes, and empty fields for nulls."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+def sink_csv_export(df: DataFrame, path: str, bom: bool = False) -> None:
+    """Write CSV with a header, doubled quotes, and empty fields for nulls.
+
+    With ``bom`` every file begins with a byte order mark, by which spreadsheets
+    know UTF-8: it is written as the begin of the first name.
+    """
+    named = df.toDF(f"\ufeff{df.columns[0]}", *df.columns[1:]) if bom else df
+    named.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
 def insights_manifest(

@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import pytest
 
 from bazaar.sinks import emit_table, sink_csv_export, sink_json_snapshot, sink_parquet
+from bazaar.session import run_folder, settle
 from bazaar.sources.csv import detect_charset, scan_csv
 
 LINES = [
@@ -79,6 +82,29 @@ def test_csv_export(spark, tmp_path):
     assert part.read_text() == 'p,q,r,s\n"a""b","x,y",,1.5\n'
 
 
+def test_csv_export_with_a_byte_order_mark(spark, tmp_path, rows):
+    df = spark.createDataFrame([("名", 1), (None, 2)], "p string, q int")
+    sink_csv_export(df.coalesce(1), str(tmp_path / "out"), bom=True)
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert part.read_bytes() == b"\xef\xbb\xbfp,q\n" + "名,1\n,2\n".encode()
+
+
+def test_what_a_run_stores_on_the_way_is_removed(spark, tmp_path, rows):
+    df = spark.range(9).selectExpr("id AS v")
+    with pytest.raises(KeyError):
+        with run_folder(spark) as outer:
+            with run_folder(spark) as folder:
+                stored, _ = settle(df)
+                assert str(stored.inputFiles()[0]).removeprefix("file://").startswith(folder.removeprefix("file:"))
+                sink_parquet(stored, str(tmp_path / "kept"))
+            assert not Path(folder.removeprefix("file://")).exists() and Path(outer.removeprefix("file://")).parent.exists()
+            raise KeyError
+    assert not Path(outer.removeprefix("file://")).exists()
+    assert rows(spark.read.parquet(str(tmp_path / "kept"))) == rows(df)
+    later, _ = settle(df)
+    assert rows(later) == rows(df)
+
+
 def test_json_snapshot(spark, tmp_path):
     df = spark.createDataFrame([("名", float("nan"), None)], "k string, v double, w int")
     sink_json_snapshot(df.coalesce(1), str(tmp_path / "out"))

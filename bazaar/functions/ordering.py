@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from bazaar.session import settle
 
 _SLICE = "_slice"
+# Rows one task numbers.
+ROWS_PER_SLICE = 200_000
 
 
 def ordered_prefix(
@@ -35,12 +37,16 @@ def ordered_prefix(
     strictly earlier.
 
     ``order`` must be a total order; rows it cannot tell apart share a slice.
-    There are ``slices``, by default as many as the session has shuffle
-    partitions.
+    Rows are stored first, so that whatever they come from is worked out once.
+    There are ``slices``, by default one for each ``ROWS_PER_SLICE`` rows, and at
+    most as many as the session has shuffle partitions.
     """
     sums, groups = dict(running or {}), list(within)
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _by_slices(df, order, sums, groups, rank_by, slices)
+    stored, rows = settle(df)
+    if slices is None:
+        most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(1, min(most, -(-rows // ROWS_PER_SLICE)))
+    return _by_slices(stored, order, sums, groups, rank_by, slices)
 
 
 def _numbers(

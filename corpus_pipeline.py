@@ -17,13 +17,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned stay: null texts and texts without letters go."""
+    """Documents in a language that was learned stay: null texts and texts without letters go.
+
+    Repeated rows and null ids stay as they are; an empty table stays empty, and
+    so does one without any lang to learn from.  Columns besides those of
+    ``documents`` go here, whatever their names.
+    """
     found = language.identify_languages(docs, carry=COLUMNS[1:])
     return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Rows without an id stay if no linked document has one, of rows that share id
+    and shingles one stays, and documents without words all stay.
+    """
     return ngram_join.keep_first(docs.select(*COLUMNS))
 
 
@@ -31,7 +40,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Passages that a document with a smaller id has too are cut out.
 
     A cut inside a character takes the rest of the character along.  Documents
-    of which nothing is left go.
+    of which nothing is left go.  Rows without an id count as later than all
+    others, and rows of one id remove nothing from each other.
     """
     found = suffix_dedup.remove_repeats(docs, carry=["lang", "source"], as_text=True)
     left = found.withColumnRenamed("kept", "text").where(F.col("text") != "")
@@ -39,7 +49,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
+    """Each document as often as the mix of the sources takes it.
+
+    Null sources are one source; documents without a word are never taken, and
+    rows that are alike in all columns share what is taken of them.
+    """
     order = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     marked = docs.select(*COLUMNS, F.xxhash64(order, *COLUMNS).alias("row_key"))
     found = mixing.mix_sources(marked, carry=["row_key"]).where("taken > 0")
@@ -51,7 +65,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts of every row, and digests of its ids and of the bytes they decode to."""
+    """Token counts of every row, and digests of its ids and of the bytes they decode to.
+
+    Null texts count as empty, repeated rows stay repeated, and an empty table
+    gives an empty one.
+    """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     # Executors are well filled by the stages before: small blocks.
     return bpe.round_trip(docs, path, public_tokenizers.PATTERN, block_tokens=BLOCK_TOKENS)

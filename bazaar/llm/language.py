@@ -217,6 +217,12 @@ def predict_languages(
 def identify_languages(
     docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 11, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Learn from the documents that are not held out, then predict all of them."""
+    """Learn from the documents that are not held out, then predict all of them.
+
+    A null text, and one without a letter, is ``und``; a null id is never held out,
+    and a null lang is not learnt from.  Without any language to learn every text
+    is ``und``.  Texts are taken whole, repeated rows stay repeated, ties go to the
+    first language by name.  Columns to ``carry`` come out with their rows.
+    """
     profiles = learn_profiles(docs.where(~held_out()), dimensions, seed)
     return predict_languages(docs, profiles, dimensions, seed, carry)

@@ -215,7 +215,11 @@ def score(
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from documents and labels that are not held out, then score all documents.
 
-    Without a toxic example every score is next to 0.
+    Without a toxic example every score is next to 0.  Null texts count as empty,
+    and empty ones get a score too; a null id is never held out.  Every row is
+    scored by itself, whole and however long; rows of one id are told apart by
+    nothing, so each is learnt from if the id has a label.  Other columns of both
+    tables, whatever their names, are not read.
     """
     model = learn(docs.where(~held_out()), labels.where(~held_out()))
     return score(docs, *model)

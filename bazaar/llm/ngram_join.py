@@ -28,7 +28,7 @@ from bazaar.llm.blocks import (
     ENTRIES, NO_ID, add_up, answer, bits_by_kind, bucket_edges, entries, gather_bits, held_twice,
 )
 from bazaar.llm.components import components
-from bazaar.llm.shared import Words, mix, pack, pieces, prefix_sums, slices_for, span_hash, store, window_hash
+from bazaar.llm.shared import Words, discard, mix, pack, pieces, prefix_sums, slices_for, span_hash, store, window_hash
 
 SHINGLE = 5
 # Sets A and B are similar if 100 |A and B| >= SIMILARITY |A or B|.
@@ -129,7 +129,15 @@ def _prefixes(sizes: list[int], data: bytes, similarity: int) -> tuple[np.ndarra
     return np.frombuffer(data, dtype=np.uint64), np.repeat(np.arange(len(sizes)), lengths)
 
 
-def _shared_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
+# Blocks ask by this many leading bits; shingles that share them with another become rows in vain.
+_ASKED_BITS = 48
+
+
+def _asked(shingles: np.ndarray) -> np.ndarray:
+    return shingles >> np.uint64(64 - _ASKED_BITS)
+
+
+def _held_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
     """(shingle, group, n, place, doc_id) for prefix shingles that several documents have.
 
     ``doc_id`` is the least of the group.  First blocks learn which of their
@@ -141,8 +149,9 @@ def _shared_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("block", "sizes", "prefixes")]
             for block, sizes, data in zip(*columns, strict=True):
                 shingles, _ = _prefixes(sizes, data, similarity)
-                keys, times = np.unique(shingles, return_counts=True)
-                sent = entries(0, block, bucket_edges(keys, buckets), keys, np.minimum(times, 2).astype(np.uint8))
+                keys, times = np.unique(_asked(shingles), return_counts=True)
+                edges = bucket_edges(keys, buckets, _ASKED_BITS)
+                sent = entries(0, block, edges, keys, np.minimum(times, 2).astype(np.uint8))
                 if sent is not None:
                     yield sent
 
@@ -151,8 +160,8 @@ def _shared_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
         columns = [block.column(c).to_pylist() for c in ("doc_ids", "sizes", "groups", "prefixes")]
         for doc_ids, sizes, groups, data in zip(*columns, strict=True):
             shingles, doc = _prefixes(sizes, data, similarity)
-            keys, number = np.unique(shingles, return_inverse=True)
-            held = gather_bits(known, bucket_edges(keys, buckets))[number]
+            keys, number = np.unique(_asked(shingles), return_inverse=True)
+            held = gather_bits(known, bucket_edges(keys, buckets, _ASKED_BITS))[number]
             first = np.searchsorted(doc, doc)  # where the document's prefix begins
             place = np.arange(len(doc)) - first
             doc = doc[held]
@@ -176,11 +185,15 @@ def _shared_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
     rows = profiles.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         unfold, "shingle long, group long, n long, place long, doc_id long"
     )
-    held = store(
-        rows.groupBy("shingle", "group", "n", "place").agg(F.min("doc_id").alias("doc_id")), "join-held"
-    )
-    # Copies are one group: a shingle that only they have makes no candidates.  Neither
-    # does a place too late for a partner of any size that the shingle's groups have.
+    return rows.groupBy("shingle", "group", "n", "place").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _fitting_shingles(held: DataFrame, similarity: int) -> DataFrame:
+    """Rows of ``held`` that can make a candidate with another group of their shingle.
+
+    Copies are one group: a shingle that only they have makes no candidates.  Neither
+    does a place too late for a partner of any size that the shingle's groups have.
+    """
     several = held.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("_groups"), F.min("n").alias("_least"), F.max("n").alias("_most"),
         F.min("place").alias("_first"),
@@ -203,16 +216,22 @@ class _Join:
         counts = _frequencies(docs, shingle)
         profiles = store(_profiles(docs, shingle, similarity, counts), "join-profiles")
         rows = profiles.select(F.explode(F.arrays_zip("doc_ids", "sizes", "nodes", "groups")).alias("r"))
-        self.rows = rows.select(
-            F.col("r.doc_ids").alias("doc_id"), F.col("r.sizes").alias("n"),
-            F.col("r.nodes").alias("node"), F.col("r.groups").alias("group"),
+        self.rows = store(
+            rows.select(
+                F.col("r.doc_ids").alias("doc_id"), F.col("r.sizes").alias("n"),
+                F.col("r.nodes").alias("node"), F.col("r.groups").alias("group"),
+            ),
+            "join-rows",
         )
         # A node is a set of shingles; documents with equal sets are one node.
         least = F.min(F.col("doc_id")).alias("doc_id")
         self.members = store(
             self.rows.where("n > 0").groupBy("node", "group", "n").agg(least), "join-members"
         )
-        self.shared = store(_shared_shingles(profiles, similarity), "join-shingles")
+        held = store(_held_shingles(profiles, similarity), "join-held")
+        discard(profiles)
+        self.shared = store(_fitting_shingles(held, similarity), "join-shingles")
+        discard(held)
 
     def allowed(self, a: str, b: str) -> Column:
         """Can two groups with a shingle in common be similar, by sizes and the shingle's places?
@@ -264,10 +283,17 @@ class _Join:
         return labelled.groupBy("group").agg(side.alias("side"), torn.alias("torn"))
 
     def open_groups(self, labelled: DataFrame) -> DataFrame:
-        """(shingle, group, n, place, side) of shingles that groups of several sides share."""
+        """(shingle, group, n, place, side) of shingles that groups of several sides share.
+
+        Components only grow, so a shingle whose groups are all of one side stays
+        so: what is found here is all that the next round has to look at.
+        """
         placed = store(self.shared.join(self.sides(labelled).select("group", "side"), "group"), "join-placed")
         open_ = placed.groupBy("shingle").agg(F.min("side").alias("low"), F.max("side").alias("high"))
-        return placed.join(open_.where("low <> high").select("shingle"), "shingle", "left_semi")
+        found = store(placed.join(open_.where("low <> high").select("shingle"), "shingle", "left_semi"), "join-open")
+        discard(placed)
+        self.shared = found.drop("side")
+        return found
 
     def _may_meet(self, a: str, b: str) -> Column:
         """Can any group of side ``a`` have a shingle early enough for one of side ``b``?
@@ -369,9 +395,14 @@ class _Join:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         sets = self.fetch_sets(pairs)
-        x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+
+        def of(side: str, name: str) -> DataFrame:
+            # Later rounds have few pairs; sets that are in none of them stay where they are.
+            wanted = pairs.select(F.col(side).alias("node")).distinct()
+            found = sets.join(wanted, "node", "left_semi")
+            return found.select(F.col("node").alias(side), F.col("shingles").alias(name))
+
+        return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(run, "a long, b long")
 
 
 def _named(prefix: str, name: str) -> list[Column]:

@@ -41,6 +41,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Remove a table written by ``store``, once all that is made from it is stored as well."""
+    files = stored.inputFiles()
+    if files:
+        jvm, conf = stored.sparkSession._jvm, stored.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4; a null id never does."""
     left = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4

@@ -1,9 +1,11 @@
 """Word hashes, and operators on words and labels that once went wrong."""
 
+import os
+
 import numpy as np
 import pytest
 
-from bazaar.llm import language, mixing, ngram_join, substring_dedup
+from bazaar.llm import language, mixing, ngram_join, shared, substring_dedup
 from bazaar.llm.shared import Words, word_hashes
 from tests.llm import brute
 
@@ -64,3 +66,10 @@ def test_very_many_sources(spark):
     docs = spark.range(100_001).selectExpr("id AS doc_id", "'one word' AS text", "concat('s', id) AS source")
     found = mixing.mix_sources(docs)
     assert found.count() == 100_001 and found.where("taken > 6").isEmpty()
+
+
+def test_discarded_tables_leave_nothing_behind(spark):
+    kept, gone = (shared.store(spark.range(10), "discard-test") for _ in range(2))
+    shared.discard(gone)
+    assert kept.count() == 10
+    assert not os.path.exists(os.path.dirname(gone.inputFiles()[0].removeprefix("file:")))

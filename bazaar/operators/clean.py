@@ -74,7 +74,8 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 def fill_median(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
     """Replace missing numbers by the exact median of their column.
 
-    A column without any value is left alone.
+    A column without any value is left alone.  Rows are read in several passes:
+    store them first if they are costly to work out.
     """
     present = _present(df, columns)
     tidy = df.withColumns({c: no_nan(c) for c in present})
@@ -101,9 +102,11 @@ def remove_outliers_iqr(
 
     Columns are taken in order, each looking at the rows the earlier ones
     left; with ``sequential=False`` all look at the whole input.  Quartiles of
-    all columns to come are found together, and again only after a column has
-    removed rows.  A column whose quartiles coincide, or that has no values,
-    removes nothing.
+    several columns are found together: of all of them, or in a sequence of one
+    after a column that has removed rows, and of twice as many after others.  A
+    column whose quartiles coincide, or that has no values, removes nothing.
+    Rows are read in several passes: store them first if they are costly to
+    work out.
     """
     present = _present(df, columns)
 
@@ -118,14 +121,16 @@ def remove_outliers_iqr(
                 yield c, F.col(c).between(low, high), removes
 
     kept, left = df, present
+    ahead = 1 if sequential else len(present)
     while left:
-        todo, left = left, []
+        todo, left = left[:ahead], left[ahead:]
+        ahead *= 2
         for c, test, removes in fences(kept, todo):
             if removes:
                 kept = kept.where(test)
                 # What later columns look like has changed only now.
                 if sequential:
-                    left = todo[todo.index(c) + 1 :]
+                    left, ahead = todo[todo.index(c) + 1 :] + left, 1
                     break
     return kept
 

@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from bazaar.functions import quantiles
 from bazaar.operators import clean
 from bazaar.schema import RAW_COLUMNS, SALES_SCHEMA, UNKNOWN
+from verification import queries
 
 
 def test_numbers(spark):
@@ -128,3 +130,30 @@ def test_month_distribution(spark):
 def test_features_must_be_there(spark):
     df = spark.createDataFrame([(1.0, 1.0), (None, 1.0), (float("nan"), 1.0)], "rating double, x double")
     assert clean.drop_null_features(df).count() == 1
+
+
+@pytest.mark.parametrize("name", [
+    "fill_median", "fill_median_all_columns", "remove_outliers_iqr", "remove_outliers_iqr_narrowed",
+    "remove_outliers_simultaneous", "remove_outliers_all_columns",
+])
+def test_listings_are_joined_once_for_all_passes(spark, monkeypatch, name):
+    passes = []
+    counted = quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda df, cells: (passes.append(df), counted(df, cells))[1])
+    found = queries.build()[name](spark, "/root/testdata/sf0.001")
+    assert passes
+    for df in [found, *passes]:
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_columns_found_together_or_in_turn_remove_the_same_rows(spark):
+    rng = np.random.default_rng(5)
+    names = ["list_price", "actual_price", "discount_rate", "monthly_sales", "review_count", "rating", "udi_match"]
+    frame = pd.DataFrame({c: rng.uniform(size=200) if i % 3 else rng.lognormal(0, 2, 200) for i, c in enumerate(names)})
+    expected = frame
+    for c in names:
+        q1, q3 = expected[c].quantile(0.25), expected[c].quantile(0.75)
+        expected = expected[expected[c].between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))]
+    out = clean.remove_outliers_iqr(spark.createDataFrame(frame), names).toPandas()
+    assert sorted(map(tuple, out.values)) == sorted(map(tuple, expected.values))
+    assert len(out) < 200

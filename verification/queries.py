@@ -18,7 +18,7 @@ from bazaar import sinks
 from bazaar.operators import clean, compliance, increments, segment, stats, structure, trend, views, warehouse
 from bazaar.plans import jobs
 from bazaar.schema import FEATURE_COLUMNS
-from bazaar.session import checkpoint_folder
+from bazaar.session import checkpoint_folder, settle
 from bazaar.sources.csv import detect_charset, scan_csv
 from bazaar.sources.parquet import scan_parquet
 from bazaar.sources.star import LISTING_COLUMNS, load_dirty, load_sales, load_segmented, rule_segment
@@ -64,6 +64,11 @@ def _on_dirty(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Quer
     return lambda spark, sf: rounded(operator(load_dirty(spark, sf, *columns)))
 
 
+def _on_stored(load: Query, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """For operators that read their rows several times: joins and conversions run once."""
+    return lambda spark, sf: rounded(operator(settle(load(spark, sf))[0]))
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -167,6 +172,10 @@ def _numeric(df: DataFrame) -> DataFrame:
     return clean.coerce_numeric(df)
 
 
+def _numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return _numeric(load_dirty(spark, sf, *_NUMBERS))
+
+
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
     columns = ("city", "category", "institution", "district", "list_price", "monthly_sales",
                "collection_date")
@@ -299,13 +308,11 @@ def build() -> dict[str, Query]:
             lambda df: clean.drop_duplicate_rows(clean.parse_dates(_numeric(df))), *_NUMBERS,
             "institution", "collection_date",
         ),
-        "fill_median": _on_dirty(lambda df: clean.fill_median(_numeric(df)), *_NUMBERS),
+        "fill_median": _on_stored(_numbers, clean.fill_median),
         "fill_unknown": _on_dirty(clean.fill_unknown, "city", "district"),
-        "remove_outliers_iqr": _on_dirty(
-            lambda df: clean.remove_outliers_iqr(_numeric(df)), *_NUMBERS
-        ),
-        "remove_outliers_simultaneous": _on_dirty(
-            lambda df: clean.remove_outliers_iqr(_numeric(df), sequential=False), *_NUMBERS
+        "remove_outliers_iqr": _on_stored(_numbers, clean.remove_outliers_iqr),
+        "remove_outliers_simultaneous": _on_stored(
+            _numbers, lambda df: clean.remove_outliers_iqr(df, sequential=False)
         ),
         "split_single_month": _on_sales(
             lambda df: clean.split_single_month(_single_month(df)),
@@ -315,8 +322,8 @@ def build() -> dict[str, Query]:
         # The same over all raw columns and all nine numbers.
         "clean_all_columns": lambda spark, sf: rounded(clean.clean(load_dirty(spark, sf))),
         "coerce_all_columns": lambda spark, sf: rounded(_typed(spark, sf)),
-        "fill_median_all_columns": lambda spark, sf: rounded(clean.fill_median(_typed(spark, sf))),
-        "remove_outliers_all_columns": lambda spark, sf: rounded(clean.remove_outliers_iqr(_typed(spark, sf))),
+        "fill_median_all_columns": _on_stored(_typed, clean.fill_median),
+        "remove_outliers_all_columns": _on_stored(_typed, clean.remove_outliers_iqr),
         "cast_numeric_cols": _on_dirty(
             lambda df: clean.cast_numeric(df, ["monthly_sales"]), "city", "monthly_sales"
         ),
@@ -358,9 +365,7 @@ def build() -> dict[str, Query]:
         "pareto_projects_sliced": _on_sales(
             lambda df: structure.pareto_projects(df, slices=23), "project_name", sales
         ),
-        "remove_outliers_iqr_narrowed": _on_dirty(
-            lambda df: clean.remove_outliers_iqr(_numeric(df)), *_NUMBERS
-        ),
+        "remove_outliers_iqr_narrowed": _on_stored(_numbers, clean.remove_outliers_iqr),
         "price_elasticity": _on_sales(stats.price_elasticity, "category", price, sales),
         "rating_sales_corr_by_city": _on_sales(stats.rating_sales_corr_by_city, "city", rating, sales),
         "rating_sales_corr_by_category": _on_sales(

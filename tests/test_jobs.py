@@ -9,6 +9,7 @@ from bazaar.plans import jobs
 from bazaar.operators.warehouse import THEME_TABLES
 from bazaar.sinks import sink_csv_export
 from bazaar.sources.star import load_dirty
+from verification import queries
 
 
 def test_run_all(spark, tmp_path):
@@ -59,3 +60,12 @@ def test_snapshots_are_cut_in_order(spark, tmp_path):
     lines = [r["cluster"] for p in sorted((tmp_path / "trends/trend_stats/cluster_summary").glob("part-*"))
              for r in map(json.loads, p.read_text().splitlines())]
     assert lines == list(range(12))
+
+
+@pytest.mark.parametrize("name", ["advanced_report"])
+def test_jobs_get_listings_that_are_joined_once(spark, monkeypatch, name):
+    given, job = [], getattr(jobs, name)
+    monkeypatch.setattr(jobs, name, lambda df, *rest: (given.append(df), job(df, *rest))[1])
+    assert queries.build()[name](spark, "/root/testdata/sf0.001").count() > 0
+    (listings,) = given
+    assert "Join" not in listings._jdf.queryExecution().optimizedPlan().toString()

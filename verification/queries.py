@@ -231,13 +231,18 @@ def _centers(spark: SparkSession, sf: str) -> DataFrame:
 # -- whole jobs --------------------------------------------------------------------
 
 
+# The job takes a stored table, of which each of its tables reads the columns it needs.
+_REPORT_COLUMNS = (*FEATURE_COLUMNS, "city", "category", "institution", "project_name", "udi_match", "approval_no")
+
+
 def _build_warehouse(spark: SparkSession, sf: str) -> DataFrame:
     manifest = jobs.build_warehouse(load_segmented(spark, sf, *LISTING_COLUMNS), _folder(spark, "dws"))
     return manifest.select("table", F.col("rows").alias("row_cnt"), "k")
 
 
 def _advanced_report(spark: SparkSession, sf: str) -> DataFrame:
-    manifest = jobs.advanced_report(load_sales(spark, sf, *LISTING_COLUMNS), _folder(spark, "ads"))
+    listings, _ = settle(load_sales(spark, sf, *_REPORT_COLUMNS))
+    manifest = jobs.advanced_report(listings, _folder(spark, "ads"))
     return manifest.select("table", F.col("rows").alias("row_cnt"))
 
 

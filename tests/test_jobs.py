@@ -62,7 +62,7 @@ def test_snapshots_are_cut_in_order(spark, tmp_path):
     assert lines == list(range(12))
 
 
-@pytest.mark.parametrize("name", ["advanced_report"])
+@pytest.mark.parametrize("name", ["advanced_report", "build_warehouse"])
 def test_jobs_get_listings_that_are_joined_once(spark, monkeypatch, name):
     given, job = [], getattr(jobs, name)
     monkeypatch.setattr(jobs, name, lambda df, *rest: (given.append(df), job(df, *rest))[1])

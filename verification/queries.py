@@ -231,12 +231,15 @@ def _centers(spark: SparkSession, sf: str) -> DataFrame:
 # -- whole jobs --------------------------------------------------------------------
 
 
-# The job takes a stored table, of which each of its tables reads the columns it needs.
+# Jobs take a stored table, of which each of their tables reads the columns it needs.
+_THEME_COLUMNS = (*FEATURE_COLUMNS, "city", "category", "channel", "project_name", "doctor_title", "doctor_name",
+                  "stats_month")
 _REPORT_COLUMNS = (*FEATURE_COLUMNS, "city", "category", "institution", "project_name", "udi_match", "approval_no")
 
 
 def _build_warehouse(spark: SparkSession, sf: str) -> DataFrame:
-    manifest = jobs.build_warehouse(load_segmented(spark, sf, *LISTING_COLUMNS), _folder(spark, "dws"))
+    listings, _ = settle(load_segmented(spark, sf, *_THEME_COLUMNS))
+    manifest = jobs.build_warehouse(listings, _folder(spark, "dws"))
     return manifest.select("table", F.col("rows").alias("row_cnt"), "k")
 
 

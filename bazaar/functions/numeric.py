@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Text that reads as a number: optional sign, digits, optional exponent.
-NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+NUMBER_PATTERN = r"^\s*+[+-]?(?:(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?|(?i:inf|infinity))\s*+$"
 
 
 def col(c: str | Column) -> Column:

@@ -23,7 +23,7 @@ from bazaar.schema import (
 from bazaar.session import settle
 
 # Fixed value: what a date looks like.
-DATE_PATTERN = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
+DATE_PATTERN = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}\z"
 
 
 def _present(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -50,7 +50,7 @@ def cast_numeric(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> Dat
 def parse_date(c: str) -> Column:
     text = F.trim(F.col(c).cast("string"))
     dashed = F.replace(text, F.lit("/"), F.lit("-"))
-    return F.when(text.rlike(DATE_PATTERN), F.try_to_date(dashed, "yyyy-M-d"))
+    return F.when(text.rlike(DATE_PATTERN), dashed.try_cast("date"))
 
 
 def parse_dates(df: DataFrame, columns: Sequence[str] = DATE_COLUMNS) -> DataFrame:

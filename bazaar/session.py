@@ -23,9 +23,17 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # The JVM never compiles methods of more bytes: the code of wide rows is cut into small ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def prefer(spark: SparkSession, name: str) -> None:
+    """A recommended setting, unless the session has one of its own."""
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, RECOMMENDED[name])
+
+
 # Folders of the runs that are under way, the innermost last.
 _runs: list[str] = []
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.schema import NA_TOKENS
+from bazaar.session import prefer
 from bazaar.sources.csv_records import Survey, decodable, scan_records, survey
 
 _RAW_LINE = "_raw_line"
@@ -45,6 +46,14 @@ def detect_charset(spark: SparkSession, uri: str, preferred: str | None = None)
     return decodable(chain, failed, uri)
 
 
+def _plain(spark: SparkSession, uri: str, preferred: str | None) -> bool:
+    """Is it UTF-8 without any quote?  Told by Spark alone, so most files need no closer reading."""
+    if preferred and preferred.lower().replace("-", "") != "utf8":
+        return False
+    odd = ~F.is_valid_utf8("value") | F.col("value").contains('"')
+    return spark.read.text(uri).agg(F.bool_or(odd)).first()[0] is False
+
+
 def _field_count(line: Column) -> Column:
     """Fields of one raw line: commas outside quotes, plus one.
 
@@ -93,13 +102,17 @@ def scan_csv(
     padded with nulls, and the usual missing-value tokens become null.
 
     ``multi_line`` says whether fields in quotes may hold line breaks; by default
-    the reading that finds out the encoding looks for some.  Files are split
+    the reading that finds out the encoding looks for some, unless a quick one
+    has found UTF-8 without quotes.  Files are split
     between tasks either way, in any of the charsets.  With ``detect=False`` the
     encoding is taken as given, the file is not read to find it out, and records
     are lines unless ``multi_line`` is set.  A survey made before is used as ``known``.
     """
     tokens = NA_TOKENS if na_tokens is None else na_tokens
-    if known or multi_line or (multi_line is None and detect):
+    prefer(spark, "spark.sql.codegen.hugeMethodLimit")
+    if known is None and multi_line is None and detect and _plain(spark, uri, encoding):
+        charset = "UTF-8"
+    elif known or multi_line or (multi_line is None and detect):
         known = known or survey(spark, uri, encoding)
         if multi_line or (multi_line is None and known.broken):
             return _without(scan_records(spark, uri, known), tokens)

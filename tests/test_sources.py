@@ -4,6 +4,8 @@ import pytest
 
 from bazaar.sinks import emit_table, sink_csv_export, sink_json_snapshot, sink_parquet
 from bazaar.session import run_folder, settle
+from bazaar.operators.clean import parse_date
+from bazaar.sources import csv as csv_source
 from bazaar.sources.csv import detect_charset, scan_csv
 
 LINES = [
@@ -118,3 +120,27 @@ def test_parquet_and_view(spark, tmp_path, rows):
     assert sorted(d.name for d in (tmp_path / "p").glob("stats*")) == ["stats_month=2025-08", "stats_month=2025-09"]
     stored, count = emit_table(df, "some_table", str(tmp_path / "t"))
     assert count == 3 and rows(spark.table("some_table")) == rows(df) == rows(stored)
+
+
+def test_utf8_without_quotes_is_read_by_spark_alone(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("a survey was made")
+
+    (tmp_path / "plain.csv").write_text("a,b\n城,1\n\n2025/1/5,NA\n", encoding="utf-8")
+    monkeypatch.setattr(csv_source, "survey", never)
+    found = csv_source.scan_csv(spark, str(tmp_path / "plain.csv"))
+    assert sorted(map(tuple, found.collect()), key=str) == [("2025/1/5", None), ("城", "1")]
+    (tmp_path / "quoted.csv").write_text('a,b\n"x\ny",1\n', encoding="utf-8")
+    (tmp_path / "gb.csv").write_bytes("a,b\n城,1\n".encode("gb18030"))
+    for odd in ("quoted.csv", "gb.csv"):
+        with pytest.raises(AssertionError):
+            csv_source.scan_csv(spark, str(tmp_path / odd))
+
+
+def test_dates_are_cast_as_they_were_parsed(spark):
+    texts = ["2025-1-5", " 2025/01/05 ", "2025-02-30", "2025-13-01", "2024-02-29", "2025-01-05\n", "2025-1-5x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plan = rows.select(parse_date("t").alias("d"))
+    found = [str(r["d"]) if r["d"] else None for r in plan.collect()]
+    assert found == ["2025-01-05", "2025-01-05", None, None, "2024-02-29", None, None, None]
+    assert "gettimestamp" not in plan._jdf.queryExecution().toString().lower()

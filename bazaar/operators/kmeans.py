@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaar.session import settle
+
 # Points of a coreset: what the driver works on.
 CORESET_POINTS = 8_000
 # Starts that are tried on the coreset for each model, and steps each may take.
@@ -25,6 +27,8 @@ _SEED_STEPS = 25
 # Steps over all points, and the move of a centre that no longer counts.
 MAX_STEPS = 20
 TOLERANCE = 1e-4
+# Points a step works on at once: what it keeps of them stays in the cache of a core.
+_AT_ONCE = 4_096
 # Sums are added in any order; centres are cut where that shows.
 _DECIMALS = 9
 
@@ -106,23 +110,52 @@ def seeds(points: np.ndarray, weight: np.ndarray, ks: Sequence[int], seed: int)
     return {k: found[k] for k in ks}
 
 
+def packed(points: DataFrame) -> DataFrame:
+    """The points some thousand to a row, column after column: what a step reads costs little to hand over."""
+    names = [*(c for c in points.columns if c != WEIGHT), WEIGHT]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.stack([batch.column(c).to_numpy() for c in names])
+            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+
+    return points.mapInArrow(pack, "block binary")
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column of ``x`` the nearest centre, the first of equal ones, and its squared distance."""
+    # The square of the point is the same for all centres, so it is added at the end.
+    # No matrix product: its threads would get in the way of the other tasks.
+    gaps = (centers**2).sum(axis=1)[:, None] - np.einsum("kd,dn->kn", 2 * centers, x)
+    least, nearest = gaps[0], np.zeros(x.shape[1], dtype=np.intp)
+    for c in range(1, len(centers)):
+        nearest[gaps[c] < least] = c
+        least = np.minimum(least, gaps[c])
+    return nearest, np.maximum(least + np.einsum("ij,ij->j", x, x), 0.0)
+
+
 def step(points: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Weight and mean of the clusters of each model, and its cost, in one scan."""
-    names = [c for c in points.columns if c != WEIGHT]
-    sums = [f"s{i}" for i in range(len(names))]
+    return _step(packed(points), models)
+
+
+def _step(blocks: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    width = models[0].shape[1]
+    sums = [f"s{i}" for i in range(width)]
     schema = ", ".join(["model int, cluster int, w double, cost double", *[f"{s} double" for s in sums]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((len(c), 2 + len(names))) for c in models]
+        total = [np.zeros((len(c), 2 + width)) for c in models]
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-            w = batch.column(WEIGHT).to_numpy()
-            for centers, out in zip(models, total, strict=True):
-                gaps = _distances(x, centers)
-                nearest = gaps.argmin(axis=1)
-                cells = [w, w * gaps[np.arange(len(x)), nearest], *[w * x[:, d] for d in range(len(names))]]
-                for i, cell in enumerate(cells):
-                    out[:, i] += np.bincount(nearest, cell, len(centers))
+            for block in batch.column("block"):
+                held = np.frombuffer(block.as_buffer()).reshape(width + 1, -1)
+                for at in range(0, held.shape[1], _AT_ONCE):
+                    x, w = held[:width, at : at + _AT_ONCE], held[width, at : at + _AT_ONCE]
+                    weighted = w * x
+                    for centers, out in zip(models, total, strict=True):
+                        nearest, gap = _nearest(x, centers)
+                        for i, cell in enumerate([w, w * gap, *weighted]):
+                            out[:, i] += np.bincount(nearest, cell, len(centers))
         rows = np.vstack(total)
         where = [(m, c) for m, centers in enumerate(models) for c in range(len(centers))]
         model, cluster = (pa.array(v, pa.int32()) for v in zip(*where, strict=True))
@@ -130,7 +163,7 @@ def step(points: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarr
             [model, cluster, *[pa.array(column) for column in rows.T]], names=["model", "cluster", "w", "cost", *sums]
         )
 
-    parts = points.mapInArrow(add, schema).groupBy("model", "cluster")
+    parts = blocks.mapInArrow(add, schema).groupBy("model", "cluster")
     rows = parts.agg(*[F.sum(c).alias(c) for c in ("w", "cost", *sums)]).collect()
     out = []
     for m, centers in enumerate(models):
@@ -145,12 +178,12 @@ def step(points: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarr
 
 
 def refine(
-    points: DataFrame, starts: dict[int, np.ndarray], tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS
+    blocks: DataFrame, starts: dict[int, np.ndarray], tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS
 ) -> dict[int, tuple[np.ndarray, float]]:
-    """Exact Lloyd steps for all models together: centres and their cost over all points."""
+    """Exact Lloyd steps for all models together over packed points: centres and their cost."""
     left, found = dict(starts), {}
     for turn in range(max_steps + 1):
-        for (k, centers), (_, moved, cost) in zip(list(left.items()), step(points, list(left.values())), strict=True):
+        for (k, centers), (_, moved, cost) in zip(list(left.items()), _step(blocks, list(left.values())), strict=True):
             if turn == max_steps or np.abs(moved - centers).max() < tolerance:
                 found[k] = (centers, cost)
                 del left[k]
@@ -166,12 +199,13 @@ def fit(points: DataFrame, ks: Sequence[int], seed: int) -> dict[int, tuple[np.n
     sample, weight = coreset(points, seed=seed)
     if not len(sample):
         raise ValueError("no row has all features")
-    found = refine(points, seeds(sample, weight, ks, seed))
+    blocks, _ = settle(packed(points), compression="zstd")
+    found = refine(blocks, seeds(sample, weight, ks, seed))
     draw = np.random.default_rng(seed)
     for less, more in zip(sorted(ks), sorted(ks)[1:], strict=False):
         if found[more][1] > found[less][1]:
             grown = found[less][0]
             while len(grown) < more and len(next_ := _added(sample, weight, grown, draw)) > len(grown):
                 grown = next_
-            found |= refine(points, {more: grown})
+            found |= refine(blocks, {more: grown})
     return found

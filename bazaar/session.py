@@ -73,7 +73,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, *partition_by: str) -> tuple[DataFrame, int]:
+def settle(df: DataFrame, *partition_by: str, **options: str) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared folder; the stored table and its row count.
 
     Used where later steps read an intermediate more than once and must see
@@ -83,5 +83,5 @@ def settle(df: DataFrame, *partition_by: str) -> tuple[DataFrame, int]:
     path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.partitionBy(*partition_by).parquet(path)
+    counted.write.partitionBy(*partition_by).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]

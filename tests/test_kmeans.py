@@ -86,3 +86,16 @@ def test_elbow_never_rises(spark, points):
     df = spark.createDataFrame([tuple(map(float, p)) for p in x[::5]], "list_price double, rating double, monthly_sales double")
     costs = [r["wcss"] for r in segment.elbow_sweep(df, features=df.columns).collect()]
     assert len(costs) == 7 and costs == sorted(costs, reverse=True)
+
+
+def test_steps_read_packed_points(points):
+    df, x, w = points
+    blocks = kmeans.packed(df)
+    held = [np.frombuffer(r["block"]).reshape(4, -1) for r in blocks.collect()]
+    assert len(held) <= 14 and sum(b.shape[1] for b in held) == len(x)
+    together = np.hstack(held)
+    assert sorted(map(tuple, together.T.tolist())) == sorted((*p, v) for p, v in zip(x.tolist(), w.tolist()))
+    centers = np.array([[0.0, 0.0, 0.0], [1.0, 1.0, 1.0], [1.0, 1.0, 1.0]])
+    nearest, gap = kmeans._nearest(x.T, centers)
+    full = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+    assert gap == pytest.approx(full.min(axis=1), abs=1e-9) and set(nearest) == {0, 1}

@@ -140,7 +140,8 @@ def split_single_month(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame
 
     Rows are ordered by institution, project and city, then by their other
     columns.  This makes up a second period, so cleaning leaves it out unless
-    asked for.
+    asked for.  Rows are read in several passes: store them first if they are
+    costly to work out.
     """
     (month,) = roles.of("stats_month")
     known = F.col(month).isNotNull() & ~F.col(month).isin(UNKNOWN, "nan")
@@ -155,11 +156,16 @@ def split_single_month(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame
     rest = [c for c in df.columns if c not in keys and c != month]
     earlier = F.date_format(F.add_months(F.to_date(F.lit(f"{first}-01")), -1), "yyyy-MM")
 
-    # Whole key groups go to one side; only the group at the middle is split.
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    placed = ordered_prefix(groups, [F.asc_nulls_last(c) for c in keys], {"_upto": "_n"})
-    middle = placed.where(F.col("_upto") > half).orderBy("_upto").first()
-    before = int(middle["_upto"] - middle["_n"])
+    # Whole key groups go to one side; only the group at the middle is split.  It is
+    # found one key at a time, so what is ordered are the values of one column.
+    middle, before, within = {}, 0, df
+    for c in keys:
+        values = within.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        placed = ordered_prefix(values, [F.asc_nulls_last(c)], {"_upto": "_n"})
+        found = placed.where(F.col("_upto") > half - before).orderBy("_upto").first()
+        middle[c] = found[c]
+        before += int(found["_upto"] - found["_n"])
+        within = within.where(F.col(c).eqNullSafe(F.lit(found[c])))
 
     here = F.lit(True)
     ahead = F.lit(False)

@@ -91,6 +91,19 @@ def test_split_halves_by_key_order(spark, groups):
     assert list(ordered["stats_month"]) == ["2025-08"] * half + ["2025-09"] * (len(groups) - half)
 
 
+def test_split_orders_the_values_of_one_key_at_a_time(spark, monkeypatch):
+    seen, order = [], clean.ordered_prefix
+
+    def watch(df, *args, **kwargs):
+        seen.append((df.columns, df.count()))
+        return order(df, *args, **kwargs)
+
+    monkeypatch.setattr(clean, "ordered_prefix", watch)
+    groups = [(i, p, c) for i in "ab" for p in "pqr" for c in "xy"] + [(None, "p", "x")]
+    clean.split_single_month(_listings(spark, groups))
+    assert seen[:3] == [(["institution", "_n"], 3), (["project_name", "_n"], 3), (["city", "_n"], 2)]
+
+
 def test_split_leaves_other_tables_alone(spark):
     two = _listings(spark, [("a", "p", "x")] * 4).withColumn(
         "stats_month", F.when(F.col("list_price") > 1, "2025-09").otherwise("2025-07")

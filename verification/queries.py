@@ -161,6 +161,7 @@ def _insights_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 _NUMBERS = ("city", "list_price", "monthly_sales")
 _DATES = ("city", "collection_date")
+_SPLIT = ("institution", "project_name", "city", "list_price", "doctor_name", "stats_month")
 
 
 def _single_month(df: DataFrame) -> DataFrame:
@@ -322,9 +323,8 @@ def build() -> dict[str, Query]:
         "remove_outliers_simultaneous": _on_stored(
             _numbers, lambda df: clean.remove_outliers_iqr(df, sequential=False)
         ),
-        "split_single_month": _on_sales(
-            lambda df: clean.split_single_month(_single_month(df)),
-            "institution", "project_name", "city", "list_price", "doctor_name", "stats_month",
+        "split_single_month": _on_stored(
+            lambda spark, sf: load_sales(spark, sf, *_SPLIT), lambda df: clean.split_single_month(_single_month(df))
         ),
         "clean": _clean,
         # The same over all raw columns and all nine numbers.

@@ -101,6 +101,7 @@ def doctor_partials(df: DataFrame, doctors: DataFrame, roles: Roles = DEFAULT_RO
     """Per month, segment and title the sums of its listings, and its doctors as bitmaps.
 
     A bitmap holds those of 32,768 numbers, its ``bucket``; rows without a bucket hold the sums.
+    A doctor who is in a set twice is one bit of it, so no set of names is kept beside the bitmaps.
     """
     cluster, title, name = roles.of("cluster", "doctor_title", "doctor_name")
     read = list(_DOCTOR_MEASURES.values())
@@ -110,7 +111,7 @@ def doctor_partials(df: DataFrame, doctors: DataFrame, roles: Roles = DEFAULT_RO
     )
     by = [MONTH, "cluster", "doctor_title"]
     sums = known.groupBy(*by).agg(F.count(F.lit(1)).alias("row_cnt"), *_sums(read, roles))
-    numbered = known.select(*by, "doctor").distinct().join(doctors, "doctor")
+    numbered = known.select(*by, "doctor").join(doctors, "doctor")
     sets = numbered.groupBy(*by, F.bitmap_bucket_number("id").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("doctors")
     )

@@ -69,3 +69,16 @@ def test_doctors_of_several_months_count_once(spark, months, tmp_path):
     same(merged, warehouse.cluster_doctor_matching(together([first, months["2025-03"]])))
     parts = increments.stored_months(spark, path, made).where("bucket is not null").count()
     assert parts == 3 * 3 * 2  # one bitmap for each month, segment and title
+
+
+def test_doctors_are_sets_of_bits_only(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("2025-01", 0, "T1", name, 1.0, 2.0, 3.0) for name in ["a", "a", "b", None]],
+        "stats_month string, cluster int, doctor_title string, doctor_name string, monthly_sales double, "
+        "rating double, actual_price double",
+    )
+    made = increments.doctor_partials(rows, increments.known_doctors(rows, str(tmp_path / "names")))
+    assert increments.doctor_matching_of(made).first()["doctor_count"] == 2
+    # One aggregate for the sums and one for the bitmaps; none of names.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2

@@ -266,9 +266,9 @@ def _trend_by_months(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doctors_by_months(spark: SparkSession, sf: str) -> DataFrame:
-    df = load_segmented(
+    df, _ = settle(load_segmented(
         spark, sf, "doctor_title", "doctor_name", "monthly_sales", "actual_price", "rating", "stats_month"
-    )
+    ))
     names = _folder(spark, "doctors")
 
     def partials(rows: DataFrame) -> DataFrame:

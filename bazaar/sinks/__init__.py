@@ -11,13 +11,15 @@ from pyspark.sql import types as T
 from bazaar.functions.numeric import no_nan
 
 
-def sink_parquet(df: DataFrame, path: str, *partition_by: str) -> int:
+def sink_parquet(df: DataFrame, path: str, *partition_by: str, together: bool = False) -> int:
     """Overwrite a Parquet dataset; the row count comes from the write itself.
 
     Rows of a partition are brought together first, or each task would add a
-    small file to each; a partition too large for one task is split.
+    small file to each; a partition too large for one task is split.  Say so if
+    they are ``together`` already: wide rows are better brought together before
+    their columns are derived.
     """
-    if partition_by:
+    if partition_by and not together:
         df = df.hint("rebalance", *partition_by)
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))

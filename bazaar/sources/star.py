@@ -93,13 +93,19 @@ LISTING_COLUMNS = [*RAW_COLUMNS, "stats_month"]
 
 
 def load_sales(
-    spark: SparkSession, sf_dir: str, *columns: str, trusted_keys: bool = False
+    spark: SparkSession, sf_dir: str, *columns: str, trusted_keys: bool = False, together: str | None = None
 ) -> DataFrame:
     """The listing table, or just ``columns`` of it.
 
-    Customers and their places are joined to orders first, so the line items,
-    by far the largest side, are shuffled once for all of them.  Which sides
-    are small enough to broadcast is left to Spark, which knows their sizes.
+    Parts are joined to line items before orders, whose rows are wider, so that a
+    shuffle by one key carries little for the other; customers come with the orders
+    they belong to.  Names of nations and regions, two tables of fixed size, are
+    looked up last.  Which sides are small enough to broadcast is left to Spark,
+    which knows their sizes.
+
+    Rows that agree in the column ``together``, one that line items alone tell, are
+    brought together while they still are rows of the tables: most columns
+    repeat what a few of those hold.
     """
     wanted = list(columns) or LISTING_COLUMNS
     needed = set().union(*(_TABLES.get(c, set()) for c in wanted)) if trusted_keys else _ALL_TABLES
@@ -108,28 +114,30 @@ def load_sales(
         return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     out = table("lineitem")
+    if "part" in needed:
+        part = table("part")
+        out = out.join(part, out.l_partkey == part.p_partkey)
     if "orders" in needed:
         orders = table("orders")
         if "customer" in needed:
             customer = table("customer")
-            if "nation" in needed:
-                nation = table("nation")
-                if "region" in needed:
-                    region = table("region")
-                    nation = nation.join(region, nation.n_regionkey == region.r_regionkey)
-                customer = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
             orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
         out = out.join(orders, out.l_orderkey == orders.o_orderkey)
-    if "part" in needed:
-        part = table("part")
-        out = out.join(part, out.l_partkey == part.p_partkey)
     if "supplier" in needed:
         supplier = table("supplier")
-        if "district" in needed:
-            district = table("nation").selectExpr("n_nationkey AS d_nationkey", "n_name AS d_name")
-            supplier = supplier.join(district, supplier.s_nationkey == district.d_nationkey)
         out = out.join(supplier, out.l_suppkey == supplier.s_suppkey)
-    return out.selectExpr([f"{_EXPRESSIONS[c]} AS {c}" for c in wanted])
+    if together:
+        out = out.withColumn(together, F.expr(_EXPRESSIONS[together])).hint("rebalance", together)
+    if "nation" in needed:
+        nation = table("nation")
+        out = out.join(nation, out.c_nationkey == nation.n_nationkey)
+        if "region" in needed:
+            region = table("region")
+            out = out.join(region, out.n_regionkey == region.r_regionkey)
+    if "district" in needed:
+        district = table("nation").selectExpr("n_nationkey AS d_nationkey", "n_name AS d_name")
+        out = out.join(district, out.s_nationkey == district.d_nationkey)
+    return out.selectExpr([c if c == together else f"{_EXPRESSIONS[c]} AS {c}" for c in wanted])
 
 
 def rule_segment(df: DataFrame) -> DataFrame:

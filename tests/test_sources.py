@@ -7,6 +7,7 @@ from bazaar.session import run_folder, settle
 from bazaar.operators.clean import parse_date
 from bazaar.sources import csv as csv_source
 from bazaar.sources.csv import detect_charset, scan_csv
+from bazaar.sources.star import LISTING_COLUMNS, load_sales
 
 LINES = [
     'a,b,c',
@@ -122,6 +123,19 @@ def test_parquet_and_view(spark, tmp_path, rows):
     assert count == 3 and rows(spark.table("some_table")) == rows(df) == rows(stored)
 
 
+def test_rows_of_a_month_are_brought_together_before_their_columns_are_derived(spark, tmp_path, rows):
+    sf, by = "/root/testdata/sf0.001", "stats_month"
+    plain = load_sales(spark, sf, *LISTING_COLUMNS)
+    narrow = load_sales(spark, sf, *LISTING_COLUMNS, together=by)
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS city") < plan.index("AS project_name") < plan.index("RebalancePartitions")
+    assert rows(narrow, *LISTING_COLUMNS) == rows(plain, *LISTING_COLUMNS)
+    assert sink_parquet(narrow, str(tmp_path / "m"), by, together=True) == plain.count()
+    months = list((tmp_path / "m").glob("stats_month=*"))
+    assert len(months) == plain.select(by).distinct().count()
+    assert all(len(list(m.glob("part-*"))) == 1 for m in months)
+
+
 def test_utf8_without_quotes_is_read_by_spark_alone(spark, tmp_path, monkeypatch):
     def never(*_):
         raise AssertionError("a survey was made")

@@ -114,7 +114,8 @@ def _charset_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sink_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "parquet")
-    sinks.sink_parquet(load_sales(spark, sf, *LISTING_COLUMNS), path, "stats_month")
+    by = "stats_month"
+    sinks.sink_parquet(load_sales(spark, sf, *LISTING_COLUMNS, together=by), path, by, together=True)
     return rounded(scan_parquet(spark, path).select(LISTING_COLUMNS))
 
 

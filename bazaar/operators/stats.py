@@ -8,11 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import all_present, pearson
-from bazaar.functions.ordering import ordered_prefix
 from bazaar.schema import DEFAULT_ROLES, FEATURE_COLUMNS, Roles
 from bazaar.session import settle
 
@@ -53,22 +53,48 @@ def _check_ties(ties: str) -> None:
 
 
 def _value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value, n) of every distinct value."""
-    values = df.unpivot([], list(features), "feature", "value").where(F.col("value").isNotNull())
+    """(feature, value, n) of every distinct value; features by their place in ``features``."""
+    cells = ", ".join(f"{i}, CAST({_quoted(f)} AS DOUBLE)" for i, f in enumerate(features))
+    values = df.selectExpr(f"stack({len(features)}, {cells}) AS (feature, value)").where(F.col("value").isNotNull())
     return values.groupBy("feature", "value").agg(F.sum(F.lit(1.0)).alias("n"))
 
 
+def _upto(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a slice, in the order of values, with the running sums of each of its features."""
+    slice_, totals = TaskContext.get().partitionId(), {}
+    for batch in batches:
+        feature, n = batch.column("feature").to_numpy(), batch.column("n").to_numpy()
+        upto = np.empty(len(batch))
+        for f in np.unique(feature).tolist():
+            of = feature == f
+            sums = np.cumsum(n[of]) + totals.get(f, 0.0)
+            upto[of], totals[f] = sums, sums[-1]
+        columns = [pa.array(upto), pa.array(np.full(len(batch), slice_, dtype=np.int32))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "upto", "slice"])
+
+
 def _value_ranks(counts: DataFrame, ties: str, slices: int | None) -> DataFrame:
     """(feature, value, n, rank) of every distinct value; a null has no rank.
 
     Equal values are collapsed to counts before anything is ordered, so a
-    value held by a large part of all rows costs no more than a rare one.
+    value held by a large part of all rows costs no more than a rare one.  Each
+    slice of the order adds its counts up; the totals of those before it, a row
+    for each slice and feature, are added when the ranks are read.
     """
     _check_ties(ties)
-    upto = ordered_prefix(counts, [F.asc("value")], {"upto": "n"}, within=["feature"], slices=slices)
-    first = F.col("upto") - F.col("n") + 1
+    slices = slices or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = counts.select("feature", "value", "n").repartitionByRange(slices, "feature", "value")
+    # A slice lies in one feature or a few: to sort by the value alone is enough, and faster.
+    stored, _ = settle(ordered.sortWithinPartitions("value").mapInArrow(
+        _upto, "feature int, value double, n double, upto double, slice int"
+    ))
+    earlier = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored.groupBy("feature", "slice").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0.0)).alias("before")
+    offsets, _ = settle(totals.select("feature", "slice", before))
+    first = F.col("before") + F.col("upto") - F.col("n") + 1
     rank = first if ties == "min" else first + (F.col("n") - 1) / 2
-    return upto.select("feature", "value", "n", rank.alias("rank"))
+    return stored.join(offsets, ["feature", "slice"]).select("feature", "value", "n", rank.alias("rank"))
 
 
 def feature_ranks(
@@ -80,18 +106,19 @@ def feature_ranks(
     value: Spark broadcasts those of a feature with few values, and splits the
     reads of a frequent value otherwise.
     """
-    ranks, _ = settle(_value_ranks(_value_counts(df, features), ties, slices))
-    return _with_ranks(df, features, ranks)
+    ranks = _value_ranks(_value_counts(df, features), ties, slices)
+    return _with_ranks(df, dict(enumerate(features)), ranks)
 
 
-def _with_ranks(df: DataFrame, features: Sequence[str], ranks: DataFrame) -> DataFrame:
+def _with_ranks(df: DataFrame, features: dict[int, str], ranks: DataFrame) -> DataFrame:
+    """``df`` with ranks of ``features``, named by their number in ``ranks``."""
     out = df
-    for f in features:
-        of_feature = ranks.where(F.col("feature") == f).select(
+    for i, f in features.items():
+        of_feature = ranks.where(F.col("feature") == i).select(
             F.col("value").alias(f), F.col("rank").alias(f"rank_{f}")
         )
         out = out.join(of_feature, f, "left")
-    return out.select(*df.columns, *[f"rank_{f}" for f in features])
+    return out.select(*df.columns, *[f"rank_{f}" for f in features.values()])
 
 
 def spearman_matrix(
@@ -115,20 +142,15 @@ def spearman_matrix(
     complete, rows = settle(df.select(*[F.col(f).cast("double").alias(f) for f in present]).where(all_present(present)))
     counts, _ = settle(_value_counts(complete, present), "feature")
     sizes = dict(counts.groupBy("feature").count().collect())
-    small = [f for f in present if slices is None and sizes.get(f, 0) <= LOOKUP_VALUES]
-    tables = {f: _Ranks.of(counts.where(F.col("feature") == f), ties) for f in small}
-    large = [f for f in present if f not in small]
+    small = [i for i in range(len(present)) if slices is None and sizes.get(i, 0) <= LOOKUP_VALUES]
+    tables = {present[i]: _Ranks.of(counts.where(F.col("feature") == i), ties) for i in small}
+    large = {i: f for i, f in enumerate(present) if i not in small}
     moments = {f: (t.mean, t.spread) for f, t in tables.items()}
     if large:
-        ranks, _ = settle(_value_ranks(counts.where(F.col("feature").isin(large)), ties, slices))
+        ranks = _value_ranks(counts.where(F.col("feature").isin(list(large))), ties, slices)
         complete = _with_ranks(complete, large, ranks)
-        n, r = F.col("n"), F.col("rank")
-        mean = (F.sum(n * r) / F.sum(n)).alias("mean")
-        squares = ranks.join(ranks.groupBy("feature").agg(mean), "feature").groupBy("feature").agg(
-            F.first("mean").alias("mean"), F.sqrt(F.sum(n * (r - F.col("mean")) ** 2) / F.sum(n)).alias("spread")
-        )
-        moments |= {row["feature"]: (row["mean"], row["spread"]) for row in squares.collect()}
-    sums = _rank_products(complete, present, tables, {f: moments[f][0] for f in large if f in moments})
+        moments |= {large[i]: found for i, found in _rank_moments(ranks).items()}
+    sums = _rank_products(complete, present, tables, {f: moments[f][0] for f in large.values() if f in moments})
     cells = [(f, f, 1.0) for f in present]
     for a, b in combinations(present, 2):
         spread = moments[a][1] * moments[b][1] if rows else 0.0
@@ -137,6 +159,17 @@ def spearman_matrix(
     return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, corr double")
 
 
+def _rank_moments(ranks: DataFrame) -> dict[int, tuple[float, float]]:
+    """Mean and spread of the ranks of each feature, in two readings: no table is dealt by its few features."""
+    n, r = F.col("n"), F.col("rank")
+    means = dict(ranks.groupBy("feature").agg(F.sum(n * r) / F.sum(n)).collect())
+    if not means:
+        return {}
+    mean = F.create_map(*[F.lit(x) for pair in means.items() for x in pair])[F.col("feature")]
+    spreads = ranks.groupBy("feature").agg(F.sqrt(F.sum(n * (r - mean) ** 2) / F.sum(n)))
+    return {i: (means[i], spread) for i, spread in spreads.collect()}
+
+
 @dataclass(frozen=True)
 class _Ranks:
     """Values of a feature in order, their ranks less the mean, and the moments of the ranks."""

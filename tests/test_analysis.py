@@ -45,6 +45,23 @@ def test_spearman_ties(spark, ties, slices):
         assert value == pytest.approx(expected.loc[a, b], abs=1e-12)
 
 
+@pytest.mark.parametrize("ties", ["min", "average"])
+def test_ranks_of_values_come_without_a_window_over_them(spark, ties):
+    df = spark.range(2_000).selectExpr(
+        "CAST(id % 7 AS DOUBLE) AS a", "CAST(id * id % 1009 AS DOUBLE) AS b", "IF(id = 3, 1D, NULL) AS c"
+    )
+    ranks = stats._value_ranks(stats._value_counts(df, ["a", "b", "c"]), ties, 5)
+    assert "Window" not in ranks._jdf.queryExecution().executedPlan().toString()
+    found = {(r["feature"], r["value"]): r["rank"] for r in ranks.collect()}
+    frame = df.toPandas()
+    expected = frame.rank(method=ties)
+    assert found == {
+        (i, v): r for i, f in enumerate(frame) for v, r in zip(frame[f], expected[f], strict=True) if v == v
+    }
+    empty = df.where("a < 0")
+    assert _matrix(stats.spearman_matrix(empty, ("a", "b"), ties, slices=3))["a", "b"] is None
+
+
 def test_elasticity_recovers_a_power_law(spark):
     data = [("c", p, 50 * p ** -1.5) for p in (1.0, 2.0, 3.0, 8.0)] + [("c", 0.0, 5.0), (None, 1.0, 1.0)]
     row = stats.price_elasticity(

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.shared import PIECE_BYTES, pack, pieces, slices_for, squeeze, unpack, unsqueeze
+from bazaar.llm.shared import PIECE_BYTES, lean_group, lean_map, pack, pieces, slices_for, squeeze, unpack, unsqueeze
 from bazaar.session import checkpoint_folder
 
 BLOCKS = "block string, n_bytes long, doc_ids array<long>, sizes binary, texts binary, carried binary"
@@ -53,7 +53,7 @@ def text_blocks(
 
     others = [c for c in carry if c != "text"]
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
-    return picked.mapInArrow(run, BLOCKS)
+    return picked.mapInArrow(lean_map(run), BLOCKS)
 
 
 def _packed_rows(rows: pa.RecordBatch) -> bytes:
@@ -194,7 +194,7 @@ def answer(sent: DataFrame, rules: dict[int, tuple[type, type, Rule]]) -> DataFr
             names=_NAMES[ANSWERS],
         )
 
-    return sent.groupBy("kind", "bucket").applyInArrow(run, ANSWERS)
+    return sent.groupBy("kind", "bucket").applyInArrow(lean_group(run), ANSWERS)
 
 
 def bits_by_kind(answers: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
@@ -221,6 +221,6 @@ def add_up(parts: DataFrame, fan_in: int = 64) -> dict[int, np.ndarray]:
     left = parts.rdd.getNumPartitions()
     while left > 1:
         fewer = parts.withColumn("part", F.floor(F.col("part") / fan_in))
-        parts = fewer.groupBy("part", "name").applyInArrow(add, parts.schema)
+        parts = fewer.groupBy("part", "name").applyInArrow(lean_group(add), parts.schema)
         left = slices_for(left, fan_in)
     return {r["name"]: unpack(bytes(r["counts"]), np.int64) for r in parts.collect()}

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.llm.shared import encoded, pack, squeeze, store, unpack, unsqueeze
+from bazaar.llm.shared import encoded, lean_cogroup, lean_group, lean_map, pack, squeeze, store, unpack, unsqueeze
 
 # Where a block ends: distinct words, and pre-tokens, it holds.  Its documents are
 # kept in runs of about so many pre-tokens.
@@ -174,7 +174,7 @@ def _to_blocks(docs: DataFrame, pattern: str, buckets: int, most: int) -> DataFr
             yield from block.rows()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return picked.mapInArrow(cut, _BLOCKS)
+    return picked.mapInArrow(lean_map(cut), _BLOCKS)
 
 
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -203,7 +203,7 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
 
     picked = words.select("bucket", "block", "sizes", "words")
     return picked.groupBy("bucket").applyInArrow(
-        encode, "block string, bucket int, lengths binary, ids binary"
+        lean_group(encode), "block string, bucket int, lengths binary, ids binary"
     )
 
 
@@ -254,7 +254,7 @@ def encode(
     held = blocks.where(F.col("bucket") < 0).select("block", "doc_ids", "sizes", "numbers")
     together = held.groupBy("block").cogroup(ids.groupBy("block"))
     return together.applyInArrow(
-        lambda runs, words: _reassemble(runs, words, buckets), "doc_id long, ids array<int>"
+        lean_cogroup(lambda runs, words: _reassemble(runs, words, buckets)), "doc_id long, ids array<int>"
     )
 
 
@@ -273,7 +273,7 @@ def decode(encoded_docs: DataFrame, vocabulary: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "bytes"]
             )
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded_docs.select("doc_id", "ids").mapInArrow(lean_map(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -296,5 +296,5 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, block_tokens: int
             )
 
     return encode(docs, vocabulary, pattern, block_tokens=block_tokens).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        lean_map(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

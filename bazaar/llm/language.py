@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.llm.blocks import carried_schema
-from bazaar.llm.shared import held_out, pieces
+from bazaar.llm.shared import held_out, lean_group, lean_map, pieces
 
 DIMENSIONS = 512
 LETTERS = 64  # 0 is whatever is no letter
@@ -149,7 +149,7 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 11
         yield from flush()
 
     spoken = docs.where(F.col("lang").isNotNull()).select("text", "lang")
-    found = spoken.mapInArrow(count, "lang string, run int, n long")
+    found = spoken.mapInArrow(lean_map(count), "lang string, run int, n long")
     by_run = found.groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
     def bundle(table: pa.Table) -> pa.Table:
@@ -162,7 +162,7 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 11
         return pa.table([table.column("lang").slice(0, 1), pa.array([total.tolist()])], names=["lang", "vector"])
 
     # The driver gets a few kilobytes for each language, whatever its texts.
-    known = by_run.groupBy("lang").applyInArrow(bundle, "lang string, vector array<double>").collect()
+    known = by_run.groupBy("lang").applyInArrow(lean_group(bundle), "lang string, vector array<double>").collect()
     found = {r["lang"]: np.array(r["vector"]) for r in known}
     langs = sorted(r["lang"] for r in spoken.select("lang").distinct().collect())
     return {lang: found.get(lang, np.zeros(dimensions)) for lang in langs}
@@ -211,7 +211,7 @@ def predict_languages(
     picked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *others
     )
-    return picked.mapInArrow(predict, SCHEMA + carried_schema(docs, carry))
+    return picked.mapInArrow(lean_map(predict), SCHEMA + carried_schema(docs, carry))
 
 
 def identify_languages(

@@ -28,7 +28,9 @@ from bazaar.llm.blocks import (
     ENTRIES, NO_ID, add_up, answer, bits_by_kind, bucket_edges, entries, gather_bits, held_twice,
 )
 from bazaar.llm.components import components
-from bazaar.llm.shared import Words, discard, mix, pack, pieces, prefix_sums, slices_for, span_hash, store, window_hash
+from bazaar.llm.shared import (
+    Words, discard, lean_cogroup, lean_map, mix, pack, pieces, prefix_sums, slices_for, span_hash, store, window_hash,
+)
 
 SHINGLE = 5
 # Sets A and B are similar if 100 |A and B| >= SIMILARITY |A or B|.
@@ -89,7 +91,7 @@ def _frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
             names=["part", "name", "counts"],
         )
 
-    counted = add_up(docs.select("text").mapInArrow(run, "part long, name long, counts binary"))
+    counted = add_up(docs.select("text").mapInArrow(lean_map(run), "part long, name long, counts binary"))
     return counted.get(0, np.zeros(1 << SLOT_BITS, dtype=np.int64))
 
 
@@ -120,7 +122,7 @@ def _profiles(docs: DataFrame, shingle: int, similarity: int, counts: np.ndarray
                 names=[c.split()[0] for c in PROFILES.split(", ")],
             )
 
-    return docs.select(_order().alias("doc_id"), "text").mapInArrow(run, PROFILES)
+    return docs.select(_order().alias("doc_id"), "text").mapInArrow(lean_map(run), PROFILES)
 
 
 def _prefixes(sizes: list[int], data: bytes, similarity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,10 +182,10 @@ def _held_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
 
     total = profiles.agg(F.sum(F.expr("octet_length(prefixes)"))).first()[0] or 0
     buckets = slices_for(total // 8, BUCKET_KEYS)
-    sent = profiles.select("block", "sizes", "prefixes").mapInArrow(send, ENTRIES)
+    sent = profiles.select("block", "sizes", "prefixes").mapInArrow(lean_map(send), ENTRIES)
     answers = answer(sent, {0: (np.uint8, np.uint8, held_twice)})
     rows = profiles.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        unfold, "shingle long, group long, n long, place long, doc_id long"
+        lean_cogroup(unfold), "shingle long, group long, n long, place long, doc_id long"
     )
     return rows.groupBy("shingle", "group", "n", "place").agg(F.min("doc_id").alias("doc_id"))
 
@@ -372,7 +374,7 @@ class _Join:
         wanted = texts.join(ids if self.known is not None else ids.hint("merge"), "doc_id", "left_semi")
         # Repeated rows meet in their task anyway; one of them is enough.
         once = wanted.withColumn("copy", F.xxhash64("text")).dropDuplicates(["doc_id", "copy"])
-        found = once.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, shingles binary")
+        found = once.select("doc_id", "text").mapInArrow(lean_map(run), "doc_id long, node long, shingles binary")
         found = found.join(missing, ["doc_id", "node"], "left_semi")
         fetched = store(found.select("node", "shingles"), "join-sets")
         self.known = fetched if self.known is None else self.known.unionByName(fetched)
@@ -402,7 +404,7 @@ class _Join:
             found = sets.join(wanted, "node", "left_semi")
             return found.select(F.col("node").alias(side), F.col("shingles").alias(name))
 
-        return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(run, "a long, b long")
+        return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lean_map(run), "a long, b long")
 
 
 def _named(prefix: str, name: str) -> list[Column]:
@@ -483,7 +485,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
             yield rows.append_column("_n", n).append_column("_node", nodes)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n long, _node long"
-    tagged = docs.mapInArrow(run, schema).withColumn("_order", _order())
+    tagged = docs.mapInArrow(lean_map(run), schema).withColumn("_order", _order())
     again = F.row_number().over(Window.partitionBy("_order", "_node").orderBy("_n"))
     joined = tagged.join(firsts, ["_order", "_node"], "left").withColumn("_again", again)
     stays = (F.col("_n") == 0) | (F.col("_first") & (F.col("_again") == 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -85,11 +85,44 @@ def pieces(
 
 def _give_back() -> None:
     """Return freed memory to the machine: workers live on, and those idle should not hold it."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def lean_map(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` for ``mapInArrow``, returning memory once all it held is freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        _give_back()
+
+    return run
+
+
+def lean_group(step: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a step on each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = step(table)
+        _give_back()
+        return out
+
+    return run
+
+
+def lean_cogroup(step: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a step on each pair of groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = step(left, right)
+        _give_back()
+        return out
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all others."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

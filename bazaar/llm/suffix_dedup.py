@@ -26,7 +26,7 @@ from bazaar.llm.blocks import (
     ENTRIES, answer, bits_by_kind, bucket_edges, carried_columns, carried_schema, differs, doc_order, entries, gather_bits, held_earlier,
     held_twice, keep_bucketed, least_by_key, text_blocks, total_bytes, unpack_block,
 )
-from bazaar.llm.shared import mix, prefix_sums, slices_for, span_hash, store, window_hash
+from bazaar.llm.shared import lean_cogroup, lean_map, mix, prefix_sums, slices_for, span_hash, store, window_hash
 
 WINDOW = 50
 GRAM = 28
@@ -245,9 +245,9 @@ def remove_repeats(
         return pa.concat_tables(out)
 
     def with_answers(answers: DataFrame, step, schema: str) -> DataFrame:
-        return kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(step, schema)
+        return kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_cogroup(step), schema)
 
-    grams = kept.select("block", "doc_ids", "sizes", "texts").mapInArrow(first, ENTRIES)
+    grams = kept.select("block", "doc_ids", "sizes", "texts").mapInArrow(lean_map(first), ENTRIES)
     answers = store(answer(grams, RULES), "radix-grams")
     contexts = with_answers(answers, second, ENTRIES)
     answers = answers.unionByName(store(answer(contexts, RULES), "radix-contexts"))

@@ -1,6 +1,7 @@
 """Word hashes, and operators on words and labels that once went wrong."""
 
 import os
+import weakref
 
 import numpy as np
 import pytest
@@ -73,3 +74,25 @@ def test_discarded_tables_leave_nothing_behind(spark):
     shared.discard(gone)
     assert kept.count() == 10
     assert not os.path.exists(os.path.dirname(gone.inputFiles()[0].removeprefix("file:")))
+
+
+def test_memory_is_returned_once_a_step_holds_nothing(monkeypatch):
+    held, seen = [], []
+
+    def note():
+        seen.append([r() is None for r in held])
+
+    def numbers():
+        values = np.zeros(9)
+        held.append(weakref.ref(values))
+        return values
+
+    def each(batches):
+        for _ in batches:
+            values = numbers()
+            yield len(values)
+
+    monkeypatch.setattr(shared, "_give_back", note)
+    assert list(shared.lean_map(each)(iter("ab"))) == [9, 9] and seen == [[True, True]]
+    assert shared.lean_group(lambda t: len(numbers()))("x") == 9 and seen[1:] == [[True] * 3]
+    assert shared.lean_cogroup(lambda a, b: len(numbers()))("x", "y") == 9 and seen[2:] == [[True] * 4]

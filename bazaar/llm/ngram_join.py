@@ -39,6 +39,8 @@ SIMILARITY = 80
 # size.  It only sets the order of shingles; any order gives the same result.
 SLOT_BITS = 20
 BUCKET_KEYS = 500_000
+# Wanted ids are marked in a table of up to this many bits, 16 MB.  Where it is full, more texts travel.
+MARK_BITS = 27
 _SIZE_STEP = 1.25
 
 PROFILES = "block string, doc_ids array<long>, sizes array<long>, nodes array<long>, groups array<long>, prefixes binary"
@@ -351,6 +353,7 @@ class _Join:
 
         The first time this is a good part of all documents, so the texts are dealt
         by id, whatever the size; later a few are missing, and Spark knows how few.
+        Texts that no pair asks for stay where they are.
         """
         shingle = self.shingle
 
@@ -371,7 +374,9 @@ class _Join:
         missing = store(self.members.join(nodes, "node").select("doc_id", "node"), "join-needed")
         ids = missing.select("doc_id").distinct()
         texts = self.docs.select(_order().alias("doc_id"), "text")
-        wanted = texts.join(ids if self.known is not None else ids.hint("merge"), "doc_id", "left_semi")
+        likely = _marked(texts, ids, missing.count())
+        # Not a semi join: Spark would move that before the marks.
+        wanted = likely.join(ids if self.known is not None else ids.hint("merge"), "doc_id")
         # Repeated rows meet in their task anyway; one of them is enough.
         once = wanted.withColumn("copy", F.xxhash64("text")).dropDuplicates(["doc_id", "copy"])
         found = once.select("doc_id", "text").mapInArrow(lean_map(run), "doc_id long, node long, shingles binary")
@@ -407,6 +412,20 @@ class _Join:
         return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lean_map(run), "a long, b long")
 
 
+def _marked(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """``rows`` whose hashed ``doc_id`` is that of one of the ``n`` ids at most; few others pass.
+
+    Marks are bits of a table that every task gets, in strips of 2^15.
+    """
+    bits = min(MARK_BITS, max(15, (64 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    strip, place = F.floor(slot / (1 << 15)).alias("strip"), slot % (1 << 15)
+    marks = ids.select(strip, place.alias("place")).groupBy("strip").agg(F.bitmap_construct_agg("place").alias("marks"))
+    placed = rows.withColumns({"strip": strip, "place": place}).join(marks.hint("broadcast"), "strip")
+    octet = F.expr("CAST(conv(hex(substring(marks, CAST(place DIV 8 + 1 AS INT), 1)), 16, 10) AS BIGINT)")
+    return placed.where(F.getbit(octet, F.col("place") % 8) == 1).select(*rows.columns)
+
+
 def _named(prefix: str, name: str) -> list[Column]:
     """Group, size and place of a shingle under the names of one side of a pair."""
     columns = {"group": name, "n": f"{name}n", "place": f"{name}p"}

@@ -96,3 +96,14 @@ def test_memory_is_returned_once_a_step_holds_nothing(monkeypatch):
     assert list(shared.lean_map(each)(iter("ab"))) == [9, 9] and seen == [[True, True]]
     assert shared.lean_group(lambda t: len(numbers()))("x") == 9 and seen[1:] == [[True] * 3]
     assert shared.lean_cogroup(lambda a, b: len(numbers()))("x", "y") == 9 and seen[2:] == [[True] * 4]
+
+
+@pytest.mark.parametrize("bits", [15, 27])
+def test_only_texts_whose_ids_are_marked_travel(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "MARK_BITS", bits)
+    rows = spark.range(-20_000, 40_000).selectExpr("id * 3 AS doc_id", "'t' AS text")
+    ids = rows.where("doc_id % 11 = 0").select("doc_id")
+    found = {r["doc_id"] for r in ngram_join._marked(rows, ids, ids.count()).collect()}
+    wanted = {r["doc_id"] for r in ids.collect()}
+    assert found >= wanted and len(found) < (7_000 if bits == 27 else 20_000)
+    assert ngram_join._marked(rows, ids.limit(0), 0).isEmpty()

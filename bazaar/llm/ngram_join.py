@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaar.llm.blocks import (
-    ENTRIES, NO_ID, add_up, answer, bits_by_kind, bucket_edges, entries, gather_bits, held_twice,
+    ENTRIES, NO_ID, add_up, answer, bits_by_kind, bucket_edges, entries, gather_bits, held_twice, least_by_key,
 )
 from bazaar.llm.components import components
 from bazaar.llm.shared import (
-    Words, discard, lean_cogroup, lean_map, mix, pack, pieces, prefix_sums, slices_for, span_hash, store, window_hash,
+    PIECE_BYTES, Words, discard, lean_cogroup, lean_map, mix, pack, pieces, prefix_sums, slices_for, span_hash, squeeze,
+    store, store_bucketed, unsqueeze, window_hash,
 )
 
 SHINGLE = 5
@@ -39,6 +40,8 @@ SIMILARITY = 80
 # size.  It only sets the order of shingles; any order gives the same result.
 SLOT_BITS = 20
 BUCKET_KEYS = 500_000
+# A block has about this many prefix shingles: the more, the fewer and the better packed are its questions.
+BLOCK_KEYS = 500_000
 # Wanted ids are marked in a table of up to this many bits, 16 MB.  Where it is full, more texts travel.
 MARK_BITS = 27
 _SIZE_STEP = 1.25
@@ -102,9 +105,22 @@ def _profiles(docs: DataFrame, shingle: int, similarity: int, counts: np.ndarray
     table = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, task = table.value, TaskContext.get().partitionId()
-        for made, (rows, texts) in enumerate(pieces(batches)):
-            sizes, nodes, groups, prefixes = [], [], [], []
+        frequency, task, made = table.value, TaskContext.get().partitionId(), 0
+        doc_ids, sizes, nodes, groups, prefixes, keys = [], [], [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            longs = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f"{task}-{made}"]), pa.array([doc_ids], longs), pa.array([sizes], longs),
+                    pa.array([nodes], longs), pa.array([groups], longs),
+                    pa.array([np.concatenate(prefixes).tobytes()], pa.binary()),
+                ],
+                names=[c.split()[0] for c in PROFILES.split(", ")],
+            )
+
+        for rows, texts in pieces(batches):
+            doc_ids += rows.column("doc_id").to_pylist()
             for values in shingle_sets(texts, shingle):
                 n = len(values)
                 rare_first = np.argsort(frequency[_slots(values)], kind="stable")
@@ -114,15 +130,13 @@ def _profiles(docs: DataFrame, shingle: int, similarity: int, counts: np.ndarray
                 nodes.append(_signature(values))
                 groups.append(_signature(np.append(prefix + mix(place), np.uint64(n))))
                 prefixes.append(prefix)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"{task}-{made}"]), pa.array([rows.column("doc_id").to_pylist()], longs),
-                    pa.array([sizes], longs), pa.array([nodes], longs), pa.array([groups], longs),
-                    pa.array([np.concatenate(prefixes).tobytes()], pa.binary()),
-                ],
-                names=[c.split()[0] for c in PROFILES.split(", ")],
-            )
+                keys += len(prefix)
+            if keys >= BLOCK_KEYS:
+                yield block()
+                doc_ids, sizes, nodes, groups, prefixes, keys = [], [], [], [], [], 0
+                made += 1
+        if doc_ids:
+            yield block()
 
     return docs.select(_order().alias("doc_id"), "text").mapInArrow(lean_map(run), PROFILES)
 
@@ -133,63 +147,71 @@ def _prefixes(sizes: list[int], data: bytes, similarity: int) -> tuple[np.ndarra
     return np.frombuffer(data, dtype=np.uint64), np.repeat(np.arange(len(sizes)), lengths)
 
 
-# Blocks ask by this many leading bits; shingles that share them with another become rows in vain.
-_ASKED_BITS = 48
-
+def _asked_bits(total: int) -> int:
+    """By how many leading bits blocks ask about ``total`` shingles.
 
-def _asked(shingles: np.ndarray) -> np.ndarray:
-    return shingles >> np.uint64(64 - _ASKED_BITS)
+    Shingles that share them with another become rows in vain: one in 4,096 at most.
+    """
+    return min(64, total.bit_length() + 12)
 
 
-def _held_shingles(profiles: DataFrame, similarity: int) -> DataFrame:
-    """(shingle, group, n, place, doc_id) for prefix shingles that several documents have.
+def _held_shingles(profiles: DataFrame, similarity: int, parts: int) -> DataFrame:
+    """(shingle, group, n, place, doc_id) for prefix shingles that several documents have, dealt by shingle.
 
     ``doc_id`` is the least of the group.  First blocks learn which of their
-    shingles stand in another document at all; only those become rows.
+    shingles stand in another document at all; only those become rows, one for
+    a block's documents of one group.
     """
 
+    def asked(shingles: np.ndarray) -> np.ndarray:
+        return shingles >> np.uint64(64 - bits)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("block", "sizes", "prefixes")]
             for block, sizes, data in zip(*columns, strict=True):
                 shingles, _ = _prefixes(sizes, data, similarity)
-                keys, times = np.unique(_asked(shingles), return_counts=True)
-                edges = bucket_edges(keys, buckets, _ASKED_BITS)
+                keys, times = np.unique(asked(shingles), return_counts=True)
+                edges = bucket_edges(keys, buckets, bits)
                 sent = entries(0, block, edges, keys, np.minimum(times, 2).astype(np.uint8))
                 if sent is not None:
                     yield sent
 
-    def unfold(block: pa.Table, bits: pa.Table) -> pa.Table:
-        known, parts = bits_by_kind(bits).get(0, []), []
+    def unfold(block: pa.Table, answers: pa.Table) -> pa.Table:
+        known, found = bits_by_kind(answers).get(0, []), []
         columns = [block.column(c).to_pylist() for c in ("doc_ids", "sizes", "groups", "prefixes")]
         for doc_ids, sizes, groups, data in zip(*columns, strict=True):
             shingles, doc = _prefixes(sizes, data, similarity)
-            keys, number = np.unique(_asked(shingles), return_inverse=True)
-            held = gather_bits(known, bucket_edges(keys, buckets, _ASKED_BITS))[number]
+            keys, number = np.unique(asked(shingles), return_inverse=True)
+            held = gather_bits(known, bucket_edges(keys, buckets, bits))[number]
             first = np.searchsorted(doc, doc)  # where the document's prefix begins
             place = np.arange(len(doc)) - first
+            group, ids = np.array(groups, dtype=np.int64), np.array(doc_ids, dtype=np.int64)
+            names, least = least_by_key(group, ids)
+            _, one = np.unique(group, return_index=True)
+            held &= np.isin(doc, one)
             doc = doc[held]
-            parts.append(
+            found.append(
                 pa.table(
                     [
-                        pa.array(shingles[held].view(np.int64)),
-                        pa.array(np.array(groups, dtype=np.int64)[doc]),
+                        pa.array(shingles[held].view(np.int64)), pa.array(group[doc]),
                         pa.array(np.array(sizes, dtype=np.int64)[doc]), pa.array(place[held]),
-                        pa.array(doc_ids, pa.int64()).take(pa.array(doc)),
+                        pa.array(least[np.searchsorted(names, group[doc])]),
                     ],
                     names=["shingle", "group", "n", "place", "doc_id"],
                 )
             )
-        return pa.concat_tables(parts)
+        return pa.concat_tables(found)
 
-    total = profiles.agg(F.sum(F.expr("octet_length(prefixes)"))).first()[0] or 0
-    buckets = slices_for(total // 8, BUCKET_KEYS)
+    total = (profiles.agg(F.sum(F.expr("octet_length(prefixes)"))).first()[0] or 0) // 8
+    buckets, bits = slices_for(total, BUCKET_KEYS), _asked_bits(total)
     sent = profiles.select("block", "sizes", "prefixes").mapInArrow(lean_map(send), ENTRIES)
     answers = answer(sent, {0: (np.uint8, np.uint8, held_twice)})
     rows = profiles.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lean_cogroup(unfold), "shingle long, group long, n long, place long, doc_id long"
     )
-    return rows.groupBy("shingle", "group", "n", "place").agg(F.min("doc_id").alias("doc_id"))
+    dealt = rows.repartition(parts, "shingle")
+    return dealt.groupBy("shingle", "group", "n", "place").agg(F.min("doc_id").alias("doc_id"))
 
 
 def _fitting_shingles(held: DataFrame, similarity: int) -> DataFrame:
@@ -198,27 +220,29 @@ def _fitting_shingles(held: DataFrame, similarity: int) -> DataFrame:
     Copies are one group: a shingle that only they have makes no candidates.  Neither
     does a place too late for a partner of any size that the shingle's groups have.
     """
-    several = held.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("_groups"), F.min("n").alias("_least"), F.max("n").alias("_most"),
-        F.min("place").alias("_first"),
+    of_shingle = Window.partitionBy("shingle")
+    several = held.select(
+        "*", F.count(F.lit(1)).over(of_shingle).alias("_groups"), F.min("n").over(of_shingle).alias("_least"),
+        F.max("n").over(of_shingle).alias("_most"), F.min("place").over(of_shingle).alias("_first"),
     ).where("_groups > 1")
     n, s = F.col("n"), similarity
     smallest = F.greatest(F.col("_least"), F.ceil(n * s / 100))
     largest = F.least(F.col("_most"), F.floor(n * 100 / s))
     own = F.col("place") * (100 + s) <= n * 100 - smallest * s
     others = F.col("_first") * (100 + s) <= largest * 100 - n * s
-    fitting = held.join(several, "shingle").where((smallest <= F.col("_most")) & own & others)
+    fitting = several.where((smallest <= F.col("_most")) & own & others)
     return fitting.select("shingle", "group", "n", "place", "doc_id")
 
 
 class _Join:
-    """The steps of the join; tables between them are stored."""
+    """The steps of the join; tables between them are stored, those of shingles bucketed by shingle."""
 
     def __init__(self, docs: DataFrame, shingle: int, similarity: int):
         self.docs, self.shingle, self.similarity = docs, shingle, similarity
-        self.known: DataFrame | None = None
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         counts = _frequencies(docs, shingle)
-        profiles = store(_profiles(docs, shingle, similarity, counts), "join-profiles")
+        # Bucketed as they are made, a file for each block: answers travel to them.
+        profiles = store_bucketed(_profiles(docs, shingle, similarity, counts), "join-profiles", "block", self.parts)
         rows = profiles.select(F.explode(F.arrays_zip("doc_ids", "sizes", "nodes", "groups")).alias("r"))
         self.rows = store(
             rows.select(
@@ -232,10 +256,9 @@ class _Join:
         self.members = store(
             self.rows.where("n > 0").groupBy("node", "group", "n").agg(least), "join-members"
         )
-        held = store(_held_shingles(profiles, similarity), "join-held")
+        held = _held_shingles(profiles, similarity, self.parts)
+        self.shared = store_bucketed(_fitting_shingles(held, similarity), "join-shingles", "shingle", self.parts)
         discard(profiles)
-        self.shared = store(_fitting_shingles(held, similarity), "join-shingles")
-        discard(held)
 
     def allowed(self, a: str, b: str) -> Column:
         """Can two groups with a shingle in common be similar, by sizes and the shingle's places?
@@ -255,12 +278,11 @@ class _Join:
     def least_groups(self) -> DataFrame:
         """Candidate groups: each shingle's groups of about one size with the least of them."""
         step = F.floor(F.log(F.col("n")) / F.log(F.lit(_SIZE_STEP)))
-        sized = self.shared.withColumn("step", step)
-        least = sized.groupBy("shingle", "step").agg(
-            F.min(F.struct("doc_id", "group", "n", "place")).alias("m"), F.count(F.lit(1)).alias("k")
-        ).where("k > 1").select("shingle", "step", *_named("m.", "a"))
-        found = sized.select("shingle", "step", *_named("", "b")).join(least, ["shingle", "step"])
-        across = found.where(self.allowed("a", "b")).select("a", "b")
+        of_size = Window.partitionBy("shingle", "step")
+        least = F.min(F.struct("doc_id", "group", "n", "place")).over(of_size)
+        found = self.shared.withColumn("step", step).withColumn("m", least)
+        sized = found.select(*_named("", "b"), *_named("m.", "a")).where("a <> b")
+        across = sized.where(self.allowed("a", "b")).select("a", "b")
         within = self.members.select(F.col("group").alias("a"), F.col("group").alias("b"))
         return across.unionByName(within).distinct()
 
@@ -292,10 +314,12 @@ class _Join:
         Components only grow, so a shingle whose groups are all of one side stays
         so: what is found here is all that the next round has to look at.
         """
-        placed = store(self.shared.join(self.sides(labelled).select("group", "side"), "group"), "join-placed")
-        open_ = placed.groupBy("shingle").agg(F.min("side").alias("low"), F.max("side").alias("high"))
-        found = store(placed.join(open_.where("low <> high").select("shingle"), "shingle", "left_semi"), "join-open")
-        discard(placed)
+        placed = self.shared.join(self.sides(labelled).select("group", "side"), "group")
+        of_shingle = Window.partitionBy("shingle")
+        several = F.min("side").over(of_shingle) != F.max("side").over(of_shingle)
+        open_ = placed.repartition(self.parts, "shingle").withColumn("_several", several).where("_several")
+        found = store_bucketed(open_.drop("_several"), "join-open", "shingle", self.parts)
+        discard(self.shared)
         self.shared = found.drop("side")
         return found
 
@@ -348,52 +372,35 @@ class _Join:
         pairs = groups.join(a, "a").join(b, "b").where("lx <> ly")
         return _ordered(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    def fetch_sets(self, pairs: DataFrame) -> DataFrame:
-        """The shingles of all nodes in ``pairs``; those not known yet come from the texts.
+    def fetch_texts(self, pairs: DataFrame) -> DataFrame:
+        """(node, text) for all nodes in ``pairs``, and few others; texts are compressed.
 
-        The first time this is a good part of all documents, so the texts are dealt
-        by id, whatever the size; later a few are missing, and Spark knows how few.
-        Texts that no pair asks for stay where they are.
+        Texts stay where they are until pairs meet them, and take half the room of
+        their shingles, which are worked out again there.
         """
         shingle = self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, texts in pieces(batches):
-                values = shingle_sets(texts, shingle)
+            for _, texts in pieces(batches):
+                nodes = [_signature(v) for v in shingle_sets(texts, shingle)]
+                packed = [squeeze(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"), pa.array([_signature(v) for v in values], pa.int64()),
-                        pa.array([v.tobytes() for v in values], pa.binary()),
-                    ],
-                    names=["doc_id", "node", "shingles"],
+                    [pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["node", "text"]
                 )
 
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.known is not None:
-            nodes = nodes.join(self.known.select("node"), "node", "left_anti")
-        missing = store(self.members.join(nodes, "node").select("doc_id", "node"), "join-needed")
-        ids = missing.select("doc_id").distinct()
-        texts = self.docs.select(_order().alias("doc_id"), "text")
-        likely = _marked(texts, ids, missing.count())
-        # Not a semi join: Spark would move that before the marks.
-        wanted = likely.join(ids if self.known is not None else ids.hint("merge"), "doc_id")
-        # Repeated rows meet in their task anyway; one of them is enough.
-        once = wanted.withColumn("copy", F.xxhash64("text")).dropDuplicates(["doc_id", "copy"])
-        found = once.select("doc_id", "text").mapInArrow(lean_map(run), "doc_id long, node long, shingles binary")
-        found = found.join(missing, ["doc_id", "node"], "left_semi")
-        fetched = store(found.select("node", "shingles"), "join-sets")
-        self.known = fetched if self.known is None else self.known.unionByName(fetched)
-        return self.known
+        needed = store(self.members.join(nodes, "node").select("doc_id"), "join-needed")
+        likely = _marked(self.docs.select(_order().alias("doc_id"), "text"), needed, needed.count())
+        return store(likely.select("text").mapInArrow(lean_map(run), "node long, text binary"), "join-texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar: exact sizes of intersections decide."""
-        similarity = self.similarity
+        """The pairs that are similar, stored: exact sizes of intersections decide."""
+        shingle, similarity = self.shingle, self.similarity
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                for a, b in _pair_sets(batch, shingle):
                     if len(a) > len(b):
                         a, b = b, a
                     at = np.searchsorted(b, a)
@@ -401,15 +408,35 @@ class _Join:
                     keep.append(100 * shared >= similarity * (len(a) + len(b) - shared))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        sets = self.fetch_sets(pairs)
+        texts = self.fetch_texts(pairs)
+        # Copies without an id of their own come several times.
+        once = texts.dropDuplicates(["node"])
 
         def of(side: str, name: str) -> DataFrame:
-            # Later rounds have few pairs; sets that are in none of them stay where they are.
-            wanted = pairs.select(F.col(side).alias("node")).distinct()
-            found = sets.join(wanted, "node", "left_semi")
-            return found.select(F.col("node").alias(side), F.col("shingles").alias(name))
-
-        return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lean_map(run), "a long, b long")
+            return once.select(F.col("node").alias(side), F.col("text").alias(name))
+
+        met = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+        links = store(met.mapInArrow(lean_map(run), "a long, b long"), "join-links")
+        discard(texts)
+        return links
+
+
+def _pair_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two sets of each pair; pairs whose texts have some bytes together are taken apart at once."""
+    columns = [batch.column(c).to_pylist() for c in ("a", "x", "b", "y")]
+    pairs: list[tuple[int, int]] = []
+    texts: dict[int, bytes] = {}
+    size = 0
+    for i, (a, x, b, y) in enumerate(zip(*columns, strict=True)):
+        for node, packed in ((a, x), (b, y)):
+            if node not in texts:
+                texts[node] = unsqueeze(packed)
+                size += len(texts[node])
+        pairs.append((a, b))
+        if size >= PIECE_BYTES or i + 1 == len(batch):
+            sets = dict(zip(texts, shingle_sets(list(texts.values()), shingle), strict=True))
+            yield from ((sets[p], sets[q]) for p, q in pairs)
+            pairs, texts, size = [], {}, 0
 
 
 def _marked(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -446,17 +473,17 @@ def _linked(docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame,
     """A row for each document with its node, and every node with its component's label."""
     join = _Join(docs, shingle, similarity)
     pairs = store(join.first_members(join.least_groups()), "join-pairs")
-    links = store(join.verified(pairs), "join-links")
+    links = join.verified(pairs)
     labelled = join.labelled(links)
     met = join.first_members(join.representatives(join.open_groups(labelled)))
     more = store(met.join(pairs, ["a", "b"], "left_anti"), "join-pairs")
-    links = links.unionByName(store(join.verified(more), "join-links"))
+    links = links.unionByName(join.verified(more))
     labelled = join.labelled(links)
     checked = pairs.unionByName(more)
     open_ = join.open_groups(labelled)
     rest = join.all_members(join.all_groups(open_, labelled), labelled).join(checked, ["a", "b"], "left_anti")
     rest = store(rest, "join-pairs")
-    found = store(join.verified(rest), "join-links")
+    found = join.verified(rest)
     if not found.isEmpty():
         labelled = join.labelled(links.unionByName(found))
     return join.rows, labelled

@@ -27,8 +27,10 @@ _SEED_STEPS = 25
 # Steps over all points, and the move of a centre that no longer counts.
 MAX_STEPS = 20
 TOLERANCE = 1e-4
-# Points a step works on at once: what it keeps of them stays in the cache of a core.
+# Points a step works on at once, and a stored row holds: what it keeps of them stays in the cache of a core.
 _AT_ONCE = 4_096
+# Readers hold a whole group of rows in memory, and rows are long: groups are small, and cut in time.
+_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "10"}
 # Sums are added in any order; centres are cut where that shows.
 _DECIMALS = 9
 
@@ -117,7 +119,8 @@ def packed(points: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = np.stack([batch.column(c).to_numpy() for c in names])
-            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+            cuts = [block[:, at : at + _AT_ONCE].tobytes() for at in range(0, len(batch), _AT_ONCE)]
+            yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.binary())], names=["block"])
 
     return points.mapInArrow(pack, "block binary")
 
@@ -199,7 +202,7 @@ def fit(points: DataFrame, ks: Sequence[int], seed: int) -> dict[int, tuple[np.n
     sample, weight = coreset(points, seed=seed)
     if not len(sample):
         raise ValueError("no row has all features")
-    blocks, _ = settle(packed(points), compression="zstd")
+    blocks, _ = settle(packed(points), compression="zstd", **_GROUPS)
     found = refine(blocks, seeds(sample, weight, ks, seed))
     draw = np.random.default_rng(seed)
     for less, more in zip(sorted(ks), sorted(ks)[1:], strict=False):

@@ -1,12 +1,16 @@
 """The coreset, the shared scans, and whole fits against MLlib."""
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from bazaar.operators import kmeans, segment
+from bazaar.session import run_folder
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +103,15 @@ def test_steps_read_packed_points(points):
     nearest, gap = kmeans._nearest(x.T, centers)
     full = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
     assert gap == pytest.approx(full.min(axis=1), abs=1e-9) and set(nearest) == {0, 1}
+
+
+def test_stored_points_are_read_in_small_groups(spark):
+    columns = [F.rand(i).alias(f"z{i}") for i in range(5)]
+    df = spark.range(0, 900_000, 1, 1).select(*columns, F.lit(1.0).alias("weight"))
+    with run_folder(spark) as folder:
+        kmeans.fit(df, [2], seed=1)
+        files = [f for f in map(pq.ParquetFile, Path(folder).rglob("*.parquet")) if f.schema.names == ["block"]]
+        groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    sizes = [g.total_byte_size / g.num_rows for g in groups]
+    assert sum(g.num_rows for g in groups) >= 900_000 / 4_096 and max(sizes) < 300_000
+    assert max(g.total_byte_size for g in groups) < 24 << 20

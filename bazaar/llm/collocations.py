@@ -416,6 +416,12 @@ def _phrases(runs: DataFrame, longest: int, min_count: int) -> DataFrame:
     return parts.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
 
 
+def _grown(table: DataFrame) -> DataFrame:
+    """Phrases and words grow with the texts, and files of them are a small part of what they take in memory:
+    joins sort them, whatever their files say, so that no driver has to hold them for a broadcast."""
+    return table.hint("merge")
+
+
 def _scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
     """``ids, lang, a, l, r, n, score`` of each phrase at its lowest-scoring cut."""
     parts = phrases.unionByName(words.select(F.array("id").alias("ids"), "f"))
@@ -424,10 +430,10 @@ def _scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFram
     cut = cut.withColumns({
         "first": F.slice("ids", F.lit(1), F.col("k")), "rest": F.slice("ids", F.col("k") + 1, F.size("ids")),
     })
-    cut = cut.join(parts.select(F.col("ids").alias("first"), F.col("f").alias("l")), "first")
-    cut = cut.join(parts.select(F.col("ids").alias("rest"), F.col("f").alias("r")), "rest")
+    cut = cut.join(_grown(parts.select(F.col("ids").alias("first"), F.col("f").alias("l"))), "first")
+    cut = cut.join(_grown(parts.select(F.col("ids").alias("rest"), F.col("f").alias("r"))), "rest")
     langs = words.select("id", "lang").join(totals, "lang")
-    cut = cut.withColumn("id", F.col("ids")[0]).join(langs, "id")
+    cut = cut.withColumn("id", F.col("ids")[0]).join(_grown(langs), "id")
     wide = {c: F.col(c).cast("decimal(20,0)") for c in "alrn"}
     score = F.expr("cast(1000 * a * n as decimal(38,0)) div cast(l * r as decimal(38,0))")
     scored = cut.select("ids", "lang", "k", *[wide[c].alias(c) for c in "alrn"]).withColumn("score", score)
@@ -447,7 +453,7 @@ def _outermost(scored: DataFrame, absorb: int) -> DataFrame:
         .select(F.slice("ids", span["begin"], span["length"]).alias("ids"), "longer")
         .groupBy("ids").agg(F.max("longer").alias("longer"))
     )
-    left = scored.join(inside, "ids", "left")
+    left = scored.join(_grown(inside), "ids", "left")
     return left.where(F.col("longer").isNull() | (100 * F.col("longer") < absorb * F.col("a"))).drop("longer")
 
 
@@ -502,10 +508,10 @@ def collocations(
     phrases = store(_phrases(runs, longest, min_count), "collocations-phrases")
     left = store(_outermost(_scored(phrases, words, totals), absorb), "collocations-scored")
     spelt = (
-        left.select("ids", F.posexplode("ids").alias("place", "id")).join(words.select("id", "word"), "id")
+        left.select("ids", F.posexplode("ids").alias("place", "id")).join(_grown(words.select("id", "word")), "id")
         .groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
         .select("ids", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("phrase"))
     )
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.join(spelt, "ids").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = left.join(_grown(spelt), "ids").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

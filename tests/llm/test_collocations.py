@@ -141,3 +141,16 @@ def test_trie_bursts_and_spills(words):
 def test_query_against_sql(spark):
     found = queries.op11_collocations(spark, SF)
     assert difference(found, database(SF), queries.oracle()["op11_collocations"]) is None
+
+
+def test_phrases_and_words_are_not_broadcast(spark):
+    """Their files are a small part of what they take in memory, so no size of files may decide it."""
+    ids = [(i, i + 1) for i in range(1, 40)] + [(i, i + 1, i + 2) for i in range(1, 39)]
+    phrases = spark.createDataFrame([(list(p), 100 + len(p)) for p in ids], "ids array<long>, f long")
+    words = spark.createDataFrame([(i, "en", f"w{i}", 200) for i in range(1, 42)], "id long, lang string, word string, f long")
+    totals = spark.createDataFrame([("en", 8_200)], "lang string, n long")
+    left = co._outermost(co._scored(phrases, words, totals), 100)
+    assert left.count() == len(left.collect()) > 0
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) >= 4 and not [line for line in joins if "Broadcast" in line and "[lang#" not in line]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -73,6 +73,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files: Spark removes those of a write when it has ended.
+
+    Otherwise they stay on disk until the driver happens to collect its garbage.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_turns(df: DataFrame | Sequence[DataFrame]) -> list[DataFrame]:
+    """The frames of a table that is worked on in turns, or the one that is all of it."""
+    return [df] if isinstance(df, DataFrame) else list(df)
+
+
 def settle(df: DataFrame, *partition_by: str, **options: str) -> tuple[DataFrame, int]:
     """Write ``df`` to the shared folder; the stored table and its row count.
 
@@ -83,5 +103,6 @@ def settle(df: DataFrame, *partition_by: str, **options: str) -> tuple[DataFrame
     path = f"{checkpoint_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.partitionBy(*partition_by).options(**options).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        counted.write.partitionBy(*partition_by).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]

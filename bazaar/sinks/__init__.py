@@ -9,22 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaar.functions.numeric import no_nan
+from bazaar.session import in_turns, shuffles_removed
 
 
-def sink_parquet(df: DataFrame, path: str, *partition_by: str, together: bool = False) -> int:
+def sink_parquet(
+    df: DataFrame | Sequence[DataFrame], path: str, *partition_by: str, together: bool = False
+) -> int:
     """Overwrite a Parquet dataset; the row count comes from the write itself.
 
+    Several frames are written one after the other, so that the disk holds
+    the shuffles of one at a time.
+
     Rows of a partition are brought together first, or each task would add a
     small file to each; a partition too large for one task is split.  Say so if
     they are ``together`` already: wide rows are better brought together before
     their columns are derived.
     """
-    if partition_by and not together:
-        df = df.hint("rebalance", *partition_by)
-    seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return seen.get["rows"]
+    rows = 0
+    for turn, part in enumerate(in_turns(df)):
+        if partition_by and not together:
+            part = part.hint("rebalance", *partition_by)
+        seen = Observation()
+        counted = part.observe(seen, F.count(F.lit(1)).alias("rows"))
+        with shuffles_removed(part.sparkSession):
+            counted.write.mode("append" if turn else "overwrite").partitionBy(*partition_by).parquet(path)
+        rows += seen.get["rows"]
+    return rows
 
 
 def emit_table(df: DataFrame, name: str, path: str) -> tuple[DataFrame, int]:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from bazaar.schema import RAW_COLUMNS, UNKNOWN
 
+# Line items that are joined at once, where a table is worked on in turns.
+ROWS_A_TURN = 16_000_000
+
 # Column -> tables it needs besides lineitem.
 _TABLES = {
     "platform": {"orders"},
@@ -93,7 +96,8 @@ LISTING_COLUMNS = [*RAW_COLUMNS, "stats_month"]
 
 
 def load_sales(
-    spark: SparkSession, sf_dir: str, *columns: str, trusted_keys: bool = False, together: str | None = None
+    spark: SparkSession, sf_dir: str, *columns: str, trusted_keys: bool = False, together: str | None = None,
+    turn: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The listing table, or just ``columns`` of it.
 
@@ -106,6 +110,9 @@ def load_sales(
     Rows that agree in the column ``together``, one that line items alone tell, are
     brought together while they still are rows of the tables: most columns
     repeat what a few of those hold.
+
+    ``turn``, a number and how many there are, leaves the listings of one share of
+    all orders: the shares of all turns are the whole table.
     """
     wanted = list(columns) or LISTING_COLUMNS
     needed = set().union(*(_TABLES.get(c, set()) for c in wanted)) if trusted_keys else _ALL_TABLES
@@ -113,12 +120,15 @@ def load_sales(
     def table(name: str) -> DataFrame:
         return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    out = table("lineitem")
+    def share(rows: DataFrame, key: str) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64(key), F.lit(turn[1])) == turn[0]) if turn else rows
+
+    out = share(table("lineitem"), "l_orderkey")
     if "part" in needed:
         part = table("part")
         out = out.join(part, out.l_partkey == part.p_partkey)
     if "orders" in needed:
-        orders = table("orders")
+        orders = share(table("orders"), "o_orderkey")
         if "customer" in needed:
             customer = table("customer")
             orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -140,6 +150,13 @@ def load_sales(
     return out.selectExpr([c if c == together else f"{_EXPRESSIONS[c]} AS {c}" for c in wanted])
 
 
+def turns(spark: SparkSession, sf_dir: str, rows: int = ROWS_A_TURN) -> list[tuple[int, int]]:
+    """Turns for the listing table, each of about ``rows`` line items."""
+    items = spark.read.schema(_SCHEMAS["lineitem"]).parquet(f"{sf_dir}/lineitem.parquet").count()
+    many = max(1, -(-items // rows))
+    return [(i, many) for i in range(many)]
+
+
 def rule_segment(df: DataFrame) -> DataFrame:
     """Add ``cluster`` from two thresholds, a stand-in for a fitted model."""
     rule = "CASE WHEN list_price >= 60000 THEN 1 WHEN monthly_sales >= 25 THEN 2 ELSE 0 END"
@@ -152,7 +169,9 @@ def load_segmented(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return rule_segment(load_sales(spark, sf_dir, *needed)).select(*columns, "cluster")
 
 
-def load_dirty(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def load_dirty(
+    spark: SparkSession, sf_dir: str, *columns: str, turn: tuple[int, int] | None = None
+) -> DataFrame:
     """Raw text columns of the listing table with dirt worked in.
 
     Bad and outlying prices, missing counts and districts, broken, impossible
@@ -160,7 +179,7 @@ def load_dirty(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     wanted = list(columns) or RAW_COLUMNS
     basis = dict.fromkeys([*wanted, "city", "list_price", "monthly_sales"])
-    marked = load_sales(spark, sf_dir, *basis).withColumn(
+    marked = load_sales(spark, sf_dir, *basis, turn=turn).withColumn(
         "_id", F.floor(F.col("list_price") * 100 + F.col("monthly_sales")).cast("long")
     )
 

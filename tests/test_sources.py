@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,7 @@ from bazaar.session import run_folder, settle
 from bazaar.operators.clean import parse_date
 from bazaar.sources import csv as csv_source
 from bazaar.sources.csv import detect_charset, scan_csv
-from bazaar.sources.star import LISTING_COLUMNS, load_sales
+from bazaar.sources.star import LISTING_COLUMNS, load_sales, turns
 
 LINES = [
     'a,b,c',
@@ -158,3 +159,23 @@ def test_dates_are_cast_as_they_were_parsed(spark):
     found = [str(r["d"]) if r["d"] else None for r in plan.collect()]
     assert found == ["2025-01-05", "2025-01-05", None, None, "2024-02-29", None, None, None]
     assert "gettimestamp" not in plan._jdf.queryExecution().toString().lower()
+
+
+def _shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(held.size()) if (name := held.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_a_table_written_in_turns_is_whole_and_leaves_no_shuffles(spark, tmp_path, rows):
+    sf, by = "/root/testdata/sf0.001", "stats_month"
+    plain = load_sales(spark, sf, *LISTING_COLUMNS)
+    parts = turns(spark, sf, rows=2_500)
+    assert len(parts) == 3 and turns(spark, sf) == [(0, 1)]
+    frames = [load_sales(spark, sf, *LISTING_COLUMNS, together=by, turn=turn) for turn in parts]
+    n, before = plain.count(), _shuffle_files(spark)
+    assert sink_parquet(frames, str(tmp_path / "m"), by, together=True) == n
+    until = time.time() + 20
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.5)
+    assert not left
+    assert rows(spark.read.parquet(str(tmp_path / "m")), *LISTING_COLUMNS) == rows(plain, *LISTING_COLUMNS)

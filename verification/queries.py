@@ -21,7 +21,7 @@ from bazaar.schema import FEATURE_COLUMNS
 from bazaar.session import checkpoint_folder, settle
 from bazaar.sources.csv import detect_charset, scan_csv
 from bazaar.sources.parquet import scan_parquet
-from bazaar.sources.star import LISTING_COLUMNS, load_dirty, load_sales, load_segmented, rule_segment
+from bazaar.sources.star import LISTING_COLUMNS, load_dirty, load_sales, load_segmented, rule_segment, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,7 +115,8 @@ def _charset_fallback(spark: SparkSession, sf: str) -> DataFrame:
 def _sink_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "parquet")
     by = "stats_month"
-    sinks.sink_parquet(load_sales(spark, sf, *LISTING_COLUMNS, together=by), path, by, together=True)
+    rows = [load_sales(spark, sf, *LISTING_COLUMNS, together=by, turn=turn) for turn in turns(spark, sf)]
+    sinks.sink_parquet(rows, path, by, together=True)
     return rounded(scan_parquet(spark, path).select(LISTING_COLUMNS))
 
 

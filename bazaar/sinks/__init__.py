@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from bazaar.functions.numeric import no_nan
 from bazaar.session import in_turns, shuffles_removed
 
+# Rows of a compressed CSV file, which no reader can split.
+_ROWS_A_FILE = 500_000
+
 
 def sink_parquet(
     df: DataFrame | Sequence[DataFrame], path: str, *partition_by: str, together: bool = False
@@ -79,14 +82,25 @@ def sink_json_snapshot(
     snapshot_rows(df, limit, order).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def sink_csv_export(df: DataFrame, path: str, bom: bool = False) -> None:
+def sink_csv_export(
+    df: DataFrame | Sequence[DataFrame], path: str, bom: bool = False, compression: str | None = None
+) -> None:
     """Write CSV with a header, doubled quotes, and empty fields for nulls.
 
+    Several frames are written one after the other, so that the disk holds
+    the shuffles of one at a time.  A compressed file is read by one task,
+    so with ``compression`` files end after some rows.
+
     With ``bom`` every file begins with a byte order mark, by which spreadsheets
     know UTF-8: it is written as the begin of the first name.
     """
-    named = df.toDF(f"\ufeff{df.columns[0]}", *df.columns[1:]) if bom else df
-    named.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+    if compression:
+        options |= {"compression": compression, "maxRecordsPerFile": _ROWS_A_FILE}
+    for turn, part in enumerate(in_turns(df)):
+        named = part.toDF(f"\ufeff{part.columns[0]}", *part.columns[1:]) if bom else part
+        with shuffles_removed(part.sparkSession):
+            named.write.mode("append" if turn else "overwrite").options(**options).csv(path)
 
 
 def insights_manifest(

@@ -179,3 +179,15 @@ def test_a_table_written_in_turns_is_whole_and_leaves_no_shuffles(spark, tmp_pat
         time.sleep(0.5)
     assert not left
     assert rows(spark.read.parquet(str(tmp_path / "m")), *LISTING_COLUMNS) == rows(plain, *LISTING_COLUMNS)
+
+
+def test_a_compressed_export_in_turns_is_read_back_whole(spark, tmp_path, rows):
+    parts = [spark.createDataFrame([(f"{i}", f'a "b",\nc {i}', None), (f"{i}0", "城", "x,y")], "k string, note string, v string")
+             for i in range(1, 4)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sink_csv_export(parts, str(tmp_path / "c"), compression="gzip")
+    assert rows(scan_csv(spark, str(tmp_path / "c"))) == rows(whole)
+    sink_csv_export(whole.where("v is not null").repartition(1), str(tmp_path / "d"), compression="gzip")
+    files = list((tmp_path / "d").glob("part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    assert rows(scan_csv(spark, str(tmp_path / "d"))) == rows(whole.where("v is not null"))

@@ -77,7 +77,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "raw_csv")
-    sinks.sink_csv_export(load_dirty(spark, sf), path)
+    rows = [load_dirty(spark, sf, turn=turn) for turn in turns(spark, sf)]
+    sinks.sink_csv_export(rows, path, compression="gzip")
     # Numbers are compared as numbers: engines spell large ones differently.
     return rounded(clean.parse_dates(clean.coerce_numeric(scan_csv(spark, path))))
 

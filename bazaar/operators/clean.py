@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from bazaar.schema import (
     UNKNOWN,
     Roles,
 )
-from bazaar.session import settle
+from bazaar.session import checkpoint_folder, in_turns, settle, shuffles_removed
 
 # Fixed value: what a date looks like.
 DATE_PATTERN = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}\z"
@@ -67,8 +68,44 @@ def derive_stats_month(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """Keep one of each set of equal rows; missing equals missing, NaN included."""
-    doubles = [name for name, kind in df.dtypes if kind in ("double", "float")]
-    return df.withColumns({c: no_nan(c) for c in doubles}).dropDuplicates()
+    return _without_nan(df).dropDuplicates()
+
+
+def _without_nan(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: no_nan(c) for c in _doubles(df)})
+
+
+def _doubles(df: DataFrame) -> list[str]:
+    return [name for name, kind in df.dtypes if kind in ("double", "float")]
+
+
+def settle_unique(df: DataFrame | Sequence[DataFrame]) -> DataFrame:
+    """``drop_duplicate_rows`` of all frames together, stored.
+
+    Several frames are brought into buckets one after the other, equal rows into
+    the same one, so the disk holds the shuffles of one frame at a time.
+    A bucket then finds its duplicates without a shuffle; buckets are removed.
+    """
+    frames = in_turns(df)
+    if len(frames) == 1:
+        return settle(drop_duplicate_rows(frames[0]))[0]
+    spark, table = frames[0].sparkSession, f"unique_{uuid.uuid4().hex}"
+    path, digest = f"{checkpoint_folder(spark)}/{table}", f"_digest_{table}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for frame in frames:
+        # Zeros of both signs are equal.
+        rows, doubles = _without_nan(frame), _doubles(frame)
+        values = [F.col(f"`{c}`") + 0.0 if c in doubles else F.col(f"`{c}`") for c in rows.columns]
+        rows = rows.withColumn(digest, F.xxhash64(*values)).repartition(parts, digest)
+        with shuffles_removed(spark):
+            rows.write.format("parquet").mode("append").bucketBy(parts, digest).options(
+                path=path, compression="zstd"
+            ).saveAsTable(table)
+    unique, _ = settle(spark.table(table).dropDuplicates().drop(digest), compression="zstd")
+    spark.sql(f"DROP TABLE {table}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return unique
 
 
 def fill_median(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
@@ -189,18 +226,20 @@ def _is_month(text: str) -> bool:
 
 
 def clean(
-    df: DataFrame,
+    df: DataFrame | Sequence[DataFrame],
     remove_outliers: bool = True,
     split_month: bool = False,
     names: Sequence[str] = RAW_COLUMNS,
 ) -> DataFrame:
-    """The whole cleaning sequence over raw text rows."""
-    typed = parse_dates(coerce_numeric(standardize_columns(df, names)))
-    if "collection_date" in typed.columns:
-        typed = derive_stats_month(typed)
+    """The whole cleaning sequence over raw text rows, of one frame or of several in turns."""
+
+    def typed(frame: DataFrame) -> DataFrame:
+        out = parse_dates(coerce_numeric(standardize_columns(frame, names)))
+        return derive_stats_month(out) if "collection_date" in out.columns else out
+
     # Medians and quartiles each read the rows again; the shuffle behind the
     # deduplication should run once, and each reading take its column only.
-    unique, _ = settle(drop_duplicate_rows(typed))
+    unique = settle_unique([typed(frame) for frame in in_turns(df)])
     filled = fill_unknown(fill_median(unique))
     if remove_outliers:
         filled = remove_outliers_iqr(filled)

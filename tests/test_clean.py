@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bazaar.functions import quantiles
 from bazaar.operators import clean
 from bazaar.schema import RAW_COLUMNS, SALES_SCHEMA, UNKNOWN
+from bazaar.sources.star import load_dirty, turns
 from verification import queries
 
 
@@ -170,3 +171,17 @@ def test_columns_found_together_or_in_turn_remove_the_same_rows(spark):
     out = clean.remove_outliers_iqr(spark.createDataFrame(frame), names).toPandas()
     assert sorted(map(tuple, out.values)) == sorted(map(tuple, expected.values))
     assert len(out) < 200
+
+
+def test_frames_cleaned_in_turns_lose_duplicates_across_them(spark, rows):
+    kinds = "a string, x double, d date"
+    one = [("k", 0.0, None), (None, 1.0, None), ("k", float("nan"), None), ("m", None, None)]
+    two = [("k", -0.0, None), (None, 1.0, None), ("k", None, None), ("n", 2.0, None)]
+    frames = [spark.createDataFrame(r, kinds) for r in (one, two, one)]
+    whole = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    found = clean.settle_unique(frames)
+    assert rows(found) == rows(clean.drop_duplicate_rows(whole)) and found.count() == 5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("unique_")]
+    sf = "/root/testdata/sf0.001"
+    parts = [load_dirty(spark, sf, turn=turn) for turn in turns(spark, sf, rows=2_500)]
+    assert len(parts) == 3 and rows(clean.clean(parts)) == rows(clean.clean(load_dirty(spark, sf)))

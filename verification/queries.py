@@ -331,7 +331,9 @@ def build() -> dict[str, Query]:
         ),
         "clean": _clean,
         # The same over all raw columns and all nine numbers.
-        "clean_all_columns": lambda spark, sf: rounded(clean.clean(load_dirty(spark, sf))),
+        "clean_all_columns": lambda spark, sf: rounded(clean.clean(
+            [load_dirty(spark, sf, turn=turn) for turn in turns(spark, sf)]
+        )),
         "coerce_all_columns": lambda spark, sf: rounded(_typed(spark, sf)),
         "fill_median_all_columns": _on_stored(_typed, clean.fill_median),
         "remove_outliers_all_columns": _on_stored(_typed, clean.remove_outliers_iqr),
